@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import quality_rules
+from . import bpe, quality_rules
 
 
 def queries() -> dict:
     return {
         "op5_quality_rules": quality_rules.op5_quality_rules,
+        "op6_bpe": bpe.op6_bpe,
     }
 
 
