@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, quality_rules
+from . import bpe, quality_rules, token_store
 
 
 def queries() -> dict:
     return {
         "op5_quality_rules": quality_rules.op5_quality_rules,
         "op6_bpe": bpe.op6_bpe,
+        "op8_token_store": token_store.op8_token_store,
     }
 
 
