@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import bpe, quality_rules, token_store
+from . import bpe, near_dups, quality_rules, secrets, token_store
 
 
 def queries() -> dict:
     return {
+        "op1_secrets": secrets.op1_secrets,
         "op5_quality_rules": quality_rules.op5_quality_rules,
         "op6_bpe": bpe.op6_bpe,
+        "op7_near_dups": near_dups.op7_near_dups,
         "op8_token_store": token_store.op8_token_store,
     }
 
