@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, near_dups, quality_rules, secrets, token_store
+from . import bpe, decontaminate, lattice_lm, near_dups, quality_rules, secrets, token_store
 
 
 def queries() -> dict:
     return {
         "op1_secrets": secrets.op1_secrets,
         "op3_decontaminate": decontaminate.op3_decontaminate,
+        "op4_lattice_lm": lattice_lm.op4_lattice_lm,
         "op5_quality_rules": quality_rules.op5_quality_rules,
         "op6_bpe": bpe.op6_bpe,
         "op7_near_dups": near_dups.op7_near_dups,
