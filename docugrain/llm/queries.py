@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, lattice_lm, near_dups, quality_classifier, quality_rules, secrets, token_store
+from . import bpe, decontaminate, html_text, lattice_lm, near_dups, quality_classifier, quality_rules, secrets, token_store
 
 
 def queries() -> dict:
     return {
         "op1_secrets": secrets.op1_secrets,
+        "op2_html_text": html_text.op2_html_text,
         "op3_decontaminate": decontaminate.op3_decontaminate,
         "op4_lattice_lm": lattice_lm.op4_lattice_lm,
         "op5_quality_rules": quality_rules.op5_quality_rules,
