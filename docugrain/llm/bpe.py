@@ -62,6 +62,7 @@ class PrefixBPE:
         self.left_spine: dict[int, list] = {}
         self.fits_memo: dict[tuple[int, int], bool] = {}
         self.pieces: dict[str, tuple[int, ...]] = {}
+        self.words: dict[bytes, tuple[int, ...]] = {}
         self._build_automaton()
 
     # The last letter of a word carries the suffix, as one symbol: a final state is a letter and the suffix together.
@@ -202,7 +203,15 @@ class PrefixBPE:
         return tuple(ids)
 
     def encode(self, text: str) -> list[int]:
-        return [i for w in text.encode().split() for i in self.word(w.decode())]
+        memo, ids = self.words, []
+        for w in text.encode().split():
+            own = memo.get(w)
+            if own is None:
+                if len(memo) >= MEMO:
+                    memo.clear()
+                own = memo[w] = self.word(w.decode())
+            ids += own
+        return ids
 
     def decode(self, ids) -> str:
         return " ".join(self.token[i] for i in ids)
@@ -218,6 +227,30 @@ def bpe(path: str) -> PrefixBPE:
     return _loaded[path]
 
 
+def encode_ids(docs: DataFrame, vocabulary: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_tokens and ids array<int> for each row."""
+
+    def make():
+        import pyarrow as pa
+
+        model = bpe(vocabulary_path(vocabulary))
+
+        def each(batch):
+            # One array at a time, in four bytes an id: a batch's ids as Python lists would take ten times the memory.
+            ids = [pa.array(model.encode(t), pa.int32()) for t in texts(batch)]
+            return {"doc_id": batch.column("doc_id"), "n_tokens": [len(x) for x in ids], "ids": pa.ListArray.from_arrays(pa.array([0, *_running(ids)], pa.int32()), pa.concat_arrays(ids))}
+
+        return each
+
+    return map_rows(id_text(docs, id_col, text_col), make, "doc_id long, n_tokens long, ids array<int>")
+
+
+def _running(arrays):
+    from itertools import accumulate
+
+    return accumulate(len(x) for x in arrays)
+
+
 def encode_texts(docs: DataFrame, vocabulary: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, ids array<int> and the text that the ids decode to, for each row."""
 

@@ -86,11 +86,15 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], list[d
         for batch in batches:
             if batch.num_rows:
                 got = each(batch)
-                yield pa.RecordBatch.from_arrays([pa.array(got[f.name], type=f.type) for f in arrow], schema=arrow)
+                yield pa.RecordBatch.from_arrays([_array(got[f.name], f.type) for f in arrow], schema=arrow)
 
     return df.mapInArrow(run, schema)
 
 
+def _array(values, kind: pa.DataType) -> pa.Array:
+    return values.cast(kind) if isinstance(values, pa.Array) else pa.array(values, type=kind)
+
+
 def texts(batch: pa.RecordBatch, column: str = "text") -> Iterator[str]:
     """The column's strings, one at a time, so that a batch is never held twice."""
     for x in batch.column(column):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, html_text, lattice_lm, near_dups, quality_classifier, quality_rules, secrets, token_store
+from . import bpe, decontaminate, html_text, lattice_lm, licenses, near_dups, quality_classifier, quality_rules, secrets, token_store
 
 
 def queries() -> dict:
@@ -15,9 +15,10 @@ def queries() -> dict:
         "op6_bpe": bpe.op6_bpe,
         "op7_near_dups": near_dups.op7_near_dups,
         "op8_token_store": token_store.op8_token_store,
+        "op9_licenses": licenses.op9_licenses,
         "op10_quality_classifier": quality_classifier.op10_quality_classifier,
     }
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {"op9_licenses": licenses.oracle()}
