@@ -632,3 +632,15 @@ def base64_upload(spark, sf_dir):
     """A data URL of each page's address, in the URL-safe alphabet without padding, decoded again."""
     data = F.concat(F.lit("data:application/pdf;base64,"), requests.base64url(F.encode("url", "UTF-8")), F.lit("\n"))
     return table(spark, sf_dir, "pages").select("page_id", F.decode(requests.decode_base64(data), "UTF-8").alias("decoded"))
+
+
+@query()
+def review_documents(spark, sf_dir):
+    """End to end: each nation's statements of all years as the marked pages of one document; tested against golden documents."""
+    from . import review
+
+    rows = I.spark_statements(spark, sf_dir)
+    text = pages.marked_text(rows, "nation", "year", "text")
+    docs = text.join(rows.groupBy("nation").agg(F.max_by("summary", "year").alias("summary"), F.max_by("language", "year").alias("language")), "nation")
+    got = review.review_documents(docs, "nation")
+    return got.select("nation", "risk_score", "score_rationale", "summary", F.to_json("risks").alias("risks"), joined("references").alias("references"))
