@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MEMO, id_text, new_path, table, texts
+from .common import id_text, new_path, table, texts
 
 VOCABULARY = "word_bpe_49k.json"
 MAGIC = 0x31434144
@@ -130,42 +130,72 @@ class Segment:
 # --- encoding with the tokenizers library ------------------------------------------------------------------------
 
 
+#: Words that an encoder holds before it starts anew (some 200 bytes each); results don't depend on it.
+HELD = 1_200_000
+
+
+class Numbers(dict):
+    """A word's number, given on first sight; new words wait in pending until the library has seen them."""
+
+    def __init__(self):
+        self.pending: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        k = self[word] = len(self)
+        self.pending.append(word)
+        return k
+
+
 class LibraryWords:
-    """Ids of texts by the tokenizers library. White space always splits for this vocabulary, so each distinct word is given to the library once and kept in a memo of bounded size."""
+    """Ids of texts by the tokenizers library. White space always splits for this vocabulary, so each distinct word is given to the library once and kept in a memo of bounded size.
+
+    The vocabulary lower-cases, so A-Z are lowered before; not where a special token could come of it, nor beside combining
+    marks (U+0300 to U+036F, bytes CC and CD), as some letters compose with them in lower case only."""
 
     def __init__(self, path: str):
+        import json
+
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        spec = json.loads(self.library.to_str())
+        self.lowers = '"Lowercase"' in json.dumps(spec["normalizer"])
+        self.guard = [b"\xcc", b"\xcd", *{x["content"].encode()[:2] for x in spec["added_tokens"]}]
         self.forget()
 
     def forget(self) -> None:
-        self.number: dict[bytes, int] = {}
-        self.flat, self.used = np.zeros(1 << 20, np.uint32), 0
-        self.starts, self.sizes = np.zeros(MEMO * 2, np.int64), np.zeros(MEMO * 2, np.int64)
-
-    def learn(self, words: list[bytes]) -> None:
-        got = self.library.encode_batch([w.decode() for w in words], add_special_tokens=False)
-        for w, e in zip(words, got, strict=True):
-            k = self.number[w] = len(self.number)
-            if k >= len(self.starts):
-                self.starts, self.sizes = np.concatenate([self.starts, np.zeros_like(self.starts)]), np.concatenate([self.sizes, np.zeros_like(self.sizes)])
-            n = len(e.ids)
-            if self.used + n > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), n), np.uint32)])
-            self.flat[self.used : self.used + n] = e.ids
-            self.starts[k], self.sizes[k] = self.used, n
-            self.used += n
+        self.number, self.used = Numbers(), 0
+        self.flat = np.zeros(1 << 20, np.uint32)
+        self.starts, self.sizes = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+
+    def learn(self) -> None:
+        words = self.number.pending
+        got = [e.ids for e in self.library.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+        sizes = np.fromiter(map(len, got), np.int64, len(got))
+        ids = np.fromiter((i for own in got for i in own), np.uint32, int(sizes.sum()))
+        first, last = len(self.number) - len(words), len(self.number)
+        while last > len(self.starts):
+            self.starts, self.sizes = np.concatenate([self.starts, np.zeros_like(self.starts)]), np.concatenate([self.sizes, np.zeros_like(self.sizes)])
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.sizes[first:last] = sizes
+        self.starts[first:last] = self.used + np.cumsum(sizes) - sizes
+        self.used += len(ids)
+        self.number.pending.clear()
 
     def encode(self, text: str) -> np.ndarray:
-        words = text.encode().split()
-        if len(self.number) > MEMO:
+        raw = text.encode()
+        if self.lowers and not any(g in raw for g in self.guard):
+            raw = raw.lower()
+        words = raw.split()
+        if len(self.number) > HELD:
             self.forget()
-        if new := [w for w in dict.fromkeys(words) if w not in self.number]:
-            self.learn(new)
         at = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+        if self.number.pending:
+            self.learn()
         sizes = self.sizes[at]
         ends = np.cumsum(sizes)
         inside = np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - sizes, sizes)
