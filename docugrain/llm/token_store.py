@@ -39,7 +39,7 @@ SEGMENT_IDS = 1 << 20
 
 
 def pack(values: np.ndarray, width: int) -> bytes:
-    bits = ((values[:, None] >> np.arange(width, dtype=np.uint32)) & np.uint32(1)).astype(np.uint8)
+    bits = np.unpackbits(values.astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, count=width, bitorder="little")
     return np.packbits(bits.reshape(-1), bitorder="little").tobytes()
 
 
@@ -172,9 +172,10 @@ class LibraryWords:
 
     def learn(self) -> None:
         words = self.number.pending
-        got = [e.ids for e in self.library.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
-        sizes = np.fromiter(map(len, got), np.int64, len(got))
-        ids = np.fromiter((i for own in got for i in own), np.uint32, int(sizes.sum()))
+        # One call for all new words; word_ids names the word that each id is of. A word may give no id.
+        got = self.library.encode([w.decode() for w in words], is_pretokenized=True, add_special_tokens=False)
+        ids = np.array(got.ids, np.uint32)
+        sizes = np.bincount(np.array(got.word_ids, np.int64), minlength=len(words))
         first, last = len(self.number) - len(words), len(self.number)
         while last > len(self.starts):
             self.starts, self.sizes = np.concatenate([self.starts, np.zeros_like(self.starts)]), np.concatenate([self.sizes, np.zeros_like(self.sizes)])
