@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import string
 import zlib
 
 import numpy as np
@@ -196,6 +197,18 @@ def test_compression_bands(spark, odd, empty):
     assert quality_rules.quality_rules(empty).count() == 0 and quality_rules.keep(odd).columns == odd.columns
 
 
+@pytest.mark.parametrize("size", [200, 300, 600, 1200, 2500, 5000, 20_000, 200_000])
+def test_encoded_and_random_texts_are_rejected(spark, size):
+    rnd = random.Random(size)
+    code = base64.b64encode(rnd.randbytes(size)).decode()[:size]
+    letters = "".join(rnd.choice(string.ascii_letters + string.digits) for _ in range(size))
+    cut = lambda t, n: " ".join(t[k : k + n] for k in range(0, size, n))
+    texts = [cut(letters, 8), cut(letters, 5), cut(code, 8), *([cut(code, 76).replace(" ", "\n")] if size > 2000 else [])]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = quality_rules.quality_rules(rows).collect()
+    assert [(r.base_failed, r.kept) for r in got] == [(False, False)] * len(texts)
+
+
 def test_clean_documents_stay(spark, docs):
     labels = spark.read.parquet(f"{SMALL}/labels.parquet").where("quality = 1")
     kept = quality_rules.quality_rules(docs).join(labels, "doc_id").where("n_words >= 20")
