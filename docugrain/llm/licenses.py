@@ -1,8 +1,10 @@
 """License scans by sentence rules, with DataFrame functions only.
 
-Method: a text is cut into sentences (at line ends and after ``.``, ``!``, ``?`` or ``;`` before white space). Sentences that hold a
-licence word are normalised (lower case, punctuation and white space as one space, years and holders of a copyright line
-left out) and looked up among known licence sentences, which gives the text's sequence of sentence identifiers. Rules, in
+Method: a text with a licence word is normalised (lower case, punctuation and white space as one space, which drops comment
+signs too) and cut into pieces at line ends and after ``.``, ``!``, ``?`` or ``;`` before white space. A known licence
+sentence is met where its words are those of whole pieces side by side within a paragraph, so wrapped lines, comment
+signs and stops within a sentence don't matter; years and holders of a copyright line are left out. Of sentences that begin at one
+piece the longest is taken. This gives the text's sequence of sentence identifiers. Rules, in
 order, then match identifier sequences: a rule holds if its identifiers stand in the sequence in its order, side by side. The first rule that
 matches a stretch of the sequence takes it, so that a longer form (a full licence text) goes before its own parts.
 
@@ -86,31 +88,40 @@ RULES = [
 ]
 #: Every known sentence has one of these words, so others needn't be normalised.
 WORDS = "(?i)licen[sc]e|copyright|permission|permitted|warrant|redistribut|spdx|copies of the|provided with|endorse|compliance|free software|public domain|rights reserved|creative commons"
+#: The cut of the SQL form, which meets sentences of one piece only; on the given tables both give equal rows.
 SEPARATOR = "([.!?;])[ \\t\\r\\x0b\\x0c]+"
 NOT_WORD = "[^a-z0-9]+"
 COPYRIGHT = "^copyright( c)?( [0-9]{4})( [0-9]{4})*( .*)?$"
+COPYRIGHT_PIECE = "copyright(?:(?: c)?(?: [0-9]{4})+(?: [^\\n]*)?)?"
+#: A stop that more of its line follows; comment words at the beginning of a line (signs go with the punctuation).
+INNER_STOP = "[.!?;][ \\t\\r\\x0b\\x0c]+(?=[^ \\t\\r\\x0b\\x0c\\n])"
+WORD_PREFIX = "(?m)^[ \\t]*(?:rem|dnl)(?=[ \\t\\n])"
+NOT_PIECE = "[^a-z0-9\\n]+"
 
 
-def sentences(text: Column) -> Column:
-    """The text's sentences with a licence word, in order."""
-    whole = F.split(F.regexp_replace(text, SEPARATOR, "$1\n"), "\n")
-    return F.filter(whole, lambda s: s.rlike(WORDS))
+def pieces(text: Column) -> Column:
+    """The text in normalised pieces, each between line ends; an empty line between paragraphs."""
+    lines = F.regexp_replace(F.regexp_replace(F.lower(text), WORD_PREFIX, ""), INNER_STOP, "\n")
+    plain = F.regexp_replace(F.regexp_replace(lines, NOT_PIECE, " "), " *\n *", "\n")
+    return F.concat(F.lit("\n"), F.btrim(plain, F.lit(" ")), F.lit("\n"))
 
 
-def normalised(sentence: Column) -> Column:
-    plain = F.btrim(F.regexp_replace(F.lower(sentence), NOT_WORD, F.lit(" ")), F.lit(" "))
-    return F.regexp_replace(plain, COPYRIGHT, "copyright")
+def known_sentence() -> str:
+    """A pattern for all known sentences, longer ones first: words divided by a space or by the end of a piece."""
+    known = sorted((s for own in SENTENCES.values() for s in own), key=lambda s: (-len(s), s))
+    return "(?<=\\n)(?:" + "|".join([*(s.replace(" ", "[ \\n]") for s in known if s != "copyright"), COPYRIGHT_PIECE]) + ")(?=\\n)"
 
 
-def identifiers(found: Column) -> Column:
+def identifiers(text: Column) -> Column:
     known = F.create_map(*(F.lit(x) for name, own in SENTENCES.items() for s in own for x in (s, name)))
-    return F.filter(F.transform(found, lambda s: F.try_element_at(known, normalised(s))), lambda i: i.isNotNull())
+    found = F.regexp_extract_all(pieces(text), F.lit(known_sentence()), F.lit(0))
+    return F.filter(F.transform(found, lambda s: F.try_element_at(known, F.regexp_replace(F.replace(s, F.lit("\n"), F.lit(" ")), COPYRIGHT, "copyright"))), lambda i: i.isNotNull())
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, sentence_ids and licenses (in order of the rules' first match), for each row of docs."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.when(text.rlike(WORDS), identifiers(sentences(text))).otherwise(F.array().cast("array<string>")).alias("sentence_ids"))
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.when(text.rlike(WORDS), identifiers(text)).otherwise(F.array().cast("array<string>")).alias("sentence_ids"))
     # The sequence as text, each identifier between two bars: "|a||b|". A matched stretch becomes "#", which no rule has, so each is taken once.
     rows = base.withColumn("_left", F.array_join(F.transform("sentence_ids", lambda i: F.concat(F.lit("|"), i, F.lit("|"))), ""))
     rows = rows.withColumn("_state", F.aggregate(

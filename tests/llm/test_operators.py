@@ -7,6 +7,7 @@ import math
 import random
 import re
 import string
+import textwrap
 import zlib
 
 import numpy as np
@@ -318,6 +319,28 @@ def test_licence_rules(spark, odd, empty):
     assert all(r.licenses == [] for r in licenses.scan(odd).collect()) and licenses.scan(empty).count() == 0
 
 
+GPL2 = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.\n\nThis program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU General Public License for more details."
+MPL2 = "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."
+MIT = "MIT License\n\nCopyright (c) 2020 Some One\n\nPermission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
+BSD2 = "Copyright 2019, Some One. All rights reserved.\n\nRedistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n\n2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+
+
+@pytest.mark.parametrize("prefix", [None, "", "# ", " * ", "// ", "REM "])
+def test_wrapped_licence_headers(spark, prefix):
+    """On one line for each paragraph, wrapped, and as comments of several languages."""
+
+    def lay(text):
+        if prefix is None:
+            return text
+        return "\n".join((prefix + line).rstrip() for p in text.split("\n\n") for line in [*textwrap.wrap(p, 66), ""])
+
+    rows = [(k, f"/*\n{lay(t)}\n*/\nint main() {{}}\n") for k, t in enumerate((MIT, BSD2, GPL2, MPL2))]
+    got = {r.doc_id: (r.sentence_ids, r.licenses) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0] == (["mit-notice", "copyright", "mit-grant", "mit-condition"], ["MIT"])
+    assert got[1] == (["copyright", "all-rights", "bsd-grant", "bsd-source", "bsd-binary"], ["BSD-2-Clause", "All-Rights-Reserved"])
+    assert got[2] == (["gpl2-redistribute", "gpl-warranty"], ["GPL-2.0-or-later"]) and got[3] == (["mpl2-notice"], ["MPL-2.0"])
+
+
 # --- 10 classifier
 def test_held_out_accuracy(spark):
     at = "/root/testdata/sf0.01"
