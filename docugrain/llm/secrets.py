@@ -1,8 +1,10 @@
 """Secret scans: base patterns, then a token-efficiency test.
 
 Method: a run of letters, digits and ``+/_=.-`` that a tiktoken vocabulary can only cut into short tokens (few
-characters per token) is a random string, since words and names are cut into long ones. Tested are the parts of such runs
-between separators, at least ``least`` characters long, with a digit and a letter. Known digests (hexadecimal of the usual lengths) and
+characters per token) is a random string, since words and names are cut into long ones. A run of ``whole`` characters with a digit and a letter is
+tested as it is; if it isn't random, its stretches between words and numbers are (so that a path doesn't hide a secret), and then the parts of
+letters and digits between separators, at least ``least`` characters long. Short parts and parts of letters only have stricter
+ratios; letters only, in one case or under ``letters`` characters, and short hexadecimal numbers are too like names and identifiers. Known digests (hexadecimal of the usual lengths) and
 identifiers (UUIDs, dates, versions, numbers, host and file names) are excluded; base finds stay whatever they hold.
 
 Defined results: null or empty text has no span; equal rows have equal spans; spans are in code points, end exclusive;
@@ -25,17 +27,28 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "random")
-RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+PART = re.compile(r"[A-Za-z0-9]+")
+#: Letters and digits in turn, and letters of either case in turn: more than a name with a number or a capital.
+TURNS = re.compile(r"[A-Za-z][0-9]+[A-Za-z]|[0-9][A-Za-z]+[0-9]")
+CASES = re.compile(r"[a-z][A-Z]+[a-z]|[A-Z][a-z]+[A-Z]")
+SHORT_KNOWN = re.compile(r"(?:0[xX])?[0-9a-fA-F]+|[0-9]{8}[tT][0-9]{4,6}[zZ]?")
 #: Hexadecimal digests by length (MD5, SHA-1, SHA-224, SHA-256, SHA-384, SHA-512) and identifiers that are public by nature.
 KNOWN = re.compile(r"(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128}|[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|[0-9+/_=-]+|v?\d+(?:[._-]\d+)*)")
 
 
 @dataclass(frozen=True)
 class Efficiency:
-    #: Shortest run that is tested: shorter ones have too few tokens to tell.
-    least: int = 20
+    #: Shortest part that is tested: shorter ones have too few tokens to tell.
+    least: int = 12
     #: Characters per token at or below which a run is random.
     ratio: float = 2.2
+    #: Shortest run that is tested with its separators and by ``ratio``; shorter parts by ``short_ratio``.
+    whole: int = 20
+    short_ratio: float = 2.0
+    #: The same for parts of letters only, from ``letters`` characters on.
+    letters: int = 16
+    letters_ratio: float = 1.9
+    short_letters_ratio: float = 1.7
 
 
 def vocabulary(name: str = VOCABULARY):
@@ -58,18 +71,62 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def dense(run: str, ratio: float, encoding) -> bool:
+    return len(run) <= ratio * len(encoding.encode_ordinary(run))
+
+
+def mixed(run: str) -> bool:
+    return re.search(r"[0-9]", run) is not None and re.search(r"[A-Za-z]", run) is not None
+
+
+def in_order(part: str) -> bool:
+    """An alphabet or a stretch of it."""
+    return 2 * sum(ord(b) - ord(a) in (0, 1) for a, b in zip(part, part[1:], strict=False)) > len(part)
+
+
+def random_part(part: str, encoding, how: Efficiency) -> bool:
+    """Whether a part without separators is random."""
+    n = len(part)
+    if n < how.least or KNOWN.fullmatch(part) or n < how.whole and SHORT_KNOWN.fullmatch(part):
+        return False
+    if mixed(part) and (n >= how.whole or TURNS.search(part)):
+        return dense(part, how.ratio if n >= how.whole else how.short_ratio, encoding)
+    if n < how.letters or part.isdigit() or n < how.whole and not CASES.search(part):
+        return False
+    return not in_order(part) and dense(part, how.letters_ratio if n >= how.whole else how.short_letters_ratio, encoding)
+
+
+def random_pieces(run: str, encoding, how: Efficiency) -> list[tuple[int, int]]:
+    """(start, end) of what is random in a run: the whole, or stretches between words and numbers, or single parts."""
+    if KNOWN.fullmatch(run):
+        return []
+    if len(run) >= how.whole and mixed(run) and dense(run, how.ratio, encoding):
+        return [(0, len(run))]
+    parts = [(m.start(), m.end()) for m in PART.finditer(run)]
+    if len(parts) == 1:
+        return [x for x in parts if random_part(run[x[0] : x[1]], encoding, how)]
+    stretches: list[list[tuple[int, int]]] = [[]]
+    if len(run) >= how.whole and mixed(run):
+        for a, b in parts:
+            if run[a:b].isdigit() or not dense(run[a:b], how.ratio, encoding):
+                stretches.append([])
+            else:
+                stretches[-1].append((a, b))
+    whole = [(x[0][0], x[-1][1]) for x in stretches if len(x) > 1]
+    found = [(a, b) for a, b in whole if b - a >= how.whole and mixed(run[a:b]) and not KNOWN.fullmatch(run[a:b]) and dense(run[a:b], how.ratio, encoding)]
+    return found + [(a, b) for a, b in parts if not any(c <= a and b <= d for c, d in found) and random_part(run[a:b], encoding, how)]
+
+
 def random_spans(text: str, encoding, how: Efficiency, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Runs with few characters per token, apart from known ones and those that a base span covers."""
     found = []
-    for m in RUN.finditer(text):
-        run = m.group()
-        if len(run) < how.least or not re.search(r"[0-9]", run) or not re.search(r"[A-Za-z]", run) or KNOWN.fullmatch(run):
-            continue
+    for m in re.finditer(rf"[A-Za-z0-9+/_=-]{{{min(how.least, how.whole)},}}", text):
         if any(a <= m.start() and m.end() <= b for a, _, b in base):
             continue
-        if len(run) <= how.ratio * len(encoding.encode_ordinary(run)):
-            found.append((m.start(), 3, m.end()))
-    return found
+        for a, b in random_pieces(m.group(), encoding, how):
+            if not any(c <= m.start() + a and m.start() + b <= d for c, _, d in base):
+                found.append((m.start() + a, 3, m.start() + b))
+    return sorted(found)
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:

@@ -62,6 +62,25 @@ def test_random_strings_are_found_and_known_ones_left():
     assert [t[a:b] for a, _, b in secrets.random_spans(t, e, how, [])] == [key]
 
 
+@pytest.mark.parametrize(("size", "letters", "before"), [(12, True, ""), (16, True, ""), (18, True, ""), (20, True, ""), (32, False, ""), (16, True, "/prod/db/"), (20, True, "/production/database/credentials/"), (32, True, "my_service-key="), (32, False, "release-notes_")])
+def test_short_lettered_and_joined_secrets_are_found(size, letters, before):
+    e, how, rnd = secrets.vocabulary(), secrets.Efficiency(), random.Random(size)
+    signs = string.ascii_letters + string.digits * letters
+    hits = 0
+    for _ in range(500):
+        key = "".join(rnd.choice(signs) for _ in range(size))
+        t = f"see {before}{key} here"
+        at = t.index(key)
+        hits += any(a <= at and at + size <= b for a, _, b in secrets.random_spans(t, e, how, []))
+    assert hits >= (400 if size == 12 else 465)
+
+
+def test_names_and_identifiers_are_left():
+    e, how = secrets.vocabulary(), secrets.Efficiency()
+    names = "OpenAiAuditLlmClient PYTHONFRAMEWORKPREFIX SpooledTemporaryFile b32hexdecode yeardays2calendar NSUTF8StringEncoding ABCDEFGHIJKLMNOPQRSTUVWXYZ 0x567812345678 a1b2c3d4e5f6 20240101T120000Z Unwahrscheinlichkeit src/main/java/com/example/PdfTextExtractor /usr/lib/python3/dist-packages IMG20240101123456 internal_token_store_v2"
+    assert [names[a:b] for a, _, b in secrets.random_spans(names, e, how, [])] == []
+
+
 def test_secrets_on_odd_rows(odd, empty):
     got = secrets.scan(odd).collect()
     assert len(got) == len(ODD) and all(not r.spans for r in got)
