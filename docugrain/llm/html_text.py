@@ -2,10 +2,12 @@
 
 Method: a page is cut into text nodes, each under its root-to-leaf path of tags (with class, id and role of containers).
 Nodes with one path are aggregated: text length per node, and punctuation marks per character. Both ratios are smoothed over
-the page's order of nodes with a Gaussian window, fused (their product with the path's own), and nodes above a threshold, a share of the standard
+the page's order of nodes with a Gaussian window, fused, and nodes above a threshold, a share of the standard
 deviation, are content. Paths that only boilerplate elements hold (navigation, forms, notices, comments and the like, by
 tag, role or a word of class or id) have no weight; where a page marks its article (article or main), paths outside it have none.
-All nodes of the block that holds content paths are content too: short paragraphs and headings of the article stay.
+All nodes of the block that holds content paths are content too: short paragraphs of the article stay. Within the article the ratios
+decide as well, fused with the path's own, so that an odd short block between paragraphs isn't carried by its neighbours; a path
+whose text is mostly links has no weight there, lists, tables and quotations belong to the block around them, and headings stay.
 
 Output: character references decoded, white space within a block made one space, blocks in page order joined by one space.
 
@@ -40,6 +42,9 @@ MARKS = {
     "header", "login", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "notification", "outbrain", "overlay", "pager", "pagination", "popup", "promo", "promoted", "promotion", "recommended", "related", "replies", "reply", "respond", "share", "sharing", "sidebar", "signup", "social",
     "sponsor", "sponsored", "subscribe", "subscription", "taboola", "toolbar", "topbar", "widget", "widgets", "skip", "discussion", "alert", "toc", "tags", "cta",
 }
+#: Containers that belong to the block around them within an article.
+WITHIN = {"ul", "ol", "table", "td", "blockquote"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 PUNCTUATION = re.compile(r"[.,;:!?…。、，；：！？؟،]")
 #: Start tags that end an open element of these kinds.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -62,6 +67,9 @@ class Node:
     block: int
     container: int
     text: list = field(default_factory=list)
+    #: Characters outside white space, and those of them in links.
+    chars: int = 0
+    links: int = 0
 
 
 def marked(tag: str, attributes: str) -> bool:
@@ -78,8 +86,8 @@ def marked(tag: str, attributes: str) -> bool:
 
 def parse(page: str) -> list[Node]:
     """Text nodes by block: one for each run of text that no block element interrupts."""
-    # Each open element: (tag, path, boilerplate, article depth, container number).
-    stack: list[tuple] = [("", (), False, 0, 0)]
+    # Each open element: (tag, path, boilerplate, article depth, container number, link).
+    stack: list[tuple] = [("", (), False, 0, 0, False)]
     nodes: list[Node] = []
     block, containers, at, n = 0, 0, 0, len(page)
     last: Node | None = None
@@ -88,7 +96,7 @@ def parse(page: str) -> list[Node]:
         nonlocal last
         if not raw:
             return
-        _, path, blocked, article, container = stack[-1]
+        _, path, blocked, article, container, link = stack[-1]
         if last is None or last.block != block or last.blocked != blocked:
             if not raw.strip():
                 return
@@ -96,6 +104,9 @@ def parse(page: str) -> list[Node]:
             last = Node(path, blocked, article, block, container)
             nodes.append(last)
         last.text.append(raw)
+        chars = len("".join(raw.split()))
+        last.chars += chars
+        last.links += chars * link
 
     while at < n:
         m = TOKEN.search(page, at)
@@ -138,12 +149,12 @@ def parse(page: str) -> list[Node]:
                     break
                 if stack[k][0] not in INLINE:
                     break
-        _, path, blocked, article, container = stack[-1]
+        _, path, blocked, article, container, link = stack[-1]
         own = tag == "header" and not article or marked(tag, m.group(3))
-        if tag in ("div", "section", "article", "main", "td", "body", "ul", "ol", "table", "blockquote", "form", "nav", "aside", "header", "footer"):
+        if tag in ("div", "section", "article", "main", "td", "body", "ul", "ol", "table", "blockquote", "form", "nav", "aside", "header", "footer") and not (article and tag in WITHIN):
             containers += 1
             container = containers
-        stack.append((tag, path if tag in INLINE else (*path, tag), blocked or own, article + (tag in ("article", "main")), container))
+        stack.append((tag, path if tag in INLINE else (*path, tag), blocked or own, article + (tag in ("article", "main")), container, link or tag == "a"))
     return nodes
 
 
@@ -158,20 +169,30 @@ def extract(page: str, how: Ratios = Ratios()) -> str:
     open_ = [not x.blocked and (x.article > 0 or not marked_article) for x in nodes]
     sums: dict[tuple, list] = {}
     for x, free in zip(nodes, open_, strict=True):
-        own = sums.setdefault((x.path, free), [0, 0, 0])
+        own = sums.setdefault((x.path, free), [0, 0, 0, 0, 0])
         own[0] += len(x.text)
         own[1] += len(PUNCTUATION.findall(x.text))
         own[2] += 1
-    length = [sums[x.path, f][0] / sums[x.path, f][2] if f else 0.0 for x, f in zip(nodes, open_, strict=True)]
-    marks = [(1 + sums[x.path, f][1]) / (1 + sums[x.path, f][2]) if f else 0.0 for x, f in zip(nodes, open_, strict=True)]
+        own[3] += x.chars
+        own[4] += x.links
+    heading = [marked_article and x.path[-1:] != () and x.path[-1] in HEADINGS for x in nodes]
+    # Mostly links: a list of links, not a paragraph that is one among others without.
+    linked = [marked_article and f and not h and 2 * sums[x.path, f][4] > sums[x.path, f][3] for x, f, h in zip(nodes, open_, heading, strict=True)]
+    if all(n for n, f in zip(linked, open_, strict=True) if f):
+        linked = [False] * len(nodes)
+    weight = [f and not n for f, n in zip(open_, linked, strict=True)]
+    length = [sums[x.path, True][0] / sums[x.path, True][2] if w else 0.0 for x, w in zip(nodes, weight, strict=True)]
+    marks = [(1 + sums[x.path, True][1]) / (1 + sums[x.path, True][2]) if w else 0.0 for x, w in zip(nodes, weight, strict=True)]
     smooth_length, smooth_marks = smooth(length, how.reach), smooth(marks, how.reach)
     fused = [math.sqrt(a * b) * (c > 0) for a, b, c in zip(smooth_length, smooth_marks, length, strict=True)]
+    if marked_article:
+        fused = [math.sqrt(v * math.sqrt(a * b)) for v, a, b in zip(fused, length, marks, strict=True)]
     mean = sum(fused) / len(fused)
     limit = min(how.share * math.sqrt(sum((v - mean) ** 2 for v in fused) / len(fused)), max(fused))
-    content = [f and v > 0 and v >= limit for f, v in zip(open_, fused, strict=True)]
-    # Within the marked article, and in containers that hold content, all open nodes stay, however short.
+    content = [w and v > 0 and v >= limit for w, v in zip(weight, fused, strict=True)]
+    # In containers that hold content all nodes with weight stay, however short, and the article's headings.
     holds = {x.container for x, c in zip(nodes, content, strict=True) if c}
-    return " ".join(x.text for x, f, c in zip(nodes, open_, content, strict=True) if c or f and (x.article and marked_article or x.container in holds))
+    return " ".join(x.text for x, w, c, h in zip(nodes, weight, content, heading, strict=True) if c or w and (h or x.container in holds))
 
 
 def smooth(values: list[float], reach: int) -> list[float]:

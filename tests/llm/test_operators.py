@@ -106,6 +106,22 @@ def test_html_cases(page, text):
     assert html_text.extract(page) == text
 
 
+LONG = "Here, in the town, it rained for days; nobody went out, and the river rose." + " Then, at last, the sun came, so we went to see the bridge, the mill and the fields." * 3
+
+
+@pytest.mark.parametrize(("inside", "text"), [
+    # Within an article: lists of links and a short odd block go; lists, headings, short and linked paragraphs stay.
+    (f"<h1>T</h1><p>{LONG}</p><div><p>Buy now</p></div><p>{LONG}</p>", f"T {LONG} {LONG}"),
+    (f"<p>{LONG}</p><ul><li><a href=a>One more page</a></li><li><a href=b>Another page, too</a></li></ul><p>{LONG}</p>", f"{LONG} {LONG}"),
+    (f"<header><h1>T</h1></header><p>{LONG}</p><ul><li>red</li><li>green</li><li>blue</li></ul><p><a href=c>See there.</a></p><p>So.</p>", f"T {LONG} red green blue See there. So."),
+    (f"<section><h2>A</h2><p>{LONG}</p></section><section><h2>B</h2><p>Yes.</p></section>", f"A {LONG} B Yes."),
+    ("<p><a href=a>Only a link.</a></p>", "Only a link."),
+])
+def test_ratios_decide_within_the_article(inside, text):
+    page = f"<nav><ul>{'<li><a href=x>n</a>' * 5}</ul></nav><article>{inside}</article><footer>f</footer>"
+    assert html_text.extract(page) == text
+
+
 def test_html_on_odd_rows(spark):
     rows = spark.createDataFrame([(1, None, None), (None, "u", ""), (2, "u", "<p>x y, z.</p>" * 5000)], "page_id long, url string, html string")
     assert [r.n_chars for r in html_text.main_texts(rows).collect()][:2] == [0, 0]
