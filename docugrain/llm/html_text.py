@@ -4,7 +4,7 @@ Method: a page is cut into text nodes, each under its root-to-leaf path of tags
 Nodes with one path are aggregated: text length per node, and punctuation marks per character. Both ratios are smoothed over
 the page's order of nodes with a Gaussian window, fused, and nodes above a threshold, a share of the standard
 deviation, are content. Paths that only boilerplate elements hold (navigation, forms, notices, comments and the like, by
-tag, role or a word of class or id) have no weight; where a page marks its article (article or main), paths outside it have none.
+tag, role or a class name or id) have no weight, unless a class or id alone marks an element that holds the page's only articles or nearly all other text; where a page marks its article (article or main), paths outside it have none.
 All nodes of the block that holds content paths are content too: short paragraphs of the article stay. Within the article the ratios
 decide as well, fused with the path's own, so that an odd short block between paragraphs isn't carried by its neighbours; a path
 whose text is mostly links has no weight there, lists, tables and quotations belong to the block around them, and headings stay.
@@ -36,12 +36,17 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 BOILERPLATE = {"nav", "footer", "aside", "form", "button", "menu", "dialog", "head", "fieldset", "input"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar", "status"}
-#: Words of a class or id (cut at non-letters and at capitals) that mark boilerplate.
+#: Last words of a class name or id (cut at non-letters and at capitals) that mark boilerplate.
 MARKS = {
     "ad", "ads", "advert", "adverts", "advertisement", "advertising", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "commentlist", "cookie", "cookies", "consent", "copyright", "disqus", "disclaimer", "footer", "foot", "form", "gdpr",
     "header", "login", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "notification", "outbrain", "overlay", "pager", "pagination", "popup", "promo", "promoted", "promotion", "recommended", "related", "replies", "reply", "respond", "share", "sharing", "sidebar", "signup", "social",
     "sponsor", "sponsored", "subscribe", "subscription", "taboola", "toolbar", "topbar", "widget", "widgets", "skip", "discussion", "alert", "toc", "tags", "cta",
 }
+#: Words after a mark that only say where or what kind of box it is, and words that make a name say something of another element.
+PLACES = {"area", "bar", "block", "bottom", "box", "button", "buttons", "col", "column", "container", "content", "desktop", "group", "icon", "icons", "inner", "item", "items", "left", "link", "links", "list", "logo", "main", "media", "mobile", "outer", "panel", "posts", "primary", "right", "row", "secondary", "section", "slot", "sticky", "text", "top", "unit", "wrap", "wrapper"}
+OF_OTHERS = {"has", "no", "not", "with", "without", "hide", "show"}
+#: Marks that are as likely a section's subject within an article; the ratios decide there.
+SUBJECTS = {"discussion", "notice", "notices", "alert", "disclaimer"}
 #: Containers that belong to the block around them within an article.
 WITHIN = {"ul", "ol", "table", "td", "blockquote"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
@@ -70,38 +75,77 @@ class Node:
     #: Characters outside white space, and those of them in links.
     chars: int = 0
     links: int = 0
+    #: Elements around it that a class or id marks, and the outermost article.
+    marks: tuple = ()
+    story: int = 0
 
 
 def marked(tag: str, attributes: str) -> bool:
+    """Boilerplate by tag, role or being hidden."""
     if tag in BOILERPLATE:
         return True
     for name, *values in ATTRIBUTE.findall(attributes):
         value, name = "".join(values), name.lower()
         if name == "role" and value.strip().lower() in ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True
-        if name in ("class", "id") and tag not in ("html", "body", "article", "main") and any(w.lower() in MARKS for w in re.findall(r"[A-Z]?[a-z]+|[A-Z]+", value)):
-            return True
     return False
 
 
+def named(tag: str, attributes: str, article: int) -> bool:
+    """Boilerplate by a class name or id: as a whole, or by its last word but for words of place."""
+    if tag in ("html", "body", "article", "main"):
+        return False
+    for name, *values in ATTRIBUTE.findall(attributes):
+        if name.lower() in ("class", "id"):
+            for one in "".join(values).split():
+                words = [w.lower() for w in re.findall(r"[A-Z]?[a-z]+|[A-Z]+", one)]
+                while len(words) > 1 and words[-1] in PLACES:
+                    words.pop()
+                if words and not OF_OTHERS.intersection(words) and ("".join(words) in MARKS or words[-1] in MARKS) and not (article and words[-1] in SUBJECTS and MARKS.isdisjoint(words[:-1])):
+                    return True
+    return False
+
+
+def settle(nodes: list[Node], outside: set[int]) -> None:
+    """Blocks nodes under marked elements, but for elements that hold the only articles and more text than is left, or nine times as much as is left."""
+    held: dict[int, int] = {}
+    for x in nodes:
+        for m in x.marks:
+            held[m] = held.get(m, 0) + (0 if x.blocked else x.chars)
+    void: set[int] = set()
+    left = sum(x.chars for x in nodes if not x.blocked and not x.marks)
+    for m in sorted(held, key=lambda m: (-held[m], m)):
+        # What is left only grows and held text shrinks, so no later element passes either.
+        if held[m] <= left:
+            break
+        stories = [m in x.marks for x in nodes if x.story and not x.blocked]
+        only = m in outside and bool(stories) and all(stories)
+        if held[m] > (1 if only else 9) * left:
+            void.add(m)
+            left = sum(x.chars for x in nodes if not x.blocked and void.issuperset(x.marks))
+    for x in nodes:
+        x.blocked = x.blocked or not void.issuperset(x.marks)
+
+
 def parse(page: str) -> list[Node]:
     """Text nodes by block: one for each run of text that no block element interrupts."""
-    # Each open element: (tag, path, boilerplate, article depth, container number, link).
-    stack: list[tuple] = [("", (), False, 0, 0, False)]
+    # Each open element: (tag, path, boilerplate, article depth, container number, link, marks, outermost article).
+    stack: list[tuple] = [("", (), False, 0, 0, False, (), 0)]
     nodes: list[Node] = []
-    block, containers, at, n = 0, 0, 0, len(page)
+    block, containers, marks_, stories, at, n = 0, 0, 0, 0, 0, len(page)
+    outside: set[int] = set()
     last: Node | None = None
 
     def text(raw: str) -> None:
         nonlocal last
         if not raw:
             return
-        _, path, blocked, article, container, link = stack[-1]
-        if last is None or last.block != block or last.blocked != blocked:
+        _, path, blocked, article, container, link, marks, story = stack[-1]
+        if last is None or last.block != block or last.blocked != blocked or last.marks != marks:
             if not raw.strip():
                 return
             # Inline elements are part of their block's node; its path is that of the first text.
-            last = Node(path, blocked, article, block, container)
+            last = Node(path, blocked, article, block, container, marks=marks, story=story)
             nodes.append(last)
         last.text.append(raw)
         chars = len("".join(raw.split()))
@@ -149,12 +193,22 @@ def parse(page: str) -> list[Node]:
                     break
                 if stack[k][0] not in INLINE:
                     break
-        _, path, blocked, article, container, link = stack[-1]
+        _, path, blocked, article, container, link, marks, story = stack[-1]
         own = tag == "header" and not article or marked(tag, m.group(3))
         if tag in ("div", "section", "article", "main", "td", "body", "ul", "ol", "table", "blockquote", "form", "nav", "aside", "header", "footer") and not (article and tag in WITHIN):
             containers += 1
             container = containers
-        stack.append((tag, path if tag in INLINE else (*path, tag), blocked or own, article + (tag in ("article", "main")), container, link or tag == "a"))
+        if m.group(3) and named(tag, m.group(3), article):
+            marks_ += 1
+            marks = (*marks, marks_)
+            if not article:
+                outside.add(marks_)
+        if tag in ("article", "main") and not article:
+            stories += 1
+            story = stories
+        stack.append((tag, path if tag in INLINE else (*path, tag), blocked or own, article + (tag in ("article", "main")), container, link or tag == "a", marks, story))
+    if marks_:
+        settle(nodes, outside)
     return nodes
 
 

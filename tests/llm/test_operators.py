@@ -122,6 +122,22 @@ def test_ratios_decide_within_the_article(inside, text):
     assert html_text.extract(page) == text
 
 
+@pytest.mark.parametrize("name", ["has-sidebar", "no-sidebar", "header-fixed", "site with-comments", "layout-sidebar", "page-header", "withComments"])
+@pytest.mark.parametrize("article", ["article", "div"])
+def test_wrappers_with_boilerplate_words_keep_their_article(name, article):
+    page = f"<div class='{name}'><nav>n</nav><{article}><h1>T</h1><p>{LONG}</p><section class='related-work'><p>{LONG}</p></section><section class='discussion'><p>{LONG}</p></section><section id='notice-period'><p>{LONG}</p></section></{article}><div class='sidebar-left'>Side, text.</div><div class='ad'>Buy.</div></div>"
+    want = f"T {LONG} {LONG} {LONG} {LONG}" if article == "article" else f"T {LONG} {LONG} {LONG}"
+    assert html_text.extract(page) == want
+
+
+@pytest.mark.parametrize("name", ["comments", "comments-area", "sidebar", "relatedPosts", "cookie-notice", "ad"])
+def test_marked_elements_stay_blocked(name):
+    page = f"<div><h1>T</h1><p>{LONG}</p></div><div class='{name}'><article><p>{LONG}</p></article></div>"
+    assert html_text.extract(page) == f"T {LONG}"
+    page = f"<div class='has-sidebar'><article><p>{LONG}</p><div class='{name}'><p>{LONG}</p></div></article><div class='{name}'><p>{LONG * 3}</p></div></div>"
+    assert html_text.extract(page) == LONG
+
+
 def test_html_on_odd_rows(spark):
     rows = spark.createDataFrame([(1, None, None), (None, "u", ""), (2, "u", "<p>x y, z.</p>" * 5000)], "page_id long, url string, html string")
     assert [r.n_chars for r in html_text.main_texts(rows).collect()][:2] == [0, 0]
