@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from docugrain.llm import bpe, decontaminate, html_text, lattice_lm, licenses, near_dups, quality_classifier, quality_rules, secrets, token_store
+from docugrain.llm.common import WordHashes
 
 SMALL = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -184,6 +185,19 @@ def test_hamming_blocks_find_all_within_the_radius():
         assert {j for j, _ in items.within(12, f)} == want and k in want
 
 
+def test_windows_with_a_replaced_run_are_found():
+    """Windows at a similarity of 80 in 100, where one run of words is replaced."""
+    rnd = random.Random(7)
+    how, missed = decontaminate.Match(), 0
+    for k in range(400):
+        n = rnd.choice((60, 120, 200))
+        item = [f"w{k}x{j}" for j in range(n)]
+        run = (n - 4) // 9  # at the end of the window, where a word takes one shingle with it
+        found = decontaminate.Items([(k, " ".join(item))], how).matches(WordHashes().of(" ".join(item[: n - run] + [f"v{k}x{j}" for j in range(run)]).encode().split()))
+        missed += [r[0] for r in found] != [k]
+    assert missed == 0
+
+
 def test_decontamination_on_odd_rows(spark, odd, empty):
     items = spark.createDataFrame([(1, None), (2, ""), (3, "one"), (4, "word " * 6)], "item_id long, text string")
     got = {(r.doc_id, r.item_id) for r in decontaminate.overlaps(odd, items).collect()}
