@@ -68,7 +68,20 @@ def cut(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def free(*tables: DataFrame) -> None:
+    """Removes tables that cut wrote, once their last reader is done."""
+    for t in tables:
+        remove(t.sparkSession, t.written_at.rpartition("/")[0])
+
+
+def sweep(spark: SparkSession) -> None:
+    """Has the driver's JVM collect plans that nothing holds any more, upon which Spark drops their shuffle files."""
+    spark.sparkContext._jvm.System.gc()
 
 
 # --- Arrow -------------------------------------------------------------------------------------------------------

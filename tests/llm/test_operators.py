@@ -2,6 +2,7 @@
 
 import base64
 import collections
+import itertools
 import hashlib
 import math
 import random
@@ -343,6 +344,28 @@ def test_chains_and_groups_with_a_poor_hub(spark):
     assert got == brute(texts, 85)
 
 
+def test_recall_on_a_large_group_with_a_poor_hub(spark):
+    """Thousands of copies with one to nine of 140 words changed, the least id far from all: at least 0.99 of the documents get their component."""
+    rnd, base, texts = random.Random(11), [f"w{k}" for k in range(140)], {}
+    for i in range(2500):
+        w = list(base)
+        for j in rnd.sample(range(140), 14 if i == 0 else rnd.randint(1, 9)):
+            w[j] = f"x{rnd.randrange(400)}"
+        texts[i] = " ".join(w)
+    column: dict = {}
+    at = [[column.setdefault(tuple(w[k : k + 5]), len(column)) for k in range(len(w) - 4)] for w in map(words, texts.values())]
+    has = np.zeros((len(at), len(column)), np.float32)
+    for i, own in enumerate(at):
+        has[i, own] = 1
+    common, n = has @ has.T, has.sum(1)
+    label = np.arange(len(at))
+    near = 100 * common >= 85 * (n[:, None] + n[None, :] - common)
+    while (after := np.array([label[row].min() for row in near])).tolist() != label.tolist():
+        label = after
+    got = {r.doc_id: r.component_id for r in near_dups.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), near_dups.Tensor(percent=85)).collect()}
+    assert 10 < len(set(label.tolist())) and np.mean([got[i] == label[i] for i in range(len(at))]) >= 0.99
+
+
 def test_near_duplicates_on_odd_rows(odd, empty):
     got = {r.doc_id: r for r in near_dups.near_duplicates(odd).collect()}
     assert got[5].component_id == 4 and not got[5].kept and all(got[i].kept and got[i].n_shingles == 0 for i in (1, 2, 3)) and got[None].kept
@@ -351,6 +374,14 @@ def test_near_duplicates_on_odd_rows(odd, empty):
     assert near_dups.near_duplicates(empty).count() == 0 and near_dups.drop_duplicates(empty).count() == 0
 
 
+def test_tables_miss_what_the_formula_says():
+    for q, m, d in ((0.7, 4, 2), (0.6, 5, 3), (0.5, 3, 1)):
+        ring = [(i, m + (i + k) % m) for i in range(m) for k in range(d)]
+        exact = sum(np.prod([q if x else 1 - q for x in hit]) for hit in itertools.product((0, 1), repeat=2 * m) if not any(hit[a] and hit[b] for a, b in ring))
+        assert abs(near_dups.missed(q, m, d) - exact) < 1e-12
+    assert (near_dups.Tensor(percent=85).bands, near_dups.Tensor(percent=80).bands) == (8, 10)
+
+
 # --- 8 token store
 def test_codes_round_trip_and_random_access():
     ids = np.random.default_rng(0).choice([0, 5, 2047, 2048, 65535, 70000, 2**32 - 1], 3000).astype(np.uint32)
