@@ -3,16 +3,18 @@
 Method: an existing subword vocabulary (a sentencepiece file) gives pieces and scores. A word's probability is the sum
 over all its segmentations into pieces of the product of the pieces' probabilities, by forward recursion in log space.
 Piece probabilities start from the file's scores (rank r has weight 1 / (r + 10)) and are weighed with the expected
-counts that the training words' lattices give (one forward-backward pass; the scores count as ``prior`` pieces). A word
-that training has seen has one more segmentation, the word itself; so P(w) = (1 - u) c/N + u * lattice(w), where u is
-the share of singletons, the Good-Turing mass of unseen words. A text's score is the sum over its words and one end.
+counts that the training words' lattices give, each as often as the word occurs (one forward-backward pass; the scores
+count as ``prior`` pieces). All words, seen ones too, are scored by that lattice alone; after each piece a word stops or
+goes on, and a text is its words and one end, each token being an end as often as in training. Base counts are separate.
 
-Counts go over all training documents: per task, then by a shuffle on the word. Words with at least N / ``head`` of all
-tokens (so at most ``head`` words) are broadcast; all others, each with few rows, are joined on the word. So no join meets
-a frequent word, and what is broadcast has a bound.
+Many words are worked on at once: rows of code points by length, pieces looked up by the 64-bit hash of each window.
 
-Defined results: null, empty or blank text is one end token; equal rows score alike, rows with one doc_id are scored as
-one document (sums of their tokens); with no training document all words are unknown and the lattice alone scores;
+Counts go over all training documents: per task, then by a shuffle on the word. The most frequent words (at most
+``head`` of at most ``head_chars`` characters) are broadcast; all others are joined on the word, a join that can be split. So
+no task meets all rows of a frequent word, and what is broadcast has a bound.
+
+Defined results: null, empty or blank text is one end token; each row of the input has its own row, whatever its doc_id,
+and equal texts score alike; rows without doc_id belong to training; with no training document all words are unknown and the file's scores alone count;
 a character that no piece has is spelled in bytes; any length of text or word is read whole.
 """
 
@@ -23,11 +25,12 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, id_text, table, texts
+from .common import U64, cut, free, id_text, table, texts
 
 VOCABULARY = "piece_bpe_32k.model"
 START = "▁"
@@ -39,6 +42,7 @@ class Model:
     #: Documents with crc32(doc_id as text) % folds = 0 are held out.
     folds: int = 10
     head: int = 200_000
+    head_chars: int = 100
     prior: float = 1000.0
     #: Words that a task counts before it hands its counts on; it bounds memory only.
     flush: int = 300_000
@@ -61,83 +65,121 @@ def pieces(name: str) -> tuple[list[str], list[float]]:
 
 
 class Lattice:
-    """Pieces with log probabilities in a trie of dicts; the key '' holds (piece, log probability)."""
+    """Pieces with log probabilities, and the recursions over many words at once. Arrays have a row for each place and a column for each word."""
+
+    BASE = U64(0x9E3779B97F4A7C15)
+    #: Places times words that are worked on together; it bounds memory only.
+    AREA = 1 << 16
 
     def __init__(self, names: list[str], weights: list[float], counts: dict[int, float], words: float, prior: float):
-        whole = sum(weights)
         total = sum(counts.values()) + prior
         # After each piece a word stops or goes on: words over pieces as counted, one in three by the prior.
         stops = (words + prior / 3) / total
         self.stop = math.log(stops / (1 + stops))
-        go_on = 1 / (1 + stops)
-        self.trie: dict = {}
-        self.bytes = [0.0] * 256
-        self.byte_ids = [0] * 256
-        for k, (name, w) in enumerate(zip(names, weights, strict=True)):
-            p = math.log((counts.get(k, 0.0) + prior * w / whole) / total * go_on)
+        raw = np.array([counts.get(k, 0.0) for k in range(len(names))]) + prior * np.array(weights) / sum(weights)
+        self.logs = np.log(raw / total / (1 + stops))
+        self.bytes = np.zeros(256, np.int64)
+        by_length: dict[int, list[int]] = {}
+        for k, name in enumerate(names):
             if len(name) == 6 and name.startswith("<0x"):
-                self.bytes[int(name[3:5], 16)] = p
-                self.byte_ids[int(name[3:5], 16)] = k
-                continue
-            node = self.trie
-            for c in name:
-                node = node.setdefault(c, {})
-            node[""] = (k, p)
-
-    def arcs(self, s: str) -> list[list[tuple[int, tuple, float]]]:
-        """For each place, its arcs: (end, pieces, log probability)."""
-        out = []
-        for i in range(len(s)):
-            own, node = [], self.trie
-            for j in range(i, len(s)):
-                node = node.get(s[j])
-                if node is None:
-                    break
-                end = node.get("")
-                if end is not None:
-                    own.append((j + 1, (end[0],), end[1]))
-            if not own or own[0][0] != i + 1:
-                raw = s[i].encode()
-                own.append((i + 1, tuple(self.byte_ids[b] for b in raw), sum(self.bytes[b] for b in raw)))
-            out.append(own)
+                self.bytes[int(name[3:5], 16)] = k
+            else:
+                by_length.setdefault(len(name), []).append(k)
+        self.tables = {}
+        for n, own in by_length.items():
+            codes = np.frombuffer("".join(names[k] for k in own).encode("utf-32-le"), np.uint32).reshape(-1, n).T
+            hashes = self.extend(None, codes, 1)
+            for k in range(2, n + 1):
+                hashes = self.extend(hashes, codes, k)
+            order = np.argsort(hashes[0])
+            self.tables[n] = hashes[0][order], np.array(own)[order]
+        self.longest = max(by_length, default=1)
+
+    def extend(self, shorter: np.ndarray | None, codes: np.ndarray, n: int) -> np.ndarray:
+        """Hashes of all windows of n characters from those of n - 1."""
+        last = codes[n - 1 :].astype(U64) + U64(1)
+        return last if shorter is None else shorter[:-1] * self.BASE + last
+
+    def groups(self, words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(which words, code points after START padded with 0, lengths), words of like length together."""
+        lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
+        order, at = np.argsort(lengths, kind="stable"), 0
+        while at < len(order):
+            area = np.arange(1, len(order) - at + 1) * lengths[order[at:]]
+            some = order[at : at + max(1, int(np.searchsorted(area, self.AREA, "right")))]
+            own = lengths[some]
+            codes = np.zeros((len(some), int(own[-1])), np.uint32)
+            codes[np.arange(codes.shape[1]) < own[:, None]] = np.frombuffer("".join(START + words[k] for k in some).encode("utf-32-le"), np.uint32)
+            yield some, np.ascontiguousarray(codes.T), own
+            at += len(some)
+
+    def arcs(self, codes: np.ndarray, lengths: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray]]:
+        """(characters, pieces, log probabilities) by place and word; piece -1 and -inf where there is none, -2 for characters spelled in bytes."""
+        out, hashes = [], None
+        for n in range(1, min(self.longest, len(codes)) + 1):
+            hashes = self.extend(hashes, codes, n)
+            known, ids = self.tables.get(n, (np.zeros(0, U64), np.zeros(0, np.int64)))
+            inside = np.arange(len(hashes))[:, None] + n <= lengths
+            if len(known):
+                place = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+                own = np.where((known[place] == hashes) & inside, ids[place], -1)
+            else:
+                own = np.full(hashes.shape, -1)
+            p = np.where(own >= 0, self.logs[own], -np.inf)
+            if n == 1 and (spelled := inside & (own < 0)).any():
+                own[spelled] = -2
+                chars, where = np.unique(codes[spelled], return_inverse=True)
+                p[spelled] = np.array([self.logs[self.spell(c)].sum() for c in chars])[where]
+            out.append((n, own, p))
         return out
 
-    def forward(self, arcs: list) -> list[float]:
-        alpha = [-math.inf] * (len(arcs) + 1)
+    def spell(self, code: int) -> np.ndarray:
+        return self.bytes[np.frombuffer(chr(code).encode(), np.uint8)]
+
+    @staticmethod
+    def forward(arcs: list, places: int, words: int) -> np.ndarray:
+        alpha = np.full((places + 1, words), -np.inf)
         alpha[0] = 0.0
-        exp, log1p = math.exp, math.log1p
-        for i, own in enumerate(arcs):
-            at = alpha[i]
-            for j, _, p in own:
-                x, y = at + p, alpha[j]
-                if y == -math.inf:
-                    alpha[j] = x
-                elif x > y:
-                    alpha[j] = x + log1p(exp(y - x))
-                else:
-                    alpha[j] = y + log1p(exp(x - y))
+        steps = [(n, p, (own != -1).any(axis=1)) for n, own, p in arcs]
+        for i in range(places):
+            for n, p, any_ in steps:
+                if i < len(p) and any_[i]:
+                    np.logaddexp(alpha[i + n], alpha[i] + p[i], out=alpha[i + n])
         return alpha
 
-    def log_probability(self, word: str) -> float:
-        """Natural logarithm of the word's probability over all segmentations."""
-        return self.forward(self.arcs(START + word))[-1] + self.stop
-
-    def expect(self, word: str, into: dict[int, float]) -> None:
-        """Adds the expected number of each piece in the word."""
-        arcs = self.arcs(START + word)
-        alpha, n = self.forward(arcs), len(arcs)
-        beta = [-math.inf] * (n + 1)
-        beta[n] = 0.0
-        exp, z = math.exp, alpha[n]
-        for i in range(n - 1, -1, -1):
-            terms = [beta[j] + p for j, _, p in arcs[i]]
-            top = max(terms)
-            beta[i] = top + math.log(sum(exp(t - top) for t in terms))
-            base = alpha[i] - z
-            for (_, own, _), t in zip(arcs[i], terms, strict=True):
-                share = exp(base + t)
-                for k in own:
-                    into[k] = into.get(k, 0.0) + share
+    def log_probabilities(self, words: list[str]) -> np.ndarray:
+        """Natural logarithm of each word's probability over all segmentations."""
+        out = np.empty(len(words))
+        for some, codes, lengths in self.groups(words):
+            alpha = self.forward(self.arcs(codes, lengths), *codes.shape)
+            out[some] = alpha[lengths, np.arange(len(some))] + self.stop
+        return out
+
+    def expect(self, words: list[str], times: np.ndarray) -> np.ndarray:
+        """Expected number of each piece in the words, each word so many times."""
+        into = np.zeros(len(self.logs))
+        for some, codes, lengths in self.groups(words):
+            arcs = self.arcs(codes, lengths)
+            (places, n_words), each = codes.shape, np.arange(len(some))
+            alpha = self.forward(arcs, places, n_words)
+            beta = np.full((places + 1, n_words), -np.inf)
+            beta[lengths, each] = 0.0
+            steps = [(n, p, (own != -1).any(axis=1)) for n, own, p in arcs]
+            for i in range(places - 1, -1, -1):
+                for n, p, any_ in steps:
+                    if i < len(p) and any_[i]:
+                        np.logaddexp(beta[i], beta[i + n] + p[i], out=beta[i])
+            whole = alpha[lengths, each]
+            for n, own, p in arcs:
+                hit = own != -1
+                share = (np.exp(alpha[: len(p)] + p + beta[n:] - whole) * times[some])[hit]
+                ids = own[hit]
+                into += np.bincount(ids[ids >= 0], weights=share[ids >= 0], minlength=len(into))
+                if n == 1 and (ids == -2).any():
+                    chars, where = np.unique(codes[hit][ids == -2], return_inverse=True)
+                    for c, t in zip(chars, np.bincount(where, weights=share[ids == -2]), strict=True):
+                        np.add.at(into, self.spell(c), t)
+        return into
 
 
 def _held_out(how: Model):
@@ -172,82 +214,83 @@ def count_words(docs: DataFrame, how: Model) -> DataFrame:
 
 
 def score(docs: DataFrame, how: Model = Model(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; one row for each row of docs."""
     mine = id_text(docs, id_col, text_col)
     spark = docs.sparkSession
     vocab = cut(count_words(mine, how), "words")
-    one = vocab.agg(F.sum("c"), F.sum("n"), F.count(F.when(F.col("c") > 0, 1)), F.count(F.when(F.col("c") == 1, 1))).first()
-    ends, all_docs = mine.agg(F.count(F.when(~F.coalesce(_held_out(how), F.lit(False)), 1)), F.count(F.lit(1))).first()
-    total, everything, single = (one[0] or 0) + ends, (one[1] or 0) + all_docs, one[3]
-    distinct = one[2] + (1 if ends else 0)
+    words, frequent_words = F.col("c") > 0, F.char_length("word") <= how.head_chars
+    one = vocab.agg(F.sum("c"), F.count_if(words), *(F.count_if(frequent_words & (F.col("n") >= 2**k)) for k in range(63))).first()
+    ends = mine.agg(F.count_if(~F.coalesce(_held_out(how), F.lit(False)))).first()[0]
+    total, distinct = (one[0] or 0) + ends, one[1] + (1 if ends else 0)
+    # The least power of two that at most ``head`` words reach.
+    frequent = frequent_words & (F.col("n") >= next(2**k for k in range(63) if one[2 + k] <= how.head))
     names, weights = pieces(how.vocabulary)
     start = spark.sparkContext.broadcast((names, weights))
 
     def expectations(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice, into, words = Lattice(*start.value, {}, 0, how.prior), {}, 0
+        lattice, into, words = Lattice(*start.value, {}, 0, how.prior), None, 0
         for batch in batches:
-            for w in batch.column("word").to_pylist():
-                lattice.expect(w, into)
-                words += 1
-        into[-1] = words
-        yield pa.RecordBatch.from_arrays([pa.array(list(into), pa.int32()), pa.array(list(into.values()), pa.float64())], names=["piece", "n"])
+            times = batch.column("c").to_numpy()
+            own = lattice.expect(batch.column("word").to_pylist(), times)
+            into, words = own if into is None else into + own, words + int(times.sum())
+        if into is not None:
+            hit = np.flatnonzero(into)
+            yield pa.RecordBatch.from_arrays([pa.array([-1, *hit], pa.int32()), pa.array([float(words), *into[hit]], pa.float64())], names=["piece", "n"])
 
     # At most one row for each piece of the vocabulary file comes to the driver.
-    got = dict(vocab.where("c > 0").select("word").mapInArrow(expectations, "piece int, n double").groupBy("piece").agg(F.sum("n")).collect())
+    got = dict(vocab.where("c > 0").select("word", "c").mapInArrow(expectations, "piece int, n double").groupBy("piece").agg(F.sum("n")).collect())
     learnt = spark.sparkContext.broadcast((got.pop(-1, 0.0), got))
-    unseen = min(1.0, (single + 0.5) / (total + 1)) if total else 1.0
     under = total + 0.1 * (distinct + 1)
-
-    def rate(c: int, lattice_p: float) -> tuple[float, float]:
-        """(base, score) of a token that training has c times, as base-10 logarithms."""
-        seen = (1 - unseen) * c / total if c else 0.0
-        # In log space, as a long word's probability can be below any double.
-        own = math.log(unseen) + lattice_p
-        if seen:
-            a, b = max(math.log(seen), own), min(math.log(seen), own)
-            own = a + math.log1p(math.exp(b - a))
-        return math.log10((c + 0.1) / under), own / math.log(10)
+    end = (ends + 0.5) / (total + 1)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, counts = learnt.value
         lattice = Lattice(*start.value, counts, words, how.prior)
         for batch in batches:
-            both = [rate(c, lattice.log_probability(w)) for w, c in zip(batch.column("word").to_pylist(), batch.column("c").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("c"), batch.column("n"), pa.array([x[0] for x in both], pa.float64()), pa.array([x[1] for x in both], pa.float64())], names=["word", "c", "n", "base", "own"])
+            own = (lattice.log_probabilities(batch.column("word").to_pylist()) + math.log1p(-end)) / math.log(10)
+            base = np.log10((batch.column("c").to_numpy() + 0.1) / under)
+            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("c"), batch.column("n"), pa.array(base), pa.array(own)], names=["word", "c", "n", "base", "own"])
 
     rated = cut(vocab.mapInArrow(scored, "word string, c long, n long, base double, own double"), "rated")
-    # An end's lattice is the stop alone: the empty word.
-    end_base = math.log10((ends + 0.1) / under)
-    end_own = math.log10(ends / total * (1 - unseen) + unseen * 1e-9) if ends else math.log10(unseen * 0.5)
-    frequent = F.col("n") * how.head >= everything
-    head = spark.sparkContext.broadcast({w.encode(): (c > 0, b, s) for w, c, b, s in rated.where(frequent).select("word", "c", "base", "own").collect()})
+    free(vocab)
+    end_base, end_own = math.log10(((ends or 0) + 0.1) / under), math.log10(end)
+    most = rated.where(frequent).select("word", (F.col("c") > 0).cast("long").alias("seen"), "base", "own").toArrow()
+    head = spark.sparkContext.broadcast((most.column("word").to_pylist(), np.stack([most.column(c).to_numpy().astype(float) for c in ("seen", "base", "own")], axis=1)))
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = head.value
+        listed, values = head.value
+        place = {w.encode(): k for k, w in enumerate(listed)}.get
         for batch in batches:
-            ids, words, times, tokens, seen, base, own = [], [], [], [], [], [], []
-            for i, text in zip(batch.column("doc_id").to_pylist(), texts(batch), strict=True):
+            rows, words, times, sums = [], [], [], []
+            for i, text in zip(batch.column("row").to_pylist(), texts(batch), strict=True):
                 counts = Counter(text.encode().lower().split())
-                k, b, s = 0, [end_base], [end_own]
-                for w, t in counts.items():
-                    got_ = known.get(w)
-                    if got_ is None:
-                        ids.append(i), words.append(w.decode()), times.append(t), tokens.append(0), seen.append(0), base.append(0.0), own.append(0.0)
-                    else:
-                        k += t * got_[0]
-                        b.append(t * got_[1])
-                        s.append(t * got_[2])
-                ids.append(i), words.append(None), times.append(0), tokens.append(counts.total() + 1), seen.append(k + (ends > 0)), base.append(math.fsum(b)), own.append(math.fsum(s))
+                at = np.fromiter((place(w, -1) for w in counts), np.int64, len(counts))
+                n = np.fromiter(counts.values(), np.int64, len(counts))
+                known = at >= 0
+                sums.append((int(n.sum()) + 1, *(n[known] @ values[at[known]])))
+                if not known.all():
+                    own = list(counts)
+                    rare = np.flatnonzero(~known).tolist()
+                    words += [own[k].decode() for k in rare]
+                    times += n[rare].tolist()
+                    rows += [i] * len(rare)
+            m = len(rows)
+            none = pa.nulls(m, pa.int64())
+            tokens, seen, base, own = (np.array(x) for x in zip(*sums, strict=True))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(words, pa.string()), pa.array(times, pa.int32()), pa.array(tokens, pa.int64()), pa.array(seen, pa.int64()), pa.array(base, pa.float64()), pa.array(own, pa.float64())],
-                names=["doc_id", "word", "times", "tokens", "known", "base", "own"],
+                [pa.concat_arrays([batch.column("row"), pa.array(rows, pa.int64())]), pa.concat_arrays([batch.column("doc_id"), none]), pa.concat_arrays([pa.nulls(len(sums), pa.string()), pa.array(words, pa.string())]),
+                 pa.array([0] * len(sums) + times, pa.int32()), pa.array([*tokens.tolist(), *[0] * m], pa.int64()), pa.array([*(seen + (ends > 0)).astype(np.int64).tolist(), *[0] * m], pa.int64()),
+                 pa.array([*(base + end_base).tolist(), *[0.0] * m], pa.float64()), pa.array([*(own + end_own).tolist(), *[0.0] * m], pa.float64())],
+                names=["row", "doc_id", "word", "times", "tokens", "known", "base", "own"],
             )
 
-    looked = cut(mine.mapInArrow(look, "doc_id long, word string, times int, tokens long, known long, base double, own double"), "looked")
+    # A number for each row: written here with the row, so that it is the same for all that reads it.
+    numbered = mine.withColumn("row", F.monotonically_increasing_id())
+    looked = cut(numbered.mapInArrow(look, "row long, doc_id long, word string, times int, tokens long, known long, base double, own double"), "looked")
     rare = rated.where(~frequent).select("word", "c", F.col("base").alias("wb"), F.col("own").alias("ws"))
-    tail = looked.where("word is not null").select("doc_id", "word", "times").join(rare, "word")
-    tail = tail.select("doc_id", F.lit(0).cast("long").alias("tokens"), F.when(F.col("c") > 0, F.col("times").cast("long")).otherwise(0).alias("known"), (F.col("times") * F.col("wb")).alias("base"), (F.col("times") * F.col("ws")).alias("own"))
-    sums = looked.where("word is null").select("doc_id", "tokens", "known", "base", "own").unionByName(tail).groupBy("doc_id").agg(*(F.sum(c).alias(c) for c in ("tokens", "known", "base", "own")))
+    tail = looked.where("word is not null").select("row", "word", "times").join(rare, "word")
+    tail = tail.select("row", F.lit(None).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("tokens"), F.when(F.col("c") > 0, F.col("times").cast("long")).otherwise(0).alias("known"), (F.col("times") * F.col("wb")).alias("base"), (F.col("times") * F.col("ws")).alias("own"))
+    sums = looked.where("word is null").select("row", "doc_id", "tokens", "known", "base", "own").unionByName(tail).groupBy("row").agg(F.max("doc_id").alias("doc_id"), *(F.sum(c).alias(c) for c in ("tokens", "known", "base", "own")))
     return sums.select("doc_id", F.coalesce(_held_out(how), F.lit(False)).alias("held_out"), F.col("tokens").alias("n_tokens"), F.col("known").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), F.col("own").alias("score"))
 
 

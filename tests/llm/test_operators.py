@@ -2,8 +2,8 @@
 
 import base64
 import collections
-import itertools
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -222,23 +222,79 @@ def test_base_score_and_lattice(docs, texts):
         assert r.score < 0
 
 
+def plain_lattice(names, weights, train, how):
+    """log P(word) by dynamic programming over prefixes in plain loops, after one pass of expected counts by enumeration of arcs."""
+    at, longest = {n: k for k, n in enumerate(names)}, max(map(len, names))
+
+    def arcs(s, i):
+        own = [(j, (at[s[i:j]],)) for j in range(i + 1, min(len(s), i + longest) + 1) if s[i:j] in at]
+        return own if any(j == i + 1 for j, _ in own) else [*own, (i + 1, tuple(at[f"<0x{b:02X}>"] for b in s[i].encode()))]
+
+    def model(counts, n_words):
+        total = sum(counts) + how.prior
+        stops = (n_words + how.prior / 3) / total
+        return [(c + how.prior * w / sum(weights)) / total / (1 + stops) for c, w in zip(counts, weights, strict=True)], stops / (1 + stops)
+
+    def prob(p, own):
+        return math.prod(p[k] for k in own)
+
+    def forward(s, p):
+        f = [1.0] + [0.0] * len(s)
+        for i in range(len(s)):
+            for j, own in arcs(s, i):
+                f[j] += f[i] * prob(p, own)
+        return f
+
+    counts, (p, _) = [0.0] * len(names), model([0.0] * len(names), 0)
+    for w, c in train.items():
+        s = "▁" + w
+        f, back = forward(s, p), [0.0] * len(s) + [1.0]
+        for i in range(len(s) - 1, -1, -1):
+            back[i] = sum(prob(p, own) * back[j] for j, own in arcs(s, i))
+        for i in range(len(s)):
+            for j, own in arcs(s, i):
+                for k in own:
+                    counts[k] += c * f[i] * prob(p, own) * back[j] / f[-1]
+    p, stop = model(counts, sum(train.values()))
+    return lambda w: math.log(forward("▁" + w, p)[-1] * stop)
+
+
+def test_document_scores_equal_sums_over_segmentations(spark):
+    how = lattice_lm.Model()
+    rows = [(7, "The cat sat"), (7, "the cat"), (None, "naïve 日本 cat"), (None, "cat"), (1, None), (3, "zyx the unseen"), (5, "Ωmega the the")]
+    held = lambda d: d is not None and zlib.crc32(str(d).encode()) % how.folds == 0
+    rows += [(d, "held unseenword") for d in [next(x for x in range(100, 999) if held(x))]]
+    got = collections.Counter((r.doc_id, r.held_out, r.n_tokens, round(r.score, 9)) for r in lattice_lm.score(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    train = collections.Counter(w.decode() for d, t in rows if not held(d) for w in words(t))
+    docs_ = sum(not held(d) for d, _ in rows)
+    n, log_p = train.total() + docs_, plain_lattice(*lattice_lm.pieces(how.vocabulary), train, how)
+    end = (docs_ + 0.5) / (n + 1)
+    want = collections.Counter((d, held(d), len(words(t)) + 1, round((sum(log_p(w.decode()) + math.log1p(-end) for w in words(t)) + math.log(end)) / math.log(10), 9)) for d, t in rows)
+    assert got == want
+
+
 def test_forward_sums_all_segmentations():
-    lattice = lattice_lm.Lattice(["▁", "a", "b", "ab", "▁a", "aba"], [1, 2, 3, 4, 5, 6], {}, 0, 10.0)
-    p = {(s,): w / 21 for s, w in zip(["▁", "a", "b", "ab", "▁a", "aba"], [1, 2, 3, 4, 5, 6], strict=True)}
+    names, weights = ["▁", "a", "b", "ab", "▁a", "aba"], [1, 2, 3, 4, 5, 6]
+    lattice = lattice_lm.Lattice(names, weights, {}, 0, 10.0)
+    p = {s: w / 21 for s, w in zip(names, weights, strict=True)}
 
     def total(s):
-        return 1.0 if not s else sum(p[x,] * go * total(s[len(x) :]) for (x,) in p if s.startswith(x))
+        return 1.0 if not s else sum(p[x] * go * total(s[len(x) :]) for x in p if s.startswith(x))
 
     go, stop = 1 - math.exp(lattice.stop), math.exp(lattice.stop)
-    assert math.isclose(math.exp(lattice.log_probability("abab")), total("▁abab") * stop, rel_tol=1e-9)
-    into = {}
-    lattice.expect("ab", into)
-    assert math.isclose(sum(into[k] * n for k, n in enumerate([1, 1, 1, 2, 2, 3]) if k in into), 3.0, rel_tol=1e-9)
+    for w, got in zip(["abab", "b", "ab" * 60, "a"], lattice.log_probabilities(["abab", "b", "ab" * 60, "a"]), strict=True):
+        assert len(w) > 9 or math.isclose(math.exp(got), total("▁" + w) * stop, rel_tol=1e-9)
+    into = lattice.expect(["ab", "b"], np.array([2, 1]))
+    assert math.isclose(into @ [len(n) for n in names], 2 * 3 + 2, rel_tol=1e-9)
 
 
 def test_language_model_on_odd_rows(odd, empty):
-    got = {r.doc_id: r for r in lattice_lm.score(odd).collect()}
-    assert got[1].n_tokens == got[2].n_tokens == got[3].n_tokens == 1 and math.isfinite(got[6].score) and got[4].n_tokens == 4
+    got = lattice_lm.score(odd).collect()
+    by = collections.defaultdict(list)
+    for r in got:
+        by[r.doc_id].append(r)
+    assert len(got) == len(ODD) and len(by[4]) == 2 and by[4][0].score == by[4][1].score
+    assert [by[k][0].n_tokens for k in (1, 2, 3, 4, 7)] == [1, 1, 1, 2, 30_001] and all(math.isfinite(r.score) for r in got)
     assert lattice_lm.score(empty).count() == 0
 
 
