@@ -5,9 +5,9 @@ Nodes with one path are aggregated: text length per node, and punctuation marks
 the page's order of nodes with a Gaussian window, fused, and nodes above a threshold, a share of the standard
 deviation, are content. Paths that only boilerplate elements hold (navigation, forms, notices, comments and the like, by
 tag, role or a class name or id) have no weight, unless a class or id alone marks an element that holds the page's only articles or nearly all other text; where a page marks its article (article or main), paths outside it have none.
-All nodes of the block that holds content paths are content too: short paragraphs of the article stay. Within the article the ratios
-decide as well, fused with the path's own, so that an odd short block between paragraphs isn't carried by its neighbours; a path
-whose text is mostly links has no weight there, lists, tables and quotations belong to the block around them, and headings stay.
+The smoothed ratios are fused with the path's own, so that an odd short block between paragraphs isn't carried by its neighbours; a path
+whose text is mostly links has no weight. All nodes of the block that holds content paths are content too: short paragraphs of
+the article stay. Within a marked article lists, tables and quotations belong to the block around them, and headings stay.
 
 Output: character references decoded, white space within a block made one space, blocks in page order joined by one space.
 
@@ -47,6 +47,9 @@ PLACES = {"area", "bar", "block", "bottom", "box", "button", "buttons", "col", "
 OF_OTHERS = {"has", "no", "not", "with", "without", "hide", "show"}
 #: Marks that are as likely a section's subject within an article; the ratios decide there.
 SUBJECTS = {"discussion", "notice", "notices", "alert", "disclaimer"}
+#: Marks that tell a reader's comment where each is an article of its own, and marks that an article's own parts have.
+GUESTS = {"comment", "comments", "reply", "replies", "respond"}
+INSIDE = {"header", "masthead"}
 #: Containers that belong to the block around them within an article.
 WITHIN = {"ul", "ol", "table", "td", "blockquote"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
@@ -61,7 +64,9 @@ class Ratios:
     #: Reach of the smoothing window, in nodes on either side.
     reach: int = 2
     #: Content lies above this share of the standard deviation of the fused ratios.
-    share: float = 0.5
+    share: float = 1.1
+    #: Weight of a path's own ratios against those that its neighbours smooth.
+    own: float = 2 / 3
 
 
 @dataclass
@@ -93,15 +98,16 @@ def marked(tag: str, attributes: str) -> bool:
 
 def named(tag: str, attributes: str, article: int) -> bool:
     """Boilerplate by a class name or id: as a whole, or by its last word but for words of place."""
-    if tag in ("html", "body", "article", "main"):
+    if tag in ("html", "body", "main"):
         return False
+    of = GUESTS if tag == "article" else MARKS - INSIDE if article else MARKS
     for name, *values in ATTRIBUTE.findall(attributes):
         if name.lower() in ("class", "id"):
             for one in "".join(values).split():
                 words = [w.lower() for w in re.findall(r"[A-Z]?[a-z]+|[A-Z]+", one)]
                 while len(words) > 1 and words[-1] in PLACES:
                     words.pop()
-                if words and not OF_OTHERS.intersection(words) and ("".join(words) in MARKS or words[-1] in MARKS) and not (article and words[-1] in SUBJECTS and MARKS.isdisjoint(words[:-1])):
+                if words and not OF_OTHERS.intersection(words) and ("".join(words) in of or words[-1] in of) and not (article and words[-1] in SUBJECTS and MARKS.isdisjoint(words[:-1])):
                     return True
     return False
 
@@ -229,9 +235,9 @@ def extract(page: str, how: Ratios = Ratios()) -> str:
         own[2] += 1
         own[3] += x.chars
         own[4] += x.links
-    heading = [marked_article and x.path[-1:] != () and x.path[-1] in HEADINGS for x in nodes]
+    heading = [x.path[-1:] != () and x.path[-1] in HEADINGS for x in nodes]
     # Mostly links: a list of links, not a paragraph that is one among others without.
-    linked = [marked_article and f and not h and 2 * sums[x.path, f][4] > sums[x.path, f][3] for x, f, h in zip(nodes, open_, heading, strict=True)]
+    linked = [f and not h and 2 * sums[x.path, f][4] > sums[x.path, f][3] for x, f, h in zip(nodes, open_, heading, strict=True)]
     if all(n for n, f in zip(linked, open_, strict=True) if f):
         linked = [False] * len(nodes)
     weight = [f and not n for f, n in zip(open_, linked, strict=True)]
@@ -239,14 +245,13 @@ def extract(page: str, how: Ratios = Ratios()) -> str:
     marks = [(1 + sums[x.path, True][1]) / (1 + sums[x.path, True][2]) if w else 0.0 for x, w in zip(nodes, weight, strict=True)]
     smooth_length, smooth_marks = smooth(length, how.reach), smooth(marks, how.reach)
     fused = [math.sqrt(a * b) * (c > 0) for a, b, c in zip(smooth_length, smooth_marks, length, strict=True)]
-    if marked_article:
-        fused = [math.sqrt(v * math.sqrt(a * b)) for v, a, b in zip(fused, length, marks, strict=True)]
+    fused = [v ** (1 - how.own) * math.sqrt(a * b) ** how.own for v, a, b in zip(fused, length, marks, strict=True)]
     mean = sum(fused) / len(fused)
     limit = min(how.share * math.sqrt(sum((v - mean) ** 2 for v in fused) / len(fused)), max(fused))
     content = [w and v > 0 and v >= limit for w, v in zip(weight, fused, strict=True)]
     # In containers that hold content all nodes with weight stay, however short, and the article's headings.
     holds = {x.container for x, c in zip(nodes, content, strict=True) if c}
-    return " ".join(x.text for x, w, c, h in zip(nodes, weight, content, heading, strict=True) if c or w and (h or x.container in holds))
+    return " ".join(x.text for x, w, c, h in zip(nodes, weight, content, heading, strict=True) if c or w and (h and marked_article or x.container in holds))
 
 
 def smooth(values: list[float], reach: int) -> list[float]:

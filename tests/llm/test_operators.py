@@ -140,6 +140,58 @@ def test_marked_elements_stay_blocked(name):
     assert html_text.extract(page) == LONG
 
 
+def test_comment_articles_entry_headers_and_odd_words():
+    page = f"<article><header class='entry-header'><h1>Title</h1></header><p>{LONG}</p><div class='form-factor'><p>{LONG}</p></div></article><article class='comment'><p>{LONG} I liked it, too.</p></article><section><article id='reply-7'><p>No, never!</p></article></section>"
+    assert html_text.extract(page) == f"Title {LONG} {LONG}"
+
+
+def plain_ratios(nodes, how):
+    """Content flags by the definitions, in plain loops; nodes: (path, text, links) of a page without marks."""
+    paths = collections.defaultdict(list)
+    for path, text, links in nodes:
+        paths[path].append((text, links))
+    mean_length = {p: sum(len(t) for t, _ in own) / len(own) for p, own in paths.items()}
+    mean_marks = {p: (1 + sum(len(re.findall(r"[.,;:!?]", t)) for t, _ in own)) / (1 + len(own)) for p, own in paths.items()}
+    linked = {p: 2 * sum(k for _, k in own) > sum(len("".join(t.split())) for t, _ in own) and p[-1] not in ("h1", "h2") for p, own in paths.items()}
+    if all(linked.values()):  # nothing else to tell a page of links by
+        linked = dict.fromkeys(linked, False)
+
+    def near(i, values):
+        w = {j: math.exp(-2 * (j - i) ** 2 / how.reach**2) for j in range(max(0, i - how.reach), min(len(nodes), i + how.reach + 1))}
+        return sum(w[j] * values[j] for j in w) / sum(w.values())
+
+    length, marks = [[0.0 if linked[p] else of[p] for p, _, _ in nodes] for of in (mean_length, mean_marks)]
+    fused = [0.0 if not length[i] else math.sqrt(near(i, length) * near(i, marks)) ** (1 - how.own) * math.sqrt(length[i] * marks[i]) ** how.own for i in range(len(nodes))]
+    spread = math.sqrt(sum((v - sum(fused) / len(fused)) ** 2 for v in fused) / len(fused))
+    return [v > 0 and v >= min(how.share * spread, max(fused)) for v in fused]
+
+
+def test_ratios_equal_plain_loops_and_decide():
+    rnd, changed = random.Random(5), 0
+    for _ in range(60):
+        # Boxes without a telling tag or name: text of the article, menus, adverts; each box is a container of its own.
+        kinds = [rnd.choice("menu advert prose prose".split()) for _ in range(rnd.randint(3, 9))]
+        page, nodes = "", []
+        for kind in kinds:
+            if kind == "menu":
+                page += "<ul>" + "".join(f"<li><a href=x>item {k}</a></li>" for k in range(4)) + "</ul>"
+                nodes += [(("body", "ul", "li"), f"item {k}", 5) for k in range(4)]
+            elif kind == "advert":
+                page += "<div><b>Buy</b> this now</div>"
+                nodes.append((("body", "div"), "Buy this now", 0))
+            else:
+                text = " ".join(rnd.choice(["rain,", "river", "bridge.", "town", "went;", "over"]) for _ in range(rnd.randint(20, 90)))
+                page += f"<section><p>{text}</p></section>"
+                nodes.append((("body", "section", "p"), text, 0))
+        got, how = html_text.extract(f"<body>{page}</body>"), html_text.Ratios()
+        want = plain_ratios(nodes, how)
+        assert got == " ".join(t for (_, t, _), c in zip(nodes, want, strict=True) if c)
+        changed += got != " ".join(t for _, t, _ in nodes)
+        if "prose" in kinds:
+            assert got == " ".join(t for p, t, _ in nodes if p[-1] == "p")
+    assert changed > 40
+
+
 def test_html_on_odd_rows(spark):
     rows = spark.createDataFrame([(1, None, None), (None, "u", ""), (2, "u", "<p>x y, z.</p>" * 5000)], "page_id long, url string, html string")
     assert [r.n_chars for r in html_text.main_texts(rows).collect()][:2] == [0, 0]
