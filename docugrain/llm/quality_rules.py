@@ -2,8 +2,8 @@
 
 Method: every text is compressed whole and in fixed chunks with zstandard. The ratio (compressed / raw bytes) must lie
 in a band that depends on the length, since short texts compress worse: below it a text is repetitive, above it
-incompressible. A text is rejected if the whole is outside its band, or if chunks that make up more than
-``chunk_share`` of its bytes are outside the chunk band.
+incompressible. A text is rejected if the whole is outside its band, or if chunks (the last one, of any length, too) that
+make up more than ``chunk_share`` of its bytes are outside the bands of their own lengths; a text of one chunk is its chunk.
 
 Defined results: null or empty text has no words and fails (under ``min_words``); equal rows are judged alike, each on
 its own; texts of any length are read whole; further columns of the input are ignored here and kept by ``keep``.
@@ -29,20 +29,25 @@ class Rules:
     max_repeat_percent: int = 30
     repeat_window: int = 8
     level: int = 3
-    #: (bytes below, lowest ratio, highest ratio) of whole texts; the last holds for all longer ones.
-    #: The highest lie between natural text and random letters and digits (0.71 of long texts); below 128 bytes the two can't be told
-    #: apart, and hexadecimal digits (0.51 to 0.57) compress as natural text does.
+    #: (bytes below, lowest ratio, highest ratio), of whole texts and of chunks alike; the last holds for all longer ones.
+    #: The lowest lie under what prose of that length reaches (its ratios fall by about 0.03 with each doubling) and over lists, tables
+    #: and words that carry the same signs; the highest between prose and random letters and digits (0.71 of long texts). Below 128
+    #: bytes random text can't be told apart, and hexadecimal digits (0.51 to 0.57) compress as prose does.
     bands: tuple = (
-        (128, 0.40, 9.0), (144, 0.45, 1.0), (160, 0.45, 0.975), (176, 0.45, 0.945), (192, 0.45, 0.92), (224, 0.45, 0.895), (256, 0.45, 0.865), (320, 0.42, 0.84), (384, 0.42, 0.815), (512, 0.42, 0.78),
-        (768, 0.38, 0.75), (1024, 0.38, 0.72), (4096, 0.34, 0.69), (16384, 0.31, 0.69), (65536, 0.28, 0.69), (float("inf"), 0.24, 0.69),
+        (64, 0.60, 9.0), (128, 0.58, 9.0), (144, 0.60, 1.0), (160, 0.60, 0.975), (176, 0.59, 0.945), (192, 0.58, 0.92), (224, 0.57, 0.895), (256, 0.56, 0.865), (320, 0.55, 0.84), (384, 0.53, 0.815), (512, 0.52, 0.78),
+        (768, 0.50, 0.75), (1024, 0.485, 0.72), (1536, 0.465, 0.69), (2048, 0.455, 0.69), (3072, 0.445, 0.69), (4096, 0.435, 0.69), (6144, 0.42, 0.69), (8192, 0.41, 0.69), (12288, 0.405, 0.69), (16384, 0.395, 0.69), (32768, 0.385, 0.69),
+        (float("inf"), 0.37, 0.69),
     )
     chunk_bytes: int = 4096
-    #: The last chunk is judged only if it is at least so long; a shorter one would need another band.
-    least_chunk: int = 2048
-    chunk_band: tuple = (0.32, 0.69)
     chunk_share: float = 1 / 3
 
 
+def outside(size: int, ratio: float, rules: Rules) -> bool:
+    """Whether a text or chunk of so many bytes is outside its band."""
+    low, high = next((lo, hi) for below, lo, hi in rules.bands if size < below)
+    return not low <= ratio <= high
+
+
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, ratio double, bad_chunk_share double"
 
 
@@ -69,15 +74,14 @@ def measure(text: str, rules: Rules, hashes: WordHashes, compressor) -> tuple:
     if not raw:
         return n, word_chars, symbols, 0, repeated, True, False, None, None
     ratio = len(compressor.compress(raw)) / len(raw)
-    low, high = next((lo, hi) for below, lo, hi in rules.bands if len(raw) < below)
-    bad = 0
+    out, bad = outside(len(raw), ratio, rules), 0
     if len(raw) > rules.chunk_bytes:
         for k in range(0, len(raw), rules.chunk_bytes):
             chunk = raw[k : k + rules.chunk_bytes]
-            if len(chunk) >= rules.least_chunk and not rules.chunk_band[0] <= len(compressor.compress(chunk)) / len(chunk) <= rules.chunk_band[1]:
+            if outside(len(chunk), len(compressor.compress(chunk)) / len(chunk), rules):
                 bad += len(chunk)
     share = bad / len(raw)
-    kept = not failed and low <= ratio <= high and share <= rules.chunk_share
+    kept = not failed and not out and share <= rules.chunk_share
     return n, word_chars, symbols, len(lines) - len(set(lines)), repeated, failed, kept, ratio, share
 
 

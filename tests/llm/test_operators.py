@@ -362,6 +362,29 @@ def test_quality_counts(docs, texts):
         assert r.base_failed == (len(w) < 20 or 100 * len(hit) > 30 * len(w)) and not (r.base_failed and r.kept)
 
 
+def test_verdicts_equal_brute_force(spark, texts):
+    import zstandard
+
+    rules, rnd = quality_rules.Rules(), random.Random(8)
+    press = lambda raw: len(zstandard.ZstdCompressor(level=rules.level).compress(raw)) / len(raw)
+    prose = [t for t in texts.values() if len(t) > 3000]
+    odd = base64.b64encode(rnd.randbytes(90_000)).decode()
+    cases = {**{k: t for k, t in texts.items() if t}, 10_001: prose[0][:3000] + " " + odd[:3000], 10_002: prose[0][:3000] + " " + odd[:800], 10_003: " ".join(prose)[:30_000] + " ab" * 4000, 10_004: "\n".join(odd[k : k + 76] for k in range(0, 90_000, 76)) + " ".join(prose)}
+    got = quality_rules.quality_rules(spark.createDataFrame(list(cases.items()), "doc_id long, text string")).collect()
+    assert len(got) == len(cases) and {r.kept for r in got} == {True, False}
+    for r in got:
+        raw = cases[r.doc_id].encode()
+
+        def bad(part):
+            low, high = [(a, b) for below, a, b in rules.bands if len(part) < below][0]
+            return press(part) < low or press(part) > high
+
+        chunks = [raw[k : k + 4096] for k in range(0, len(raw), 4096)] if len(raw) > 4096 else []
+        share = sum(len(x) for x in chunks if bad(x)) / len(raw)
+        assert math.isclose(r.ratio, press(raw)) and math.isclose(r.bad_chunk_share, share)
+        assert r.kept == (not r.base_failed and not bad(raw) and share <= 1 / 3)
+
+
 def test_compression_bands(spark, odd, empty):
     rnd = random.Random(3)
     junk = base64.b85encode(rnd.randbytes(6000)).decode()
