@@ -5,13 +5,13 @@ one, packed at its width; a bitmap beside it says which of these ids go on to th
 (ones before every 512 bits) turns a place on one level into the place on the next. So any one id is read from its
 position by a few look-ups, and no block is decoded.
 
-File format: a segment is a self-contained image (header of little-endian uint32: magic, documents, ids, levels, then for
-each level width and count; then doc ids int64, first positions uint32; then for each level the packed chunks, bitmap
+File format: a segment is a self-contained image (header of little-endian uint32: magic, documents, ids, levels, documents without doc_id, then for
+each level width and count; then doc ids int64, those without one first (as 0), first positions uint32; then for each level the packed chunks, bitmap
 and directory, each padded to 8 bytes). Segments are rows of a table that Spark writes and reads (part, seq, image), in
-order of doc_id over parts and within them, so that any file system that Spark reaches holds it and lost tasks are redone.
+order of doc_id over parts and within them, each with the ids before it in its part, so that any file system that Spark reaches holds it and lost tasks are redone.
 
 Defined results: null or empty text gives the end id alone; repeated rows are stored each, equal doc_ids side by side
-(in order of text); an empty table gives no segment. A text of any length is encoded whole, in one segment.
+(in order of text); rows without doc_id come before all others; an empty table gives no segment. A text of any length is encoded whole, in one segment.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import id_text, new_path, table, texts
 
 VOCABULARY = "word_bpe_49k.json"
-MAGIC = 0x31434144
+MAGIC = 0x32434144
 #: Chunk widths in bits. Ids below 2**11 take 12 bits with their bitmap, others 17 or 18; the last level takes what is left of 32 bits.
 WIDTHS = (11, 5, 16)
 RANK_EVERY = 512
@@ -58,9 +58,10 @@ def _pad(data: bytes) -> bytes:
     return data + bytes(-len(data) % 8)
 
 
-def encode_segment(doc_ids: list[int], lengths: list[int], ids: np.ndarray, widths: tuple = WIDTHS) -> bytes:
+def encode_segment(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray, widths: tuple = WIDTHS) -> bytes:
+    """doc_ids: in ascending order, None first."""
     ids = ids.astype(np.uint32)
-    head, body, rest = [MAGIC, len(doc_ids), len(ids), len(widths)], [], ids
+    head, body, rest = [MAGIC, len(doc_ids), len(ids), len(widths), sum(x is None for x in doc_ids)], [], ids
     firsts = np.zeros(len(doc_ids) + 1, np.uint32)
     np.cumsum(lengths, out=firsts[1:])
     for k, width in enumerate(widths):
@@ -69,7 +70,7 @@ def encode_segment(doc_ids: list[int], lengths: list[int], ids: np.ndarray, widt
         head += [width, len(rest)]
         body += [pack(rest & np.uint32((1 << width) - 1), width), np.packbits(more, bitorder="little").tobytes(), ones.astype("<u4").tobytes()]
         rest = rest[more] >> np.uint32(width)
-    return b"".join([_pad(np.array(head, "<u4").tobytes()), np.array(doc_ids, "<i8").tobytes(), _pad(firsts.astype("<u4").tobytes()), *map(_pad, body)])
+    return b"".join([_pad(np.array(head, "<u4").tobytes()), np.array([x or 0 for x in doc_ids], "<i8").tobytes(), _pad(firsts.astype("<u4").tobytes()), *map(_pad, body)])
 
 
 class Segment:
@@ -77,13 +78,12 @@ class Segment:
 
     def __init__(self, image: bytes):
         self.data = np.frombuffer(image, np.uint8)
-        magic, self.n_docs, self.n_ids, levels = np.frombuffer(image, "<u4", 4)
+        magic, self.n_docs, self.n_ids, levels, nulls = map(int, np.frombuffer(image, "<u4", 5))
         if magic != MAGIC:
             raise ValueError("not a token segment")
-        self.n_docs, self.n_ids, levels = int(self.n_docs), int(self.n_ids), int(levels)
-        head = np.frombuffer(image, "<u4", 2 * levels, 16)
-        at = (16 + 8 * levels + 7) // 8 * 8
-        self.doc_ids = np.frombuffer(image, "<i8", self.n_docs, at)
+        head = np.frombuffer(image, "<u4", 2 * levels, 20)
+        at = (20 + 8 * levels + 7) // 8 * 8
+        self.doc_ids = pa.array(np.frombuffer(image, "<i8", self.n_docs, at), mask=np.arange(self.n_docs) < nulls)
         at += 8 * self.n_docs
         self.firsts = np.frombuffer(image, "<u4", self.n_docs + 1, at)
         at += (4 * (self.n_docs + 1) + 7) // 8 * 8
@@ -187,20 +187,25 @@ class LibraryWords:
         self.used += len(ids)
         self.number.pending.clear()
 
-    def encode(self, text: str) -> np.ndarray:
-        raw = text.encode()
-        if self.lowers and not any(g in raw for g in self.guard):
-            raw = raw.lower()
-        words = raw.split()
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text. The library sees the new words of all of them in one call."""
         if len(self.number) > HELD:
             self.forget()
-        at = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+        numbers, counts = [], []
+        for text in texts:
+            raw = text.encode()
+            if self.lowers and not any(g in raw for g in self.guard):
+                raw = raw.lower()
+            words = raw.split()
+            numbers.append(np.fromiter(map(self.number.__getitem__, words), np.int64, len(words)))
+            counts.append(len(words))
         if self.number.pending:
             self.learn()
+        at = np.concatenate(numbers) if numbers else np.zeros(0, np.int64)
         sizes = self.sizes[at]
-        ends = np.cumsum(sizes)
-        inside = np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - sizes, sizes)
-        return self.flat[np.repeat(self.starts[at], sizes) + inside]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        ids = self.flat[np.arange(ends[-1]) + np.repeat(self.starts[at] - ends[:-1], sizes)]
+        return np.split(ids, ends[np.cumsum(counts)[:-1]]) if numbers else []
 
 
 _words: dict[str, LibraryWords] = {}
@@ -219,56 +224,71 @@ def _encoder(name: str) -> LibraryWords:
 
 # --- writing and reading -----------------------------------------------------------------------------------------
 
+#: Characters of texts that are encoded together, and bytes of input for each part, about.
+TOGETHER, PART_BYTES = 2_000_000, 64 << 20
+
+
+def parts_for(docs: DataFrame) -> int:
+    """Parts by the size of the input, at least as many as the session shuffles to."""
+    size, least = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # A source of unknown size says 2**63 - 1, or more after joins.
+    return least if size >= 1 << 60 else max(least, min(-(-size // PART_BYTES), 200_000))
+
 
 def write_tokens(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end_id: int | None = 2, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None) -> None:
     """Encodes docs and writes the segments at path. One shuffle, by range of doc_id, of the texts; ids are made after it and go straight to the files."""
-    spark = docs.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = id_text(docs, id_col, text_col).repartitionByRange(n, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
-    schema = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("first_doc", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("image", pa.binary())])
+    ordered = id_text(docs, id_col, text_col).repartitionByRange(partitions or parts_for(docs), "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
+    schema = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("before", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("image", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, encoder, seq, docs_, sizes, held, total = TaskContext.get().partitionId(), _encoder(vocabulary), 0, [], [], [], 0
+        part, encoder, seq, before, docs_, sizes, held, total = TaskContext.get().partitionId(), _encoder(vocabulary), 0, 0, [], [], [], 0
 
         def segment():
-            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((part, seq, docs_[0], len(docs_), total, encode_segment(docs_, sizes, np.concatenate(held))), schema.types, strict=True)], schema=schema)
-
-        for batch in batches:
-            for i, text in zip(batch.column("doc_id"), texts(batch), strict=True):
-                ids = encoder.encode(text)
-                if end_id is not None:
-                    ids = np.append(ids, np.uint32(end_id))
-                docs_.append(i.as_py())
-                sizes.append(len(ids))
-                held.append(ids)
-                total += len(ids)
-                if total >= SEGMENT_IDS:
-                    yield segment()
-                    seq, docs_, sizes, held, total = seq + 1, [], [], [], 0
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((part, seq, before, len(docs_), total, encode_segment(docs_, sizes, np.concatenate(held))), schema.types, strict=True)], schema=schema)
+
+        def encoded():
+            own, some, chars = [], [], 0
+            for batch in batches:
+                for i, text in zip(batch.column("doc_id"), texts(batch), strict=True):
+                    own.append(i.as_py())
+                    some.append(text)
+                    chars += len(text)
+                    if chars >= TOGETHER:
+                        yield from zip(own, encoder.encode(some), strict=True)
+                        own, some, chars = [], [], 0
+            yield from zip(own, encoder.encode(some), strict=True)
+
+        for i, ids in encoded():
+            if end_id is not None:
+                ids = np.append(ids, np.uint32(end_id))
+            docs_.append(i)
+            sizes.append(len(ids))
+            held.append(ids)
+            total += len(ids)
+            if total >= SEGMENT_IDS:
+                yield segment()
+                seq, before, docs_, sizes, held, total = seq + 1, before + total, [], [], [], 0
         if docs_:
             yield segment()
 
     # Codes are packed bits: a compressor would only force blocks to be decoded.
-    ordered.mapInArrow(run, "part int, seq int, first_doc long, n_docs long, n_ids long, image binary").write.option("compression", "none").parquet(path)
+    ordered.mapInArrow(run, "part int, seq int, before long, n_docs long, n_ids long, image binary").write.option("compression", "none").parquet(path)
 
 
-def read_tokens(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
-    """Per document, from the files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32 and, if asked for, the ids.
-
-    Each segment's start is a running sum in two steps over a few numbers for each segment: within its part, and over the
-    parts' totals (one row for each part: as many as tasks, not as documents)."""
+def parts_at(segments: DataFrame) -> DataFrame:
+    """(part, base): the ids before each part. One row for each part, so as many as the writer had tasks (200,000 at most by itself), each of 12 bytes."""
     from pyspark.sql import Window
 
-    segments = spark.read.parquet(path)
-    inside = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = segments.groupBy("part").agg(F.sum("n_ids").alias("t")).select("part", F.coalesce(F.sum("t").over(before), F.lit(0)).alias("base"))
-    starts = segments.select("part", "seq", F.coalesce(F.sum("n_ids").over(inside), F.lit(0)).alias("own")).join(parts, "part").select("part", "seq", (F.col("base") + F.col("own")).alias("start"))
-    # Some 20 bytes for each 2 MB image: broadcast while it is known to be small, joined by shuffle beyond that.
-    small = segments.count() <= 1_000_000
-    data = segments.select("part", "seq", "image").join(F.broadcast(starts) if small else starts, ["part", "seq"])
+    return segments.groupBy("part").agg(F.sum("n_ids").alias("t")).select("part", F.coalesce(F.sum("t").over(before), F.lit(0)).alias("base"))
+
+
+def read_tokens(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
+    """Per document, from the files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32 and, if asked for, the ids."""
+    segments = spark.read.parquet(path)
+    data = segments.join(F.broadcast(parts_at(segments)), "part").select("image", (F.col("base") + F.col("before")).alias("start"))
     fields = [("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())] + [("ids", pa.list_(pa.int32()))] * with_ids
     schema = pa.schema(fields)
 
@@ -278,12 +298,32 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = True) -> DataFr
                 s = Segment(image.as_py())
                 ids, first = s.all_ids().astype("<u4"), s.firsts.astype(np.int64)
                 crc = [zlib.crc32(ids[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)]
-                own = [pa.array(s.doc_ids), pa.array(first[:-1] + start.as_py()), pa.array(np.diff(first)), pa.array(crc, pa.int64())]
+                own = [s.doc_ids, pa.array(first[:-1] + start.as_py()), pa.array(np.diff(first)), pa.array(crc, pa.int64())]
                 if with_ids:
                     own.append(pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(ids.astype(np.int32))))
                 yield pa.RecordBatch.from_arrays(own, schema=schema)
 
-    return data.select("image", "start").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)
+    return data.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)
+
+
+def tokens_at(spark: SparkSession, path: str, places: DataFrame, column: str = "place") -> DataFrame:
+    """(place, id) for each distinct place of all documents' ids that the files hold, by random access with the rank directories.
+
+    Places find their segment by blocks of SEGMENT_IDS places; each segment's places, at most as many as it has ids, are gathered beside its image."""
+    segments = spark.read.parquet(path)
+    index = segments.select("part", "seq", "before", "n_ids").join(F.broadcast(parts_at(segments)), "part").withColumn("start", F.col("base") + F.col("before"))
+    blocks = index.where("n_ids > 0").select("part", "seq", "start", "n_ids", F.explode(F.sequence(F.floor(F.col("start") / SEGMENT_IDS), F.floor((F.col("start") + F.col("n_ids") - 1) / SEGMENT_IDS))).alias("block"))
+    asked = places.select(F.col(column).cast("long").alias("place")).where("place >= 0").distinct().withColumn("block", F.floor(F.col("place") / SEGMENT_IDS))
+    found = asked.join(blocks, "block").where("place >= start and place < start + n_ids")
+    wanted = found.groupBy("part", "seq", "start").agg(F.collect_list("place").alias("places"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for image, start, own in zip(batch.column("image"), batch.column("start"), batch.column("places"), strict=True):
+                s, own, start = Segment(image.as_py()), own.as_py(), start.as_py()
+                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array([s.token(k - start) for k in own], pa.int64())], names=["place", "id"])
+
+    return segments.select("part", "seq", "image").join(wanted, ["part", "seq"]).select("image", "start", "places").mapInArrow(run, "place long, id long")
 
 
 def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -522,7 +522,7 @@ def test_codes_round_trip_and_random_access():
         s.token(3000)
 
 
-def test_token_files(spark, docs, texts, odd, empty, tmp_path):
+def test_token_files(spark, docs, texts, tmp_path):
     t, start = tokenizer(), 0
     token_store.write_tokens(docs, f"file://{tmp_path}/a", partitions=3)
     got = {r.doc_id: r for r in token_store.read_tokens(spark, f"file://{tmp_path}/a").collect()}
@@ -530,8 +530,21 @@ def test_token_files(spark, docs, texts, odd, empty, tmp_path):
         ids = [*t.encode(texts[d], add_special_tokens=False).ids, 2]
         assert (got[d].start, got[d].n_tokens, got[d].ids_crc32, got[d].ids) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()), ids)
         start += len(ids)
-    token_store.write_tokens(odd.where("doc_id is not null"), f"file://{tmp_path}/b")
-    assert sorted(r.n_tokens for r in token_store.read_tokens(spark, f"file://{tmp_path}/b").collect())[:3] == [1, 1, 1]
+    places = [0, 1, 1, 77, start // 2, start - 1, start, 10**12, -1]
+    found = {r.place: r.id for r in token_store.tokens_at(spark, f"file://{tmp_path}/a", spark.createDataFrame([(k,) for k in places], "place long")).collect()}
+    whole = [k for d in sorted(texts) for k in got[d].ids]
+    assert found == {k: whole[k] for k in places if 0 <= k < start}
+
+
+def test_token_files_of_odd_rows(spark, odd, empty, tmp_path):
+    t, start = tokenizer(), 0
+    token_store.write_tokens(odd, f"file://{tmp_path}/b", partitions=4)
+    got = sorted(token_store.read_tokens(spark, f"file://{tmp_path}/b").collect(), key=lambda r: r.start)
+    # Rows without doc_id first, rows with one doc_id side by side.
+    for r, (d, text) in zip(got, sorted(ODD, key=lambda x: (x[0] is not None, x[0] or 0)), strict=True):
+        ids = [*t.encode(text or "", add_special_tokens=False).ids, 2]
+        assert (r.doc_id, r.start, r.ids) == (d, start, ids)
+        start += len(ids)
     token_store.write_tokens(empty, f"file://{tmp_path}/c")
     assert token_store.read_tokens(spark, f"file://{tmp_path}/c").count() == 0
 
