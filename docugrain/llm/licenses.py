@@ -51,18 +51,78 @@ SENTENCES = {
     "cc-by-nc-nd-4": ["licensed under cc by nc nd 4 0"],
     "cc-by-nc-sa-4": ["licensed under cc by nc sa 4 0"],
     "cc0": ["licensed under cc0 1 0", "released under cc0 1 0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work", "spdx license identifier cc0 1 0"],
+    "mit-liability": ["in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"],
+    "apache2-unless": ["unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied"],
+    "apache2-language": ["see the license for the specific language governing permissions and limitations under the license"],
+    "apache2-notice-comply": ["licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license"],
+    "gpl-details": ["see the gnu general public license for more details"],
+    "gpl-received": ["you should have received a copy of the gnu general public license along with this program"],
+    "lgpl21-redistribute": ["this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version"],
+    "lgpl3-redistribute": [
+        "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    ],
+    "lgpl-warranty": ["this library is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose"],
+    "lgpl-details": ["see the gnu lesser general public license for more details"],
+    "lgpl21-notice": ["licensed under the gnu lesser general public license version 2 1", "gnu lesser general public license version 2 1", "spdx license identifier lgpl 2 1 only", "spdx license identifier lgpl 2 1"],
+    "agpl3-redistribute": ["this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version"],
+    "agpl-details": ["see the gnu affero general public license for more details"],
+    "bsd-disclaimer": ["this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed"],
+    "mpl2-copy": ["if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0", "if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0"],
+    "isc-notice": ["isc license", "licensed under the isc license", "released under the isc license", "spdx license identifier isc"],
+    "isc-disclaimer": ["the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness"],
+    "zlib-disclaimer": ["this software is provided as is without any express or implied warranty"],
+    "zlib-liability": ["in no event will the authors be held liable for any damages arising from the use of this software"],
+    "zlib-grant": ["permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions"],
+    "zlib-notice": ["zlib license", "licensed under the zlib license", "spdx license identifier zlib"],
+    "bsl1-notice": ["distributed under the boost software license version 1 0", "boost software license version 1 0", "licensed under the boost software license version 1 0", "spdx license identifier bsl 1 0"],
+    "bsl1-copy": ["see accompanying file license 1 0 txt or copy at http www boost org license 1 0 txt", "see accompanying file license 1 0 txt or copy at https www boost org license 1 0 txt"],
+    "bsl1-grant": ["permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following"],
+    "epl2-notice": [
+        "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at https www eclipse org legal epl 2 0",
+        "this program and the accompanying materials are made available under the terms of the eclipse public license v2 0 which accompanies this distribution and is available at https www eclipse org legal epl 2 0",
+        "eclipse public license v 2 0", "eclipse public license version 2 0", "spdx license identifier epl 2 0",
+    ],
+    "epl1-notice": [
+        "this program and the accompanying materials are made available under the terms of the eclipse public license v1 0 which accompanies this distribution and is available at http www eclipse org legal epl v10 html",
+        "eclipse public license v 1 0", "eclipse public license version 1 0", "spdx license identifier epl 1 0",
+    ],
     "unlicense": ["this is free and unencumbered software released into the public domain"],
     "all-rights": ["all rights reserved"],
     "copyright": ["copyright"],
 }
 # Rules in order, (licence, identifiers side by side).
 RULES = [
+    ("MIT", ["mit-notice", "copyright", "mit-grant", "mit-condition", "as-is", "mit-liability"]),
+    ("MIT", ["copyright", "mit-grant", "mit-condition", "as-is", "mit-liability"]),
     ("MIT", ["mit-notice", "copyright", "mit-grant", "mit-condition", "as-is"]),
     ("MIT", ["mit-grant", "mit-condition", "as-is"]),
     ("MIT", ["mit-grant", "mit-condition"]),
+    ("Apache-2.0", ["apache2-notice-comply", "apache2-copy", "apache2-unless", "apache2-language"]),
+    ("Apache-2.0", ["apache2-notice", "apache2-comply", "apache2-copy", "apache2-unless", "apache2-language"]),
     ("Apache-2.0", ["apache2-notice", "apache2-comply", "apache2-copy"]),
+    ("Apache-2.0", ["apache2-notice-comply", "apache2-copy"]),
+    ("Apache-2.0", ["apache2-notice-comply"]),
+    ("BSD-3-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse", "bsd-disclaimer"]),
     ("BSD-3-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse"]),
+    ("BSD-2-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-disclaimer"]),
     ("BSD-2-Clause", ["bsd-grant", "bsd-source", "bsd-binary"]),
+    ("GPL-3.0-or-later", ["gpl-redistribute", "gpl-warranty", "gpl-details", "gpl-received"]),
+    ("GPL-2.0-or-later", ["gpl2-redistribute", "gpl-warranty", "gpl-details", "gpl-received"]),
+    ("AGPL-3.0-or-later", ["agpl3-redistribute", "gpl-warranty", "agpl-details"]),
+    ("LGPL-3.0-or-later", ["lgpl3-redistribute", "lgpl-warranty", "lgpl-details"]),
+    ("LGPL-2.1-or-later", ["lgpl21-redistribute", "lgpl-warranty", "lgpl-details"]),
+    ("AGPL-3.0-or-later", ["agpl3-redistribute"]),
+    ("LGPL-3.0-or-later", ["lgpl3-redistribute"]),
+    ("LGPL-2.1-or-later", ["lgpl21-redistribute"]),
+    ("Zlib", ["zlib-disclaimer", "zlib-liability", "zlib-grant"]),
+    ("Zlib", ["zlib-grant"]),
+    ("ISC", ["isc-notice", "copyright", "isc-grant", "isc-disclaimer"]),
+    ("ISC", ["isc-grant", "isc-disclaimer"]),
+    ("BSL-1.0", ["bsl1-notice", "bsl1-copy"]),
+    ("BSL-1.0", ["bsl1-notice", "bsl1-grant"]),
+    ("BSL-1.0", ["bsl1-grant"]),
+    ("MPL-2.0", ["mpl2-notice", "mpl2-copy"]),
     ("GPL-3.0-or-later", ["gpl-redistribute", "gpl-warranty"]),
     ("GPL-2.0-or-later", ["gpl2-redistribute", "gpl-warranty"]),
     ("GPL-3.0-or-later", ["gpl-redistribute"]),
@@ -77,6 +137,12 @@ RULES = [
     ("BSD-2-Clause", ["bsd2-notice"]),
     ("MPL-2.0", ["mpl2-notice"]),
     ("ISC", ["isc-grant"]),
+    ("ISC", ["isc-notice"]),
+    ("LGPL-2.1-only", ["lgpl21-notice"]),
+    ("Zlib", ["zlib-notice"]),
+    ("BSL-1.0", ["bsl1-notice"]),
+    ("EPL-2.0", ["epl2-notice"]),
+    ("EPL-1.0", ["epl1-notice"]),
     ("CC-BY-NC-ND-4.0", ["cc-by-nc-nd-4"]),
     ("CC-BY-NC-SA-4.0", ["cc-by-nc-sa-4"]),
     ("CC-BY-NC-4.0", ["cc-by-nc-4"]),
@@ -87,7 +153,7 @@ RULES = [
     ("All-Rights-Reserved", ["all-rights"]),
 ]
 #: Every known sentence has one of these words, so others needn't be normalised.
-WORDS = "(?i)licen[sc]e|copyright|permission|permitted|warrant|redistribut|spdx|copies of the|provided with|endorse|compliance|free software|public domain|rights reserved|creative commons"
+WORDS = "(?i)licen[sc]e|copyright|permission|permitted|warrant|redistribut|spdx|copies of the|provided with|provided as|provided by the|held liable|be liable|endorse|compliance|free software|public domain|rights reserved|creative commons|made available under"
 #: The cut of the SQL form, which meets sentences of one piece only; on the given tables both give equal rows.
 SEPARATOR = "([.!?;])[ \\t\\r\\x0b\\x0c]+"
 NOT_WORD = "[^a-z0-9]+"

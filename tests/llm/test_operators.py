@@ -578,7 +578,37 @@ def test_wrapped_licence_headers(spark, prefix):
     got = {r.doc_id: (r.sentence_ids, r.licenses) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[0] == (["mit-notice", "copyright", "mit-grant", "mit-condition"], ["MIT"])
     assert got[1] == (["copyright", "all-rights", "bsd-grant", "bsd-source", "bsd-binary"], ["BSD-2-Clause", "All-Rights-Reserved"])
-    assert got[2] == (["gpl2-redistribute", "gpl-warranty"], ["GPL-2.0-or-later"]) and got[3] == (["mpl2-notice"], ["MPL-2.0"])
+    assert got[2] == (["gpl2-redistribute", "gpl-warranty", "gpl-details"], ["GPL-2.0-or-later"]) and got[3] == (["mpl2-notice", "mpl2-copy"], ["MPL-2.0"])
+
+
+AS_IS = 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'
+DISCLAIMER = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.'
+ENDORSE = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+WARRANTY = "but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."
+PUBLISHED = [
+    ("MIT", f"{MIT}\n\n{AS_IS}"),
+    ("MIT", f"{MIT.removeprefix('MIT License')}\n\n{AS_IS}"),
+    ("BSD-2-Clause", f"{BSD2.replace(' All rights reserved.', '')}\n\n{DISCLAIMER}"),
+    ("BSD-3-Clause", f"{BSD2.replace(' All rights reserved.', '')}\n\n{ENDORSE}\n\n{DISCLAIMER}"),
+    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n\nUnless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'),
+    ("GPL-3.0-or-later", f"This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.\n\nThis program is distributed in the hope that it will be useful, {WARRANTY}  See the GNU General Public License for more details.\n\nYou should have received a copy of the GNU General Public License along with this program.  If not, see <https://www.gnu.org/licenses/>."),
+    ("GPL-2.0-or-later", GPL2),
+    ("LGPL-2.1-or-later", f"This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.\n\nThis library is distributed in the hope that it will be useful, {WARRANTY} See the GNU Lesser General Public License for more details."),
+    ("AGPL-3.0-or-later", f"This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.\n\nThis program is distributed in the hope that it will be useful, {WARRANTY} See the GNU Affero General Public License for more details."),
+    ("MPL-2.0", MPL2),
+    ("ISC", 'Copyright (c) 2021, Some One\n\nPermission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.\n\nTHE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.'),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty.  In no event will the authors be held liable for any damages arising from the use of this software.\n\nPermission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:"),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at http://www.boost.org/LICENSE_1_0.txt)"),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
+]
+
+
+@pytest.mark.parametrize("prefix", ["", "# ", " * ", "// "])
+def test_published_texts_give_their_licence(spark, prefix):
+    lay = lambda text: "\n".join((prefix + line).rstrip() for p in text.split("\n\n") for line in [*textwrap.wrap(p, 72), ""])
+    rows = [(k, f"/*\n{lay(t)}\n*/\nint main() {{}}\n") for k, (_, t) in enumerate(PUBLISHED)]
+    got = {r.doc_id: r.licenses for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[k] for k in range(len(PUBLISHED))] == [[name] for name, _ in PUBLISHED]
 
 
 # --- 10 classifier
