@@ -106,15 +106,19 @@ def quality_rules(docs: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id
 def keep(docs: DataFrame, rules: Rules = Rules(), text_col: str = "text") -> DataFrame:
     """The rows of docs whose text passes, with docs' own columns. One scan: the verdict is a column of the same row."""
 
-    @F.pandas_udf("boolean")
-    def passes(text):
-        import pandas as pd
+    from collections.abc import Iterator
+
+    import pandas as pd
+
+    def passes(columns: Iterator[pd.Series]) -> Iterator[pd.Series]:
         import zstandard
 
         hashes, compressor = WordHashes(), zstandard.ZstdCompressor(level=rules.level)
-        return pd.Series([measure(t or "", rules, hashes, compressor)[6] for t in text], dtype=bool)
+        for column in columns:
+            yield pd.Series([measure(t or "", rules, hashes, compressor)[6] for t in column], dtype=bool)
 
-    return docs.where(passes(F.col(text_col).cast("string")))
+    passes.__annotations__ = {"columns": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return docs.where(F.pandas_udf(passes, "boolean")(F.col(text_col).cast("string")))
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

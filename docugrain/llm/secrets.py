@@ -1,11 +1,11 @@
 """Secret scans: base patterns, then a token-efficiency test.
 
-Method: a run of letters, digits and ``+/_=.-`` that a tiktoken vocabulary can only cut into short tokens (few
+Method: a run of letters, digits and ``+/_=-`` that a tiktoken vocabulary can only cut into short tokens (few
 characters per token) is a random string, since words and names are cut into long ones. A run of ``whole`` characters with a digit and a letter is
-tested as it is; if it isn't random, its stretches between words and numbers are (so that a path doesn't hide a secret), and then the parts of
+tested as it is, unless words and numbers make up half of it (a path, a date, a slug, a file name: each separator is a token, so the ratio tells nothing there); if it isn't random, its stretches between words and numbers are (so that a path doesn't hide a secret), and then the parts of
 letters and digits between separators, at least ``least`` characters long. Short parts and parts of letters only have stricter
 ratios; letters only, in one case or under ``letters`` characters, and short hexadecimal numbers are too like names and identifiers. Known digests (hexadecimal of the usual lengths) and
-identifiers (UUIDs, dates, versions, numbers, host and file names) are excluded; base finds stay whatever they hold.
+identifiers (UUIDs, dates, versions, numbers, paths, slugs, file names) are excluded; base finds stay whatever they hold.
 
 Defined results: null or empty text has no span; equal rows have equal spans; spans are in code points, end exclusive;
 a text of any length is read whole.
@@ -32,6 +32,8 @@ PART = re.compile(r"[A-Za-z0-9]+")
 TURNS = re.compile(r"[A-Za-z][0-9]+[A-Za-z]|[0-9][A-Za-z]+[0-9]")
 CASES = re.compile(r"[a-z][A-Z]+[a-z]|[A-Z][a-z]+[A-Z]")
 SHORT_KNOWN = re.compile(r"(?:0[xX])?[0-9a-fA-F]+|[0-9]{8}[tT][0-9]{4,6}[zZ]?")
+#: Parts of paths, dates and names: numbers, words in one case or with capitals, words with a number before or after.
+PLAIN = re.compile(r"[0-9]+|[A-Z]?[a-z]{1,14}|[A-Z]{1,14}|(?:[A-Z]?[a-z]{2,}){2,4}|[A-Za-z]{1,6}[0-9]{1,4}|[0-9]{1,4}[A-Za-z]{1,6}")
 #: Hexadecimal digests by length (MD5, SHA-1, SHA-224, SHA-256, SHA-384, SHA-512) and identifiers that are public by nature.
 KNOWN = re.compile(r"(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128}|[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|[0-9+/_=-]+|v?\d+(?:[._-]\d+)*)")
 
@@ -79,6 +81,12 @@ def mixed(run: str) -> bool:
     return re.search(r"[0-9]", run) is not None and re.search(r"[A-Za-z]", run) is not None
 
 
+def plain(run: str) -> bool:
+    """Whether words and numbers make up half of a run, or one alphabet most of it."""
+    parts = PART.findall(run)
+    return in_order(run) or 2 * sum(len(p) for p in parts if PLAIN.fullmatch(p)) >= sum(map(len, parts))
+
+
 def in_order(part: str) -> bool:
     """An alphabet or a stretch of it."""
     return 2 * sum(ord(b) - ord(a) in (0, 1) for a, b in zip(part, part[1:], strict=False)) > len(part)
@@ -87,20 +95,20 @@ def in_order(part: str) -> bool:
 def random_part(part: str, encoding, how: Efficiency) -> bool:
     """Whether a part without separators is random."""
     n = len(part)
-    if n < how.least or KNOWN.fullmatch(part) or n < how.whole and SHORT_KNOWN.fullmatch(part):
+    if n < how.least or KNOWN.fullmatch(part) or in_order(part) or n < how.whole and SHORT_KNOWN.fullmatch(part):
         return False
     if mixed(part) and (n >= how.whole or TURNS.search(part)):
         return dense(part, how.ratio if n >= how.whole else how.short_ratio, encoding)
     if n < how.letters or part.isdigit() or n < how.whole and not CASES.search(part):
         return False
-    return not in_order(part) and dense(part, how.letters_ratio if n >= how.whole else how.short_letters_ratio, encoding)
+    return dense(part, how.letters_ratio if n >= how.whole else how.short_letters_ratio, encoding)
 
 
 def random_pieces(run: str, encoding, how: Efficiency) -> list[tuple[int, int]]:
     """(start, end) of what is random in a run: the whole, or stretches between words and numbers, or single parts."""
     if KNOWN.fullmatch(run):
         return []
-    if len(run) >= how.whole and mixed(run) and dense(run, how.ratio, encoding):
+    if len(run) >= how.whole and mixed(run) and not plain(run) and dense(run, how.ratio, encoding):
         return [(0, len(run))]
     parts = [(m.start(), m.end()) for m in PART.finditer(run)]
     if len(parts) == 1:
@@ -113,7 +121,7 @@ def random_pieces(run: str, encoding, how: Efficiency) -> list[tuple[int, int]]:
             else:
                 stretches[-1].append((a, b))
     whole = [(x[0][0], x[-1][1]) for x in stretches if len(x) > 1]
-    found = [(a, b) for a, b in whole if b - a >= how.whole and mixed(run[a:b]) and not KNOWN.fullmatch(run[a:b]) and dense(run[a:b], how.ratio, encoding)]
+    found = [(a, b) for a, b in whole if b - a >= how.whole and mixed(run[a:b]) and not KNOWN.fullmatch(run[a:b]) and not plain(run[a:b]) and dense(run[a:b], how.ratio, encoding)]
     return found + [(a, b) for a, b in parts if not any(c <= a and b <= d for c, d in found) and random_part(run[a:b], encoding, how)]
 
 
@@ -155,10 +163,11 @@ def scan(docs: DataFrame, how: Efficiency = Efficiency(), vocabulary_name: str =
 def redact(docs: DataFrame, how: Efficiency = Efficiency(), vocabulary_name: str = VOCABULARY, text_col: str = "text") -> DataFrame:
     """docs with every secret replaced by [SECRET]; all rows stay, a null text stays null, overlapping spans are replaced as one."""
 
-    @F.pandas_udf("string")
-    def clean(column):
-        import pandas as pd
+    from collections.abc import Iterator
+
+    import pandas as pd
 
+    def clean(columns: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encoding = vocabulary(vocabulary_name)
 
         def one(t):
@@ -175,9 +184,11 @@ def redact(docs: DataFrame, how: Efficiency = Efficiency(), vocabulary_name: str
                 t = f"{t[:a]}[SECRET]{t[b:]}"
             return t
 
-        return pd.Series([one(t) for t in column], dtype=object)
+        for column in columns:
+            yield pd.Series([one(t) for t in column], dtype=object)
 
-    return docs.withColumn(text_col, clean(F.col(text_col).cast("string")))
+    clean.__annotations__ = {"columns": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return docs.withColumn(text_col, F.pandas_udf(clean, "string")(F.col(text_col).cast("string")))
 
 
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

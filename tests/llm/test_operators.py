@@ -83,6 +83,46 @@ def test_names_and_identifiers_are_left():
     assert [names[a:b] for a, _, b in secrets.random_spans(names, e, how, [])] == []
 
 
+LOOK_ALIKES = """com/2024/05/12/how-we-built-our-search-index-in-go 2024-05-12T10-30-00-backup-file-name IMG_20240512_103000_HDR_edited ISBN-978-3-16-148410-0 DSC_0001_2023-10-11_edited_final
+foo-bar-baz-qux-quux-2023 kubernetes-dashboard-7d8b5c6f9-x2x4z abcdefghijklmnopqrstuvwxyz0123456789 WhatsApp-Image-2021-05-04-at-10.15.23 chr1-12345678-12345999
+s3/bucket-name/year=2021/month=05/day=04/part-00001.snappy.parquet https://example.com/a/b/c-d-e.html?id=12345678&x=y user_profile_picture_1024x768_final_v3 x86_64-unknown-linux-gnu
+XMLHttpRequestEventTarget Donaudampfschifffahrtsgesellschaft 20210903T142233Z_backup_of_database_prod lorem_ipsum_dolor_sit_amet_consectetur d41d8cd98f00b204e9800998ecf8427E"""
+
+
+def test_paths_dates_slugs_and_file_names_are_left():
+    e, how = secrets.vocabulary(), secrets.Efficiency()
+    assert [LOOK_ALIKES[a:b] for a, _, b in secrets.random_spans(LOOK_ALIKES, e, how, [])] == []
+
+
+def test_base_columns_equal_brute_force(spark, texts):
+    """All columns over whole documents, with random strings planted in a third of them; base ones by patterns written anew."""
+    rnd, planted, rows = random.Random(2), {}, []
+    for k, (d, t) in enumerate(texts.items()):
+        if k % 3 == 0:
+            planted[d] = "".join(rnd.choice(string.ascii_letters + string.digits) for _ in range(24))
+            t = f"{t} {planted[d]} {LOOK_ALIKES if k % 2 else ''} api_key='k-{rnd.randrange(10**9)}' AKIA{k:016d}ABCD"
+        rows.append((d, t, "x"))
+    import os
+    import tempfile
+
+    with tempfile.TemporaryDirectory() as at:
+        spark.createDataFrame(rows, "doc_id long, text string, spans string").write.parquet(os.path.join(at, "documents.parquet"))
+        got = {r.doc_id: r for r in secrets.op1_secrets(spark, at).collect()}
+    assert len(got) == len(rows)
+    for d, t, _ in rows:
+        found = [(m.start(), 0, m.end()) for m in re.finditer(r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", t) if len(m[1]) >= 6]
+        found += [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
+        found += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9a-f]+", t) if len(m[0]) >= 24]
+        base = [f"{('assign', 'access', 'hex')[k]}:{a}:{b}" for a, k, b in sorted(found)]
+        r = got[d]
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == j for _, k, _ in found) for j in range(3))
+        assert r.base_sha256 == hashlib.sha256(",".join(base).encode()).hexdigest()
+        own = r.spans.split(",") if r.spans else []
+        assert [x for x in own if not x.startswith("random:")] == base and r.n_random == len(own) - len(base)
+        random_ = [t[int(a) : int(b)] for kind, a, b in (x.split(":") for x in own) if kind == "random"]
+        assert random_ == ([planted[d]] if d in planted else [])
+
+
 def test_secrets_on_odd_rows(odd, empty):
     got = secrets.scan(odd).collect()
     assert len(got) == len(ODD) and all(not r.spans for r in got)
