@@ -6,7 +6,8 @@ predecessor, the last token of the prefix before it, is compatible with it is th
 are compatible if merging would keep their border, which their own merge histories tell. Following the stored last
 tokens back from the whole word gives the ids, the same as by applying merges in order of rank.
 
-The normaliser and the splitter are those of the vocabulary file, run on each distinct word: white space always splits,
+The normaliser and the splitter are those of the vocabulary file, run on each distinct word (words of printable ASCII are
+cut into runs of letters, digits and signs instead, where a trial shows that the file's splitter does the same): white space always splits,
 so that words can be handled one by one and kept in a memo of bounded size.
 
 Defined results: null or empty text has no ids and decodes to ""; equal texts have equal ids; special tokens in a text
@@ -25,6 +26,11 @@ from .common import MEMO, id_text, map_rows, table, texts
 
 VOCABULARY = "word_bpe_49k.json"
 NEVER = 1 << 60
+#: Runs of letters, single digits, runs of other signs; and words to which only these apply (no special token, no apostrophe).
+RUNS = re.compile(r"[a-z]+|[0-9]|[^a-z0-9]+")
+ASCII_WORD = re.compile(r"[!-&(-;=-~]+")
+#: Words whose ids and digests a worker holds (some 300 bytes each) before it starts anew; results don't depend on it.
+HELD = 1_000_000
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -64,6 +70,13 @@ class PrefixBPE:
         self.pieces: dict[str, tuple[int, ...]] = {}
         self.words: dict[bytes, tuple[int, ...]] = {}
         self._build_automaton()
+        # Whether runs of printable ASCII are what normaliser and splitter make of such words, as tried on each character and some mixtures.
+        signs = [chr(c) for c in range(0x21, 0x7F) if chr(c) not in "<'"]
+        tried = [*signs, *(f"{x}{y}" for x in signs for y in "aZ09.-"), "".join(signs), "abcXYZ", "a1b22C!?x--9"]
+        self.ascii_runs = all(RUNS.findall(w.lower()) == self._split(w) for w in tried)
+
+    def _split(self, text: str) -> list[str]:
+        return [piece for piece, _ in self.split(self.normalize(text))]
 
     # The last letter of a word carries the suffix, as one symbol: a final state is a letter and the suffix together.
     def _symbols(self, text: str, ended: bool) -> list[str]:
@@ -138,15 +151,23 @@ class PrefixBPE:
     def piece(self, text: str) -> tuple[int, ...]:
         """Ids of one piece that the splitter gives: letters of the byte alphabet."""
         symbols = self._symbols(text, bool(self.suffix))
-        go, fail, matches, fits = self.go, self.fail, self.matches, self.fits
+        go, fail, matches, fits, fitting = self.go, self.fail, self.matches, self.fits, self.fits_memo.get
         last, at = [(-1, 0)], 0
         for k, s in enumerate(symbols, 1):
-            while at and s not in go[at]:
+            step = go[at].get(s)
+            while step is None and at:
                 at = fail[at]
-            at = go[at].get(s, 0)
+                step = go[at].get(s)
+            at = step or 0
             for token, size in matches[at]:
                 before = last[k - size][0]
-                if (before >= 0 and fits(before, token)) or (size == k and self._whole(token)):
+                if before >= 0:
+                    known = fitting((before, token))
+                    if known is None:
+                        known = fits(before, token)
+                else:
+                    known = size == k and self._whole(token)
+                if known:
                     last.append((token, size))
                     break
             else:
@@ -187,27 +208,33 @@ class PrefixBPE:
 
     def word(self, word: str) -> tuple[int, ...]:
         """Ids of a text without ASCII white space (or of any text)."""
+        if self.ascii_runs and ASCII_WORD.fullmatch(word):
+            runs = RUNS.findall(word.lower())
+            return self._known(runs[0]) if len(runs) == 1 else tuple(i for run in runs for i in self._known(run))
         ids: list[int] = []
         for part in self.cut_special.split(word) if self.cut_special and "<" in word else (word,):
             if part in self.special:
                 ids.append(self.special[part])
             elif part:
-                for piece, _ in self.split(self.normalize(part)):
-                    got = self.pieces.get(piece)
-                    if got is None:
-                        got = self.piece(piece)
-                        if len(self.pieces) >= MEMO:
-                            self.pieces.clear()
-                        self.pieces[piece] = got
-                    ids.extend(got)
+                for piece in self._split(part):
+                    ids.extend(self._known(piece))
         return tuple(ids)
 
+    def _known(self, piece: str) -> tuple[int, ...]:
+        got = self.pieces.get(piece)
+        if got is None:
+            got = self.piece(piece)
+            if len(self.pieces) >= MEMO:
+                self.pieces.clear()
+            self.pieces[piece] = got
+        return got
+
     def encode(self, text: str) -> list[int]:
         memo, ids = self.words, []
         for w in text.encode().split():
             own = memo.get(w)
             if own is None:
-                if len(memo) >= MEMO:
+                if len(memo) >= HELD:
                     memo.clear()
                 own = memo[w] = self.word(w.decode())
             ids += own
@@ -273,7 +300,7 @@ class Strings(dict):
         self.model = model
 
     def __missing__(self, word: bytes):
-        if len(self) >= MEMO:
+        if len(self) >= HELD:
             self.clear()
         ids = self.model.word(word.decode())
         got = self[word] = (len(ids), " ".join(map(str, ids)).encode(), self.model.decode(ids).encode())
