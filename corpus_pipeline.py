@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docugrain.llm import bpe, decontaminate, near_dups, quality_rules, secrets
-from docugrain.llm.common import cut, table
+from docugrain.llm.common import cut, free, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,8 +49,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over documents. Stage results are written tables, so that no stage is computed twice."""
-    docs = table(spark, sf_dir, "documents")
+    """The stages over documents. Stage results are written tables, so that no stage is computed twice; each goes once the next is written."""
+    docs, before = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
         docs = cut(stage(spark, docs, sf_dir), f"stage-{name}")
+        free(*before)
+        before = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
