@@ -87,6 +87,28 @@ def chunk_merge(chunks: DataFrame, *keys: str, order: str, lists: dict[str, tupl
     return chunks.groupBy(*keys).agg(*out)
 
 
+def merge_reviews(chunks: DataFrame, doc: str, order: str, review: str, turkish: Column) -> DataFrame:
+    """(doc, response, chunks): the reviews of a document's chunks as one.
+
+    Risks by severity (equal ones in chunk order), the first of each title, 8 at most; 6 distinct recommendations, the first
+    6 metrics, 4 distinct questions; the first summary that isn't blank; the greatest score; a rationale from the risks that
+    stay. Grouped by document, whose chunks are few (a text of 3,000,000 characters has 28)."""
+    parts = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(review).alias("r")))), lambda x: x.r)
+    rows = chunks.groupBy(doc).agg(parts.alias("_r"), F.count(F.lit(1)).alias("chunks"), F.first(turkish).alias("_tr"))
+    gather = lambda name: F.flatten(F.filter(F.transform("_r", lambda r: r[name]), lambda x: x.isNotNull()))
+    first = lambda values, k: F.slice(values, 1, k)
+    rows = rows.withColumn("_sorted", F.transform(F.array_sort(F.transform(gather("risks"), lambda r, i: F.struct((-X.severity_rank(r.severity)).alias("rank"), i.alias("i"), r.alias("r")))), lambda x: x.r))
+    rows = rows.withColumn("_keys", F.transform("_sorted", lambda r: X.finding_key(r.title)))
+    rows = rows.withColumn("_risks", first(F.filter("_sorted", lambda r, i: F.array_position("_keys", F.get("_keys", i)) == i + 1), 8))
+    of = lambda low, high: F.size(F.filter("_risks", lambda r: X.severity_rank(r.severity).between(low, high)))
+    summary = F.coalesce(F.get(F.filter(F.transform("_r", lambda r: r.summary), lambda x: F.btrim(x) != ""), F.lit(0)), F.lit(""))
+    return rows.select(doc, "chunks", F.struct(
+        F.coalesce(F.array_max(F.transform("_r", lambda r: r.risk_score)), F.lit(0)).alias("risk_score"), X.rationale(of(3, 4), of(2, 2), F.col("_tr")).alias("score_rationale"), summary.alias("summary"), F.col("_risks").alias("risks"),
+        first(F.array_distinct(gather("recommendations")), 6).alias("recommendations"), first(gather("key_metrics"), 6).alias("key_metrics"), first(F.array_distinct(gather("advisor_questions")), 4).alias("advisor_questions"),
+        F.slice(F.get("_r", F.lit(0)).references, 1, 0).alias("references"),
+    ).alias("response"))
+
+
 def duplicate_metrics(a: dict[str, Column], b: dict[str, Column]) -> Column:
     """Equal labels; or equal percentages and a common label word; or amounts of 100,000 and more within 2 %."""
     same = (a["label"] != "") & (a["label"] == b["label"])

@@ -10,6 +10,8 @@ from ..functions import text as X
 
 # Caps in characters.
 TEXT_CAP, CHUNK, PROMPT_CAP = 3_000_000, 110_000, 120_000
+#: Least characters of a text that can be reviewed.
+LEAST_TEXT = 40
 
 
 def page_cap(pages: DataFrame, doc: str, page: str, text: str, cap: int = TEXT_CAP) -> DataFrame:
@@ -51,6 +53,26 @@ def fixed_chunks(text: Column, size: int = CHUNK) -> Column:
     return F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.length(text) - 1) / size)).cast("int")), lambda k: F.substring(text, (k * size + 1), F.lit(size)))
 
 
+def readable(text: Column) -> Column:
+    """A document's text without white space around it; null (UNREADABLE) under 40 characters."""
+    bare = F.regexp_replace(text, r"^[\x00-\x20]+|[\x00-\x20]+$", "")
+    return F.when(F.length(bare) >= LEAST_TEXT, bare)
+
+
+def text_chunks(text: Column, cap: int = CHUNK) -> Column:
+    """A text's chunks: itself up to the cap; slices without two page markers; else whole pages, as many as fit, what comes before the first marker with it. A null text is one empty chunk."""
+    units = F.split(text, r"(?=\[REPORT PAGE \d+\])")
+    of = greedy_chunks(F.transform(units, lambda u: F.length(u).cast("bigint")), cap)
+    whole = F.transform(F.sequence(F.lit(0), F.array_max(of)), lambda c: F.array_join(F.filter(units, lambda u, i: F.get(of, i) == c), ""))
+    marked = F.size(F.filter(units, lambda u: u.rlike(r"^\[REPORT PAGE \d+\]")))
+    return F.when(F.coalesce(F.length(text), F.lit(0)) <= cap, F.array(F.coalesce(text, F.lit("")))).when(marked <= 1, fixed_chunks(text, cap)).otherwise(whole)
+
+
+def marker_pages(evidence: Column, there: Column) -> Column:
+    """The pages that an evidence names by marker, as far as the document has them, in order."""
+    return F.array_sort(F.array_intersect(F.transform(F.regexp_extract_all(evidence, F.lit(X.MARKER), F.lit(1)), lambda p: p.try_cast("int")), there))
+
+
 def anchors(evidence: Column) -> Column:
     """Distinct numbers of an evidence text that can tell a page: grouped or decimal ones, and plain ones of three digits and more but years."""
     bare = F.regexp_replace(evidence, X.CITATION, "")

@@ -23,6 +23,37 @@ def route(method: Column, uri: Column) -> Column:
     return F.when((m == "POST") & uri.isin("/api/v1/audit", "/api/v1/audit/async"), "full").when(token, "token").otherwise("open")
 
 
+def owned(exists: Column, owner: Column, device: Column) -> Column:
+    """HTTP status of a look-up or cancel: 404 without the job, 403 for another device's, else 200; a job without owner is anyone's."""
+    return F.when(~exists, 404).when(owner.isNotNull() & ~owner.eqNullSafe(device), 403).otherwise(200)
+
+
+# What callers are told, by status: title and detail.
+PROBLEMS = {
+    400: ("Geçersiz istek", "Geçersiz istek: dosya veya istek gövdesi eksik ya da hatalı."),
+    503: ("Analiz tamamlanamadı", "Analiz servisi şu anda kullanılamıyor"),
+    500: ("İşlem tamamlanamadı", "Beklenmeyen bir hata oluştu"),
+}
+
+
+def problem(error: Column) -> Column:
+    """Problem details as JSON for an error code: 400 for what the caller sent, 503 for the reviewer, 500 for all else; null without an error."""
+    status = F.when(error.isin("EMPTY", "TOO_LARGE", "NOT_PDF_NAME", "NOT_PDF_CONTENT", "UNREADABLE", "MISSING_PART", "MEDIA_TYPE", "MALFORMED"), 400).when(error == "REVIEWER_UNAVAILABLE", 503).otherwise(500)
+    pick = lambda k: F.element_at(F.create_map(*(F.lit(x) for code, own in PROBLEMS.items() for x in (code, own[k]))), status)
+    return F.when(error.isNotNull(), F.to_json(F.struct(pick(0).alias("title"), status.alias("status"), pick(1).alias("detail"))))
+
+
+def jdbc(url: Column) -> Column:
+    """struct(url, user, password) of a postgres address, port 5432 unless it names one; any other address as it is, without user."""
+    pattern = r"^postgres(?:ql)?://(?:([^@/]*)@)?([^/:?#@]+)(?::(\d+))?([^?#]*)"
+    part = lambda k: F.regexp_extract(url, pattern, k)
+    own, user = url.rlike(r"^postgres(?:ql)?://"), part(1)
+    port = F.when(part(3).try_cast("int") > 0, part(3)).otherwise("5432")
+    full = F.concat(F.lit("jdbc:postgresql://"), part(2), F.lit(":"), port, part(4))
+    colon = F.instr(user, ":")
+    return F.struct(F.when(own, full).otherwise(url).alias("url"), F.when(own & (user != ""), F.when(colon > 0, F.substring(user, F.lit(1), colon - 1)).otherwise(user)).alias("user"), F.when(own & (colon > 0), F.substring(user, colon + 1, F.length(user))).alias("password"))
+
+
 def decode_base64(text: Column) -> Column:
     """A data prefix and white space go, both alphabets are read, missing padding is added; null if anything else is in it."""
     bare = F.translate(F.regexp_replace(F.regexp_replace(text, r"(?i)^data:[^,]*,", ""), r"\s", ""), "-_", "+/")

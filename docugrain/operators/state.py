@@ -39,8 +39,45 @@ def quota_decisions(events: DataFrame, device: str, ts: str, tie: str, pro: Colu
 
 
 def job_state(events: DataFrame, job: str, status: Column, cancelled: Column, order: list[str]) -> DataFrame:
-    """Last status by time, FAILED if it was cancelled before it was done; an aggregate, without a sort of a job's events."""
-    return events.groupBy(job).agg(F.max_by(status, F.struct(*order)).alias("last"), F.max(cancelled).alias("cancelled")).withColumn("status", F.when(F.col("cancelled") & (F.col("last") != "PENDING"), "FAILED").otherwise(F.col("last")))
+    """Last status by time. The cancel flag is read once, when the work ends: a job that was cancelled before it was DONE is FAILED; cancelled later, or before any end, it stays as it is. An aggregate, without a sort of a job's events."""
+    at = F.struct(*order)
+    rows = events.groupBy(job).agg(F.max_by(status, at).alias("last"), F.max(at).alias("end"), F.min(F.when(cancelled, at)).alias("cancel"))
+    return rows.withColumn("status", F.when((F.col("last") == "DONE") & (F.col("cancel") < F.col("end")), "FAILED").otherwise(F.col("last")))
+
+
+def cache_hits(lookups: DataFrame, device: str, ts: str, tie: str, minutes: int = CACHE_TTL_MIN) -> DataFrame:
+    """(device, tie, hit) for each look-up: an entry lives for some minutes from the miss that put it; a hit doesn't renew it.
+
+    Each answer depends on the one before, so a device's rows go to one task; they are sorted there (with spill) and folded in
+    Arrow batches with one instant of state, jumping from miss to miss. No device is held in memory."""
+    import numpy as np
+    import pyarrow as pa
+
+    kinds, life = dict(lookups.dtypes), minutes * 60_000_000
+    rows = lookups.select(device, tie, F.unix_micros(F.col(ts).cast("timestamp")).alias("_at")).repartition(device).sortWithinPartitions(device, "_at", tie)
+
+    def run(batches):
+        last, until = object(), 0
+        for batch in batches:
+            at, own = batch.column(2).to_numpy(), batch.column(0).to_pylist()
+            hit = np.ones(len(at), bool)
+            k = 0
+            while k < len(at):
+                # The end of this device's rows in the batch.
+                low, high = k, len(at)
+                while low < high:
+                    middle = (low + high) // 2
+                    low, high = (middle + 1, high) if own[middle] == own[k] else (low, middle)
+                if own[k] != last:
+                    last, until = own[k], at[k]
+                while k < low:
+                    k += int(np.searchsorted(at[k:low], until))
+                    if k < low:
+                        hit[k], until = False, at[k] + life
+                        k += 1
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hit)], names=[device, tie, "hit"])
+
+    return rows.mapInArrow(run, f"{device} {kinds[device]}, {tie} {kinds[tie]}, hit boolean")
 
 
 def latest(events: DataFrame, key: str, value: Column, order: list[str]) -> DataFrame:

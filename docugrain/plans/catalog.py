@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import numbers as N
 from ..functions import text as X
 from ..operators import corpus, findings, pages, requests, state
-from ..sources.tables import shared_folder, table
+from ..sources.tables import TABLES, provision_rows, shared_folder, table, upsert_usage
 from ..streaming import rate
 from . import inputs as I
 
@@ -234,12 +236,21 @@ def fixed_chunks(spark, sf_dir):
     return rows.select("doc_id", "chunk", F.length("part").alias("n_chars"), F.sha2("part", 256).alias("chunk_sha256"))
 
 
-_CITED = "'Tutar [REPORT PAGE ' || (turn + 1) || ']  oldu ' || case when turn % 2 = 0 then '(Sayfa 3, 4) ' else '' end || substr(text, 1, 40)"
+@query()
+def text_chunks(spark, sf_dir):
+    """Each conversation's marked text in chunks of whole pages, and each document's (without markers) in slices; tested against a plain loop."""
+    marked = pages.marked_text(_conversation_pages(spark, sf_dir), "conv_id", "page", "text").select(F.col("conv_id").alias("id"), F.lit("marked").alias("kind"), "text")
+    plain = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.lit("plain").alias("kind"), "text")
+    rows = marked.unionByName(plain).select("kind", "id", F.posexplode(pages.text_chunks(F.col("text"), 1000)).alias("chunk", "text"))
+    return rows.select("kind", "id", "chunk", F.length("text").alias("n_chars"), F.sha2("text", 256).alias("chunk_sha256"))
+
+
+_CITED = "'Tutar [REPORT PAGE ' || (turn + 1) || ']  oldu ' || case when turn % 2 = 0 then '(Sayfa 3, 4) ' else '' end || text"
 _STRIP = "trim(regexp_replace(regexp_replace({0}, '\\s*\\[REPORT PAGE \\d+\\]\\s*', ' ', 'gi'), '\\s{{2,}}', ' ', 'g'))"
 
 
 def _cited(spark, sf_dir):
-    head = F.concat(F.lit("Tutar [REPORT PAGE "), (F.col("turn") + 1).cast("string"), F.lit("]  oldu "), F.when(F.col("turn") % 2 == 0, "(Sayfa 3, 4) ").otherwise(""), F.substring("text", 1, 40))
+    head = F.concat(F.lit("Tutar [REPORT PAGE "), (F.col("turn") + 1).cast("string"), F.lit("]  oldu "), F.when(F.col("turn") % 2 == 0, "(Sayfa 3, 4) ").otherwise(""), F.col("text"))
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", head.alias("evidence"))
 
 
@@ -355,15 +366,17 @@ def _cards(spark, sf_dir):
     return I.spark_metrics(spark, sf_dir).select("grp", "k", F.struct(X.canon_label(F.col("label")).alias("label"), N.canonical_percents(v).alias("percents"), N.magnitude(v).alias("magnitude"), N.precision_digits(v).alias("digits"), "value").alias("m"))
 
 
-@query(f"""with c as (select grp, k, {_label('label')} as label, {_percents('value')} as percents, {_magnitude('value')} as mag from {METRICS})
+@query(f"""with c as (select grp, k, {_label('label')} as label, {_percents('value')} as percents, {_magnitude('value')} as mag from {METRICS} qualify row_number() over (partition by grp order by k) <= 6)
 select a.grp, a.k as k_a, b.k as k_b, (a.label <> '' and a.label = b.label) or (len(a.percents) > 0 and a.percents = b.percents and len(list_intersect([t for t in string_split(a.label, ' ') if length(t) >= 3], [t for t in string_split(b.label, ' ') if length(t) >= 3])) > 0) or (a.mag >= 100000 and b.mag >= 100000 and abs(a.mag - b.mag) / greatest(a.mag, b.mag) <= 0.02) as duplicate
 from c a join c b on a.grp = b.grp and a.k < b.k""")
 def metric_pair_dup(spark, sf_dir):
-    """Pairs of cards of one customer, whose cards are few (a review has six at most): the pairwise test is the feature."""
-    c = _cards(spark, sf_dir)
-    a, b = c.select("grp", F.col("k").alias("k_a"), F.col("m").alias("a")), c.select("grp", F.col("k").alias("k_b"), F.col("m").alias("b"))
-    view = lambda m: {x: F.col(f"{m}.{x}") for x in ("label", "percents", "magnitude")}
-    return a.join(b, "grp").where("k_a < k_b").select("grp", "k_a", "k_b", findings.duplicate_metrics(view("a"), view("b")).alias("duplicate"))
+    """Pairs of the cards of a review, which has six at most (the first six of a customer): 15 pairs, made within a row."""
+    first = F.slice(F.array_sort(F.collect_list(F.struct("k", "m"))), 1, 6)
+    place = F.row_number().over(Window.partitionBy("grp").orderBy("k"))
+    rows = _cards(spark, sf_dir).withColumn("place", place).where("place <= 6").groupBy("grp").agg(first.alias("c"))
+    pairs = F.flatten(F.transform("c", lambda a, i: F.transform(F.slice("c", i + 2, F.lit(6)), lambda b: F.struct(a.alias("a"), b.alias("b")))))
+    view = lambda x: {c: F.col(f"p.{x}.m.{c}") for c in ("label", "percents", "magnitude")}
+    return rows.select("grp", F.explode(pairs).alias("p")).select("grp", F.col("p.a.k").alias("k_a"), F.col("p.b.k").alias("k_b"), findings.duplicate_metrics(view("a"), view("b")).alias("duplicate"))
 
 
 @query()
@@ -383,29 +396,46 @@ def reference_semi(spark, sf_dir):
 
 
 _TERMS = f"list_distinct([w for w in regexp_split_to_array({_LOWER.format('text')}, '{X.TERM_SPLIT}') if length(w) > 2])"
-_SCORES = f"""i as (select item_id, {_TERMS} as t from benchmark), w as (select item_id, term, sum(w) as w from (select item_id, unnest(t) as term, 1.0 as w from i union all select item_id, unnest(list_sort(t)[1:5]) as term, 4.0 as w from i) group by 1, 2),
-q as (select doc_id, unnest({_TERMS}) as term from documents), s as (select doc_id, item_id, sum(w)::double as score from q join w using (term) group by 1, 2)"""
+#: Keywords of an item: its first five terms and, of several words, its first two.
+_SCORES = f"""i as (select item_id, {_TERMS} as t, regexp_extract({_LOWER.format('text')}, '^([^ ]+ [^ ]+)', 1) as phrase from benchmark where {{0}}), w as (select item_id, term, sum(w) as w from (select item_id, unnest(t) as term, 1.0 as w from i union all select item_id, unnest(list_sort(t)[1:5]) as term, 4.0 as w from i) group by 1, 2),
+d as materialized (select doc_id, {_LOWER.format('text')} as low, {_TERMS} as t from documents), q as (select doc_id, unnest(t) as term from d),
+s as (select doc_id, item_id, sum(w)::double as score from (select doc_id, item_id, w from q join w using (term) union all select doc_id, item_id, 4.0 from d join i on phrase <> '' and contains(low, phrase)) group by 1, 2)"""
 
 
-def _scores(spark, sf_dir):
-    t = X.terms(X.lower_tr(F.col("text")))
-    items = table(spark, sf_dir, "benchmark").select("item_id", t.alias("terms")).withColumn("keywords", F.slice(F.array_sort("terms"), 1, 5))
-    return corpus.overlap_scores(table(spark, sf_dir, "documents").select("doc_id", t.alias("terms")), items, "doc_id", "item_id")
+def _provisions(spark, sf_dir):
+    low = X.lower_tr(F.col("text"))
+    words = F.concat(F.slice(F.array_sort(X.terms(low)), 1, 5), F.array(F.regexp_extract(low, "^([^ ]+ [^ ]+)", 1)))
+    return table(spark, sf_dir, "benchmark").select("item_id", "text", F.filter(words, lambda w: w != "").alias("keywords"))
 
 
-@query(f"with {_SCORES} select item_id, count(*) as n_docs, sum(score)::bigint as total from s group by 1")
+@query(f"with {_SCORES.format('true')} select item_id, count(*) as n_docs, sum(score)::bigint as total from s group by 1")
 def keyword_score(spark, sf_dir):
-    return _scores(spark, sf_dir).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("score").cast("bigint").alias("total"))
+    scores = corpus.relevance(table(spark, sf_dir, "documents"), _provisions(spark, sf_dir), "doc_id", "text", "item_id", "keywords", "text")
+    return scores.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("score").cast("bigint").alias("total"))
 
 
-@query(f"with {_SCORES}, r as (select *, cast(row_number() over (partition by doc_id order by score desc, item_id) as int) as place from s), d as (select cast(row_number() over (order by item_id) as int) as place, item_id from benchmark) select doc_id, place, item_id, score from r where place <= 8 union all select doc_id, place, item_id, 0.0::double from documents, d where place <= 8 and doc_id not in (select doc_id from s)")
+@query(f"with {_SCORES.format('item_id % 5 <> 0')}, r as (select *, cast(row_number() over (partition by doc_id order by score desc, item_id) as int) as place from s), f as (select cast(row_number() over (order by item_id) as int) as place, item_id from benchmark) select doc_id, place, item_id, score from r where place <= 8 union all select doc_id, place, item_id, 0.0::double from documents, f where place <= 8 and doc_id not in (select doc_id from s)")
 def retrieve_topk(spark, sf_dir):
-    best = corpus.top_k(_scores(spark, sf_dir), "doc_id", "item_id", 8).select("doc_id", "place", "item_id", "score")
-    # Without any match: the first eight of the corpus, as an array of eight on each such document.
-    first = table(spark, sf_dir, "benchmark").orderBy("item_id").limit(8).agg(F.array_sort(F.collect_list("item_id")).alias("items"))
-    rest = table(spark, sf_dir, "documents").select("doc_id").join(best.select("doc_id").distinct(), "doc_id", "left_anti").crossJoin(F.broadcast(first))
-    fallback = rest.select("doc_id", F.posexplode("items").alias("place", "item_id")).select("doc_id", F.col("place") + 1, "item_id", F.lit(0.0))
-    return best.union(fallback)
+    """The eight best valid provisions for each document (one in five is no longer valid), the first eight of all where none matches."""
+    valid = corpus.active_on(F.when(F.col("item_id") % 5 == 0, "REPEALED"), F.lit(None), F.lit(None), F.current_date())
+    return corpus.retrieve(table(spark, sf_dir, "documents"), _provisions(spark, sf_dir), "doc_id", "text", "item_id", "keywords", "text", valid)
+
+
+@query()
+def full_text_rank(spark, sf_dir):
+    """Provisions that hold the first and the last word of an item's text, by cover density; tested against plain loops."""
+    items = table(spark, sf_dir, "benchmark")
+    asked = items.select(F.col("item_id").alias("query"), F.array_distinct(F.array(F.regexp_extract("text", r"([\p{L}\p{N}]+)", 1), F.regexp_extract("text", r"([\p{L}\p{N}]+)[^\p{L}\p{N}]*$", 1))).alias("terms"))
+    corpus_ = items.withColumn("title", F.regexp_extract("text", r"^(\S+)", 1))
+    return corpus.full_text(asked, corpus_, "query", "terms", "item_id", ["title"], "text", [F.col("item_id") % 2 != 0])
+
+
+@query("""with v as (select vec_id, embedding::double[] as e from embeddings where embedding is not null), s as (select q.vec_id as query, v.vec_id, list_cosine_similarity(q.e, v.e) as s from v q join v on q.vec_id % 100 = 0 and q.vec_id <> v.vec_id)
+select query, cast(row_number() over (partition by query order by s desc, vec_id) as int) as place, vec_id, round(s, 6) as similarity from s qualify place <= 8""")
+def cosine_topk(spark, sf_dir):
+    """The eight nearest of all vectors for each whose id is divisible by 100."""
+    v = table(spark, sf_dir, "embeddings")
+    return corpus.nearest(v.where("vec_id % 100 = 0"), v, "vec_id", "embedding", 8).select("query", "place", "vec_id", F.round("similarity", 6).alias("similarity"))
 
 
 _VALID = "select o_orderkey, case o_orderstatus when 'F' then 'ACTIVE' when 'O' then null else 'REPEALED' end as status, case when o_orderkey % 5 = 0 then null else cast(o_orderdate as date) end as f, case when o_orderkey % 7 = 0 then null else cast(o_orderdate as date) + interval 365 day end as t from orders"
@@ -429,13 +459,32 @@ def corpus_order(spark, sf_dir):
 
 @query("select l_orderkey, l_linenumber, max(o_orderdate) as version_from from lineitem join (select o_custkey % 100 as grp, o_orderdate from orders) v on v.grp = l_suppkey % 100 and v.o_orderdate <= l_shipdate group by 1, 2")
 def version_asof(spark, sf_dir):
-    """The latest version at or before each date: versions and questions of a key are merged in time order by one window, no range join."""
-    v = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 100).alias("grp"), F.col("o_orderdate").alias("ts"), F.col("o_orderdate").alias("version")).distinct()
-    q = table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 100).alias("grp"), F.col("l_shipdate").alias("ts"), "l_orderkey", "l_linenumber")
-    both = v.withColumns({"l_orderkey": F.lit(None).cast("bigint"), "l_linenumber": F.lit(None).cast("int")}).unionByName(q.withColumn("version", F.lit(None).cast("timestamp_ntz")))
-    w = Window.partitionBy("grp").orderBy("ts", F.col("version").isNull()).rowsBetween(Window.unboundedPreceding, 0)
-    got = both.withColumn("version_from", F.last("version", ignorenulls=True).over(w)).where("l_orderkey is not null and version_from is not null")
-    return got.groupBy("l_orderkey", "l_linenumber").agg(F.max("version_from").alias("version_from"))
+    """The latest version at or before each date."""
+    v = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 100).alias("grp"), "o_orderdate")
+    q = table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 100).alias("grp"), "l_shipdate", "l_orderkey", "l_linenumber")
+    got = corpus.version_asof(q, v, "grp", "l_shipdate", "o_orderdate").where("version is not null")
+    return got.groupBy("l_orderkey", "l_linenumber").agg(F.max("version").alias("version_from"))
+
+
+@query("select l_orderkey, l_linenumber, l_partkey from lineitem where l_partkey in (select p_partkey from part where p_size >= 45) union all select o_orderkey, 0, p_partkey from orders, (select p_partkey from part where p_size >= 45 order by 1 limit 3) where o_orderkey not in (select l_orderkey from lineitem where l_partkey in (select p_partkey from part where p_size >= 45))")
+def reference_fallback(spark, sf_dir):
+    """References that the context has; the context (its first three here) for an order that has none."""
+    context = table(spark, sf_dir, "part").where("p_size >= 45").select(F.col("p_partkey").alias("l_partkey"))
+    asked = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    kept = corpus.references(asked, context, ["l_partkey"])
+    first = [r[0] for r in context.orderBy("l_partkey").limit(3).collect()]
+    none = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey")).join(kept.select("l_orderkey").distinct(), "l_orderkey", "left_anti")
+    return kept.unionByName(none.select("l_orderkey", F.lit(0).alias("l_linenumber"), F.explode(F.array(*map(F.lit, first)).cast("array<bigint>")).alias("l_partkey")))
+
+
+@query("select item_id, len(a)::int as n, a[1] as first from (select item_id, case when item_id % 4 = 0 then [] when item_id % 4 = 1 then [] else string_split(text, ' ') end as a from benchmark)")
+def json_array_text(spark, sf_dir):
+    """Arrays that are stored as JSON texts; null and broken ones are empty."""
+    text = F.when(F.col("item_id") % 4 == 1, "[broken").when(F.col("item_id") % 4 > 1, F.to_json(F.split("text", " ")))
+    stored = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("provision_key"), text.alias("topics"))
+    blank = [F.lit(None).cast(t).alias(n) for n, t in (c.split(" ") for c in TABLES["legal_provision"][0].split(", ")) if n not in ("provision_key", "topics")]
+    rows = provision_rows(stored.select("*", *blank))
+    return rows.select(F.col("id").cast("bigint").alias("item_id"), F.size("topics").alias("n"), F.get("topics", F.lit(0)).alias("first"))
 
 
 # --- usage, limits, jobs -----------------------------------------------------------------------------------------
@@ -470,11 +519,12 @@ def rate_limit_decision(spark, sf_dir):
 
 @query(_RATE)
 def stream_rate_limit(spark, sf_dir):
-    return rate.drained(rate.hourly(rate.requests(spark, sf_dir), "user_id", 1), shared_folder(spark))
+    return rate.drained(rate.hourly(rate.requests(spark, sf_dir), "user_id", 1), ["user_id", "hour_epoch"], shared_folder(spark))
 
 
 _STATUS = "case event_type when 'view' then 'PENDING' when 'click' then 'PROCESSING' when 'purchase' then 'DONE' when 'error' then 'FAILED' else 'PROCESSING' end"
-_JOB = f"select user_id, arg_max({_STATUS}, epoch_us(ts)::hugeint * 1000000 + event_id) as last, bool_or(event_type = 'signup' and event_id % 97 = 0) as cancelled, min(ts) as created from events group by 1"
+_AT = "epoch_us(ts)::hugeint * 1000000 + event_id"
+_JOB = f"select user_id, arg_max({_STATUS}, {_AT}) as last, max({_AT}) as ended, min({_AT}) filter (event_type = 'signup' and event_id % 3 = 0) as cancelled from events group by 1"
 
 
 def _status():
@@ -482,12 +532,16 @@ def _status():
     return F.when(e == "view", "PENDING").when(e == "purchase", "DONE").when(e == "error", "FAILED").otherwise("PROCESSING")
 
 
+def _cancelled():
+    return (F.col("event_type") == "signup") & (F.col("event_id") % 3 == 0)
+
+
 def _jobs(spark, sf_dir):
     e = table(spark, sf_dir, "events")
-    return state.job_state(e, "user_id", _status(), (F.col("event_type") == "signup") & (F.col("event_id") % 97 == 0), ["ts", "event_id"])
+    return state.job_state(e, "user_id", _status(), _cancelled(), ["ts", "event_id"])
 
 
-_JOBSTATE = f"(select user_id, case when cancelled and last <> 'PENDING' then 'FAILED' else last end as status from ({_JOB}))"
+_JOBSTATE = f"(select user_id, case when last = 'DONE' and cancelled < ended then 'FAILED' else last end as status from ({_JOB}))"
 
 
 @query(f"select * from {_JOBSTATE}")
@@ -495,6 +549,11 @@ def job_state_fold(spark, sf_dir):
     return _jobs(spark, sf_dir).select("user_id", "status")
 
 
+@query(f"select * from {_JOBSTATE}")
+def stream_job_state(spark, sf_dir):
+    return rate.drained(rate.job_states(rate.requests(spark, sf_dir), "user_id", _status(), _cancelled(), ["ts", "event_id"]), ["user_id"], shared_folder(spark))
+
+
 @query(f"select user_id, status, case when status = 'DONE' then 'result ' || user_id end as result, case when status = 'FAILED' then 'error ' || user_id end as error from {_JOBSTATE}")
 def job_projection(spark, sf_dir):
     u = F.col("user_id").cast("string")
@@ -508,30 +567,44 @@ def ttl_sweep(spark, sf_dir):
     return e.crossJoin(F.broadcast(now)).select("event_id", (F.col("ts") <= F.col("now") - F.expr(f"interval {state.JOB_TTL_MIN} minutes")).alias("evicted"))
 
 
-@query("select event_id, coalesce(ts < prev + interval 5 minute, false) as hit from (select event_id, ts, lag(ts) over (partition by user_id order by ts, event_id) as prev from events)")
+@query("""with recursive e as (select user_id, event_id, ts, row_number() over (partition by user_id order by ts, event_id) as place, min(ts) over (partition by user_id order by ts range between interval 5 minute following and unbounded following) as next from events),
+m as (select user_id, ts, next from e where place = 1 union all select m.user_id, n.ts, n.next from m join (select distinct user_id, ts, next from e) n on n.user_id = m.user_id and n.ts = m.next)
+select event_id, not exists (select 1 from m where m.user_id = x.user_id and m.ts = x.ts) or event_id <> (select min(event_id) from events y where y.user_id = x.user_id and y.ts = x.ts) as hit from events x""")
 def ttl_cache(spark, sf_dir):
-    """A look-up hits if the one before it, of its device, put an entry that still lives."""
-    prev = F.lag("ts").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    rows = table(spark, sf_dir, "events").select("event_id", "ts", prev.alias("prev"))
-    return rows.select("event_id", F.coalesce(F.col("ts") < F.col("prev") + F.expr(f"interval {state.CACHE_TTL_MIN} minutes"), F.lit(False)).alias("hit"))
+    """Whether each look-up finds a live entry, which only a miss puts and renews."""
+    return state.cache_hits(table(spark, sf_dir, "events"), "user_id", "ts", "event_id").select("event_id", "hit")
+
+
+_LATEST = "select user_id, arg_max(event_type || ':' || event_id, epoch_us(ts)::hugeint * 1000000 + event_id) as value from events where trim(event_type) <> '' and user_id is not null group by 1"
 
 
-@query("select user_id, arg_max(event_type || ':' || event_id, epoch_us(ts)::hugeint * 1000000 + event_id) as value from events where event_type <> 'view' group by 1")
+def _tokens(events):
+    """A device's push token by event; rows without a device or with a blank token are ignored."""
+    return events.where(F.col("user_id").isNotNull() & (F.btrim("event_type") != ""))
+
+
+@query(_LATEST)
 def latest_by_key(spark, sf_dir):
     value = F.concat_ws(":", "event_type", F.col("event_id").cast("string"))
-    return state.latest(table(spark, sf_dir, "events").where("event_type <> 'view'"), "user_id", value, ["ts", "event_id"])
+    return state.latest(_tokens(table(spark, sf_dir, "events")), "user_id", value, ["ts", "event_id"])
+
+
+@query(_LATEST)
+def stream_latest(spark, sf_dir):
+    value = F.concat_ws(":", "event_type", F.col("event_id").cast("string"))
+    return rate.drained(rate.latest(_tokens(rate.requests(spark, sf_dir)), "user_id", value, ["ts", "event_id"]), ["user_id"], shared_folder(spark))
 
 
 # --- requests ----------------------------------------------------------------------------------------------------
 _UPLOAD = "select page_id, case page_id % 4 when 0 then 'A.PDF' when 1 then 'a.txt' else 'b.pdf' end as name, case when page_id % 3 = 0 then '%PDF-' || html when page_id % 11 = 0 then '' else html end as content from pages"
 
 
-@query(f"select page_id, case when length(content) < 5 then 'EMPTY' when length(content) > 15728640 then 'TOO_LARGE' when not lower(name) like '%.pdf' then 'NOT_PDF_NAME' when content not like '\\%PDF-%' escape '\\' then 'NOT_PDF_CONTENT' end as error from ({_UPLOAD})")
+@query(f"select page_id, case when strlen(content) < 5 then 'EMPTY' when strlen(content) > 15728640 then 'TOO_LARGE' when not lower(name) like '%.pdf' then 'NOT_PDF_NAME' when content not like '\\%PDF-%' escape '\\' then 'NOT_PDF_CONTENT' end as error from ({_UPLOAD})")
 def validate_upload(spark, sf_dir):
     p = F.col("page_id")
     name = F.when(p % 4 == 0, "A.PDF").when(p % 4 == 1, "a.txt").otherwise("b.pdf")
     content = F.when(p % 3 == 0, F.concat(F.lit("%PDF-"), "html")).when(p % 11 == 0, "").otherwise(F.col("html"))
-    return table(spark, sf_dir, "pages").select("page_id", requests.upload_error(name, content, F.length(content)).alias("error"))
+    return table(spark, sf_dir, "pages").select("page_id", requests.upload_error(name, content, F.octet_length(content)).alias("error"))
 
 
 @query("select doc_id, case when lower(trim(k)) in ('rental', 'subscription', 'insurance', 'vehicle', 'employment', 'general') then lower(trim(k)) else 'financial' end as route from (select doc_id, case doc_id % 8 when 0 then ' Rental ' when 1 then 'SUBSCRIPTION' when 2 then 'insurance' when 3 then 'vehicle' when 4 then 'Employment' when 5 then 'general' when 6 then null else lang end as k from documents)")
@@ -563,12 +636,48 @@ def uuid_check(spark, sf_dir):
     return rows.select("doc_id", F.expr(_UUIDS).rlike(requests.UUID).alias("valid"))
 
 
-@query("select page_id, regexp_extract(url, '^https?://([^/:?#]+)', 1) as host, 5432 as port, regexp_extract(url, '^https?://[^/?#]+(/[^?#]*)', 1) as path, 'jdbc:postgresql://' || regexp_extract(url, '^https?://([^/:?#]+)', 1) || ':5432' || regexp_extract(url, '^https?://[^/?#]+(/[^?#]*)', 1) as jdbc from pages")
+_HOST, _PATH = "regexp_extract(url, '^https?://([^/:?#]+)', 1)", "regexp_extract(url, '^https?://[^/?#]+(/[^?#]*)', 1)"
+
+
+@query(f"""select page_id, case page_id % 4 when 3 then url else 'jdbc:postgresql://' || {_HOST} || ':' || case page_id % 4 when 0 then (6000 + page_id % 50)::varchar else '5432' end || {_PATH} end as jdbc,
+case page_id % 4 when 0 then 'user' || page_id when 1 then 'reader' end as jdbc_user, case page_id % 4 when 0 then 'pw:' || page_id end as jdbc_password from pages""")
 def url_to_jdbc(spark, sf_dir):
-    """parse_url refuses characters beyond ASCII, so parts are taken by pattern."""
-    u = F.col("url")
-    host, path = F.regexp_extract(u, r"^https?://([^/:?#]+)", 1), F.regexp_extract(u, r"^https?://[^/?#]+(/[^?#]*)", 1)
-    return table(spark, sf_dir, "pages").select("page_id", host.alias("host"), F.lit(5432).alias("port"), path.alias("path"), F.concat(F.lit("jdbc:postgresql://"), host, F.lit(":5432"), path).alias("jdbc"))
+    """Addresses with and without port, user and password, and some of another kind. parse_url refuses characters beyond ASCII, so parts are taken by pattern."""
+    p, u = F.col("page_id"), F.col("url")
+    host, path, n = F.regexp_extract(u, r"^https?://([^/:?#]+)", 1), F.regexp_extract(u, r"^https?://[^/?#]+(/[^?#]*)", 1), p.cast("string")
+    address = (F.when(p % 4 == 0, F.concat(F.lit("postgres://user"), n, F.lit(":pw:"), n, F.lit("@"), host, F.lit(":"), (6000 + p % 50).cast("string"), path, F.lit("?ssl=true")))
+               .when(p % 4 == 1, F.concat(F.lit("postgresql://reader@"), host, path)).when(p % 4 == 2, F.concat(F.lit("postgresql://"), host, path)).otherwise(u))
+    j = requests.jdbc(address)
+    return table(spark, sf_dir, "pages").select("page_id", j.url.alias("jdbc"), j.user.alias("jdbc_user"), j.password.alias("jdbc_password"))
+
+
+@query("select event_id, case when event_id % 7 = 0 then 404 when user_id % 5 <> 0 and user_id <> event_id % 50 then 403 else 200 end as status from events")
+def job_ownership(spark, sf_dir):
+    e = F.col("event_id")
+    owner = F.when(F.col("user_id") % 5 != 0, F.col("user_id"))
+    return table(spark, sf_dir, "events").select("event_id", requests.owned(e % 7 != 0, owner, e % 50).alias("status"))
+
+
+@query("""select event_id, case event_id % 4 when 1 then '{"title":"Geçersiz istek","status":400,"detail":"Geçersiz istek: dosya veya istek gövdesi eksik ya da hatalı."}' when 2 then '{"title":"Analiz tamamlanamadı","status":503,"detail":"Analiz servisi şu anda kullanılamıyor"}' when 3 then '{"title":"İşlem tamamlanamadı","status":500,"detail":"Beklenmeyen bir hata oluştu"}' end as problem from events""")
+def problem_details(spark, sf_dir):
+    e = F.col("event_id")
+    return table(spark, sf_dir, "events").select("event_id", requests.problem(F.when(e % 4 == 1, "TOO_LARGE").when(e % 4 == 2, "REVIEWER_UNAVAILABLE").when(e % 4 == 3, "anything")).alias("problem"))
+
+
+@query(r"select doc_id, length(t)::int as n_chars, length(t) >= 40 as readable from (select doc_id, regexp_replace(text, '^[\x00-\x20]+|[\x00-\x20]+$', '', 'g') as t from documents)")
+def readable_text(spark, sf_dir):
+    t = pages.readable(F.col("text"))
+    bare = F.regexp_replace("text", r"^[\x00-\x20]+|[\x00-\x20]+$", "")
+    return table(spark, sf_dir, "documents").select("doc_id", F.length(bare).alias("n_chars"), t.isNotNull().alias("readable"))
+
+
+@query("select user_id, used_count + case when month = '2024-01' then 1 else 0 end as used_count, month from (select user_id, strftime(ts, '%Y-%m') as month, count(*) as used_count from events group by 1, 2)")
+def usage_upsert(spark, sf_dir):
+    """Counts written as a table's first version, then one more for each device of a month as its second."""
+    path = f"{shared_folder(spark)}/usage-{uuid.uuid4().hex}"
+    rows = table(spark, sf_dir, "events").select("user_id", state.month(F.col("ts")).alias("month"))
+    first = upsert_usage(rows, path, "user_id")
+    return upsert_usage(first.where("month = '2024-01'").select("user_id", "month"), path, "user_id").select("user_id", "month", "used_count")
 
 
 @query("select event_id, case event_id % 4 when 0 then false when 1 then true when 2 then ts > timestamp '2024-01-10' else false end as entitled from events")

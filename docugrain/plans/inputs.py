@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.findings import STATEMENT_LINES
 from ..sources.tables import table
 
 SPARK = {"div": lambda a, b: f"({a} div {b})", "grouped": lambda x: f"format_number({x}, 0)", "day": lambda x: f"date_format({x}, 'yyyy-MM-dd')"}
@@ -49,7 +50,7 @@ def findings(d: dict) -> list[str]:
 # Statement texts: revenue of two years of each nation, as a line under two standards' headers.
 def statements(d: dict) -> list[str]:
     """From (nation, year, tenths, before): language, text."""
-    labels = ["Esas Faaliyet Karı", "Dönem Karı", "Pazarlama ve satış giderleri", "Pazarlama giderleri", "Genel yönetim giderleri", "Finansman giderleri"]
+    labels = [line[0] for line in STATEMENT_LINES]
     s = "varchar" if d is DUCK else "string"
     tr = lambda x: f"concat(replace({d['grouped'](d['div'](x, 10))}, ',', '.'), ',', cast({x} % 10 as {s}))"
     label = "case nation % 6 " + " ".join(f"when {k} then '{v}'" for k, v in enumerate(labels)) + " end"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from dataclasses import dataclass, fields
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +12,54 @@ PROVISION = "id string, source string, article string, title string, text string
 REVIEW = "risk_score int, score_rationale string, summary string, risks array<struct<title:string,severity:string,finding:string,evidence:string>>, recommendations array<string>, key_metrics array<struct<label:string,value:string,note:string>>, advisor_questions array<string>, references array<struct<source:string,article:string,title:string>>"
 
 
+# The tables of the legal corpus and of usage, with the keys that their rows are unique by.
+TABLES = {
+    "raw_legal_document": ("id long, source_title string, authority string, official_url string, retrieved_at timestamp, content_hash string, media_type string, raw_content binary", ["official_url", "content_hash"]),
+    "legal_provision": ("id long, raw_document_id long, provision_key string, source_title string, law_number string, article string, paragraph string, title string, provision_text string, authority string, document_type string, topics string, applicable_documents string, keywords string, effective_from date, effective_to date, status string, official_url string, content_hash string, verified boolean, embedding array<float>, created_at timestamp, updated_at timestamp", ["provision_key"]),
+    "legal_version": ("id long, provision_id long, valid_from date, valid_to date, provision_text string, content_hash string, change_source_url string", ["provision_id", "valid_from"]),
+    "legal_relation": ("source_provision_id long, target_provision_id long, relation_type string", ["source_provision_id", "target_provision_id", "relation_type"]),
+    "audit_reference": ("audit_id string, provision_id long, retrieval_score double, cited_at timestamp", ["audit_id", "provision_id"]),
+    "device_usage": ("device_id string, month string, used_count long", ["device_id", "month"]),
+}
+
+
+@dataclass(frozen=True)
+class Settings:
+    """Defaults, which the session's configuration replaces: spark.docugrain.<name>."""
+
+    max_pdf_bytes: int = 15_728_640
+    audit_rate_limit_per_hour: int = 5
+    free_monthly_limit: int = 5
+    result_limit: int = 8
+    token_secret: str = ""
+    usage_database_url: str = ""
+
+    @classmethod
+    def of(cls, spark: SparkSession) -> Settings:
+        found = {f.name: spark.conf.get(f"spark.docugrain.{f.name}", None) for f in fields(cls)}
+        return cls(**{k: type(getattr(cls, k))(v) for k, v in found.items() if v is not None})
+
+
+def create_tables(spark: SparkSession, database: str = "default") -> None:
+    """Makes the tables that aren't there; those that are stay as they are."""
+    for name, (columns, _) in TABLES.items():
+        spark.sql(f"create table if not exists {database}.{name} ({columns}) using parquet")
+
+
+def conflicts(rows: DataFrame, name: str) -> DataFrame:
+    """Keys of a table's rows that occur more than once, as parquet tables have no unique keys of their own."""
+    return rows.groupBy(*TABLES[name][1]).count().where("count > 1")
+
+
+def provision_rows(stored: DataFrame) -> DataFrame:
+    """Rows of the legal_provision table as provisions: 18 columns, JSON texts as arrays; a bad or null array text is an empty array."""
+    listed = lambda c: F.coalesce(F.from_json(c, "array<string>"), F.array().cast("array<string>"))
+    return stored.select(
+        F.col("provision_key").alias("id"), F.col("source_title").alias("source"), "article", "title", F.col("provision_text").alias("text"), listed("keywords").alias("keywords"), "law_number", "paragraph", "authority", "document_type",
+        listed("topics").alias("topics"), listed("applicable_documents").alias("applicable_documents"), "effective_from", "effective_to", "status", "official_url", "content_hash", "verified",
+    )
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -35,15 +84,31 @@ def write_reviews(reviews: DataFrame, path: str) -> None:
 
 
 def upsert_usage(batch: DataFrame, path: str, device: str, month: str = "month") -> DataFrame:
-    """Counts of a batch added to the table at path, as a new version beside it; returns that version."""
+    """Adds the counts of a batch to the table at path and returns what it holds then.
+
+    The table is a folder of versions; the sum of the last one and the batch is written as the next one, so readers see the
+    old version or the new one, and a run that fails leaves only a version without _SUCCESS, which is replaced."""
     spark = batch.sparkSession
     added = batch.groupBy(device, month).agg(F.count(F.lit(1)).alias("used_count"))
-    old = spark.read.parquet(path)
-    both = old.select(device, month, "used_count").unionByName(added)
-    return both.groupBy(device, month).agg(F.sum("used_count").alias("used_count"))
+    last = last_version(spark, path)
+    both = spark.read.parquet(f"{path}/v={last}").select(device, month, "used_count").unionByName(added) if last else added
+    both.groupBy(device, month).agg(F.sum("used_count").alias("used_count")).write.mode("overwrite").parquet(f"{path}/v={last + 1}")
+    return spark.read.parquet(f"{path}/v={last + 1}")
+
+
+def last_version(spark: SparkSession, path: str) -> int:
+    """The greatest version that was written in full; 0 without any."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    system = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in system.listStatus(at)] if system.exists(at) else []
+    done = [int(n[2:]) for n in names if n.startswith("v=") and system.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS"))]
+    return max(done, default=0)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; a temporary folder only where that is unset (local tests)."""
+    """The cluster's spark.checkpoint.dir. Where that is unset, a temporary folder in local mode; on a cluster, an error, as executors share no local folder."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not at and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return (at or f"file://{tempfile.mkdtemp(prefix='docugrain-')}").rstrip("/")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import state
+
 
 def requests(spark: SparkSession, sf_dir: str, name: str = "events") -> DataFrame:
     """A stream over the files of a table; ts as an instant, as watermarks need."""
@@ -22,14 +25,40 @@ def hourly(stream: DataFrame, device: str, limit: int, late: str = "2 hours") ->
     return grouped.select(device, F.floor(F.unix_seconds("window.start") / 3600).cast("bigint").alias("hour_epoch"), "requests", F.least("requests", F.lit(limit)).cast("bigint").alias("allowed"))
 
 
-def drained(stream: DataFrame, folder: str) -> DataFrame:
-    """Runs a stream over what is there to its end and returns the result as a table. Each batch's complete result replaces the last one, in the shared folder."""
+def job_states(stream: DataFrame, job: str, status, cancelled, order: list[str]) -> DataFrame:
+    """The streaming twin of the job fold: one state a job, as in the reference's store."""
+    return state.job_state(stream, job, status, cancelled, order).select(job, "status")
+
+
+def latest(stream: DataFrame, key: str, value, order: list[str]) -> DataFrame:
+    """The streaming twin of last write wins."""
+    return state.latest(stream, key, value, order)
+
+
+def drained(stream: DataFrame, keys: list[str], folder: str) -> DataFrame:
+    """Runs a stream over what is there to its end and returns the last row of each key.
+
+    Update mode: each batch writes the rows it changed, and state goes with the watermark. A batch's folder carries its number
+    and is replaced if the batch runs again, so the sink is idempotent; the reader takes each key's row of the last batch."""
     spark = stream.sparkSession
     path = f"{folder}/stream-{uuid.uuid4().hex}"
 
-    def put(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/out")
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/out/batch={number}")
 
-    query = stream.writeStream.outputMode("complete").foreachBatch(put).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    query = stream.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{path}/out")
+    rows = spark.read.schema(f"{', '.join(f'`{n}` {t}' for n, t in stream.dtypes)}, batch long").parquet(f"{path}/out")
+    rest = [c for c in stream.columns if c not in keys]
+    out = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("x")).select(*keys, "x.*")
+    atexit.register(_forget, spark, path)
+    return out
+
+
+def _forget(spark: SparkSession, path: str) -> None:
+    try:
+        if spark.sparkContext._jsc is not None:
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    except Exception:  # the JVM ended before us: the cluster's own clean-up has it
+        pass

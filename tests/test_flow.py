@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from docugrain.operators import reviewer
+from docugrain.operators import corpus, findings, pages, reviewer, state
 from docugrain.plans import review
 from docugrain.sources import tables
 
@@ -47,8 +47,143 @@ def test_sources_and_sinks(spark, tmp_path):
     (tmp_path / "c.json").write_text(json.dumps([{"id": "1", "source": "s", "article": "a", "title": "t", "text": "x", "keywords": ["k"]}]))
     row = tables.provisions(spark, f"{tmp_path}/c.json").first()
     assert row.keywords == ["k"] and row.status is None
-    spark.createDataFrame([("d", "2024-01", 2)], "device string, month string, used_count long").write.parquet(f"{tmp_path}/u")
-    got = tables.upsert_usage(spark.createDataFrame([("d", "2024-01"), ("e", "2024-01")], "device string, month string"), f"{tmp_path}/u", "device")
-    assert {(r.device, r.used_count) for r in got.collect()} == {("d", 3), ("e", 1)}
+    usage = lambda *rows: tables.upsert_usage(spark.createDataFrame(list(rows), "device string, month string"), f"{tmp_path}/u", "device")
+    assert [(r.device, r.used_count) for r in usage(("d", "2024-01"), ("d", "2024-01")).collect()] == [("d", 2)]
+    assert {(r.device, r.used_count) for r in usage(("d", "2024-01"), ("e", "2024-01")).collect()} == {("d", 3), ("e", 1)}
+    assert tables.last_version(spark, f"{tmp_path}/u") == 2 and spark.read.parquet(f"{tmp_path}/u/v=1").count() == 1
     tables.write_reviews(spark.range(1).select(F.lit(5).alias("risk_score")), f"{tmp_path}/r")
     assert spark.read.json(f"{tmp_path}/r").first().risk_score == 5
+
+
+def test_tables_and_settings(spark):
+    spark.sql("create database if not exists corpus_test")
+    tables.create_tables(spark, "corpus_test")
+    tables.create_tables(spark, "corpus_test")
+    assert {r.tableName for r in spark.sql("show tables in corpus_test").collect()} == set(tables.TABLES)
+    spark.sql("insert into corpus_test.legal_relation values (1, 2, 'amends'), (1, 2, 'amends'), (2, 3, 'repeals')")
+    assert [r["count"] for r in tables.conflicts(spark.table("corpus_test.legal_relation"), "legal_relation").collect()] == [2]
+    spark.sql("drop database corpus_test cascade")
+    spark.conf.set("spark.docugrain.result_limit", "3")
+    assert tables.Settings.of(spark).result_limit == 3 and tables.Settings.of(spark).max_pdf_bytes == 15_728_640
+    spark.conf.unset("spark.docugrain.result_limit")
+
+
+def test_cache_renews_on_a_miss_only(spark):
+    at = lambda m: f"2024-01-01 00:{m:02d}:00"
+    rows = [("a", 1, at(0)), ("a", 2, at(4)), ("a", 3, at(8)), ("a", 4, at(12)), ("a", 5, at(13)), ("b", 6, at(4)), ("a", 7, at(0)), ("b", 8, at(9))]
+    got = {r.event_id: r.hit for r in state.cache_hits(spark.createDataFrame(rows, "device string, event_id int, t string").withColumn("ts", F.col("t").cast("timestamp")), "device", "ts", "event_id").collect()}
+    assert got == {1: False, 7: True, 2: True, 3: False, 4: True, 5: False, 6: False, 8: False}
+    assert state.cache_hits(spark.createDataFrame([], "device string, event_id int, ts timestamp"), "device", "ts", "event_id").count() == 0
+
+
+@pytest.mark.parametrize(("events", "want"), [
+    ([(1, "PENDING", False), (2, "PROCESSING", False), (3, "PROCESSING", True), (4, "DONE", False)], "FAILED"),
+    ([(1, "PENDING", False), (2, "PENDING", True), (3, "PROCESSING", False)], "PROCESSING"),
+    ([(1, "PROCESSING", False), (2, "DONE", False), (3, "DONE", False)], "DONE"),
+    ([(1, "PROCESSING", False), (2, "DONE", True)], "DONE"),
+    ([(1, "PROCESSING", True), (2, "FAILED", False)], "FAILED"),
+])
+def test_the_cancel_flag_is_read_when_the_work_ends(spark, events, want):
+    rows = spark.createDataFrame([(7, *e) for e in events], "job int, at int, status string, cancel boolean")
+    assert state.job_state(rows, "job", F.col("status"), F.col("cancel"), ["at"]).first().status == want
+
+
+def test_retrieval_of_provisions(spark):
+    rows = [("p1", "Faiz", "Akdi faiz oranı hesap özetinde yer alır.", ["asgari ödeme", "FAİZ"], None), ("p2", "Sigorta", "Poliçe primi.", ["sigorta"], None), ("p3", "Kredi", "Kredi kartı faiz oranı.", ["gecikme"], "REPEALED"), ("p4", "Genel", "Başka.", None, "ACTIVE")]
+    provisions = spark.createDataFrame(rows, "id string, title string, text string, keywords array<string>, status string").withColumn("words", F.concat_ws(" ", "title", "text"))
+    asked = [(1, "Kredi kartı akdi faiz oranı, gecikme faizi ve asgari ödeme tutarı hesap özetinde yer alır."), (2, "xyz"), (3, None), (4, "ﬁnans \uff26\uff21\u0130\uff3a")]
+    valid = corpus.active_on(F.col("status"), F.lit(None), F.lit(None), F.current_date())
+    got = {}
+    for r in corpus.retrieve(spark.createDataFrame(asked, "doc int, text string"), provisions, "doc", "text", "id", "keywords", "words", valid, 2).collect():
+        got.setdefault(r.doc, []).append((r.place, r.id, r.score))
+    assert got[1] == [(1, "p1", 4 + 4 + 7)] and got[2] == got[3] == [(1, "p1", 0.0), (2, "p2", 0.0)] and got[4] == [(1, "p1", 5.0)]
+
+
+def test_cover_density():
+    words = "a b x a x x b".split()
+    # Stretches: (a b) at once, (b x a) with one between, (a x x b) with two between.
+    assert corpus.cover_density(words, {"a", "b"}, 0) == pytest.approx(0.4 + 0.4 / 2 + 0.4 / 3)
+    assert corpus.cover_density(words, {"a", "b"}, 1) == pytest.approx(2 / (1 + 2.5) + 0.4 / 2 + 0.4 / 3)
+    assert corpus.cover_density(words, {"a", "z"}, 0) == 0 and corpus.cover_density(words, {"x"}, 0) == pytest.approx(1.2)
+
+
+def test_nearest_by_blocks(spark):
+    rows = [(k, [float((k * 7) % 5), float(k % 3), 1.0] if k != 4 else [0.0, 0.0, 0.0]) for k in range(30)] + [(99, None)]
+    v = spark.createDataFrame(rows, "id long, e array<float>")
+    norm = {k: [x / max(1e-300, sum(y * y for y in e) ** 0.5) for x in e] for k, e in rows if e}
+    for block in (2, 100):
+        got = corpus.nearest(v.where("id % 5 = 0"), v, "id", "e", 3, block).collect()
+        for q in range(0, 30, 5):
+            want = sorted(((-round(sum(a * b for a, b in zip(norm[q], norm[k], strict=True)), 9), k) for k in norm if k != q))[:3]
+            assert [(-round(r.similarity, 9), r.id) for r in sorted((r for r in got if r.query == q), key=lambda r: r.place)] == want
+
+
+def chunk_loop(text, cap):
+    import re
+
+    if text is None or len(text) <= cap:
+        return [text or ""]
+    starts = [m.start() for m in re.finditer(r"\[REPORT PAGE \d+\]", text)]
+    if len(starts) <= 1:
+        return [text[k : k + cap] for k in range(0, len(text), cap)]
+    out, begin = [], 0
+    for k, at in enumerate(starts):
+        end = starts[k + 1] if k + 1 < len(starts) else len(text)
+        if end - begin > cap and at > begin:
+            out.append(text[begin:at])
+            begin = at
+    return [*out, text[begin:]]
+
+
+def test_chunks_equal_a_plain_loop(spark):
+    import random
+
+    rnd, texts = random.Random(4), [None, "", "x" * 100, "x" * 101, "[REPORT PAGE 1]" + "y" * 300, "a" * 250 + "[REPORT PAGE 1]b[REPORT PAGE 2]" + "c" * 90]
+    texts += ["p" * rnd.randrange(0, 150) + "".join(f"[REPORT PAGE {k}]" + "z" * rnd.randrange(0, 140) for k in range(rnd.randint(0, 9))) for _ in range(40)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string").select("id", pages.text_chunks(F.col("text"), 100).alias("chunks"))
+    assert {r.id: r.chunks for r in rows.collect()} == {k: chunk_loop(t, 100) for k, t in enumerate(texts)}
+
+
+def test_nfkc_equals_the_standard_library(spark):
+    import unicodedata
+
+    from docugrain.functions import text as X
+
+    for t in ("ﬁnans ２０２４ İIıi", "Ｆａｉｚ ½ ①", ""):
+        row = spark.createDataFrame([(t,)], "t string").select(X.lower_tr(X.nfkc()(F.col("t"))).alias("x")).first()
+        assert row.x == unicodedata.normalize("NFKC", t).replace("İ", "i").replace("I", "ı").lower() == corpus.normalised(t)
+
+
+REPLY = {
+    "risk_score": 40, "score_rationale": "Oran %90,1. Makul.", "summary": "TMS. Oran %90,1. Kalan iyi.",
+    "risks": [{"title": "Kur riski", "severity": "HIGH", "finding": "f1", "evidence": "Kur farkı [REPORT PAGE 2] [REPORT PAGE 9]"}, {"title": "Yabancı", "severity": "LOW", "finding": "f2", "evidence": "Oran %90,1"}, {"title": "Sayı", "severity": "low", "finding": "f3", "evidence": "Tutar 4.321,5 (Sayfa 7)"}],
+    "recommendations": ["r1"], "key_metrics": [{"label": "Kâr", "value": "(2.609,7) (2.917,3) %11,8", "note": None}, {"label": "Oran", "value": "%90,1", "note": ""}, {"label": "kar", "value": "1,5", "note": ""}],
+    "advisor_questions": ["Oran %90,1 neden?", "Ne zaman?"], "references": [{"source": "S", "article": "1", "title": "t"}, {"source": "Z", "article": "1", "title": "t"}],
+}
+
+
+def test_whole_review(spark):
+    text = "[REPORT PAGE 1]\nTMS hukumlerine uygun\nTutar 4.321,5\n[REPORT PAGE 2]\nUFRS esaslarina dayanan\noran %90,1\n"
+    schema = "doc int, text string, language string, document_type string, context array<struct<source:string,article:string,title:string>>, total_pages int, included_pages int"
+    rows = spark.createDataFrame([(1, text, "tr", "rental", [("S", "1", "T1"), ("Y", "2", "T2")], 2, 2), (2, text, "en", None, [("Y", "2", "T2")], 2, 2), (3, text, "tr", None, None, 2, 2)], schema)
+    reply = lambda prompt, answer=json.dumps(REPLY): answer
+    got = {r.doc: r.review for r in review.audit(rows, call=reply).collect()}
+    a = got[1]
+    assert [(x.title, x.evidence) for x in a.risks] == [("Kur riski", "Kur farkı (Sayfa 2)"), ("Sayı", "Tutar 4.321,5 (Sayfa 1)")]
+    assert a.risk_score == 54 and a.summary == "TMS. Kalan iyi." and a.score_rationale == "Makul." and a.advisor_questions == ["Ne zaman?"]  # 100 - 28 - 3, at most 54 with a grave one
+    assert [(m.label, m.value) for m in a.key_metrics] == [("Kâr", "2.917,3 (%11,8)")] and a.recommendations == ["r1"]
+    assert [x.source for x in a.references] == ["S"] and [x.source for x in got[2].references] == ["Y"] and [x.source for x in got[3].references] == ["Rapor Sayfa 1", "Rapor Sayfa 2"]
+    # In chunks of one page each the reviews are merged and a note goes before the summary.
+    b = {r.doc: r.review for r in review.audit(rows.withColumn("total_pages", F.lit(5)), call=reply, chunk=90).collect()}[2]
+    assert b.summary == "Note: The first 2 of 5 pages were reviewed across 2 sections; the remaining pages are not included. TMS. Kalan iyi."
+    assert b.score_rationale == "1 high and 0 medium severity attention points were identified across the document." and [x.title for x in b.risks] == ["Kur riski", "Sayı"]
+
+
+def test_merged_reviews(spark):
+    risk = lambda title, severity: (title, severity, "f", "e")
+    parts = [(1, 0, (10, "x", " ", [risk("A", "LOW"), risk("B", "HIGH")], ["r", "s"], [("l", str(k), "") for k in range(4)], ["q1", "q2"], [])), (1, 1, (30, "y", "Second.", [risk(" a ", "MEDIUM"), risk("C", None)], ["s", "t"], [("l", str(k), "") for k in range(4)], [f"q{k}" for k in range(2, 9)], None)), (1, 2, (None, None, None, None, None, None, None, None))]
+    rows = spark.createDataFrame(parts, f"doc int, seq int, review struct<{review._fields()}>")
+    r = findings.merge_reviews(rows, "doc", "seq", "review", F.lit(False)).first().response
+    assert [x.title for x in r.risks] == ["B", " a ", "C"] and r.risk_score == 30 and r.summary == "Second." and r.recommendations == ["r", "s", "t"]
+    assert [m.value for m in r.key_metrics] == ["0", "1", "2", "3", "0", "1"] and r.advisor_questions == ["q1", "q2", "q3", "q4"]
+    assert r.score_rationale.startswith("1 high and 1 medium")
