@@ -35,9 +35,11 @@ def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; a temporary folder only where that is unset (local tests)."""
+    """The cluster's spark.checkpoint.dir. Where that is unset, a temporary folder in local mode; on a cluster, an error, as executors share no local folder."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         at = f"file://{tempfile.mkdtemp(prefix='docugrain-')}"
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")

@@ -5,8 +5,9 @@ places. Each is scaled by the log-count ratio of its place between the classes,
 smoothing; a linear hinge-loss model is then fit on the scaled indicators by dual coordinate descent, and its weights are mixed with
 their mean magnitude, as published for NB-SVM. The margin goes through a logistic curve to a score between 0 and 1.
 
-Training rows are a bounded sample: ``sample`` labelled rows outside the held-out third, those with the least hash of
-doc_id, evenly from both classes as far as there are. Scoring covers every row and the whole text. Features are those of the text alone.
+Training rows are a bounded sample: at most ``sample`` labelled rows outside the held-out third, those with the least hash of
+doc_id, evenly from both classes as far as there are, and of them as many as hold ``places`` feature places (4 bytes each) in that order: so
+the driver holds at most sample * 2**bits or ``places`` of them, whichever is less, and one row at least of each class. Scoring covers every row and the whole text. Features are those of the text alone.
 
 Defined results: null, empty or blank text has no features and scores by the bias; equal rows score alike; with no
 labelled row, or one class only, every score is that class's share (0.5 without any). A label row with a null is ignored;
@@ -20,17 +21,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import U64, WordHashes, id_text, mix, table, texts
+from .common import U64, WordHashes, cut, free, id_text, mix, table, texts
 
 
 @dataclass(frozen=True)
 class NBSVM:
     bits: int = 18
-    #: The bound on the training rows that come to the driver, as feature places (not texts).
+    #: The bound on the training rows that come to the driver, as rows of feature places (not texts).
     sample: int = 6000
+    #: The bound on their feature places: 4 bytes each on the way, 12 in the fit.
+    places: int = 20_000_000
     cost: float = 1.0
     epochs: int = 12
     mixture: float = 0.25
@@ -128,7 +131,13 @@ def classify(docs: DataFrame, labels: DataFrame, how: NBSVM = NBSVM(), label_col
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array([made.of(t).astype(np.int32) for t in texts(batch)], pa.list_(pa.int32()))], names=["doc_id", "y", "x"])
 
-    got = training_rows(mine, labels, how, label_col).mapInArrow(featured, "doc_id long, y int, x array<int>").toPandas().sort_values(["doc_id", "y"], kind="stable")
+    made = cut(training_rows(mine, labels, how, label_col).mapInArrow(featured, "doc_id long, y int, x array<int>"), "training")
+    # Rows in order of hash while their places, by class, fit the bound: sums of at most 2 * how.sample numbers.
+    inside = F.sum(F.size("x")).over(Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    first = F.row_number().over(Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    fits = made.withColumns({"_sum": inside, "_first": first}).where((F.col("_sum") <= how.places // 2) | (F.col("_first") == 1))
+    got = fits.select("doc_id", "y", "x").toPandas().sort_values(["doc_id", "y"], kind="stable")
+    free(made)
     weights, bias = fit([np.asarray(x, np.int64) for x in got["x"]], got["y"].to_numpy(np.int64), how)
     model = spark.sparkContext.broadcast((weights.astype(np.float32), bias))
 

@@ -666,3 +666,74 @@ def test_classifier_on_odd_rows(spark, odd, empty):
     assert len(got) == len(ODD) and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in got)
     assert all(r.score == pytest.approx(0.5) for r in quality_classifier.classify(odd, labels.limit(0)).collect())
     assert quality_classifier.classify(empty, labels).count() == 0
+
+
+def test_dual_fit_equals_a_plain_solver():
+    """Converged weights against projected gradient ascent on the same dual, in dense matrices."""
+    rnd, how = np.random.default_rng(6), quality_classifier.NBSVM(bits=5, epochs=3000, mixture=1.0)
+    labels = rnd.integers(0, 2, 24)
+    rows = [np.unique(rnd.integers(0, 32, 6) // (1 + y)) for y in labels]
+    weights, bias = quality_classifier.fit(rows, labels, how)
+    x = np.zeros((24, 33))
+    p, q = np.ones(32), np.ones(32)
+    for r, y in zip(rows, labels, strict=True):
+        (p if y else q)[r] += 1
+    ratio = np.log(p / p.sum() * q.sum() / q)
+    for k, r in enumerate(rows):
+        x[k, r] = ratio[r] / np.sqrt(len(r))
+        x[k, 32] = 1
+    y = np.where(labels, 1.0, -1.0)
+    cost = 24 / 2 / np.where(labels, labels.sum(), 24 - labels.sum())
+    kernel = (x * y[:, None]) @ (x * y[:, None]).T
+    alpha, step = np.zeros(24), 1 / np.linalg.eigvalsh(kernel)[-1]
+    for _ in range(200_000):
+        alpha = np.clip(alpha + step * (1 - kernel @ alpha), 0, cost)
+    w = (alpha * y) @ x
+    assert np.allclose(weights, w[:32] * ratio, atol=1e-4) and math.isclose(bias, w[32], abs_tol=1e-4)
+
+
+def test_scores_equal_brute_force(spark):
+    """The whole operator on a small table: sample, counts, ratios, fit and scores in plain loops over sets of features."""
+    how = quality_classifier.NBSVM(sample=60, bits=14)
+    docs_ = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+    labels = spark.read.parquet(f"{SMALL}/labels.parquet")
+    fold = lambda d: zlib.crc32(str(d).encode()) % 3
+    hashed = {r.doc_id: r.h for r in spark.createDataFrame([(d,) for d in docs_], "doc_id long").select("doc_id", F.xxhash64("doc_id").alias("h")).collect()}
+    made = quality_classifier.Features(how.bits)
+    feature = {d: sorted(set(made.of(t).tolist())) for d, t in docs_.items()}
+    chosen = []
+    for y in (0, 1):
+        own = sorted((r.doc_id for r in labels.collect() if r.quality == y and fold(r.doc_id) != 1 and r.doc_id in docs_), key=lambda d: hashed[d])
+        chosen += [(d, y) for d in own[:30]]
+    chosen.sort()
+    counts = [collections.Counter(), collections.Counter()]
+    for d, y in chosen:
+        counts[y].update(feature[d])
+    size = 1 << how.bits
+    sums = [sum(c.values()) + size for c in counts]
+    ratio = lambda k: math.log((counts[1][k] + 1) / sums[1]) - math.log((counts[0][k] + 1) / sums[0])
+    each = [{k: ratio(k) / math.sqrt(max(1, len(feature[d]))) for k in feature[d]} for d, _ in chosen]
+    n = [sum(y == c for _, y in chosen) for c in (0, 1)]
+    w, b, alpha, order = collections.defaultdict(float), 0.0, [0.0] * len(chosen), np.random.default_rng(3)
+    for _ in range(how.epochs):
+        for i in order.permutation(len(chosen)):
+            y = 1 if chosen[i][1] else -1
+            gradient = y * (sum(w[k] * v for k, v in each[i].items()) + b) - 1
+            new = min(max(alpha[i] - gradient / (sum(v * v for v in each[i].values()) + 1), 0), len(chosen) / (2 * n[chosen[i][1]]))
+            for k, v in each[i].items():
+                w[k] += (new - alpha[i]) * y * v
+            b += (new - alpha[i]) * y
+            alpha[i] = new
+    mean = sum(map(abs, w.values())) / size
+    got = {r.doc_id: r for r in quality_classifier.classify(spark.read.parquet(f"{SMALL}/documents.parquet"), labels, how).collect()}
+    assert set(got) == set(docs_)
+    for d, own in feature.items():
+        margin = sum((how.mixture * mean + (1 - how.mixture) * w[k]) * ratio(k) for k in own) / max(1, len(own)) ** 0.5 + b
+        score = 1 / (1 + math.exp(-max(-30, min(30, 2 * margin))))
+        assert got[d].score == pytest.approx(score, abs=1e-4) and got[d].held_out == (fold(d) == 1) and got[d].predicted == (got[d].score >= 0.5)
+
+
+def test_the_sample_fits_its_bound_of_places(spark):
+    how = quality_classifier.NBSVM(places=2)
+    labels = spark.read.parquet(f"{SMALL}/labels.parquet")
+    assert quality_classifier.classify(spark.read.parquet(f"{SMALL}/documents.parquet"), labels, how).where("score between 0 and 1").count() == 200
