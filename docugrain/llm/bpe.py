@@ -30,7 +30,7 @@ NEVER = 1 << 60
 RUNS = re.compile(r"[a-z]+|[0-9]|[^a-z0-9]+")
 ASCII_WORD = re.compile(r"[!-&(-;=-~]+")
 #: Words whose ids and digests a worker holds (some 300 bytes each) before it starts anew; results don't depend on it.
-HELD = 1_000_000
+HELD = 800_000
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -307,11 +307,16 @@ class Strings(dict):
         return got
 
 
+#: Kept for all tasks of a worker process.
+_strings: dict[str, Strings] = {}
+
+
 def encode_digests(docs: DataFrame, vocabulary: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """What encode_texts gives, as counts and SHA-256 digests: no id leaves its worker, so nothing is shuffled or held."""
 
     def make():
-        memo = Strings(bpe(vocabulary_path(vocabulary)))
+        path = vocabulary_path(vocabulary)
+        memo = _strings.setdefault(path, Strings(bpe(path)))
 
         def one(text: str):
             parts = [memo[w] for w in text.encode().split()]
