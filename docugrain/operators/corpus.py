@@ -25,7 +25,7 @@ BLOCK_CHARS = 32_000_000
 
 def normalised(text: str | None) -> str:
     """NFKC, then lower case by Turkish rules."""
-    return unicodedata.normalize("NFKC", text or "").translate({0x130: "i", 0x49: "ı"}).lower()
+    return unicodedata.normalize("NFKC", text or "").replace("İ", "i").replace("I", "ı").lower()
 
 
 def _terms(text: str) -> set[str]:
@@ -50,15 +50,22 @@ class Provisions:
             for t in _terms(normalised(text)):
                 own = weights.setdefault(t, {})
                 own[k] = own.get(k, 0.0) + 1.0
-        self.postings = {t: (np.fromiter(own, np.int64, len(own)), np.fromiter(own.values(), np.float64, len(own))) for t, own in weights.items()}
+        # Terms of an eighth of the items and more as rows of a matrix (so at most eight times their postings), others as places and weights.
+        dense = [t for t, own in weights.items() if 8 * len(own) >= len(rows)]
+        self.row = {t: j for j, t in enumerate(dense)}
+        self.matrix = np.zeros((len(dense), len(rows)))
+        for t, j in self.row.items():
+            self.matrix[j, list(weights[t])] = list(weights[t].values())
+        self.postings = {t: (np.fromiter(own, np.int64, len(own)), np.fromiter(own.values(), np.float64, len(own))) for t, own in weights.items() if t not in self.row}
 
     def scores(self, text: str | None) -> np.ndarray:
         """4 for each keyword that the text has (as a term, or anywhere if it has a space), 1 for each common term."""
         text = normalised(text)
-        hits = [self.postings[t] for t in _terms(text) if t in self.postings]
-        out = np.zeros(len(self.items))
+        terms = _terms(text)
+        out = self.matrix[[self.row[t] for t in terms & self.row.keys()]].sum(axis=0)
+        hits = [self.postings[t] for t in terms & self.postings.keys()]
         if hits:
-            out = np.bincount(np.concatenate([h[0] for h in hits]), weights=np.concatenate([h[1] for h in hits]), minlength=len(out))
+            out += np.bincount(np.concatenate([h[0] for h in hits]), weights=np.concatenate([h[1] for h in hits]), minlength=len(out))
         for phrase, places in self.phrases.items():
             if phrase in text:
                 np.add.at(out, places, 4.0)
@@ -193,6 +200,11 @@ def references(asked: DataFrame, context: DataFrame, keys: list[str]) -> DataFra
     return asked.join(context.select(*keys).distinct(), keys, "left_semi")
 
 
+def orphans(rows: DataFrame, key: str, parents: DataFrame, parent_key: str) -> DataFrame:
+    """Rows whose key isn't null and that no parent has: what a foreign key would refuse."""
+    return rows.where(F.col(key).isNotNull()).join(parents.select(F.col(parent_key).alias(key)).distinct(), key, "left_anti")
+
+
 def chosen_references(asked: Column, context: Column) -> Column:
     """The asked references whose source and article the context has; the whole context if none is left. Both are a document's own short arrays of struct(source, article, title)."""
     kept = F.filter(asked, lambda r: F.exists(context, lambda c: (c.source == r.source) & (c.article == r.article)))

@@ -42,10 +42,14 @@ def with_retries(call: Callable[[str], str], attempts: int = 3, first_wait: floa
     return run
 
 
-def prompts(chunks: DataFrame, *keys: str, text: str = "text", kind: str = "document_type", language: str = "language") -> DataFrame:
-    """One prompt for each chunk: its type and language, then the first characters of its text up to the cap."""
+def prompts(chunks: DataFrame, *keys: str, text: str = "text", kind: str = "document_type", language: str = "language", context: str | None = None) -> DataFrame:
+    """One prompt for each chunk: its type and language, the provisions that may matter, if there are any, then the first characters of its text up to the cap."""
     head = F.concat(F.lit("Review this document. Type: "), X.document_type(F.col(kind)), F.when(F.lower(F.col(language)) == "tr", ". Yanıt dili: Türkçe.\n\n").otherwise(".\n\n"))
-    return chunks.select(*keys, F.concat(head, F.substring(text, 1, PROMPT_CAP)).alias("prompt"))
+    body = F.substring(text, 1, PROMPT_CAP)
+    if context:
+        lines = F.array_join(F.transform(context, lambda c: F.concat_ws(" - ", c.source, c.article, c.title)), "\n")
+        head = F.concat(head, F.when(F.size(context) > 0, F.concat(F.lit("Provisions that may matter:\n"), lines, F.lit("\n\n"))).otherwise(""))
+    return chunks.select(*keys, F.concat(head, body).alias("prompt"))
 
 
 def review(asked: DataFrame, *keys: str, call: Callable[[str], str] = offline) -> DataFrame:

@@ -45,6 +45,19 @@ def job_state(events: DataFrame, job: str, status: Column, cancelled: Column, or
     return rows.withColumn("status", F.when((F.col("last") == "DONE") & (F.col("cancel") < F.col("end")), "FAILED").otherwise(F.col("last")))
 
 
+def fold_hits(at, until: int | None, life: int):
+    """Hits of one device's look-ups, in order, and the end of its last entry; until: the end of the entry it has, if any. Jumps from miss to miss."""
+    import numpy as np
+
+    hit, k = np.ones(len(at), bool), 0
+    while k < len(at):
+        k += 0 if until is None else int(np.searchsorted(at[k:], until))
+        if k < len(at):
+            hit[k], until = False, int(at[k]) + life
+            k += 1
+    return hit, until
+
+
 def cache_hits(lookups: DataFrame, device: str, ts: str, tie: str, minutes: int = CACHE_TTL_MIN) -> DataFrame:
     """(device, tie, hit) for each look-up: an entry lives for some minutes from the miss that put it; a hit doesn't renew it.
 
@@ -57,7 +70,7 @@ def cache_hits(lookups: DataFrame, device: str, ts: str, tie: str, minutes: int
     rows = lookups.select(device, tie, F.unix_micros(F.col(ts).cast("timestamp")).alias("_at")).repartition(device).sortWithinPartitions(device, "_at", tie)
 
     def run(batches):
-        last, until = object(), 0
+        last, until = object(), None
         for batch in batches:
             at, own = batch.column(2).to_numpy(), batch.column(0).to_pylist()
             hit = np.ones(len(at), bool)
@@ -68,13 +81,9 @@ def cache_hits(lookups: DataFrame, device: str, ts: str, tie: str, minutes: int
                 while low < high:
                     middle = (low + high) // 2
                     low, high = (middle + 1, high) if own[middle] == own[k] else (low, middle)
-                if own[k] != last:
-                    last, until = own[k], at[k]
-                while k < low:
-                    k += int(np.searchsorted(at[k:low], until))
-                    if k < low:
-                        hit[k], until = False, at[k] + life
-                        k += 1
+                last, until = own[k], until if own[k] == last else None
+                hit[k:low], until = fold_hits(at[k:low], until, life)
+                k = low
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hit)], names=[device, tie, "hit"])
 
     return rows.mapInArrow(run, f"{device} {kinds[device]}, {tie} {kinds[tie]}, hit boolean")

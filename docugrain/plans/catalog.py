@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import numbers as N
 from ..functions import text as X
 from ..operators import corpus, findings, pages, requests, state
-from ..sources.tables import TABLES, provision_rows, shared_folder, table, upsert_usage
+from ..sources.tables import TABLES, provision_rows, provisions, shared_folder, table, upsert_usage
 from ..streaming import rate
 from . import inputs as I
 
@@ -192,7 +192,7 @@ def normalize_tr(spark, sf_dir):
 @query(f"select doc_id, cast(len(t) as int) as n_terms, sha256(array_to_string(list_sort(t), '|')) as terms_sha256 from (select doc_id, list_distinct([w for w in regexp_split_to_array({_LOWER.format('text')}, '{X.TERM_SPLIT}') if length(w) > 2]) as t from documents)")
 def tokenize_terms(spark, sf_dir):
     t = X.terms(X.lower_tr(F.col("text")))
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(t).alias("n_terms"), F.sha2(joined(F.array_sort(t)), 256).alias("terms_sha256"))
+    return table(spark, sf_dir, "documents").select("doc_id", t.alias("t")).select("doc_id", F.size("t").alias("n_terms"), F.sha2(joined(F.array_sort("t")), 256).alias("terms_sha256"))
 
 
 @query()
@@ -477,6 +477,28 @@ def reference_fallback(spark, sf_dir):
     return kept.unionByName(none.select("l_orderkey", F.lit(0).alias("l_linenumber"), F.explode(F.array(*map(F.lit, first)).cast("array<bigint>")).alias("l_partkey")))
 
 
+@query("select p_size, count(*) as n_children, count(*) filter (l_partkey in (select p_partkey from part where p_size < 45)) as n_with_parent from lineitem join part on p_partkey = l_partkey group by 1")
+def foreign_keys(spark, sf_dir):
+    """Rows of a table whose key another table holds, and all of them, by size of part: lines against the parts that are left."""
+    part = table(spark, sf_dir, "part")
+    lines = table(spark, sf_dir, "lineitem").join(part.select(F.col("p_partkey").alias("l_partkey"), "p_size"), "l_partkey")
+    lost = corpus.orphans(lines, "l_partkey", part.where("p_size < 45"), "p_partkey").groupBy("p_size").agg(F.count(F.lit(1)).alias("lost"))
+    all_ = lines.groupBy("p_size").agg(F.count(F.lit(1)).alias("n_children"))
+    return all_.join(lost, "p_size", "left").select("p_size", "n_children", (F.col("n_children") - F.coalesce("lost", F.lit(0))).alias("n_with_parent"))
+
+
+@query("select item_id, length(text) as n_chars, len(string_split(text, ' '))::int as n_keywords from benchmark")
+def corpus_json(spark, sf_dir):
+    """Provisions written as one JSON array a file and read by their schema."""
+    path = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
+    rows = table(spark, sf_dir, "benchmark").select(F.to_json(F.struct(F.col("item_id").cast("string").alias("id"), "text", F.split("text", " ").alias("keywords"))).alias("j"))
+    # Arrays of some hundred provisions each: a file is read whole by one task.
+    some = max(1, rows.count() // 500)
+    files = rows.groupBy(F.pmod(F.xxhash64("j"), F.lit(some)).alias("file")).agg(F.concat(F.lit("["), F.array_join(F.collect_list("j"), ","), F.lit("]")).alias("value"))
+    files.write.partitionBy("file").text(path)
+    return provisions(spark, path).select(F.col("id").cast("bigint").alias("item_id"), F.length("text").cast("bigint").alias("n_chars"), F.size("keywords").alias("n_keywords"))
+
+
 @query("select item_id, len(a)::int as n, a[1] as first from (select item_id, case when item_id % 4 = 0 then [] when item_id % 4 = 1 then [] else string_split(text, ' ') end as a from benchmark)")
 def json_array_text(spark, sf_dir):
     """Arrays that are stored as JSON texts; null and broken ones are empty."""
@@ -567,14 +589,23 @@ def ttl_sweep(spark, sf_dir):
     return e.crossJoin(F.broadcast(now)).select("event_id", (F.col("ts") <= F.col("now") - F.expr(f"interval {state.JOB_TTL_MIN} minutes")).alias("evicted"))
 
 
-@query("""with recursive e as (select user_id, event_id, ts, row_number() over (partition by user_id order by ts, event_id) as place, min(ts) over (partition by user_id order by ts range between interval 5 minute following and unbounded following) as next from events),
+_CACHE = """with recursive e as (select user_id, event_id, ts, row_number() over (partition by user_id order by ts, event_id) as place, min(ts) over (partition by user_id order by ts range between interval 5 minute following and unbounded following) as next from events),
 m as (select user_id, ts, next from e where place = 1 union all select m.user_id, n.ts, n.next from m join (select distinct user_id, ts, next from e) n on n.user_id = m.user_id and n.ts = m.next)
-select event_id, not exists (select 1 from m where m.user_id = x.user_id and m.ts = x.ts) or event_id <> (select min(event_id) from events y where y.user_id = x.user_id and y.ts = x.ts) as hit from events x""")
+select event_id, not exists (select 1 from m where m.user_id = x.user_id and m.ts = x.ts) or event_id <> (select min(event_id) from events y where y.user_id = x.user_id and y.ts = x.ts) as hit from events x"""
+
+
+@query(_CACHE)
 def ttl_cache(spark, sf_dir):
     """Whether each look-up finds a live entry, which only a miss puts and renews."""
     return state.cache_hits(table(spark, sf_dir, "events"), "user_id", "ts", "event_id").select("event_id", "hit")
 
 
+@query(_CACHE)
+def stream_ttl_cache(spark, sf_dir):
+    hits = rate.cache_hits(rate.requests(spark, sf_dir), "user_id", "ts", "event_id")
+    return rate.drained(hits, ["event_id"], shared_folder(spark)).select("event_id", "hit")
+
+
 _LATEST = "select user_id, arg_max(event_type || ':' || event_id, epoch_us(ts)::hugeint * 1000000 + event_id) as value from events where trim(event_type) <> '' and user_id is not null group by 1"
 
 

@@ -70,8 +70,8 @@ def audit(docs: DataFrame, doc: str = "doc", call: Callable[[str], str] = review
 
     Chunks and responses of a document are few: a text is capped at 3,000,000 characters."""
     docs = docs.withColumn("_chunks", pages.text_chunks(F.col("text"), chunk))
-    parts = docs.select(doc, "language", "document_type", F.posexplode("_chunks").alias("seq", "text"))
-    told = reviewer.review(reviewer.prompts(parts, doc, "seq", "language"), doc, "seq", "language", call=call)
+    parts = docs.select(doc, "language", "document_type", F.coalesce("context", F.array().cast(REFERENCES)).alias("context"), F.posexplode("_chunks").alias("seq", "text"))
+    told = reviewer.review(reviewer.prompts(parts, doc, "seq", "language", context="context"), doc, "seq", "language", call=call)
     tr = F.coalesce(F.lower("language") == "tr", F.lit(False))
     merged = findings.merge_reviews(told, doc, "seq", "review", tr)
     single = told.where("seq = 0").select(doc, F.col("review").alias("_single"))

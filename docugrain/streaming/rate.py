@@ -35,6 +35,28 @@ def latest(stream: DataFrame, key: str, value, order: list[str]) -> DataFrame:
     return state.latest(stream, key, value, order)
 
 
+def cache_hits(stream: DataFrame, device: str, ts: str, tie: str, minutes: int = state.CACHE_TTL_MIN, late: str = "2 hours") -> DataFrame:
+    """The streaming twin of the cache: one instant of state a device, which goes once the watermark has passed it. Look-ups of a batch are taken in order of time."""
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    kinds, life = dict(stream.dtypes), minutes * 60_000_000
+
+    def step(key, frames, held):
+        import pandas as pd
+
+        if held.hasTimedOut:
+            held.remove()
+            return
+        rows = pd.concat(list(frames)).sort_values(["_at", tie], kind="stable")
+        hit, until = state.fold_hits(rows["_at"].to_numpy(), held.get[0] if held.exists else None, life)
+        held.update((until,))
+        held.setTimeoutTimestamp(max(until // 1000, held.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({device: rows[device], tie: rows[tie], "hit": hit})
+
+    rows = stream.withWatermark(ts, late).select(device, tie, ts, F.unix_micros(ts).alias("_at"))
+    return rows.groupBy(device).applyInPandasWithState(step, f"{device} {kinds[device]}, {tie} {kinds[tie]}, hit boolean", "until long", "update", GroupStateTimeout.EventTimeTimeout)
+
+
 def drained(stream: DataFrame, keys: list[str], folder: str) -> DataFrame:
     """Runs a stream over what is there to its end and returns the last row of each key.
 

@@ -187,3 +187,35 @@ def test_merged_reviews(spark):
     assert [x.title for x in r.risks] == ["B", " a ", "C"] and r.risk_score == 30 and r.summary == "Second." and r.recommendations == ["r", "s", "t"]
     assert [m.value for m in r.key_metrics] == ["0", "1", "2", "3", "0", "1"] and r.advisor_questions == ["q1", "q2", "q3", "q4"]
     assert r.score_rationale.startswith("1 high and 1 medium")
+
+
+def test_full_text_query_equals_plain_loops(spark):
+    import re
+
+    from docugrain.plans import catalog
+
+    at = "/root/testdata/sf0.001"
+    items = {r.item_id: r.text for r in spark.read.parquet(f"{at}/benchmark.parquet").collect()}
+    split = lambda t: re.findall(r"[^\W_]+", t.lower())
+    want = {}
+    for q, text in items.items():
+        found = re.findall(r"[^\W_]+", text)
+        asked = {found[0].lower(), found[-1].lower()}
+        hits = []
+        for i, t in items.items():
+            title = t.split()[0]
+            words = split(title) + split(t)
+            if asked <= set(words):
+                hits.append((-corpus.cover_density(words, asked, len(split(title))), i % 2 == 0, i))
+        # Order is by item_id % 2 <> 0, false first.
+        want[q] = [(k + 1, i) for k, (_, _, i) in enumerate(sorted(((r, i % 2 != 0, i) for r, _, i in hits))[:8])]
+    got = {}
+    for r in catalog.full_text_rank(spark, at).collect():
+        got.setdefault(r["query"], []).append((r.place, r.item_id))
+    assert {q: sorted(v) for q, v in got.items()} == {q: v for q, v in want.items() if v}
+
+
+def test_prompts_with_context(spark):
+    rows = spark.createDataFrame([(1, "text", "rental", "en", [("S", "1", "T")]), (2, "text", None, "tr", [])], "doc int, text string, document_type string, language string, context array<struct<source:string,article:string,title:string>>")
+    got = {r.doc: r.prompt for r in reviewer.prompts(rows, "doc", context="context").collect()}
+    assert "S - 1 - T" in got[1] and got[1].endswith("text") and "Provisions" not in got[2]
