@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, html_text, lattice_lm, licenses, near_dups, quality_classifier, quality_rules, secrets, token_store
+from . import bpe, decontaminate, html_text, lattice_lm, licenses, near_dups, packing, quality_classifier, quality_rules, secrets, token_store
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_token_store": token_store.op8_token_store,
         "op9_licenses": licenses.op9_licenses,
         "op10_quality_classifier": quality_classifier.op10_quality_classifier,
+        "op11_packing": packing.op11_packing,
     }
 
 
