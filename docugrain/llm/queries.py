@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, hard_negatives, html_text, lattice_lm, licenses, near_dups, packing, quality_classifier, quality_rules, secrets, token_store
+from . import bpe, conversation_trie, decontaminate, hard_negatives, html_text, lattice_lm, licenses, near_dups, packing, quality_classifier, quality_rules, secrets, token_store
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op9_licenses": licenses.op9_licenses,
         "op10_quality_classifier": quality_classifier.op10_quality_classifier,
         "op11_packing": packing.op11_packing,
+        "op12_conversation_trie": conversation_trie.op12_conversation_trie,
         "op13_hard_negatives": hard_negatives.op13_hard_negatives,
     }
 
