@@ -77,7 +77,7 @@ class Scan:
         sums = np.cumsum(hashes * factors)
         before = np.append(U64(0), sums)[starts]
         if goes_on:
-            before[0] -= self.sum
+            before[:1] -= self.sum
         sums -= np.repeat(before, lengths)
         self.conv, self.at, self.sum = convs[-1], int(places[-1]), sums[-1]
         return places, sums

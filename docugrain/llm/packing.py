@@ -30,6 +30,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -65,7 +66,7 @@ class Mix:
 
 @dataclass(frozen=True)
 class Phase:
-    """From the id ``start`` on, ``length`` ids. For each queue: ids served before, cumulative weight before it, weight."""
+    """From the id ``start`` on, ``length`` ids. For each queue: ids served before, cumulative weight before it, weight. Windows lie on one grid over all phases, so the first one of a phase may be a rest."""
 
     start: int
     length: int
@@ -73,6 +74,21 @@ class Phase:
     before: list[int]
     weight: list[int]
     total: int
+    window: int
+
+    @property
+    def shift(self) -> int:
+        return self.start % self.window
+
+    def edge(self, i: int, last: int) -> int:
+        """Ids of the phase before its window i; last: its last window."""
+        return 0 if i == 0 else self.length if i > last else i * self.window - self.shift
+
+    @cached_property
+    def last(self) -> int:
+        """The last window: a rest of one where no queue would have to give back an id for that, else a whole one and the rest."""
+        i = (self.shift + self.length - 1) // self.window
+        return i if all(self.given(q, self.length) >= self.given(q, self.edge(i, i)) for q, w in enumerate(self.weight) if w) else max(0, i - 1)
 
     def up_to(self, x: int, c: int) -> int:
         return x * c // self.total
@@ -97,7 +113,7 @@ def schedule(tokens: list[int], weights: list[int], window: int) -> list[Phase]:
             total, length = 1, left[first]
         elif length >= window and any(0 < w * window < 2 * total for w in own):
             raise ValueError("a window must hold two ids of every queue: take larger windows or targets")
-        phase = Phase(start, length, served[:], [0, *np.cumsum(own, dtype=object)[:-1]], own, total)
+        phase = Phase(start, length, served[:], [0, *np.cumsum(own, dtype=object)[:-1]], own, total, window)
         phases.append(phase)
         for q, w in enumerate(own):
             if w:
@@ -108,7 +124,7 @@ def schedule(tokens: list[int], weights: list[int], window: int) -> list[Phase]:
     return phases
 
 
-def places(phases: list[Phase], q: int, j: int, n: int, window: int) -> Iterator[tuple[int, int]]:
+def places(phases: list[Phase], q: int, j: int, n: int) -> Iterator[tuple[int, int]]:
     """(place, ids) of the runs that ids j to j + n of queue q become, in order."""
     for p in phases:
         if not p.weight[q]:
@@ -116,10 +132,10 @@ def places(phases: list[Phase], q: int, j: int, n: int, window: int) -> Iterator
         k = j - p.served[q]
         if k >= p.given(q, p.length):
             continue
-        last = max(1, p.length // window) - 1  # the last window of a phase takes what is left, too
-        i = min(last, k * p.total // (p.weight[q] * window))
+        last = p.last
+        i = min(last, (k * p.total // p.weight[q] + p.shift) // p.window)
         while n:
-            x, y = i * window, p.length if i == last else (i + 1) * window
+            x, y = p.edge(i, last), p.edge(i + 1, last)
             a, b = p.given(q, x), p.given(q, y)
             take = min(n, b - k)
             if take > 0:
@@ -216,7 +232,7 @@ def pack(docs: DataFrame, how: Mix = Mix(), id_col: str = "doc_id", text_col: st
             for i, q, n, data, first in zip(*(batch.column(x) for x in ("doc_id", "queue", "n_tokens", "ids", "first")), strict=True):
                 i, q, n, data, first, start = i.as_py(), q.as_py(), n.as_py(), data.as_buffer(), first.as_py(), 0
                 ids = np.frombuffer(data, f"<u{data.size // n}").astype("<u4")
-                for place, run_ in places(phases, q, first, n, how.ids):
+                for place, run_ in places(phases, q, first, n):
                     for sequence, offset, length in lines.cut(place, run_):
                         piece = ids[start : start + length]
                         for column, x in zip(columns, (i, start, length, zlib.crc32(piece), n, sequence, offset, q, piece), strict=False):
