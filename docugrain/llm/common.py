@@ -81,11 +81,6 @@ def free(*tables: DataFrame) -> None:
         remove(t.sparkSession, t.written_at.rpartition("/")[0])
 
 
-def sweep(spark: SparkSession) -> None:
-    """Has the driver's JVM collect plans that nothing holds any more, upon which Spark drops their shuffle files."""
-    spark.sparkContext._jvm.System.gc()
-
-
 # --- Arrow -------------------------------------------------------------------------------------------------------
 
 

@@ -6,19 +6,20 @@ banding computes 2r for each table. Three diagonals of the pairs (j = i, i+1, i+
 since what is missed most is a pair that shares no band of one side; so 3*m tables are formed. Candidates that meet in a
 table are confirmed on their full shingle sets (exact counts of common 64-bit shingle hashes).
 
-Equal sets form one class first, by partial aggregation, so that copies never meet in a table. No pairs within a group
-are listed; three levels find its links, and what is linked already isn't compared again:
+Equal sets form one class first, by partial aggregation, so that copies never meet in a table. Then three levels find the
+links of each table, and what is linked already isn't compared again:
 
 1. In each table the hub is the least member. Each member is compared with the hub that it meets in most tables.
 2. Members are compared with their other hubs, where the two are not in one component by then.
-3. Two members that no hub links may still be linked with each other. Where a hub's members lie in several components,
-   what they share is what sets them apart from the hub: two linked sets differ from it in nearly the same shingles. So
-   each member takes the ``hubs`` most met of these hubs, MinHashes of the symmetric difference with each of them are
-   keys of further tables, and in each of those all members are compared with one: in the first turn the one nearest to the
-   hub, in further turns one drawn by hash, until ``idle`` turns in a row add no link or ``turns`` are done.
+3. What no hub links may still be linked with each other, so tables whose members lie in several components are gone through whole. Each
+   of their members has a sketch of ``sketch`` MinHashes; two members of different components are compared exactly if their sketches
+   agree often enough, and a pair at the very threshold agrees less often with probability ``miss`` at most. First each member's ``near`` likeliest
+   mates are compared, then, with the components that these links give, all that are left. It ends as nothing is left to compare.
 
-Rows of each level are at most a constant for each member (its tables; hubs * (delta_bands + 1)). Levels 1 and 2 are exact
-for pairs of a member and a hub; level 3 is a search whose recall is measured (README), and ``hubs``, ``idle`` and ``turns`` widen it.
+No large table is gone through as it is: members of those with more than ``group`` members take finer tables, whose keys combine ``depth`` hashes of
+their sketches (as many tables as miss a pair at the threshold with probability ``miss`` at most). A finer table that is still larger is cut into pieces, and
+each two pieces meet in a cell of some ``group`` members. So no task holds more than such a group, whatever a table's size, and
+only sets that agree in all of a finer table's hashes meet quadratically.
 
 Defined results: null, empty or blank text has no shingles and is linked with nothing; a text of fewer words than a
 shingle is one shingle; equal rows are linked (each row has the least doc_id of its component); rows with one doc_id are taken for one document; a row without doc_id is kept and compared with none. Any length is read whole.
@@ -26,6 +27,7 @@ shingle is one shingle; equal rows are linked (each row has the least doc_id of
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 from itertools import product
 
@@ -34,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, WordHashes, cut, free, id_text, map_rows, mix, odd, sweep, table, texts, windows
+from .common import U64, WordHashes, cut, free, id_text, map_rows, mix, odd, table, texts, windows
 
 
 @dataclass(frozen=True)
@@ -48,19 +50,29 @@ class Tensor:
     miss: float = 3e-4
     #: Pairs of bands are (a_i, b_i), (a_i, b_i+1), ...: so many for each i.
     diagonals: int = 3
-    #: MinHashes of the shingles that set a member apart from a hub.
-    delta_bands: int = 24
-    #: Hubs that a member is set apart from, and turns over those tables, at most.
-    hubs: int = 2
-    turns: int = 6
-    #: Turns in a row without a link (the first one aside) after which no more are made.
-    idle: int = 1
+    #: MinHashes of a sketch; hashes of a finer table's key; members of a table or cell that is gone through whole, about; mates in the first turn.
+    sketch: int = 256
+    depth: int = 10
+    group: int = 256
+    near: int = 4
 
     @property
     def bands(self) -> int:
         """Least m at which a pair at the threshold meets in no table with probability ``miss`` at most."""
         return next(m for m in range(self.diagonals, 1000) if missed((self.percent / 100) ** self.rows, m, self.diagonals) <= self.miss)
 
+    @property
+    def finer(self) -> int:
+        """Finer tables, by the same rule."""
+        return math.ceil(math.log(self.miss) / math.log(1 - (self.percent / 100) ** self.depth))
+
+    @property
+    def least(self) -> int:
+        """Hashes in which the sketches of a pair at the threshold agree but for probability ``miss``."""
+        n, q = self.sketch, self.percent / 100
+        below = np.cumsum([math.comb(n, k) * q**k * (1 - q) ** (n - k) for k in range(n + 1)])
+        return int(np.searchsorted(below, self.miss, side="right"))
+
 
 def missed(q: float, m: int, diagonals: int) -> float:
     """Probability that no pair (a_i, b_i+k mod m), k < diagonals, is equal in both bands, each band being equal with probability q."""
@@ -132,32 +144,105 @@ def table_keys(reps: DataFrame, how: Tensor) -> DataFrame:
     return reps.select(F.explode(F.array(*pairs)).alias("key"), F.col("rep").alias("id"))
 
 
-def verified(pairs: DataFrame, sets: DataFrame, how: Tensor, delta: bool = False) -> DataFrame:
-    """pairs (a, b) with common and total counts from both full sets; with delta also MinHashes of the shingles that only one has. The hub side b may be a hot key: its join can be split by AQE, as both sides are plain exchanges."""
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """pairs (a, b) with common and total counts from both full sets. The hub side b may be a hot key: its join can be split by AQE, as both sides are plain exchanges."""
     left = pairs.join(sets.select(F.col("id").alias("a"), F.col("values").alias("va")), "a")
     both = left.join(sets.select(F.col("id").alias("b"), F.col("values").alias("vb")), "b").select("a", "b", "va", "vb")
 
-    factors = odd(how.delta_bands, 21)
-
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            common, total, bands = [], [], []
+            common, total = [], []
             for x, y in zip(batch.column("va"), batch.column("vb"), strict=True):
                 p, q = np.frombuffer(x.as_py(), U64), np.frombuffer(y.as_py(), U64)
                 n = len(np.intersect1d(p, q, assume_unique=True))
                 common.append(n)
                 total.append(len(p) + len(q) - n)
-                if delta:
-                    other = np.setxor1d(p, q, assume_unique=True)
-                    bands.append(least_products(other, factors).view(np.int64) if len(other) else [])
-            out = [batch.column("a"), batch.column("b"), pa.array(common, pa.int64()), pa.array(total, pa.int64())]
-            if delta:
-                out += [pa.array([t - c for c, t in zip(common, total, strict=True)], pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(out, names=["a", "b", "common", "total", "apart", "bands"][: len(out)])
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(common, pa.int64()), pa.array(total, pa.int64())], names=["a", "b", "common", "total"])
+
+    return both.mapInArrow(run, "a long, b long, common long, total long")
+
+
+def sketched(sets: DataFrame, how: Tensor) -> DataFrame:
+    """id, sketch (16 bits of each MinHash) and the keys of its finer tables."""
+
+    def make():
+        factors, rng = odd(how.sketch, 31), np.random.default_rng(32)
+        chosen = np.array([rng.choice(how.sketch, min(how.depth, how.sketch), replace=False) for _ in range(how.finer)])
+        weights = odd(chosen.shape[1], 33)
+
+        def each(batch):
+            out = {"id": batch.column("id"), "sketch": [], "keys": []}
+            for x in batch.column("values"):
+                least = mix(least_products(np.frombuffer(x.as_py(), U64), factors))
+                out["sketch"].append(least.astype(np.uint16).tobytes())
+                out["keys"].append(mix(mix((least[chosen] * weights).sum(axis=1)) + np.arange(len(chosen), dtype=U64)).view(np.int64))
+            return out
+
+        return each
+
+    return map_rows(sets, make, "id long, sketch binary, keys array<long>")
+
+
+def mixed_tables(placed: DataFrame, labels: DataFrame, name: str) -> DataFrame:
+    """key and members of the tables (key, id) whose members lie in several components."""
+    by_key = placed.join(labels, "id").groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+    return cut(by_key.where("lo <> hi").select("key", "members"), name)
 
-    return both.mapInArrow(run, "a long, b long, common long, total long" + ", apart long, bands array<long>" * delta)
+
+def likely(seats: DataFrame, labels: DataFrame, sketches: DataFrame, how: Tensor, near: int | None) -> DataFrame:
+    """Pairs (a, b), a > b, of members that share a table (key, id) but no component, and whose sketches agree often enough; of each member's only the ``near`` likeliest, if given."""
+    rows = seats.join(labels, "id").join(sketches.select("id", "sketch"), "id").repartition("key").sortWithinPartitions("key").select("key", "id", "label", "sketch")
+    least = how.least
+
+    def pairs(ids: np.ndarray, labels_: np.ndarray, sketch: np.ndarray):
+        for at in range(0, len(ids), 32):
+            agree = (sketch[at : at + 32, None] == sketch[None]).sum(axis=2, dtype=np.int32)
+            agree[(labels_[at : at + 32, None] == labels_[None]) | (agree < least)] = 0
+            if near is not None and agree.shape[1] > near:
+                agree[agree < np.partition(agree, -near, axis=1)[:, -near:].min(axis=1)[:, None]] = 0
+            i, j = np.nonzero(agree)
+            yield np.maximum(ids[at + i], ids[j]), np.minimum(ids[at + i], ids[j])
+
+    def through(rows_: pa.Table):
+        """Pairs of whole tables."""
+        keys, ids, own = (rows_[c].to_numpy() for c in ("key", "id", "label"))
+        sketch = np.frombuffer(b"".join(rows_["sketch"].to_pylist()), np.uint16).reshape(len(keys), -1)
+        edges = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+        for x, y in zip(edges[:-1], edges[1:], strict=True):
+            for a, b in pairs(ids[x:y], own[x:y], sketch[x:y]):
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    def run(batches):
+        held = None  # rows of the last key so far, which may go on
+        for batch in batches:
+            if batch.num_rows:
+                held = pa.Table.from_batches([batch] if held is None else [*held.to_batches(), batch])
+                keys = held["key"].to_numpy()
+                if keys[0] != keys[-1]:
+                    last = len(keys) - int(np.argmax(keys[::-1] != keys[-1]))
+                    yield from through(held.slice(0, last))
+                    held = held.slice(last)
+        if held is not None:
+            yield from through(held)
+
+    return rows.mapInArrow(run, "a long, b long").distinct()
+
+
+def seated(tables: DataFrame, sketches: DataFrame, labels: DataFrame, how: Tensor) -> DataFrame:
+    """(key, id) of tables and cells of at most some ``group`` members, in which every pair that shares one of the mixed tables (key, id, members) and isn't missed there meets."""
+    small = tables.where(F.col("members") <= how.group).select("key", "id")
+    # Members of large tables, by their finer ones.
+    finer = tables.where(F.col("members") > how.group).select("id").distinct().join(sketches, "id").select("id", F.explode("keys").alias("key"))
+    mixed = mixed_tables(finer, labels, "finer-tables")
+    placed = finer.join(mixed, "key")
+    pieces = F.ceil(F.col("members") * 2 / how.group)
+    piece = F.pmod(F.xxhash64("id"), pieces)
+    met = placed.where(F.col("members") > how.group).select("id", "key", piece.alias("p"), F.explode(F.sequence(F.lit(0).cast("long"), pieces - 1)).alias("q"))
+    cells = met.select(F.xxhash64("key", F.least("p", "q"), F.greatest("p", "q")).alias("key"), "id")
+    return small.union(placed.where(F.col("members") <= how.group).select("key", "id")).union(cells)
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, how: Tensor, id_col: str, text_col: str) -> DataFrame:
@@ -219,7 +304,6 @@ def near_duplicates(docs: DataFrame, how: Tensor = Tensor(), id_col: str = "doc_
     # A member and its hubs, with the number of tables in which they meet.
     stars = cut(keys.join(hubs, "key").where("id <> hub").groupBy(F.col("id").alias("a"), F.col("hub").alias("b")).agg(F.count(F.lit(1)).alias("tables")), "stars")
     free(hubs)
-    sweep(docs.sparkSession)
     wanted = stars.select(F.col("a").alias("id")).union(stars.select("b")).distinct()
     labels = cut(wanted.select("id", F.col("id").alias("label")), "labels")
     sets = cut(full_sets(docs, labels, how, id_col, text_col), "sets")
@@ -227,7 +311,7 @@ def near_duplicates(docs: DataFrame, how: Tensor = Tensor(), id_col: str = "doc_
 
     def add(labels: DataFrame, pairs: DataFrame, name: str) -> tuple[DataFrame, bool]:
         """Labels after the links among pairs, and whether there are any."""
-        found = cut(verified(pairs, sets, how).where(linked).select("a", "b"), f"{name}-links")
+        found = cut(verified(pairs, sets).where(linked).select("a", "b"), f"{name}-links")
         more = bool(found.limit(1).count())
         if more:
             labels = merged(labels, found, name)
@@ -240,35 +324,27 @@ def near_duplicates(docs: DataFrame, how: Tensor = Tensor(), id_col: str = "doc_
     rest = cut(ends(stars.join(main, ["a", "b"], "left_anti"), labels).where("x <> y").select("a", "b"), "other-hubs")
     labels, _ = add(labels, rest, "level-2")
     free(main, rest)
-    sweep(docs.sparkSession)
-    # Level 3: hubs whose members are not all in one component, most met first.
-    mixed = ends(stars, labels).groupBy("b").agg(F.count(F.lit(1)).alias("members"), F.min("x").alias("lo"), F.max("x").alias("hi")).where("lo <> hi").select("b", "members")
-    most = F.slice(F.sort_array(F.collect_list(F.struct("members", (-F.col("b")).alias("minus"))), asc=False), 1, how.hubs)
-    chosen = cut(stars.join(mixed, "b").groupBy("a").agg(most.alias("most")).select("a", F.explode("most").alias("m")).select("a", (-F.col("m.minus")).alias("b")), "chosen-hubs")
-    free(stars)
-    apart = cut(verified(chosen, sets, how, delta=True).select(F.col("a").alias("id"), "apart", F.array_append(F.transform("bands", lambda v, t: F.xxhash64(F.col("b"), t, v)), F.xxhash64("b")).alias("keys")), "apart")
-    free(chosen)
-    sweep(docs.sparkSession)
-    idle = 0
-    for turn in range(how.turns):
-        # The label goes along, so that only members of different components ever meet.
-        placed = apart.join(labels, "id").select("id", "apart", "label", F.explode("keys").alias("key"))
-        order = F.struct(F.xxhash64("id", F.lit(turn)), F.col("id")) if turn else F.struct("apart", "id")
-        firsts = cut(placed.groupBy("key").agg(F.min(F.struct(order.alias("o"), F.col("id"), F.col("label"))).alias("x"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key", F.col("x.id").alias("first"), F.col("x.label").alias("first_label")), f"firsts-{turn}")
-        met = placed.join(firsts, (placed.key == firsts.key) & (placed.label != firsts.first_label))
-        pairs = cut(met.select(F.greatest("id", "first").alias("a"), F.least("id", "first").alias("b")).distinct(), f"met-{turn}")
-        labels, more = add(labels, pairs, f"turn-{turn}")
-        free(firsts, pairs)
-        idle = 0 if more else idle + 1
-        if turn and idle >= how.idle:
-            break
-    free(apart, sets)
+    # Level 3. Only members and hubs of stars share a table with others.
+    members = stars.select(F.col("a").alias("id")).union(stars.select("b")).distinct()
+    placed = cut(keys.join(members, "id", "left_semi"), "placed")
+    mixed = mixed_tables(placed, labels, "mixed-tables")
+    tables = cut(placed.join(mixed, "key"), "tables")
+    sketches = cut(sketched(sets.join(tables.select("id").distinct(), "id", "left_semi"), how), "sketches")
+    seats = cut(seated(tables, sketches, labels, how), "seats")
+    free(placed, mixed, tables)
+    compared = [stars]
+    for turn, near in enumerate((how.near, None)):
+        pairs = likely(seats, labels, sketches, how, near)
+        for c in compared:
+            pairs = pairs.join(c.select("a", "b"), ["a", "b"], "left_anti")
+        compared.append(cut(pairs, f"likely-{turn}"))
+        labels, _ = add(labels, compared[-1], f"turn-{turn}")
+    free(seats, sketches, sets, *compared)
     # Component of a class, then of its rows. Every row of a hot class gets its label by a join on the set's digest, which AQE can split.
     final = cut(reps.select("set_hi", "set_lo", F.col("rep").alias("id")).join(labels, "id", "left").select("set_hi", "set_lo", F.coalesce("label", "id").alias("component")), "final")
     free(reps, labels)
     out = own.select("doc_id", "n_shingles", "set_hi", "set_lo").join(final, ["set_hi", "set_lo"], "left")
     out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
-    sweep(docs.sparkSession)
     out.holds = (own, final)
     return out
 
