@@ -39,9 +39,11 @@ def quota_decisions(events: DataFrame, device: str, ts: str, tie: str, pro: Colu
 
 
 def job_state(events: DataFrame, job: str, status: Column, cancelled: Column, order: list[str]) -> DataFrame:
-    """Last status by time. The cancel flag is read once, when the work ends: a job that was cancelled before it was DONE is FAILED; cancelled later, or before any end, it stays as it is. An aggregate, without a sort of a job's events."""
+    """The last status, of the rows that have one. The cancel flag is read once, when the work ends, which is the first DONE: a job that
+    was cancelled before it is FAILED; cancelled later, or before any end, it stays as it is. An aggregate, without a sort of a job's events."""
     at = F.struct(*order)
-    rows = events.groupBy(job).agg(F.max_by(status, at).alias("last"), F.max(at).alias("end"), F.min(F.when(cancelled, at)).alias("cancel"))
+    of = lambda x: F.when(status.isNotNull(), x)
+    rows = events.groupBy(job).agg(F.max_by(status, of(at)).alias("last"), F.min(F.when(status == "DONE", at)).alias("end"), F.min(F.when(cancelled, at)).alias("cancel"))
     return rows.withColumn("status", F.when((F.col("last") == "DONE") & (F.col("cancel") < F.col("end")), "FAILED").otherwise(F.col("last")))
 
 

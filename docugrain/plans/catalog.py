@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import uuid
+import json
+import re
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import numbers as N
 from ..functions import text as X
 from ..operators import corpus, findings, pages, requests, state
-from ..sources.tables import TABLES, provision_rows, provisions, shared_folder, table, upsert_usage
+from ..sources.tables import TABLES, provision_rows, provisions, scratch, shared_folder, table, upsert_usage
 from ..streaming import rate
 from . import inputs as I
 
@@ -490,7 +491,7 @@ def foreign_keys(spark, sf_dir):
 @query("select item_id, length(text) as n_chars, len(string_split(text, ' '))::int as n_keywords from benchmark")
 def corpus_json(spark, sf_dir):
     """Provisions written as one JSON array a file and read by their schema."""
-    path = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
+    path = scratch(spark, "corpus")
     rows = table(spark, sf_dir, "benchmark").select(F.to_json(F.struct(F.col("item_id").cast("string").alias("id"), "text", F.split("text", " ").alias("keywords"))).alias("j"))
     # Arrays of some hundred provisions each: a file is read whole by one task.
     some = max(1, rows.count() // 500)
@@ -544,14 +545,16 @@ def stream_rate_limit(spark, sf_dir):
     return rate.drained(rate.hourly(rate.requests(spark, sf_dir), "user_id", 1), ["user_id", "hour_epoch"], shared_folder(spark))
 
 
-_STATUS = "case event_type when 'view' then 'PENDING' when 'click' then 'PROCESSING' when 'purchase' then 'DONE' when 'error' then 'FAILED' else 'PROCESSING' end"
+_CANCEL = "(event_type = 'signup' and event_id % 3 = 0)"
+_STATUS = f"case when {_CANCEL} then null when event_type = 'view' then 'PENDING' when event_type = 'purchase' then 'DONE' when event_type = 'error' then 'FAILED' else 'PROCESSING' end"
 _AT = "epoch_us(ts)::hugeint * 1000000 + event_id"
-_JOB = f"select user_id, arg_max({_STATUS}, {_AT}) as last, max({_AT}) as ended, min({_AT}) filter (event_type = 'signup' and event_id % 3 = 0) as cancelled from events group by 1"
+# The rule: the flag is read as the work first ends; rows that only cancel have no status.
+_JOB = f"""select user_id, arg_max(status, at) filter (status is not null) as last, min(at) filter (status = 'DONE') as ended, min(at) filter (cancels) as cancelled from (select user_id, {_STATUS} as status, {_AT} as at, {_CANCEL} as cancels from events) group by 1"""
 
 
 def _status():
     e = F.col("event_type")
-    return F.when(e == "view", "PENDING").when(e == "purchase", "DONE").when(e == "error", "FAILED").otherwise("PROCESSING")
+    return F.when(_cancelled(), None).when(e == "view", "PENDING").when(e == "purchase", "DONE").when(e == "error", "FAILED").otherwise("PROCESSING")
 
 
 def _cancelled():
@@ -705,7 +708,7 @@ def readable_text(spark, sf_dir):
 @query("select user_id, used_count + case when month = '2024-01' then 1 else 0 end as used_count, month from (select user_id, strftime(ts, '%Y-%m') as month, count(*) as used_count from events group by 1, 2)")
 def usage_upsert(spark, sf_dir):
     """Counts written as a table's first version, then one more for each device of a month as its second."""
-    path = f"{shared_folder(spark)}/usage-{uuid.uuid4().hex}"
+    path = scratch(spark, "usage")
     rows = table(spark, sf_dir, "events").select("user_id", state.month(F.col("ts")).alias("month"))
     first = upsert_usage(rows, path, "user_id")
     return upsert_usage(first.where("month = '2024-01'").select("user_id", "month"), path, "user_id").select("user_id", "month", "used_count")
@@ -784,3 +787,32 @@ def review_documents(spark, sf_dir):
     docs = text.join(rows.groupBy("nation").agg(F.max_by("summary", "year").alias("summary"), F.max_by("language", "year").alias("language")), "nation")
     got = review.review_documents(docs, "nation")
     return got.select("nation", "risk_score", "score_rationale", "summary", F.to_json("risks").alias("risks"), joined("references").alias("references"))
+
+
+def plain_reviewer(prompt: str) -> str:
+    """A reviewer without a model: of each marked page a finding after its first long word, of a chunk its first words as a summary."""
+    body = prompt.split("\n\n", 1)[1]
+    risks = []
+    for part in re.split(r"(?=\[REPORT PAGE \d+\])", body):
+        words, marker = re.findall(r"[^\W\d_]{4,}", part.split("]", 1)[-1]), re.match(r"\[REPORT PAGE \d+\]", part)
+        if words and marker:
+            risks.append({"title": words[0], "severity": list(X.SEVERITIES)[len(words) % len(X.SEVERITIES)], "finding": " ".join(words[:5]), "evidence": f"{words[0]} {marker[0]}"})
+    words = re.findall(r"[^\W\d_]{4,}", body.replace("REPORT PAGE", ""))
+    return json.dumps({"risk_score": len(words) % 100, "summary": " ".join(words[:4]), "risks": risks, "recommendations": words[:2], "key_metrics": [], "advisor_questions": words[-1:], "references": []})
+
+
+def plain_merger(prompt: str) -> str:
+    """Summaries of a document's parts as one line."""
+    return " ".join(s.split()[0] for s in prompt.split("\n\n", 1)[1].split("\n---\n") if s.split())
+
+
+@query()
+def audit_conversations(spark, sf_dir):
+    """The whole review with a reviewer: each conversation is a document of marked pages, one a turn, in chunks of some 2,000 characters; tested against a plain loop that counts calls."""
+    from . import review
+
+    turns = table(spark, sf_dir, "conversations").select("conv_id", (F.col("turn") + 1).alias("page"), F.coalesce("text", F.lit("")).alias("text"))
+    docs = pages.marked_text(turns, "conv_id", "page", "text").join(turns.groupBy("conv_id").agg(F.count(F.lit(1)).cast("int").alias("total_pages")), "conv_id")
+    docs = docs.select("conv_id", "text", F.when(F.col("conv_id") % 2 == 0, "tr").otherwise("en").alias("language"), F.lit(None).cast("string").alias("document_type"), F.lit(None).cast(review.REFERENCES).alias("context"), "total_pages", F.col("total_pages").alias("included_pages"))
+    r = F.col("review")
+    return review.audit(docs, "conv_id", plain_reviewer, 2000, plain_merger).select("conv_id", r.risk_score.alias("risk_score"), r.score_rationale.alias("score_rationale"), r.summary.alias("summary"), F.to_json(r.risks).alias("risks"), F.array_join(r.recommendations, "|").alias("recommendations"), F.array_join(r.advisor_questions, "|").alias("advisor_questions"), F.array_join(F.transform(r.references, lambda x: x.source), "|").alias("references"))

@@ -65,15 +65,16 @@ def post_process(docs: DataFrame, doc: str = "doc") -> DataFrame:
     ).alias("review"))
 
 
-def audit(docs: DataFrame, doc: str = "doc", call: Callable[[str], str] = reviewer.offline, chunk: int = pages.CHUNK) -> DataFrame:
-    """doc and review from (doc, text, language, document_type, context, total_pages, included_pages): chunks go to the reviewer, their reviews are merged and post-processed; a text of several chunks gets a note before its summary.
+def audit(docs: DataFrame, doc: str = "doc", call: Callable[[str], str] = reviewer.offline, chunk: int = pages.CHUNK, merge: Callable[[str], str] = reviewer.no_synthesis, cap: int = pages.PROMPT_CAP) -> DataFrame:
+    """doc and review from (doc, text, language, document_type, context, total_pages, included_pages): each chunk goes to the reviewer once, their reviews are merged and post-processed; summaries of several chunks go to ``merge``, and the text gets a note before its summary.
 
     Chunks and responses of a document are few: a text is capped at 3,000,000 characters."""
     docs = docs.withColumn("_chunks", pages.text_chunks(F.col("text"), chunk))
     parts = docs.select(doc, "language", "document_type", F.coalesce("context", F.array().cast(REFERENCES)).alias("context"), F.posexplode("_chunks").alias("seq", "text"))
     told = reviewer.review(reviewer.prompts(parts, doc, "seq", "language", context="context"), doc, "seq", "language", call=call)
     tr = F.coalesce(F.lower("language") == "tr", F.lit(False))
-    merged = findings.merge_reviews(told, doc, "seq", "review", tr)
+    whole = reviewer.synthesize(told.select(doc, "seq", "language", F.col("review.summary").alias("summary"), tr.alias("tr")), doc, "seq", "summary", "tr", merge, cap)
+    merged = findings.merge_reviews(told, doc, "seq", "review", tr).join(whole, doc, "left").select(doc, "chunks", F.col("response").withField("summary", F.coalesce("summary", F.lit(""))).alias("response"))
     single = told.where("seq = 0").select(doc, F.col("review").alias("_single"))
     rows = docs.join(merged, doc).join(single, doc).withColumn("response", F.when(F.col("chunks") > 1, F.col("response").cast(f"struct<{_fields()}>")).otherwise(F.col("_single").cast(f"struct<{_fields()}>")))
     done = post_process(rows.select(doc, "text", "language", "response", "context"), doc)

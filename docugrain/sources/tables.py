@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 from dataclasses import dataclass, fields
 
 from pyspark.sql import DataFrame, SparkSession
@@ -112,3 +114,26 @@ def shared_folder(spark: SparkSession) -> str:
     if not at and not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return (at or f"file://{tempfile.mkdtemp(prefix='docugrain-')}").rstrip("/")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, removed as the program ends."""
+    path = f"{shared_folder(spark)}/docugrain-{uuid.uuid4().hex}/{name}"
+    atexit.register(forget, spark, path.rpartition("/")[0])
+    return path
+
+
+def forget(spark: SparkSession, path: str) -> None:
+    try:
+        if spark.sparkContext._jsc is not None:
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    except Exception:  # the JVM ended before us: the cluster's own clean-up has it
+        pass
+
+
+def written(rows: DataFrame, name: str) -> DataFrame:
+    """rows as a table in the shared folder: worked out once, whatever reads them."""
+    path = scratch(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)

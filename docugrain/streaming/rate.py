@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import state
+from ..sources.tables import forget
 
 
 def requests(spark: SparkSession, sf_dir: str, name: str = "events") -> DataFrame:
@@ -73,14 +74,5 @@ def drained(stream: DataFrame, keys: list[str], folder: str) -> DataFrame:
     rows = spark.read.schema(f"{', '.join(f'`{n}` {t}' for n, t in stream.dtypes)}, batch long").parquet(f"{path}/out")
     rest = [c for c in stream.columns if c not in keys]
     out = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("x")).select(*keys, "x.*")
-    atexit.register(_forget, spark, path)
+    atexit.register(forget, spark, path)
     return out
-
-
-def _forget(spark: SparkSession, path: str) -> None:
-    try:
-        if spark.sparkContext._jsc is not None:
-            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-    except Exception:  # the JVM ended before us: the cluster's own clean-up has it
-        pass

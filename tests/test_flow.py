@@ -82,6 +82,10 @@ def test_cache_renews_on_a_miss_only(spark):
     ([(1, "PROCESSING", False), (2, "DONE", False), (3, "DONE", False)], "DONE"),
     ([(1, "PROCESSING", False), (2, "DONE", True)], "DONE"),
     ([(1, "PROCESSING", True), (2, "FAILED", False)], "FAILED"),
+    ([(1, "DONE", False), (2, None, True)], "DONE"),
+    ([(1, "DONE", False), (2, None, True), (3, "DONE", False)], "DONE"),
+    ([(1, "PROCESSING", False), (2, None, True), (3, "DONE", False), (4, "DONE", False)], "FAILED"),
+    ([(1, None, True)], None),
 ])
 def test_the_cancel_flag_is_read_when_the_work_ends(spark, events, want):
     rows = spark.createDataFrame([(7, *e) for e in events], "job int, at int, status string, cancel boolean")
@@ -219,3 +223,81 @@ def test_prompts_with_context(spark):
     rows = spark.createDataFrame([(1, "text", "rental", "en", [("S", "1", "T")]), (2, "text", None, "tr", [])], "doc int, text string, document_type string, language string, context array<struct<source:string,article:string,title:string>>")
     got = {r.doc: r.prompt for r in reviewer.prompts(rows, "doc", context="context").collect()}
     assert "S - 1 - T" in got[1] and got[1].endswith("text") and "Provisions" not in got[2]
+
+
+def audit_loop(text, tr, turns, chunk):
+    """What audit_conversations makes of one document, and how many calls it takes."""
+    import re
+
+    from docugrain.plans import catalog
+
+    order = {"CRITICAL": 4, "HIGH": 3, "MEDIUM": 2, "LOW": 1}
+    parts = [json.loads(catalog.plain_reviewer("head\n\n" + c)) for c in chunk_loop(text, chunk)]
+    said = [p["summary"] for p in parts if p["summary"].strip()]
+    risks = [r for p in parts for r in p["risks"]]
+    calls = len(parts)
+    if len(parts) > 1:
+        risks, seen = sorted(risks, key=lambda r: -order[r["severity"]]), set()
+        risks = [r for r in risks if not (r["title"].lower() in seen or seen.add(r["title"].lower()))][:8]
+        summary = said[0] if said else ""
+        if len(said) > 1:
+            calls += 1
+            summary = catalog.plain_merger("task\n\n" + "\n---\n".join(said)).strip() or summary
+        note = f"Not: {turns} sayfalık belge {len(parts)} bölüme ayrılarak bütünüyle incelenmiştir. " if tr else f"Note: This {turns}-page document was reviewed in full across {len(parts)} sections. "
+        summary, recommendations, questions = note + summary, list(dict.fromkeys(x for p in parts for x in p["recommendations"]))[:6], list(dict.fromkeys(x for p in parts for x in p["advisor_questions"]))[:4]
+    else:
+        summary, recommendations, questions = parts[0]["summary"], parts[0]["recommendations"], parts[0]["advisor_questions"]
+    n = [sum(order[r["severity"]] == k for r in risks) for k in (4, 3, 2, 1)]
+    raw = max(0, min(100, 100 - 45 * n[0] - 28 * n[1] - 8 * n[2] - 3 * n[3]))
+    score = min(29, raw) if n[0] else max(30, min(54, raw)) if n[1] else max(55, min(79, raw)) if n[2] else max(80, raw)
+    page = lambda r: int(re.search(r"\d+", r["evidence"])[0])
+    cited = [[r["title"], r["severity"], r["finding"], f"{r['title']} ({'Sayfa' if tr else 'Page'} {page(r)})"] for r in risks]
+    references = [("Rapor Sayfa " if tr else "Report Page ") + str(p) for p in sorted({page(r) for r in risks})]
+    why = f"Belge genelinde {n[0] + n[1]} yüksek ve {n[2]} orta önem düzeyinde dikkat noktası tespit edilmiştir." if tr else f"{n[0] + n[1]} high and {n[2]} medium severity attention points were identified across the document."
+    return [score, why, summary, cited, "|".join(recommendations), "|".join(questions), "|".join(references)], calls
+
+
+def test_an_audit_of_conversations_equals_a_plain_loop_and_asks_once(spark, tmp_path):
+    from docugrain.plans import catalog
+
+    (tmp_path / "calls").mkdir()
+    at, folder = "/root/testdata/sf0.001", str(tmp_path / "calls")
+    turns = {}
+    for r in spark.read.parquet(f"{at}/conversations.parquet").orderBy("conv_id", "turn").collect():
+        turns.setdefault(r.conv_id, []).append(f"\n\n[REPORT PAGE {r.turn + 1}]\n{r.text or ''}")
+    want = {c: audit_loop("".join(t), c % 2 == 0, len(t), 2000) for c, t in turns.items()}
+    counted = {}
+    for name in ("plain_reviewer", "plain_merger"):
+        plain = counted[name] = getattr(catalog, name)
+
+        def call(prompt, plain=plain):
+            import uuid
+
+            with open(f"{folder}/{uuid.uuid4().hex}", "w") as f:
+                f.write(prompt)
+            return plain(prompt)
+
+        setattr(catalog, name, call)
+    try:
+        got = {r.conv_id: [r.risk_score, r.score_rationale, r.summary, [list(x.values()) for x in json.loads(r.risks)], r.recommendations, r.advisor_questions, r.references] for r in catalog.audit_conversations(spark, at).collect()}
+    finally:
+        for name, plain in counted.items():
+            setattr(catalog, name, plain)
+    assert got == {c: w for c, (w, _) in want.items()}
+    assert len(list((tmp_path / "calls").iterdir())) == sum(n for _, n in want.values())
+    assert any(n > 3 for _, n in want.values())
+
+
+def test_summaries_merge_in_a_tree_and_fall_back(spark):
+    rows = spark.createDataFrame([(1, k, f"s{k}", False) for k in range(7)] + [(2, 0, " ", True), (2, 1, "only", True), (3, 0, "bad", True), (3, 1, "x", True), (4, 0, None, False)], "doc int, seq int, summary string, tr boolean")
+
+    def merge(prompt):
+        body = prompt.split("\n\n", 1)[1]
+        if "bad" in body:
+            raise ValueError
+        return f" <{body.replace(reviewer.SEPARATOR, '+')}>\n"
+
+    got = {r.doc: r.summary for r in reviewer.synthesize(rows, "doc", "seq", "summary", "tr", merge).collect()}
+    assert got == {1: "<s0+s1+s2+s3+s4+s5+s6>", 2: "only", 3: "bad"}
+    tree = {r.doc: r.summary for r in reviewer.synthesize(rows, "doc", "seq", "summary", "tr", merge, 40).collect()}
+    assert tree[1] == "<<s0+s1+s2+s3+s4>+<s5+s6>>"
