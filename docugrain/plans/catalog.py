@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numbers as N
 from ..functions import text as X
-from ..operators import corpus, findings, pages, requests, state
+from ..operators import corpus, findings, pages, requests, search, state
 from ..sources.tables import TABLES, provision_rows, provisions, scratch, shared_folder, table, upsert_usage
 from ..streaming import rate
 from . import inputs as I
@@ -549,7 +549,7 @@ _CANCEL = "(event_type = 'signup' and event_id % 3 = 0)"
 _STATUS = f"case when {_CANCEL} then null when event_type = 'view' then 'PENDING' when event_type = 'purchase' then 'DONE' when event_type = 'error' then 'FAILED' else 'PROCESSING' end"
 _AT = "epoch_us(ts)::hugeint * 1000000 + event_id"
 # The rule: the flag is read as the work first ends; rows that only cancel have no status.
-_JOB = f"""select user_id, arg_max(status, at) filter (status is not null) as last, min(at) filter (status = 'DONE') as ended, min(at) filter (cancels) as cancelled from (select user_id, {_STATUS} as status, {_AT} as at, {_CANCEL} as cancels from events) group by 1"""
+_JOB = f"""select user_id, arg_max(status, moment) filter (status is not null) as last, min(moment) filter (status = 'DONE') as ended, min(moment) filter (cancels) as cancelled from (select user_id, {_STATUS} as status, {_AT} as moment, {_CANCEL} as cancels from events) group by 1"""
 
 
 def _status():
@@ -816,3 +816,23 @@ def audit_conversations(spark, sf_dir):
     docs = docs.select("conv_id", "text", F.when(F.col("conv_id") % 2 == 0, "tr").otherwise("en").alias("language"), F.lit(None).cast("string").alias("document_type"), F.lit(None).cast(review.REFERENCES).alias("context"), "total_pages", F.col("total_pages").alias("included_pages"))
     r = F.col("review")
     return review.audit(docs, "conv_id", plain_reviewer, 2000, plain_merger).select("conv_id", r.risk_score.alias("risk_score"), r.score_rationale.alias("score_rationale"), r.summary.alias("summary"), F.to_json(r.risks).alias("risks"), F.array_join(r.recommendations, "|").alias("recommendations"), F.array_join(r.advisor_questions, "|").alias("advisor_questions"), F.array_join(F.transform(r.references, lambda x: x.source), "|").alias("references"))
+
+
+def _regulations(spark, sf_dir):
+    """Benchmark items as provisions: a title of their first words, status, dates and whether they are verified from their ids."""
+    i, day = F.col("item_id"), F.to_date(F.lit("2024-01-01"))
+    return table(spark, sf_dir, "benchmark").select(
+        i.alias("id"), F.regexp_extract("text", r"^(\S+(?: \S+)?)", 1).alias("title"), "text", F.when(i % 11 == 0, "REPEALED").otherwise("ACTIVE").alias("status"),
+        F.when(i % 3 > 0, F.date_sub(day, (i % 900 - 20).cast("int"))).alias("effective_from"), F.when(i % 5 == 0, F.date_add(day, (i % 40 - 10).cast("int"))).alias("effective_to"), (i % 2 == 0).alias("verified"))
+
+
+@query()
+def web_search(spark, sf_dir):
+    """Words, phrases, alternatives and exclusions of each item's own words, over all valid items; tested against plain loops."""
+    rules = _regulations(spark, sf_dir)
+    w = F.filter(F.split("text", r"[^\p{L}\p{N}]+"), lambda x: x != "")
+    at = lambda k: F.coalesce(F.get(w, k), F.lit("none"))
+    n, quoted = F.size(w), lambda *x: F.concat(F.lit('"'), F.concat_ws(" ", *x), F.lit('"'))
+    forms = [F.concat_ws(" ", at(F.lit(0)), at(n - 1)), F.concat_ws(" ", quoted(at(F.lit(2)), at(F.lit(3)))), F.concat_ws(" ", at(F.lit(0)), F.lit("or"), quoted(at(F.lit(1)), at(F.lit(2))), at(F.lit(4))), F.concat(at(F.lit(1)), F.lit(" -"), at(F.lit(3))), F.concat(at(n - 1), F.lit(" -"), quoted(at(F.lit(0)), at(F.lit(1))))]
+    text = F.element_at(F.array(*forms), (F.col("id") % len(forms) + 1).cast("int"))
+    return search.regulations(rules.select(F.col("id").alias("query"), text.alias("asked")), "query", "asked", rules, F.to_date(F.lit("2024-01-01")))
