@@ -192,28 +192,40 @@ def mixed_tables(placed: DataFrame, labels: DataFrame, name: str) -> DataFrame:
 
 
 def likely(seats: DataFrame, labels: DataFrame, sketches: DataFrame, how: Tensor, near: int | None) -> DataFrame:
-    """Pairs (a, b), a > b, of members that share a table (key, id) but no component, and whose sketches agree often enough; of each member's only the ``near`` likeliest, if given."""
-    rows = seats.join(labels, "id").join(sketches.select("id", "sketch"), "id").repartition("key").sortWithinPartitions("key").select("key", "id", "label", "sketch")
+    """Pairs (a, b), a > b, of members that share a table but no component, and whose sketches agree often enough; of each member's in a table only the ``near`` likeliest, if given.
+
+    Of all tables that two members share, only the one of least key gives the pair, and of a table's cells only one, so each pair is a row once."""
+    own = seats.groupBy("id").agg(F.sort_array(F.collect_set("table")).alias("all"))
+    members = sketches.select("id", "sketch").join(own, "id").join(labels, "id")
+    columns = ["key", "table", "piece", "whole", "id", "label", "sketch", "all"]
+    rows = seats.join(members, "id").repartition("key").sortWithinPartitions("key").select(columns)
     least = how.least
 
-    def pairs(ids: np.ndarray, labels_: np.ndarray, sketch: np.ndarray):
+    def pairs(group: pa.Table):
+        ids, own, piece = (group[c].to_numpy() for c in ("id", "label", "piece"))
+        sketch = np.frombuffer(b"".join(group["sketch"].to_pylist()), np.uint16).reshape(len(ids), -1)
+        # Members of one piece meet in the cell that is theirs alone.
+        apart = None if group["whole"][0].as_py() else piece
+        table_, shared = group["table"][0].as_py(), [set(x) for x in group["all"].to_pylist()]
         for at in range(0, len(ids), 32):
             agree = (sketch[at : at + 32, None] == sketch[None]).sum(axis=2, dtype=np.int32)
-            agree[(labels_[at : at + 32, None] == labels_[None]) | (agree < least)] = 0
+            agree[(own[at : at + 32, None] == own[None]) | (agree < least)] = 0
+            if apart is not None:
+                agree[apart[at : at + 32, None] == apart[None]] = 0
             if near is not None and agree.shape[1] > near:
                 agree[agree < np.partition(agree, -near, axis=1)[:, -near:].min(axis=1)[:, None]] = 0
-            i, j = np.nonzero(agree)
-            yield np.maximum(ids[at + i], ids[j]), np.minimum(ids[at + i], ids[j])
+            for i, j in zip(*(x.tolist() for x in np.nonzero(agree)), strict=True):
+                if (near is not None or ids[at + i] > ids[j]) and min(shared[at + i] & shared[j]) == table_:
+                    yield max(ids[at + i], ids[j]), min(ids[at + i], ids[j])
 
     def through(rows_: pa.Table):
-        """Pairs of whole tables."""
-        keys, ids, own = (rows_[c].to_numpy() for c in ("key", "id", "label"))
-        sketch = np.frombuffer(b"".join(rows_["sketch"].to_pylist()), np.uint16).reshape(len(keys), -1)
+        """Pairs of whole groups of one key."""
+        keys = rows_["key"].to_numpy()
         edges = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
         for x, y in zip(edges[:-1], edges[1:], strict=True):
-            for a, b in pairs(ids[x:y], own[x:y], sketch[x:y]):
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+            found = sorted(set(pairs(rows_.slice(x, y - x))))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     def run(batches):
         held = None  # rows of the last key so far, which may go on
@@ -232,17 +244,18 @@ def likely(seats: DataFrame, labels: DataFrame, sketches: DataFrame, how: Tensor
 
 
 def seated(tables: DataFrame, sketches: DataFrame, labels: DataFrame, how: Tensor) -> DataFrame:
-    """(key, id) of tables and cells of at most some ``group`` members, in which every pair that shares one of the mixed tables (key, id, members) and isn't missed there meets."""
-    small = tables.where(F.col("members") <= how.group).select("key", "id")
+    """(key, table, piece, whole, id): groups of at most some ``group`` members, in which every pair that shares one of the mixed tables (key, id, members) and isn't missed there meets. key: a table, or a cell of two of its pieces; whole: its members all meet."""
+    alone = [F.col("key"), F.col("key").alias("table"), F.lit(0).cast("long").alias("piece"), F.lit(True).alias("whole"), F.col("id")]
+    small = tables.where(F.col("members") <= how.group).select(alone)
     # Members of large tables, by their finer ones.
     finer = tables.where(F.col("members") > how.group).select("id").distinct().join(sketches, "id").select("id", F.explode("keys").alias("key"))
     mixed = mixed_tables(finer, labels, "finer-tables")
     placed = finer.join(mixed, "key")
     pieces = F.ceil(F.col("members") * 2 / how.group)
     piece = F.pmod(F.xxhash64("id"), pieces)
-    met = placed.where(F.col("members") > how.group).select("id", "key", piece.alias("p"), F.explode(F.sequence(F.lit(0).cast("long"), pieces - 1)).alias("q"))
-    cells = met.select(F.xxhash64("key", F.least("p", "q"), F.greatest("p", "q")).alias("key"), "id")
-    return small.union(placed.where(F.col("members") <= how.group).select("key", "id")).union(cells)
+    met = placed.where(F.col("members") > how.group).select("id", "key", piece.alias("piece"), F.explode(F.sequence(F.lit(0).cast("long"), pieces - 1)).alias("other"))
+    cells = met.select(F.xxhash64("key", F.least("piece", "other"), F.greatest("piece", "other")).alias("key"), F.col("key").alias("table"), "piece", (F.col("piece") == F.col("other")).alias("whole"), "id")
+    return small.union(placed.where(F.col("members") <= how.group).select(alone)).union(cells)
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, how: Tensor, id_col: str, text_col: str) -> DataFrame:
