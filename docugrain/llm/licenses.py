@@ -8,6 +8,11 @@ piece the longest is taken. This gives the text's sequence of sentence identifie
 order, then match identifier sequences: a rule holds if its identifiers stand in the sequence in its order, side by side. The first rule that
 matches a stretch of the sequence takes it, so that a longer form (a full licence text) goes before its own parts.
 
+Some sentences are patterns, as their words vary: copyright lines, the endorsement clause with any holder, and tags and phrases that
+name licences by their SPDX identifiers (``SPDX-License-Identifier: MIT OR Apache-2.0``, "either of", "License: X"). The last
+give one identifier for each licence named, which is its own rule. Where a clause of a longer rule is there in part only, it counts as there,
+so that no shorter rule takes the text.
+
 All is done within a row: no shuffle, no join; the tables of sentences and rules are literals of a fixed, small size.
 
 Defined results: null, empty text and text without a known sentence give an empty list; equal rows give equal lists; a
@@ -16,6 +21,8 @@ sentence that is given twice counts twice; texts of any length are read whole.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,7 +47,7 @@ SENTENCES = {
     "bsd-grant": ["redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"],
     "bsd-source": ["redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"],
     "bsd-binary": ["redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"],
-    "bsd-endorse": ["neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"],
+    "bsd-endorse": ["neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", "the name of the author may not be used to endorse or promote products derived from this software without specific prior written permission"],
     "bsd3-notice": ["licensed under the bsd 3 clause license", "bsd 3 clause license", "released under the bsd 3 clause license", "spdx license identifier bsd 3 clause"],
     "bsd2-notice": ["licensed under the bsd 2 clause license", "bsd 2 clause license", "released under the bsd 2 clause license", "spdx license identifier bsd 2 clause"],
     "mpl2-notice": ["this source code form is subject to the terms of the mozilla public license v 2 0", "licensed under the mozilla public license version 2 0", "mozilla public license version 2 0", "spdx license identifier mpl 2 0"],
@@ -152,11 +159,16 @@ RULES = [
     ("Unlicense", ["unlicense"]),
     ("All-Rights-Reserved", ["all-rights"]),
 ]
+# SPDX identifiers; versions of licences that come "only" or "or later"; exceptions.
+SPDX = ["MIT", "MIT-0", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "0BSD", "ISC", "Zlib", "BSL-1.0", "MPL-2.0", "MPL-1.1", "EPL-1.0", "EPL-2.0", "Unlicense", "WTFPL", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0", "CC-BY-NC-SA-4.0", "CC-BY-NC-ND-4.0", "Artistic-2.0", "PostgreSQL", "Python-2.0", "OFL-1.1", "EUPL-1.2"]
+GNU = ["GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0"]
+EXCEPTIONS = ["Classpath-exception-2.0", "GCC-exception-3.1", "LLVM-exception"]
+#: Other names of licences, normalised, where a text names several or follows "license" and a colon.
+NAMES = {"apache license version 2 0": "Apache-2.0", "apache license 2 0": "Apache-2.0", "apache 2 0 license": "Apache-2.0", "apache 2 license": "Apache-2.0", "mit license": "MIT", "bsd 3 clause license": "BSD-3-Clause", "bsd 2 clause license": "BSD-2-Clause", "isc license": "ISC", "gplv3": "GPL-3.0-only", "gplv2": "GPL-2.0-only", "gnu general public license version 3": "GPL-3.0-only", "gnu general public license version 2": "GPL-2.0-only", "mozilla public license version 2 0": "MPL-2.0", "mozilla public license 2 0": "MPL-2.0"}
+#: Identifiers of licences that a sentence names begin so.
+NAMED = "spdx:"
 #: Every known sentence has one of these words, so others needn't be normalised.
 WORDS = "(?i)licen[sc]e|copyright|permission|permitted|warrant|redistribut|spdx|copies of the|provided with|provided as|provided by the|held liable|be liable|endorse|compliance|free software|public domain|rights reserved|creative commons|made available under"
-#: The cut of the SQL form, which meets sentences of one piece only; on the given tables both give equal rows.
-SEPARATOR = "([.!?;])[ \\t\\r\\x0b\\x0c]+"
-NOT_WORD = "[^a-z0-9]+"
 COPYRIGHT = "^copyright( c)?( [0-9]{4})( [0-9]{4})*( .*)?$"
 COPYRIGHT_PIECE = "copyright(?:(?: c)?(?: [0-9]{4})+(?: [^\\n]*)?)?"
 #: A stop that more of its line follows; comment words at the beginning of a line (signs go with the punctuation).
@@ -165,6 +177,35 @@ WORD_PREFIX = "(?m)^[ \\t]*(?:rem|dnl)(?=[ \\t\\n])"
 NOT_PIECE = "[^a-z0-9\\n]+"
 
 
+def named() -> dict[str, str]:
+    """Normalised names of licences and what they stand for."""
+    plain = lambda x: re.sub("[^a-z0-9]+", " ", x.lower())
+    own = {plain(x): x for x in SPDX}
+    for x in GNU:
+        own |= {plain(x): f"{x}-only", f"{plain(x)} only": f"{x}-only", f"{plain(x)} or later": f"{x}-or-later"}
+    return own | {f"{k} with {plain(e)}": f"{v} WITH {e}" for k, v in own.items() for e in EXCEPTIONS} | NAMES
+
+
+def any_name() -> str:
+    return "(?:" + "|".join(sorted(named(), key=lambda k: (-len(k), k))) + ")"
+
+
+#: Sentences whose words vary. A piece that holds the core of the endorsement clause counts as the clause.
+ENDORSE = "neither the name of (?:[a-z0-9]+ ){1,24}?nor the names of (?:[a-z0-9]+ ){1,6}?may be used to endorse or promote products derived from this software without (?:specific )?prior written permission"
+ENDORSE_PART = "(?:[a-z0-9]+\\x20){0,60}?endorse or promote products(?:\\x20[a-z0-9]+){0,60}?"
+
+
+def naming() -> list[str]:
+    """Sentences that name licences."""
+    name = f"(?:the )?{any_name()}(?: licen[sc]e)?"
+    several = f"{name}(?:(?: or| and) {name})*"
+    return [
+        f"spdx license identifier {several}",
+        f"(?:(?:this|the) (?:project|software|work|crate|library|code) is )?(?:dual |multi )?(?:licensed|released|distributed|available) under (?:the terms of )?(?:either (?:of )?|both )?{several}(?: at your (?:option|choice))?",
+        f"licen[sc]e {several}",
+    ]
+
+
 def pieces(text: Column) -> Column:
     """The text in normalised pieces, each between line ends; an empty line between paragraphs."""
     lines = F.regexp_replace(F.regexp_replace(F.lower(text), WORD_PREFIX, ""), INNER_STOP, "\n")
@@ -172,16 +213,30 @@ def pieces(text: Column) -> Column:
     return F.concat(F.lit("\n"), F.btrim(plain, F.lit(" ")), F.lit("\n"))
 
 
-def known_sentence() -> str:
-    """A pattern for all known sentences, longer ones first: words divided by a space or by the end of a piece."""
+def sentences() -> list[str]:
+    """Patterns of all sentences with spaces between words: known ones, longer ones first, then those whose words vary."""
     known = sorted((s for own in SENTENCES.values() for s in own), key=lambda s: (-len(s), s))
-    return "(?<=\\n)(?:" + "|".join([*(s.replace(" ", "[ \\n]") for s in known if s != "copyright"), COPYRIGHT_PIECE]) + ")(?=\\n)"
+    return [*(s for s in known if s != "copyright"), COPYRIGHT_PIECE, ENDORSE, *naming(), ENDORSE_PART]
+
+
+def known_sentence() -> str:
+    """A pattern for all of them, from one end of a piece to another; words are divided by a space or by the end of a piece."""
+    # A copyright line ends with its piece: a holder's words don't run on.
+    spaced = [x if x == COPYRIGHT_PIECE else x.replace(" ", "[ \\n]") for x in sentences()]
+    return "(?<=\\n)(?:" + "|".join(spaced) + ")(?=\\n)"
 
 
 def identifiers(text: Column) -> Column:
     known = F.create_map(*(F.lit(x) for name, own in SENTENCES.items() for s in own for x in (s, name)))
-    found = F.regexp_extract_all(pieces(text), F.lit(known_sentence()), F.lit(0))
-    return F.filter(F.transform(found, lambda s: F.try_element_at(known, F.regexp_replace(F.replace(s, F.lit("\n"), F.lit(" ")), COPYRIGHT, "copyright"))), lambda i: i.isNotNull())
+    licenses = F.create_map(*(F.lit(x) for k, v in named().items() for x in (k, NAMED + v)))
+
+    def of(s: Column) -> Column:
+        plain = F.regexp_replace(F.replace(s, F.lit("\n"), F.lit(" ")), COPYRIGHT, "copyright")
+        listed = F.transform(F.regexp_extract_all(plain, F.lit(rf"\b{any_name()}\b"), F.lit(0)), lambda n: F.try_element_at(licenses, n))
+        one = F.when(plain.contains("endorse or promote"), "bsd-endorse").otherwise(F.try_element_at(known, plain))
+        return F.when(one.isNotNull(), F.array(one)).otherwise(listed)
+
+    return F.flatten(F.transform(F.regexp_extract_all(pieces(text), F.lit(known_sentence()), F.lit(0)), of))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -195,7 +250,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         F.struct(F.col("_left").alias("left"), F.array().cast("array<string>").alias("licenses")),
         lambda state, rule: F.when(F.contains(state.left, rule.rule), F.struct(F.replace(state.left, rule.rule, F.lit("#")).alias("left"), F.array_append(state.licenses, rule.license).alias("licenses"))).otherwise(state),
     ))
-    return rows.select("doc_id", "sentence_ids", F.array_distinct("_state.licenses").alias("licenses"))
+    direct = F.transform(F.filter("sentence_ids", lambda i: i.startswith(NAMED)), lambda i: F.substring(i, len(NAMED) + 1, F.length(i)))
+    return rows.select("doc_id", "sentence_ids", F.array_distinct(F.concat("_state.licenses", direct)).alias("licenses"))
 
 
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -208,18 +264,27 @@ def _quoted(text: str) -> str:
 
 
 def oracle() -> str:
-    """The same in DuckDB SQL: sentences by the same cut, rules one after another."""
+    """The same in DuckDB SQL: pieces between doubled line ends, so that a match takes one of its own at either side; rules one after another."""
     known = "MAP {" + ", ".join(f"{_quoted(s)}: {_quoted(name)}" for name, own in SENTENCES.items() for s in own) + "}"
-    plain = f"regexp_replace(trim(regexp_replace(lower(s), {_quoted(NOT_WORD)}, ' ', 'g'), ' '), {_quoted(COPYRIGHT)}, 'copyright')"
-    cut = f"string_split(regexp_replace(coalesce(text, ''), {_quoted(SEPARATOR)}, '\\1' || chr(10), 'g'), chr(10))"
+    licenses = "MAP {" + ", ".join(f"{_quoted(k)}: {_quoted(NAMED + v)}" for k, v in named().items()) + "}"
+    replaced = lambda x, pattern, by: f"regexp_replace({x}, {_quoted(pattern)}, {_quoted(by)}, 'g')"
+    text = replaced("lower(coalesce(text, ''))", "(?m)^[ \\t]*(?:rem|dnl)([ \\t\\n])", "\\1")
+    for _ in range(2):  # a stop that follows a stop is met the second time
+        text = replaced(text, "[.!?;][ \\t\\r\\x0b\\x0c]+([^ \\t\\r\\x0b\\x0c\\n])", "\n\\1")
+    text = replaced(replaced(text, NOT_PIECE, " "), " *\\n *", "\n\n")
+    spaced = [x if x == COPYRIGHT_PIECE else x.replace(" ", "(?: |\\n\\n)") for x in sentences()]
+    found = f"regexp_extract_all(chr(10) || chr(10) || trim({text}, ' ') || chr(10) || chr(10), {_quoted('\\n(' + '|'.join(spaced) + ')\\n')}, 1)"
+    plain = f"regexp_replace(replace(s, chr(10) || chr(10), ' '), {_quoted(COPYRIGHT)}, 'copyright')"
     steps, at = [], "r"
     for k, (name, own) in enumerate(RULES):
         rule = _quoted("".join(f"|{i}|" for i in own))
         steps.append(f"s{k} AS (SELECT doc_id, ids, replace(rest, {rule}, '#') AS rest, CASE WHEN contains(rest, {rule}) AND NOT list_contains(found, {_quoted(name)}) THEN list_append(found, {_quoted(name)}) ELSE found END AS found FROM {at})")
         at = f"s{k}"
     return f"""
-WITH p AS (SELECT doc_id, [s FOR s IN {cut} IF regexp_matches(s, {_quoted(WORDS)})] AS ss FROM documents),
-q AS (SELECT doc_id, [i FOR i IN [{known}[{plain}] FOR s IN ss] IF i IS NOT NULL] AS ids FROM p),
+WITH p AS (SELECT doc_id, CASE WHEN regexp_matches(coalesce(text, ''), {_quoted(WORDS)}) THEN {found} ELSE [] END AS ss FROM documents),
+n AS (SELECT doc_id, [{plain} FOR s IN ss] AS ss FROM p),
+q AS (SELECT doc_id, flatten([CASE WHEN contains(s, 'endorse or promote') THEN ['bsd-endorse'] WHEN {known}[s] IS NOT NULL THEN [{known}[s]] ELSE [{licenses}[x] FOR x IN regexp_extract_all(s, {_quoted(r"\b" + any_name() + r"\b")})] END FOR s IN ss]) AS ids FROM n),
 r AS (SELECT doc_id, ids, array_to_string(['|' || i || '|' FOR i IN ids], '') AS rest, []::VARCHAR[] AS found FROM q),
-{", ".join(steps)}
-SELECT doc_id, len(ids)::BIGINT AS n_sentences, array_to_string(ids, ',') AS sentence_ids, array_to_string(found, ',') AS licenses FROM {at}"""
+{", ".join(steps)},
+t AS (SELECT doc_id, ids, list_concat(found, [i[{len(NAMED) + 1}:] FOR i IN ids IF starts_with(i, {_quoted(NAMED)})]) AS found FROM {at})
+SELECT doc_id, len(ids)::BIGINT AS n_sentences, array_to_string(ids, ',') AS sentence_ids, array_to_string([x FOR x, i IN found IF list_position(found, x) = i], ',') AS licenses FROM t"""

@@ -651,6 +651,50 @@ def test_published_texts_give_their_licence(spark, prefix):
     assert [got[k] for k in range(len(PUBLISHED))] == [[name] for name, _ in PUBLISHED]
 
 
+BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.\n"
+END = "nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+
+
+NAMING = [
+    (BSD + f"3. Neither the name of Google Inc. {END}", ["BSD-3-Clause"]),
+    (BSD + textwrap.fill(f"3. Neither the name of the University of Somewhere, Inc. {END}", 40), ["BSD-3-Clause"]),
+    (BSD + "3. The name of Foo may not be used to endorse or promote products in any way.", ["BSD-3-Clause"]),
+    (BSD, ["BSD-2-Clause"]),
+    ("Licensed under either of Apache License, Version 2.0 or MIT license at your option.", ["Apache-2.0", "MIT"]),
+    ("This crate is dual licensed under the MIT license and the Apache License 2.0", ["MIT", "Apache-2.0"]),
+    ("Released under the Apache License 2.0", ["Apache-2.0"]),
+    ("License: GPL-3.0", ["GPL-3.0-only"]),
+    ("// SPDX-License-Identifier: MIT OR Apache-2.0", ["MIT", "Apache-2.0"]),
+    ("# SPDX-License-Identifier: GPL-2.0-or-later", ["GPL-2.0-or-later"]),
+    ("/* SPDX-License-Identifier: (GPL-2.0-only WITH Classpath-exception-2.0) OR MIT */", ["GPL-2.0-only WITH Classpath-exception-2.0", "MIT"]),
+    ("SPDX-License-Identifier: MIT", ["MIT"]),
+    ("We talked about a license, or a mit, at your option.", []),
+]
+
+
+def test_names_expressions_and_holders(spark):
+    rows = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(NAMING)], "doc_id long, text string")
+    got = {r.doc_id: sorted(r.licenses) for r in licenses.scan(rows).collect()}
+    assert got == {k: sorted(want) for k, (_, want) in enumerate(NAMING)}
+
+
+def test_licences_equal_their_sql_on_wrapped_and_odd_texts(spark):
+    import duckdb
+    import pandas as pd
+
+    rnd, known = random.Random(6), [s for own in licenses.SENTENCES.values() for s in own]
+    texts = [t for t, _ in NAMING] + [t for _, t in ODD] + ["a. ; b; . c! released under the mit license.  x", "rem MIT License\n\ndnl\tISC license"]
+    for _ in range(150):
+        t = "".join(rnd.choice(known) + rnd.choice([". ", "\n", "\n\n", ".\n# ", "; ", " or "]) for _ in range(rnd.randint(1, 5)))
+        texts.append(textwrap.fill(t, 60) if rnd.random() < 0.5 else t)
+    documents = pd.DataFrame({"doc_id": range(len(texts)), "text": texts})  # noqa: F841 read by name
+    want = duckdb.sql(licenses.oracle()).df()
+    want = {r.doc_id: (r.sentence_ids, r.licenses) for r in want.itertuples()}
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (",".join(r.sentence_ids), ",".join(r.licenses)) for r in licenses.scan(rows).collect()}
+    assert got == want and sum(bool(x) for _, x in want.values()) > 100
+
+
 # --- 10 classifier
 def test_held_out_accuracy(spark):
     at = "/root/testdata/sf0.01"
