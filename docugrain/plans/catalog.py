@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions import numbers as N
 from ..functions import text as X
-from ..operators import corpus, findings, pages, requests, search, state
-from ..sources.tables import TABLES, provision_rows, provisions, scratch, shared_folder, table, upsert_usage
+from ..operators import corpus, findings, pages, requests, search, state, vectors
+from ..sources.tables import TABLES, provision_rows, provisions, scratch, shared_folder, table, upsert_usage, written
 from ..streaming import rate
 from . import inputs as I
 
@@ -439,6 +439,29 @@ def cosine_topk(spark, sf_dir):
     return corpus.nearest(v.where("vec_id % 100 = 0"), v, "vec_id", "embedding", 8).select("query", "place", "vec_id", F.round("similarity", 6).alias("similarity"))
 
 
+_COSINE = SQL["cosine_topk"]
+
+
+def _lists(spark, sf_dir):
+    v = table(spark, sf_dir, "embeddings")
+    centers = vectors.centroids(v, "vec_id", "embedding", 64)
+    return v, centers, written(vectors.index(v, "vec_id", "embedding", centers), "lists")
+
+
+@query(_COSINE)
+def lists_topk(spark, sf_dir):
+    """The same from an index of inverted lists in its exact setting: all lists are looked into."""
+    v, centers, lists = _lists(spark, sf_dir)
+    return vectors.nearest(v.where("vec_id % 100 = 0"), "vec_id", "embedding", lists, centers, 8).withColumn("similarity", F.round("similarity", 6))
+
+
+@query()
+def lists_probes_topk(spark, sf_dir):
+    """The same from the 50 lists of 64 that each query is nearest to: the given vectors fill their space evenly, so few lists would miss many. Recall is measured in a test."""
+    v, centers, lists = _lists(spark, sf_dir)
+    return vectors.nearest(v.where("vec_id % 100 = 0"), "vec_id", "embedding", lists, centers, 8, 50).withColumn("similarity", F.round("similarity", 6))
+
+
 _VALID = "select o_orderkey, case o_orderstatus when 'F' then 'ACTIVE' when 'O' then null else 'REPEALED' end as status, case when o_orderkey % 5 = 0 then null else cast(o_orderdate as date) end as f, case when o_orderkey % 7 = 0 then null else cast(o_orderdate as date) + interval 365 day end as t from orders"
 
 
