@@ -12,7 +12,7 @@ from ..functions import numbers as N
 from ..functions import text as X
 from ..operators import corpus, findings, pages, requests, search, state, vectors
 from ..sources.tables import TABLES, provision_rows, provisions, scratch, shared_folder, table, upsert_usage, written
-from ..streaming import rate
+from ..streaming import jobs, rate
 from . import inputs as I
 
 QUERIES: dict = {}
@@ -602,6 +602,15 @@ def stream_job_state(spark, sf_dir):
     return rate.drained(rate.job_states(rate.requests(spark, sf_dir), "user_id", _status(), _cancelled(), ["ts", "event_id"]), ["user_id"], shared_folder(spark))
 
 
+@query()
+def stream_job_store(spark, sf_dir):
+    """Jobs put by views, changed, cancelled, removed and evicted some hours after they were put; tested against a plain fold."""
+    e, i = F.col("event_type"), F.col("event_id")
+    action = F.when(e == "view", "put").when((e == "signup") & (i % 3 == 0), "cancel").when((e == "signup") & (i % 3 == 1), "remove").otherwise("change")
+    rows = rate.requests(spark, sf_dir).select(F.col("user_id").cast("long").alias("job"), "ts", i.alias("tie"), F.unix_micros("ts").alias("at"), action.alias("action"), F.when(action.isin("put", "change"), _status()).alias("status"))
+    return rate.drained(jobs.store(rows, 600), ["job", "created"], shared_folder(spark), jobs.PROVIDER)
+
+
 @query(f"select user_id, status, case when status = 'DONE' then 'result ' || user_id end as result, case when status = 'FAILED' then 'error ' || user_id end as error from {_JOBSTATE}")
 def job_projection(spark, sf_dir):
     u = F.col("user_id").cast("string")

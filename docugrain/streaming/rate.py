@@ -58,7 +58,7 @@ def cache_hits(stream: DataFrame, device: str, ts: str, tie: str, minutes: int =
     return rows.groupBy(device).applyInPandasWithState(step, f"{device} {kinds[device]}, {tie} {kinds[tie]}, hit boolean", "until long", "update", GroupStateTimeout.EventTimeTimeout)
 
 
-def drained(stream: DataFrame, keys: list[str], folder: str) -> DataFrame:
+def drained(stream: DataFrame, keys: list[str], folder: str, provider: str | None = None, seen: list | None = None) -> DataFrame:
     """Runs a stream over what is there to its end and returns the last row of each key.
 
     Update mode: each batch writes the rows it changed, and state goes with the watermark. A batch's folder carries its number
@@ -69,8 +69,14 @@ def drained(stream: DataFrame, keys: list[str], folder: str) -> DataFrame:
     def put(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/out/batch={number}")
 
+    setting, before = "spark.sql.streaming.stateStore.providerClass", spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    if provider:
+        spark.conf.set(setting, provider)
     query = stream.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    spark.conf.set(setting, before)
     query.awaitTermination()
+    if seen is not None:
+        seen.append(query.lastProgress)
     rows = spark.read.schema(f"{', '.join(f'`{n}` {t}' for n, t in stream.dtypes)}, batch long").parquet(f"{path}/out")
     rest = [c for c in stream.columns if c not in keys]
     out = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("x")).select(*keys, "x.*")
