@@ -7,7 +7,7 @@ deviation, are content. Paths that only boilerplate elements hold (navigation, f
 tag, role or a class name or id) have no weight, unless a class or id alone marks an element that holds the page's only articles or nearly all other text; where a page marks its article (article or main), paths outside it have none.
 The smoothed ratios are fused with the path's own, so that an odd short block between paragraphs isn't carried by its neighbours; a path
 whose text is mostly links has no weight. All nodes of the block that holds content paths are content too: short paragraphs of
-the article stay. Within a marked article lists, tables and quotations belong to the block around them, and headings stay.
+the article stay. Within a marked article further containers stay unless their paths' ratios are those of boilerplate (neither punctuation nor length); lists, tables and quotations belong to the block around them, and headings stay.
 
 Output: character references decoded, white space within a block made one space, blocks in page order joined by one space.
 
@@ -67,6 +67,9 @@ class Ratios:
     share: float = 1.1
     #: Weight of a path's own ratios against those that its neighbours smooth.
     own: float = 2 / 3
+    #: Within a marked article a container without content stays if a path of it has so many punctuation marks or characters a node.
+    marks: float = 0.5
+    length: float = 80
 
 
 @dataclass
@@ -115,22 +118,28 @@ def named(tag: str, attributes: str, article: int) -> bool:
 def settle(nodes: list[Node], outside: set[int]) -> None:
     """Blocks nodes under marked elements, but for elements that hold the only articles and more text than is left, or nine times as much as is left."""
     held: dict[int, int] = {}
-    for x in nodes:
+    under: dict[int, list[int]] = {}
+    stories: dict[int, int] = {}
+    for k, x in enumerate(nodes):
         for m in x.marks:
             held[m] = held.get(m, 0) + (0 if x.blocked else x.chars)
-    void: set[int] = set()
+            under.setdefault(m, []).append(k)
+            stories[m] = stories.get(m, 0) + bool(x.story and not x.blocked)
+    all_stories = sum(bool(x.story and not x.blocked) for x in nodes)
+    waiting = [len(x.marks) for x in nodes]  # marks around a node that aren't void
     left = sum(x.chars for x in nodes if not x.blocked and not x.marks)
     for m in sorted(held, key=lambda m: (-held[m], m)):
         # What is left only grows and held text shrinks, so no later element passes either.
         if held[m] <= left:
             break
-        stories = [m in x.marks for x in nodes if x.story and not x.blocked]
-        only = m in outside and bool(stories) and all(stories)
+        only = m in outside and 0 < all_stories == stories[m]
         if held[m] > (1 if only else 9) * left:
-            void.add(m)
-            left = sum(x.chars for x in nodes if not x.blocked and void.issuperset(x.marks))
-    for x in nodes:
-        x.blocked = x.blocked or not void.issuperset(x.marks)
+            for k in under[m]:
+                waiting[k] -= 1
+                if not waiting[k] and not nodes[k].blocked:
+                    left += nodes[k].chars
+    for x, n in zip(nodes, waiting, strict=True):
+        x.blocked = x.blocked or n > 0
 
 
 def parse(page: str) -> list[Node]:
@@ -237,7 +246,9 @@ def extract(page: str, how: Ratios = Ratios()) -> str:
         own[4] += x.links
     heading = [x.path[-1:] != () and x.path[-1] in HEADINGS for x in nodes]
     # Mostly links: a list of links, not a paragraph that is one among others without.
-    linked = [f and not h and 2 * sums[x.path, f][4] > sums[x.path, f][3] for x, f, h in zip(nodes, open_, heading, strict=True)]
+    # A bare container's text is judged by itself, as its path says little of it.
+    bare = lambda x: x.path[-1:] != () and x.path[-1] in ("div", "section") and 2 * x.links > x.chars
+    linked = [f and not h and (2 * sums[x.path, f][4] > sums[x.path, f][3] or bare(x)) for x, f, h in zip(nodes, open_, heading, strict=True)]
     if all(n for n, f in zip(linked, open_, strict=True) if f):
         linked = [False] * len(nodes)
     weight = [f and not n for f, n in zip(open_, linked, strict=True)]
@@ -251,6 +262,12 @@ def extract(page: str, how: Ratios = Ratios()) -> str:
     content = [w and v > 0 and v >= limit for w, v in zip(weight, fused, strict=True)]
     # In containers that hold content all nodes with weight stay, however short, and the article's headings.
     holds = {x.container for x, c in zip(nodes, content, strict=True) if c}
+    if marked_article:
+        for x, w, h in zip(nodes, weight, heading, strict=True):
+            if w and not h:
+                chars, punctuation, n, *_ = sums[x.path, True]
+                if punctuation >= how.marks * n or chars >= how.length * n:
+                    holds.add(x.container)
     return " ".join(x.text for x, w, c, h in zip(nodes, weight, content, heading, strict=True) if c or w and (h and marked_article or x.container in holds))
 
 

@@ -9,6 +9,7 @@ import random
 import re
 import string
 import textwrap
+import time
 import zlib
 
 import numpy as np
@@ -158,6 +159,8 @@ LONG = "Here, in the town, it rained for days; nobody went out, and the river ro
     (f"<header><h1>T</h1></header><p>{LONG}</p><ul><li>red</li><li>green</li><li>blue</li></ul><p><a href=c>See there.</a></p><p>So.</p>", f"T {LONG} red green blue See there. So."),
     (f"<section><h2>A</h2><p>{LONG}</p></section><section><h2>B</h2><p>Yes.</p></section>", f"A {LONG} B Yes."),
     ("<p><a href=a>Only a link.</a></p>", "Only a link."),
+    (f"<p>{LONG}</p><section><h2>Part two</h2><p>Bye, all of you.</p></section><div>Share Tweet Mail</div>", f"{LONG} Part two Bye, all of you."),
+    (f"<p>{LONG}</p><section><h2>Words</h2><p>{'a long line without any mark ' * 6}</p></section>", f"{LONG} Words " + " ".join(("a long line without any mark " * 6).split())),
 ])
 def test_ratios_decide_within_the_article(inside, text):
     page = f"<nav><ul>{'<li><a href=x>n</a>' * 5}</ul></nav><article>{inside}</article><footer>f</footer>"
@@ -232,6 +235,27 @@ def test_ratios_equal_plain_loops_and_decide():
     assert changed > 40
 
 
+def test_ratios_leave_out_bare_boxes_without_names():
+    page = f"<div><div><a>One</a> <a>Two</a></div><div><p>{LONG}</p><p>{LONG}</p></div><div>Subscribe to our letter, now, today, please.</div></div>"
+    assert html_text.extract(page) == f"{LONG} {LONG}"
+
+
+def test_ratios_change_pages_that_mark_nothing(spark):
+    changed = whole = 0
+    for r in spark.read.parquet(f"{SMALL}/pages.parquet").collect():
+        bare = re.sub(r"</?(?:article|nav|footer)>", lambda m: "</div>" if "/" in m[0] else "<div>", r.html).replace(' class="ad"', "")
+        got = html_text.extract(bare)
+        changed += got != html_text.extract(bare, html_text.Ratios(share=0))
+        whole += all(" ".join(p.split()) in got for p in re.findall(r"<p>([^<&]+)</p>", r.html))
+    assert changed >= 30 and whole >= 48, (changed, whole)
+
+
+def test_many_marked_wrappers_take_linear_time():
+    page = "".join(f"<div class='ad'><p>x{k}</p></div><div class='has-menu sidebar'><p>y</p></div>" for k in range(6000)) + f"<p>{LONG}</p>"
+    began = time.time()
+    assert html_text.extract(page) == LONG and time.time() - began < 5
+
+
 def test_html_on_odd_rows(spark):
     rows = spark.createDataFrame([(1, None, None), (None, "u", ""), (2, "u", "<p>x y, z.</p>" * 5000)], "page_id long, url string, html string")
     assert [r.n_chars for r in html_text.main_texts(rows).collect()][:2] == [0, 0]
