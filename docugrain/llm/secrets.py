@@ -5,7 +5,8 @@ characters per token) is a random string, since words and names are cut into lon
 tested as it is, unless words and numbers make up half of it (a path, a date, a slug, a file name: each separator is a token, so the ratio tells nothing there); if it isn't random, its stretches between words and numbers are (so that a path doesn't hide a secret), and then the parts of
 letters and digits between separators, at least ``least`` characters long. Short parts and parts of letters only have stricter
 ratios; letters only, in one case or under ``letters`` characters, and short hexadecimal numbers are too like names and identifiers. Known digests (hexadecimal of the usual lengths) and
-identifiers (UUIDs, dates, versions, numbers, paths, slugs, file names) are excluded; base finds stay whatever they hold.
+identifiers (UUIDs, dates, versions, numbers, paths, slugs, file names) are excluded, and so are integrity values, fingerprints, data URLs and content
+addresses that say what they are, account numbers with right check digits, sequences of nucleic acids or amino acids, and base64 of plain text; base finds stay whatever they hold.
 
 Defined results: null or empty text has no span; equal rows have equal spans; spans are in code points, end exclusive;
 a text of any length is read whole.
@@ -13,6 +14,7 @@ a text of any length is read whole.
 
 from __future__ import annotations
 
+import base64
 import re
 from dataclasses import dataclass
 
@@ -36,6 +38,11 @@ SHORT_KNOWN = re.compile(r"(?:0[xX])?[0-9a-fA-F]+|[0-9]{8}[tT][0-9]{4,6}[zZ]?")
 PLAIN = re.compile(r"[0-9]+|[A-Z]?[a-z]{1,14}|[A-Z]{1,14}|(?:[A-Z]?[a-z]{2,}){2,4}|[A-Za-z]{1,6}[0-9]{1,4}|[0-9]{1,4}[A-Za-z]{1,6}")
 #: Hexadecimal digests by length (MD5, SHA-1, SHA-224, SHA-256, SHA-384, SHA-512) and identifiers that are public by nature.
 KNOWN = re.compile(r"(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128}|[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|[0-9+/_=-]+|v?\d+(?:[._-]\d+)*)")
+#: Digests and content in base64 or other codes that say what they are: integrity values, key fingerprints, data URLs, content addresses.
+LABELLED = re.compile(r"sha(?:1|256|384|512)[-:=][A-Za-z0-9+/_-]{26,88}={0,2}|data:[\w.+-]*/?[\w.+-]*(?:;[\w=.-]+)*;base64,[A-Za-z0-9+/=_-]+|\bQm[1-9A-HJ-NP-Za-km-z]{44}\b|\bb[a-z2-7]{58}\b|\bbafy[a-z2-7]{40,}\b", re.I)
+IBAN = re.compile(r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}")
+#: Letters of nucleic acids and of proteins.
+NUCLEIC, PROTEIN = frozenset("ACGTUN"), frozenset("ACDEFGHIKLMNPQRSTVWY")
 
 
 @dataclass(frozen=True)
@@ -54,8 +61,6 @@ class Efficiency:
 
 
 def vocabulary(name: str = VOCABULARY):
-    import base64
-
     import public_tokenizers as P
     import tiktoken
 
@@ -125,6 +130,19 @@ def random_pieces(run: str, encoding, how: Efficiency) -> list[tuple[int, int]]:
     return found + [(a, b) for a, b in parts if not any(c <= a and b <= d for c, d in found) and random_part(run[a:b], encoding, how)]
 
 
+def public(piece: str) -> bool:
+    """An account number by its check digits, a sequence of nucleic acids or amino acids, or base64 of plain text."""
+    if IBAN.fullmatch(piece) and int("".join(str(int(c, 36)) for c in piece[4:] + piece[:4])) % 97 == 1:
+        return True
+    if piece.isalpha() and (NUCLEIC.issuperset(piece.upper()) or piece.isupper() and PROTEIN.issuperset(piece)):
+        return True
+    bare = piece.rstrip("=").replace("-", "+").replace("_", "/")
+    if len(bare) < 16 or len(bare) % 4 == 1 or "=" in bare:
+        return False
+    plain_ = base64.b64decode(bare + "=" * (-len(bare) % 4))
+    return all(32 <= b < 127 or b in b"\t\n\r" for b in plain_)
+
+
 def random_spans(text: str, encoding, how: Efficiency, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Runs with few characters per token, apart from known ones and those that a base span covers."""
     found = []
@@ -132,8 +150,11 @@ def random_spans(text: str, encoding, how: Efficiency, base: list[tuple[int, int
         if any(a <= m.start() and m.end() <= b for a, _, b in base):
             continue
         for a, b in random_pieces(m.group(), encoding, how):
-            if not any(c <= m.start() + a and m.start() + b <= d for c, _, d in base):
+            if not public(m.group()) and not public(m.group()[a:b]) and not any(c <= m.start() + a and m.start() + b <= d for c, _, d in base):
                 found.append((m.start() + a, 3, m.start() + b))
+    if found:
+        named = [(m.start(), m.end()) for m in LABELLED.finditer(text)]
+        found = [x for x in found if not any(c <= x[0] and x[2] <= d for c, d in named)]
     return sorted(found)
 
 

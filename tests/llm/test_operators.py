@@ -95,6 +95,22 @@ def test_paths_dates_slugs_and_file_names_are_left():
     assert [LOOK_ALIKES[a:b] for a, _, b in secrets.random_spans(LOOK_ALIKES, e, how, [])] == []
 
 
+def test_digests_addresses_accounts_sequences_and_encoded_text_are_left():
+    rnd, e, how = random.Random(12), secrets.vocabulary(), secrets.Efficiency()
+    code = lambda n: base64.b64encode(rnd.randbytes(n)).decode()
+    base58 = "123456789ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz"
+    for _ in range(100):
+        account = f"GB00{''.join(rnd.choice('ABCDEFGHJKLMNPQRSTUVWXYZ') for _ in range(4))}{rnd.randrange(10**14):014d}"
+        account = "GB" + f"{98 - int(''.join(str(int(c, 36)) for c in account[4:] + account[:4])) % 97:02d}" + account[4:]
+        left = [f"sha512-{code(64)}", f"sha256-{code(32)}", f"SHA256:{code(32).rstrip('=')}", f"data:image/png;base64,{code(300)}", "Qm" + "".join(rnd.choice(base58) for _ in range(44)), "bafy" + "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz234567") for _ in range(55)), account,
+                "".join(rnd.choice("ACGT") for _ in range(rnd.randint(16, 200))), "".join(rnd.choice("ACDEFGHIKLMNPQRSTVWY") for _ in range(rnd.randint(20, 200))), base64.b64encode(" ".join(rnd.choice(["the", "river", "Rose,", "and", "nobody", "went"]) for _ in range(12)).encode()).decode()]
+        text = f"a {' and '.join(left)} z"
+        assert [text[a:b] for a, k, b in secrets.random_spans(text, e, how, secrets.base_spans(text))] == []
+    key = code(32)
+    text = f"sha256-{code(32)} then {key}"
+    assert [text[a:b] for a, _, b in secrets.random_spans(text, e, how, [])] in ([key], [key.rstrip("=")])
+
+
 def test_base_columns_equal_brute_force(spark, texts):
     """All columns over whole documents, with random strings planted in a third of them; base ones by patterns written anew."""
     rnd, planted, rows = random.Random(2), {}, []
