@@ -124,16 +124,22 @@ def carried(parts: DataFrame) -> DataFrame:
     return own.groupBy("conv_id").applyInArrow(run, "part int, conv_id long, before long, carry long")
 
 
+def raised(exponents: np.ndarray) -> np.ndarray:
+    """BASE to each exponent, by squares: any exponents, without a table."""
+    out, square, left = np.ones(len(exponents), U64), BASE, exponents.copy()
+    while left.any():
+        odd = (left & 1).astype(bool)
+        out[odd] *= U64(square)
+        square, left = square * square % (1 << 64), left >> 1
+    return out
+
+
 def whole(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Place, polynomial up to and before each turn, over all parts."""
     before, carry = column(batch, "before").astype(np.int64), bits_of(batch, "carry")
     places = column(batch, "at") + before
-    shift = np.ones(len(before), U64)
-    for n in np.unique(before[before > 0]):
-        shift[before == n] = pow(BASE, int(n), 1 << 64)
-    sums = carry + shift * bits_of(batch, "local")
-    own = np.array([pow(BASE, int(n), 1 << 64) for n in places], U64) if len(places) < 64 else powers(int(places.max()) + 1)[places] if places.max() < 1 << 20 else powers(int(places.max() - places.min()) + 1, int(places.min()))[places - places.min()]
-    return places, sums, sums - bits_of(batch, "hash") * own
+    sums = carry + raised(before) * bits_of(batch, "local")
+    return places, sums, sums - bits_of(batch, "hash") * raised(places)
 
 
 def signed(x: np.ndarray, how: Trie) -> pa.Array:
