@@ -1,9 +1,11 @@
 """Benchmark decontamination by SimHash of item-sized windows.
 
-Method: every benchmark item has a 64-bit SimHash over its weighted words and a window length, its own number of words.
-A document's window of that length gets its fingerprint by a running sum of the words' signed bits. Fingerprints are
-found by multi-index Hamming blocks: split into largest radius + 1 blocks, two fingerprints within the radius agree in one block
-at least, so all within it are found. Candidates are verified by the exact weighted-shingle similarity: shingles of
+Method: every benchmark item has a SimHash of 256 bits over its pairs of neighbouring words, weighted by their count, and a window length, its own number of words.
+A document's window of that length gets its fingerprint by a running sum of the pairs' signed bits. Fingerprints are
+compared by multi-index Hamming blocks: of 85 blocks, two fingerprints within the radius differ in at most as many as the radius is, so they
+agree in 85 less the radius at least, and all within it are found. Where a similarity of 80 in 100 leaves a run of words different, 15 bits in 100
+differ, so no block of more than 6 bits could be sure to agree; asking for many small ones to agree leaves hardly any unrelated
+item (README). Candidates are verified by the exact weighted-shingle similarity: shingles of
 ``shingle`` words, weighted by their count, sum of minima over sum of maxima, at least ``percent`` in 100.
 
 Only windows that share a shingle with an item of their length are fingerprinted: the others have similarity 0, so no
@@ -35,27 +37,46 @@ from .common import U64, WordHashes, id_text, mix, table, texts, windows
 class Match:
     shingle: int = 5
     percent: int = 80
-    bits: int = 64
-    #: Fingerprints within this distance are candidates, for items too short for one shingle in nine to differ (12 words and fewer).
-    radius: int = 15
-    #: The same for longer items. Where one run of words is replaced, a similarity of 80 in 100 leaves a ninth of the words different
-    #: and a distance of 9 to 10 in the mean; README.md has the measured misses.
-    long_radius: int = 22
+    #: Fingerprints within this distance are candidates. Where one run of words is replaced, a similarity of 80 in 100 leaves a ninth of
+    #: the words different and a distance of 39 in the mean, with a deviation of 6; README.md has the measured misses.
+    radius: int = 66
     block_words: int = 1_000_000
 
 
-def signs(hashes: np.ndarray) -> np.ndarray:
-    """+1 or -1 for each of a word's 64 bits."""
-    return np.unpackbits(mix(hashes).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.int32) * 2 - 1
-
-
-def fingerprints(running: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
-    """SimHash of windows of so many words: differences of running sums, then signs."""
-    return np.packbits(running[starts + size] - running[starts] > 0, axis=1, bitorder="little").view(U64).reshape(-1)
+BITS = 256
+#: Blocks of a fingerprint: all of three bits but the last one, of four.
+BLOCKS = 85
+#: Words whose running sums are held at once (a kilobyte each).
+STRETCH = 1 << 14
 
 
-def running_sums(hashes: np.ndarray) -> np.ndarray:
-    return np.concatenate([np.zeros((1, 64), np.int32), np.cumsum(signs(hashes), axis=0, dtype=np.int32)])
+def signs(hashes: np.ndarray) -> np.ndarray:
+    """+1 or -1 for each of 256 bits of a hash."""
+    bits = np.stack([mix(hashes + U64(0x9E3779B97F4A7C15 * k % 2**64)) for k in range(BITS // 64)], axis=1)
+    return np.unpackbits(bits.view(np.uint8).reshape(-1, BITS // 8), axis=1, bitorder="little").astype(np.int8) * 2 - 1
+
+
+def fingerprints(hashes: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
+    """SimHash bits of the windows of so many words at the starts, in order, over their pairs of neighbouring words: differences of running sums, then signs. Sums are made for a stretch of the text at a time."""
+    out, k = np.zeros((len(starts), BITS), bool), 0
+    if size > 1:
+        hashes, size = windows(hashes, 2), size - 1
+    while k < len(starts):
+        last = max(k + 1, int(np.searchsorted(starts, starts[k] + STRETCH)))
+        first, end = int(starts[k]), int(starts[last - 1]) + size
+        running = np.concatenate([np.zeros((1, BITS), np.int32), np.cumsum(signs(hashes[first:end]), axis=0, dtype=np.int32)])
+        at = starts[k:last] - first
+        out[k:last] = running[at + size] - running[at] > 0
+        k = last
+    return out
+
+
+def blocks(bits: np.ndarray) -> np.ndarray:
+    """Values of the blocks of each fingerprint."""
+    ones = bits.astype(np.uint8)
+    values = ones[:, : 3 * BLOCKS].reshape(-1, BLOCKS, 3) @ np.array([1, 2, 4], np.uint8)
+    values[:, -1] += ones[:, -1] << 3
+    return values
 
 
 class Items:
@@ -74,31 +95,33 @@ class Items:
             self.ids.append(item)
             self.words.append(len(w))
             self.shingles.append(Counter(s.tolist()))
-            self.prints.append(int(fingerprints(running_sums(w), np.array([0]), len(w))[0]))
+            self.prints.append(fingerprints(w, np.array([0]), len(w))[0])
             for at in set(s.tolist()):
                 owners.setdefault(at, {}).setdefault(len(w), []).append(k)
         self.owners = owners
         self.sorted = np.sort(np.fromiter(owners, U64, len(owners)))
         self.filter = np.zeros(1 << 22, bool)
         self.filter[(self.sorted >> U64(42)).astype(np.int64)] = True
-        edges = np.linspace(0, how.bits, max(how.radius, how.long_radius) + 2).astype(int)
-        self.blocks = [(int(a), (1 << int(b - a)) - 1) for a, b in zip(edges[:-1], edges[1:], strict=True)]
-        self.by_block: list[dict[tuple[int, int], list[int]]] = [{} for _ in self.blocks]
-        for k, p in enumerate(self.prints):
-            for table_, (shift, mask) in zip(self.by_block, self.blocks, strict=True):
-                table_.setdefault((self.words[k], p >> shift & mask), []).append(k)
+        # Items by length, with the blocks of their fingerprints.
+        self.by_size: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for size in set(self.words):
+            own = np.array([k for k, n in enumerate(self.words) if n == size])
+            self.by_size[size] = own, blocks(np.array([self.prints[k] for k in own]))
         self.short = sorted({n for n in self.words if n < how.shingle})
 
-    def within(self, size: int, fingerprint: int) -> Iterator[tuple[int, int]]:
-        """(item, distance) for all items of that length within the radius."""
-        radius = self.how.radius if size < self.how.shingle + 8 else self.how.long_radius
-        seen = set()
-        for table_, (shift, mask) in zip(self.by_block, self.blocks, strict=True):
-            seen.update(table_.get((size, fingerprint >> shift & mask), ()))
-        for k in sorted(seen):
-            far = (self.prints[k] ^ fingerprint).bit_count()
-            if far <= radius:
-                yield k, far
+    def agreeing(self, size: int, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(window, item) of the windows and items of that length whose fingerprints agree in enough blocks to be within the radius, and perhaps are."""
+        own, there = self.by_size[size]
+        mine = blocks(bits)
+        found = [np.nonzero((mine[k : k + 1] == there).sum(axis=1, dtype=np.uint8) >= BLOCKS - self.how.radius)[0] for k in range(len(mine))]
+        return np.repeat(np.arange(len(mine)), [len(f) for f in found]), own[np.concatenate(found)] if found else own[:0]
+
+    def within(self, size: int, bits: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(window, item, distance) for all items of that length within the radius."""
+        for w, k in zip(*(x.tolist() for x in self.agreeing(size, bits)), strict=True):
+            far = int((self.prints[k] != bits[w]).sum())
+            if far <= self.how.radius:
+                yield w, k, far
 
     def hits(self, at: np.ndarray) -> np.ndarray:
         """Places of the shingle hashes that some item has."""
@@ -129,18 +152,19 @@ class Items:
                         starts.setdefault(size, set()).add(p)
         if not starts:
             return found
-        running = running_sums(hashes)
         for size, places in starts.items():
             width = min(size, n)
             order = np.array(sorted(places))
             best: dict[int, list] = {}
-            for p, f in zip(order.tolist(), fingerprints(running, order, width).tolist(), strict=True):
-                own = None
-                for k, far in self.within(size, f):
-                    if own is None:
-                        own = Counter(windows(hashes[p : p + width], how.shingle).tolist())
-                    common = sum((own & self.shingles[k]).values())
-                    total = own.total() + self.shingles[k].total() - common
+            shingles_of: tuple[int, Counter] = (-1, Counter())
+            for part in range(0, len(order), STRETCH):
+                here = order[part : part + STRETCH]
+                for w, k, far in self.within(size, fingerprints(hashes, here, width)):
+                    p = int(here[w])
+                    if shingles_of[0] != p:
+                        shingles_of = p, Counter(windows(hashes[p : p + width], how.shingle).tolist())
+                    common = sum((shingles_of[1] & self.shingles[k]).values())
+                    total = shingles_of[1].total() + self.shingles[k].total() - common
                     if common * 100 >= how.percent * total:
                         runs = best.setdefault(k, [])
                         if runs and p < runs[-1][1] + width:

@@ -307,15 +307,40 @@ def test_decontamination_equals_all_windows_against_all_items(spark, docs, texts
 
 
 def test_hamming_blocks_find_all_within_the_radius():
-    items = decontaminate.Items([(k, " ".join(f"w{k}x{j}" for j in range(12))) for k in range(50)], decontaminate.Match())
-    rnd = random.Random(5)
+    how = decontaminate.Match()
+    items = decontaminate.Items([(k, " ".join(f"w{k}x{j}" for j in range(12))) for k in range(50)], how)
+    rnd, prints = random.Random(5), np.array(items.prints)
     for _ in range(300):
         k = rnd.randrange(50)
-        f = items.prints[k]
-        for bit in rnd.sample(range(64), rnd.randint(0, 15)):
-            f ^= 1 << bit
-        want = {j for j in range(50) if (items.prints[j] ^ f).bit_count() <= 15}
-        assert {j for j, _ in items.within(12, f)} == want and k in want
+        f = prints[k].copy()
+        for bit in rnd.sample(range(256), rnd.randint(0, how.radius)):
+            f[bit] ^= True
+        want = {(0, j) for j in range(50) if (prints[j] != f).sum() <= how.radius}
+        assert {(w, j) for w, j, _ in items.within(12, f[None])} == want and (0, k) in want
+    # The farthest that the radius allows: every changed bit in a block of its own.
+    f = prints[0].copy()
+    f[3 * np.arange(how.radius)] ^= True
+    assert (0, 0) in {(w, j) for w, j, _ in items.within(12, f[None])}
+
+
+def test_blocks_leave_few_unrelated_items(spark):
+    rows = [(r.item_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.1/benchmark.parquet").collect()]
+    items = decontaminate.Items(rows, decontaminate.Match())
+    met = pairs = 0
+    for size, (own, _) in items.by_size.items():
+        w, k = items.agreeing(size, np.array([items.prints[j] for j in own]))
+        met, pairs = met + (own[w] != k).sum(), pairs + len(own) * (len(own) - 1)
+    assert pairs > 100 and met < 0.05 * pairs, (met, pairs)
+
+
+def test_stretches_of_a_text_give_the_same_fingerprints(monkeypatch):
+    hashes, starts = WordHashes().of([b"w%d" % (k % 77) for k in range(900)]), np.array([0, 3, 4, 90, 91, 400, 850])
+    whole = decontaminate.fingerprints(hashes, starts, 40)
+    monkeypatch.setattr(decontaminate, "STRETCH", 50)
+    assert (decontaminate.fingerprints(hashes, starts, 40) == whole).all()
+    pairs = decontaminate.windows(hashes, 2)
+    plain = [np.where(decontaminate.signs(pairs[s : s + 39]).astype(int).sum(axis=0) > 0, 1, 0) for s in starts]
+    assert (whole == np.array(plain)).all()
 
 
 def test_windows_with_a_replaced_run_are_found():
