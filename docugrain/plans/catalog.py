@@ -12,7 +12,7 @@ from ..functions import numbers as N
 from ..functions import text as X
 from ..operators import corpus, findings, pages, requests, search, state, vectors
 from ..sources.tables import TABLES, provision_rows, provisions, scratch, shared_folder, table, upsert_usage, written
-from ..streaming import jobs, rate
+from ..streaming import jobs, quota, rate
 from . import inputs as I
 
 QUERIES: dict = {}
@@ -550,6 +550,24 @@ def quota_decision(spark, sf_dir):
     return state.quota_decisions(table(spark, sf_dir, "events"), "user_id", "ts", "event_id", F.col("user_id") % 10 == 0, 60).select("event_id", "user_id", "decision")
 
 
+def _requests(events):
+    """Events as requests of devices that take some minutes; one in four fails, one in nine never ends."""
+    i = F.col("event_id")
+    return quota.actions(events, "user_id", "event_id", F.col("ts"), F.when(i % 9 > 0, F.col("ts") + F.make_dt_interval(F.lit(0), F.lit(0), (i % 50).cast("int") + 1)), i % 4 > 0, F.col("user_id") % 10 == 0)
+
+
+@query()
+def quota_by_success(spark, sf_dir):
+    """Decisions where only requests that end well use up the month's quota; tested against a plain loop."""
+    return quota.decisions(_requests(table(spark, sf_dir, "events")), 20)
+
+
+@query()
+def stream_quota_by_success(spark, sf_dir):
+    rows = _requests(rate.requests(spark, sf_dir))
+    return rate.drained(quota.stream_decisions(rows, 20), ["device", "request"], shared_folder(spark), jobs.PROVIDER, mode="append")
+
+
 _RATE = "select user_id, cast(floor(epoch(ts) / 3600) as bigint) as hour_epoch, count(*) as requests, least(count(*), 1) as allowed from events group by 1, 2"
 
 

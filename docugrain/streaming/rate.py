@@ -58,13 +58,13 @@ def cache_hits(stream: DataFrame, device: str, ts: str, tie: str, minutes: int =
     return rows.groupBy(device).applyInPandasWithState(step, f"{device} {kinds[device]}, {tie} {kinds[tie]}, hit boolean", "until long", "update", GroupStateTimeout.EventTimeTimeout)
 
 
-def drained(stream: DataFrame, keys: list[str], folder: str, provider: str | None = None, seen: list | None = None) -> DataFrame:
+def drained(stream: DataFrame, keys: list[str], folder: str, provider: str | None = None, seen: list | None = None, mode: str = "update", at: str | None = None) -> DataFrame:
     """Runs a stream over what is there to its end and returns the last row of each key.
 
     Update mode: each batch writes the rows it changed, and state goes with the watermark. A batch's folder carries its number
     and is replaced if the batch runs again, so the sink is idempotent; the reader takes each key's row of the last batch."""
     spark = stream.sparkSession
-    path = f"{folder}/stream-{uuid.uuid4().hex}"
+    path = at or f"{folder}/stream-{uuid.uuid4().hex}"
 
     def put(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/out/batch={number}")
@@ -72,7 +72,7 @@ def drained(stream: DataFrame, keys: list[str], folder: str, provider: str | Non
     setting, before = "spark.sql.streaming.stateStore.providerClass", spark.conf.get("spark.sql.streaming.stateStore.providerClass")
     if provider:
         spark.conf.set(setting, provider)
-    query = stream.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    query = stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     spark.conf.set(setting, before)
     query.awaitTermination()
     if seen is not None:
