@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numbers as N
 from ..functions import text as X
-from ..operators import corpus, findings, pages, requests, search, state, vectors
+from ..operators import corpus, findings, pages, requests, search, state, validity, vectors
 from ..sources.tables import TABLES, provision_rows, provisions, scratch, shared_folder, table, upsert_usage, written
 from ..streaming import jobs, quota, rate
 from . import inputs as I
@@ -490,6 +490,30 @@ def version_asof(spark, sf_dir):
     return got.groupBy("l_orderkey", "l_linenumber").agg(F.max("version").alias("version_from"))
 
 
+_VERSIONS = "(select o_custkey % 100 as grp, o_orderkey as id, case when o_orderkey % 13 > 0 then cast(o_orderdate as date) end as since, case when o_orderkey % 97 > 0 then cast(o_orderdate as date) + cast(o_orderkey % 60 - 5 as integer) end as until from orders)"
+
+
+def _versions(spark, sf_dir):
+    k, day = F.col("o_orderkey"), F.col("o_orderdate").cast("date")
+    return table(spark, sf_dir, "orders").select((F.col("o_custkey") % 100).alias("grp"), k.alias("id"), F.when(k % 13 > 0, day).alias("since"), F.when(k % 97 > 0, F.date_add(day, (k % 60 - 5).cast("int"))).alias("until"))
+
+
+@query(f"select l_orderkey, l_linenumber, count(*) as n_valid, max(v.id) as last_id from (select l_orderkey, l_linenumber, l_suppkey % 100 as grp, cast(l_shipdate as date) as day from lineitem) q join {_VERSIONS} v on v.grp = q.grp and (since is null or since <= day) and (until is null or until >= day) group by 1, 2")
+def valid_versions(spark, sf_dir):
+    """How many versions of its group hold on each line's day, and the last of them."""
+    asked = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_suppkey") % 100).alias("grp"), F.col("l_shipdate").cast("date").alias("day"))
+    met = validity.holding(asked, _versions(spark, sf_dir), "grp", "day", "since", "until", ["id"])
+    return met.groupBy("l_orderkey", "l_linenumber").agg(F.count(F.lit(1)).alias("n_valid"), F.max("id").alias("last_id"))
+
+
+@query(f"""with v as (select *, coalesce(since, date '0001-01-01') as b, coalesce(until, date '9999-12-31') as e from {_VERSIONS} where since is null or until is null or until >= since),
+w as (select * from v where since is not null or e >= (select min(since) from {_VERSIONS}))
+select a.grp, a.id, count(*) as n, min(o.id) as first from w a join w o on o.grp = a.grp and o.id <> a.id and (o.b < a.b or (o.b = a.b and o.id < a.id)) and o.e >= a.b and (a.since is not null or o.e >= (select min(since) from {_VERSIONS})) group by 1, 2""")
+def version_conflicts(spark, sf_dir):
+    """Versions that begin while others of their group hold."""
+    return validity.conflicts(_versions(spark, sf_dir), "grp", "id", "since", "until").select("grp", "id", "n", "first")
+
+
 @query("select l_orderkey, l_linenumber, l_partkey from lineitem where l_partkey in (select p_partkey from part where p_size >= 45) union all select o_orderkey, 0, p_partkey from orders, (select p_partkey from part where p_size >= 45 order by 1 limit 3) where o_orderkey not in (select l_orderkey from lineitem where l_partkey in (select p_partkey from part where p_size >= 45))")
 def reference_fallback(spark, sf_dir):
     """References that the context has; the context (its first three here) for an order that has none."""
