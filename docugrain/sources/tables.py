@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import atexit
 import tempfile
+import time
 import uuid
 from dataclasses import dataclass, fields
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 PROVISION = "id string, source string, article string, title string, text string, keywords array<string>, law_number string, paragraph string, authority string, document_type string, topics array<string>, applicable_documents array<string>, effective_from date, effective_to date, status string, official_url string, content_hash string, verified boolean"
 REVIEW = "risk_score int, score_rationale string, summary string, risks array<struct<title:string,severity:string,finding:string,evidence:string>>, recommendations array<string>, key_metrics array<struct<label:string,value:string,note:string>>, advisor_questions array<string>, references array<struct<source:string,article:string,title:string>>"
@@ -85,27 +87,94 @@ def write_reviews(reviews: DataFrame, path: str) -> None:
     reviews.write.mode("append").json(path)
 
 
-def upsert_usage(batch: DataFrame, path: str, device: str, month: str = "month") -> DataFrame:
+def upsert_usage(batch: DataFrame, path: str, device: str, month: str = "month", lease: float = 3600.0) -> DataFrame:
     """Adds the counts of a batch to the table at path and returns what it holds then.
 
-    The table is a folder of versions; the sum of the last one and the batch is written as the next one, so readers see the
-    old version or the new one, and a run that fails leaves only a version without _SUCCESS, which is replaced."""
+    The table is a folder for each month with its versions, v=1, v=2 and so on; only months that the batch touches get a new
+    one. A writer claims the next version of a month by creating its claim, which only one can, works on the last version that is
+    done, moves what it wrote into place and marks it done. Another writer waits for that and goes on from it, so no count is lost; a claim that
+    isn't done after ``lease`` seconds counts as that of a writer that is gone. Readers see versions that are done; of those, the last two stay."""
     spark = batch.sparkSession
-    added = batch.groupBy(device, month).agg(F.count(F.lit(1)).alias("used_count"))
-    last = last_version(spark, path)
-    both = spark.read.parquet(f"{path}/v={last}").select(device, month, "used_count").unionByName(added) if last else added
-    both.groupBy(device, month).agg(F.sum("used_count").alias("used_count")).write.mode("overwrite").parquet(f"{path}/v={last + 1}")
-    return spark.read.parquet(f"{path}/v={last + 1}")
-
-
-def last_version(spark: SparkSession, path: str) -> int:
-    """The greatest version that was written in full; 0 without any."""
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    system = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    names = [s.getPath().getName() for s in system.listStatus(at)] if system.exists(at) else []
-    done = [int(n[2:]) for n in names if n.startswith("v=") and system.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS"))]
-    return max(done, default=0)
+    added = written(batch.groupBy(device, month).agg(F.count(F.lit(1)).alias("used_count")), "usage")
+    # Months are few; in order, so that two writers never wait for each other.
+    months = [r[0] for r in added.select(month).where(F.col(month).isNotNull()).distinct().orderBy(month).collect()]
+    files = _Files(spark)
+    claims = {m: _claim(files, f"{path}/month={m}", lease) for m in months}
+    if claims:
+        before = [f"{path}/month={m}/v={done}" for m, (_, done) in claims.items() if done]
+        both = spark.read.schema(added.schema).parquet(*before).unionByName(added) if before else added
+        rows = both.where(F.col(month).isNotNull()).groupBy(device, month).agg(F.sum("used_count").alias("used_count"))
+        staged = f"{path}/_staging-{uuid.uuid4().hex}"
+        rows.withColumn("_month", F.col(month)).write.partitionBy("_month").parquet(staged)
+        for m, (version, done) in claims.items():
+            files.move(f"{staged}/_month={m}", f"{path}/month={m}/v={version}")
+            files.create(f"{path}/month={m}/v={version}/_SUCCESS")
+            for old in (v for v in _versions(files, f"{path}/month={m}")[1] if v < done):
+                files.remove(f"{path}/month={m}/v={old}")
+        files.remove(staged)
+    return usage_table(spark, path, added.schema)
+
+
+class _Files:
+    """The few calls of the table's file system that versions need."""
+
+    def __init__(self, spark: SparkSession):
+        self.jvm, self.conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+
+    def at(self, path: str):
+        p = self.jvm.org.apache.hadoop.fs.Path(path)
+        return p, p.getFileSystem(self.conf)
+
+    def names(self, path: str) -> list[tuple[str, float]]:
+        """Names and times of change in a folder; none if it isn't there."""
+        p, system = self.at(path)
+        return [(s.getPath().getName(), s.getModificationTime() / 1000) for s in system.listStatus(p)] if system.exists(p) else []
+
+    def exists(self, path: str) -> bool:
+        p, system = self.at(path)
+        return system.exists(p)
+
+    def create(self, path: str) -> bool:
+        p, system = self.at(path)
+        system.mkdirs(p.getParent())
+        return system.createNewFile(p)
+
+    def move(self, source: str, target: str) -> None:
+        (a, system), (b, _) = self.at(source), self.at(target)
+        if not system.rename(a, b):
+            raise OSError(f"{source} could not be moved to {target}")
+
+    def remove(self, path: str) -> None:
+        p, system = self.at(path)
+        system.delete(p, True)
+
+
+def _versions(files: _Files, folder: str) -> tuple[dict[int, float], list[int]]:
+    """Claims of a month with their times, and versions that are done, in order."""
+    names = files.names(folder)
+    return {int(n[7:]): t for n, t in names if n.startswith("_claim-")}, sorted(int(n[2:]) for n, _ in names if n.startswith("v=") and files.exists(f"{folder}/{n}/_SUCCESS"))
+
+
+def _claim(files: _Files, folder: str, lease: float) -> tuple[int, int]:
+    """(version, last version that is done): a version that is this writer's alone."""
+    while True:
+        claims, done = _versions(files, folder)
+        last, ready = max(claims, default=0), max(done, default=0)
+        if last > ready and time.time() - claims[last] < lease:
+            time.sleep(0.1)
+        elif files.create(f"{folder}/_claim-{max(last, ready) + 1}"):
+            # What was done between the look and the claim counts, too.
+            return max(last, ready) + 1, max(_versions(files, folder)[1], default=0)
+
+
+def usage_table(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """What the last version of each month holds."""
+    files, last = _Files(spark), []
+    for name, _ in files.names(path):
+        if name.startswith("month="):
+            done = _versions(files, f"{path}/{name}")[1]
+            last += [f"{path}/{name}/v={done[-1]}"] if done else []
+    return spark.read.schema(schema).parquet(*last) if last else spark.createDataFrame([], schema)
 
 
 def shared_folder(spark: SparkSession) -> str:

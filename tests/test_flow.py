@@ -50,7 +50,7 @@ def test_sources_and_sinks(spark, tmp_path):
     usage = lambda *rows: tables.upsert_usage(spark.createDataFrame(list(rows), "device string, month string"), f"{tmp_path}/u", "device")
     assert [(r.device, r.used_count) for r in usage(("d", "2024-01"), ("d", "2024-01")).collect()] == [("d", 2)]
     assert {(r.device, r.used_count) for r in usage(("d", "2024-01"), ("e", "2024-01")).collect()} == {("d", 3), ("e", 1)}
-    assert tables.last_version(spark, f"{tmp_path}/u") == 2 and spark.read.parquet(f"{tmp_path}/u/v=1").count() == 1
+    assert spark.read.parquet(f"{tmp_path}/u/month=2024-01/v=1").count() == 1
     tables.write_reviews(spark.range(1).select(F.lit(5).alias("risk_score")), f"{tmp_path}/r")
     assert spark.read.json(f"{tmp_path}/r").first().risk_score == 5
 
@@ -301,3 +301,34 @@ def test_summaries_merge_in_a_tree_and_fall_back(spark):
     assert got == {1: "<s0+s1+s2+s3+s4+s5+s6>", 2: "only", 3: "bad"}
     tree = {r.doc: r.summary for r in reviewer.synthesize(rows, "doc", "seq", "summary", "tr", merge, 40).collect()}
     assert tree[1] == "<<s0+s1+s2+s3+s4>+<s5+s6>>"
+
+
+def test_two_writers_of_usage_lose_no_count_and_leave_other_months(spark, tmp_path):
+    import os
+    import threading
+
+    path, batch = f"{tmp_path}/u", lambda *rows: spark.createDataFrame(list(rows), "device string, month string")
+    tables.upsert_usage(batch(("a", "2024-01"), ("a", "2024-02"), ("b", "2024-02"), ("c", None)), path, "device")
+    untouched = {f: os.stat(f"{path}/month=2024-01/v=1/{f}").st_mtime_ns for f in os.listdir(f"{path}/month=2024-01/v=1")}
+    failed = []
+
+    def write(k):
+        try:
+            tables.upsert_usage(batch(("a", "2024-02"), (f"n{k}", "2024-02"), (f"n{k}", "2024-03")), path, "device")
+        except Exception as e:
+            failed.append(e)
+
+    threads = [threading.Thread(target=write, args=(k,)) for k in range(4)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert not failed
+    held = {(r.device, r.month): r.used_count for r in tables.upsert_usage(batch().limit(0), path, "device").collect()}
+    assert held == {("a", "2024-01"): 1, ("a", "2024-02"): 5, ("b", "2024-02"): 1, **{(f"n{k}", m): 1 for k in range(4) for m in ("2024-02", "2024-03")}}
+    assert {f: os.stat(f"{path}/month=2024-01/v=1/{f}").st_mtime_ns for f in os.listdir(f"{path}/month=2024-01/v=1")} == untouched
+    assert sorted(n for n in os.listdir(f"{path}/month=2024-02") if n.startswith("v=")) == ["v=4", "v=5"] and not [n for n in os.listdir(path) if n.startswith("_staging")]
+    # A claim of a writer that is gone is passed over once its lease is over.
+    open(f"{path}/month=2024-01/_claim-2", "w").close()
+    tables.upsert_usage(batch(("a", "2024-01")), path, "device", lease=0.5)
+    assert {r.used_count for r in tables.usage_table(spark, path, tables.upsert_usage(batch().limit(0), path, "device").schema).where("month = '2024-01'").collect()} == {2}
