@@ -83,12 +83,9 @@ def relevance(docs: DataFrame, corpus: DataFrame, doc: str, text: str, item: str
     """(doc, item, score) of items with a score above 0 for each text; with k the best k only, ties by item.
 
     The corpus goes in blocks of a checked size to all tasks, and a text is scored within its own row: no term is shuffled."""
-    own = corpus.select(F.col(item).alias("i"), F.col(keywords).alias("k"), F.col(words).alias("w"))
-    size = own.agg(F.sum(F.length("w") + F.length(F.array_join("k", " ")))).first()[0] or 0
-    n, kinds, spark = max(1, -(-size // BLOCK_CHARS)), dict(docs.dtypes) | dict(corpus.dtypes), docs.sparkSession
+    kinds = dict(docs.dtypes) | dict(corpus.dtypes)
     parts = []
-    for b in range(n):
-        block = spark.sparkContext.broadcast([tuple(r) for r in own.where(F.pmod(F.xxhash64("i"), F.lit(n)) == b).collect()])
+    for block in _blocks(corpus, item, keywords, words):
 
         def run(batches, block=block):
             found = Provisions(block.value)
@@ -103,6 +100,34 @@ def relevance(docs: DataFrame, corpus: DataFrame, doc: str, text: str, item: str
     return reduce(DataFrame.unionByName, parts)
 
 
+def _blocks(corpus: DataFrame, item: str, keywords: str, words: str) -> list:
+    """The corpus as broadcasts of at most some BLOCK_CHARS characters."""
+    own = corpus.select(F.col(item).alias("i"), F.col(keywords).alias("k"), F.col(words).alias("w"))
+    size = own.agg(F.sum(F.length("w") + F.length(F.array_join("k", " ")))).first()[0] or 0
+    n, spark = max(1, -(-size // BLOCK_CHARS)), corpus.sparkSession
+    return [spark.sparkContext.broadcast([tuple(r) for r in own.where(F.pmod(F.xxhash64("i"), F.lit(n)) == b).collect()]) for b in range(n)]
+
+
+def item_totals(docs: DataFrame, corpus: DataFrame, text: str, item: str, keywords: str, words: str) -> DataFrame:
+    """(item, n_docs, total): texts with a score above 0 for each item, and the sum of their scores. Summed within each task, which hands on one row for each item, so no pair of text and item is a row."""
+    kind, parts = dict(corpus.dtypes)[item], []
+    for block in _blocks(corpus, item, keywords, words):
+
+        def run(batches, block=block):
+            found = Provisions(block.value)
+            n, total = np.zeros(len(found.items), np.int64), np.zeros(len(found.items))
+            for batch in batches:
+                for t in batch.column(0):
+                    scores = found.scores(t.as_py())
+                    n += scores > 0
+                    total += scores
+            some = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(found.items[some].tolist(), pa.int64() if not len(some) else None), pa.array(n[some]), pa.array(total[some])], names=[item, "n_docs", "total"])
+
+        parts.append(docs.select(text).mapInArrow(run, f"{item} {kind}, n_docs long, total double"))
+    return reduce(DataFrame.unionByName, parts).groupBy(item).agg(F.sum("n_docs").alias("n_docs"), F.sum("total").alias("total"))
+
+
 def retrieve(docs: DataFrame, corpus: DataFrame, doc: str, text: str, item: str, keywords: str, words: str, valid: Column, k: int = 8) -> DataFrame:
     """(doc, place, item, score): the k best valid provisions of each text; the first k of the whole corpus, with score 0, for a text that none matches."""
     scores = relevance(docs, corpus.where(valid), doc, text, item, keywords, words, k)

@@ -411,8 +411,8 @@ def _provisions(spark, sf_dir):
 
 @query(f"with {_SCORES.format('true')} select item_id, count(*) as n_docs, sum(score)::bigint as total from s group by 1")
 def keyword_score(spark, sf_dir):
-    scores = corpus.relevance(table(spark, sf_dir, "documents"), _provisions(spark, sf_dir), "doc_id", "text", "item_id", "keywords", "text")
-    return scores.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("score").cast("bigint").alias("total"))
+    totals = corpus.item_totals(table(spark, sf_dir, "documents"), _provisions(spark, sf_dir), "text", "item_id", "keywords", "text")
+    return totals.withColumn("total", F.col("total").cast("bigint"))
 
 
 @query(f"with {_SCORES.format('item_id % 5 <> 0')}, r as (select *, cast(row_number() over (partition by doc_id order by score desc, item_id) as int) as place from s), f as (select cast(row_number() over (order by item_id) as int) as place, item_id from benchmark) select doc_id, place, item_id, score from r where place <= 8 union all select doc_id, place, item_id, 0.0::double from documents, f where place <= 8 and doc_id not in (select doc_id from s)")
