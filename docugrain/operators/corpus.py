@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import TERM_SPLIT
+from ..sources.tables import Settings
 
 
 def active_on(status: Column, start: Column, end: Column, day: Column) -> Column:
@@ -128,8 +129,9 @@ def item_totals(docs: DataFrame, corpus: DataFrame, text: str, item: str, keywor
     return reduce(DataFrame.unionByName, parts).groupBy(item).agg(F.sum("n_docs").alias("n_docs"), F.sum("total").alias("total"))
 
 
-def retrieve(docs: DataFrame, corpus: DataFrame, doc: str, text: str, item: str, keywords: str, words: str, valid: Column, k: int = 8) -> DataFrame:
-    """(doc, place, item, score): the k best valid provisions of each text; the first k of the whole corpus, with score 0, for a text that none matches."""
+def retrieve(docs: DataFrame, corpus: DataFrame, doc: str, text: str, item: str, keywords: str, words: str, valid: Column, k: int | None = None) -> DataFrame:
+    """(doc, place, item, score): the k best valid provisions of each text; the first k of the whole corpus, with score 0, for a text that none matches. k is the session's result_limit, if not given."""
+    k = Settings.of(docs.sparkSession).result_limit if k is None else k
     scores = relevance(docs, corpus.where(valid), doc, text, item, keywords, words, k)
     best = F.transform(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col(item).alias("i")))), 1, k), lambda x: F.struct(x.i.alias("i"), (-x.s).alias("s")))
     # At most k rows of each block for a text.

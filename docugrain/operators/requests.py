@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..sources.tables import Settings
+
 # Limits and codes of uploads and of JSON-RPC.
-MAX_BYTES = 15_728_640
+MAX_BYTES = Settings.max_pdf_bytes
 UUID = r"^[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$"
 
 
-def upload_error(name: Column, content: Column, length: Column) -> Column:
+def upload_error(name: Column, content: Column, length: Column, most: int = MAX_BYTES) -> Column:
     """First failure of: empty, size, extension, magic; null if valid."""
-    return F.when(content.isNull() | (length < 5), "EMPTY").when(length > MAX_BYTES, "TOO_LARGE").when(name.isNull() | ~F.endswith(F.lower(name), F.lit(".pdf")), "NOT_PDF_NAME").when(~F.startswith(content, F.lit("%PDF-")), "NOT_PDF_CONTENT")
+    return F.when(content.isNull() | (length < 5), "EMPTY").when(length > most, "TOO_LARGE").when(name.isNull() | ~F.endswith(F.lower(name), F.lit(".pdf")), "NOT_PDF_NAME").when(~F.startswith(content, F.lit("%PDF-")), "NOT_PDF_CONTENT")
 
 
 def route(method: Column, uri: Column) -> Column:

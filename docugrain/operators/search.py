@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.tables import Settings
 from .corpus import TEXT_WEIGHT, TITLE_WEIGHT, active_on
 
 OPERANDS = T.ArrayType(T.StructType([T.StructField("alternative", T.IntegerType()), T.StructField("excluded", T.BooleanType()), T.StructField("terms", T.ArrayType(T.StringType()))]))
@@ -121,8 +122,9 @@ def search(queries: DataFrame, query: str, asked: str, posted: DataFrame, items:
     return best.select(F.col("_q").alias(query), "place", F.col("_i").alias(item), "rank")
 
 
-def regulations(queries: DataFrame, query: str, asked: str, provisions: DataFrame, day: Column, k: int = 8) -> DataFrame:
-    """Valid provisions for each query: active, in force on the day; by rank, verified ones first, then the latest, those without a date last."""
+def regulations(queries: DataFrame, query: str, asked: str, provisions: DataFrame, day: Column, k: int | None = None) -> DataFrame:
+    """Valid provisions for each query: active, in force on the day; by rank, verified ones first, then the latest, those without a date last. As many as the session's result_limit, if k isn't given."""
+    k = Settings.of(queries.sparkSession).result_limit if k is None else k
     valid = provisions.where(active_on(F.col("status"), F.col("effective_from"), F.col("effective_to"), day) & (F.col("status") == "ACTIVE"))
     order = [~F.coalesce(F.col("verified"), F.lit(False)), F.coalesce(-F.unix_date("effective_from"), F.lit(1 << 30))]
     return search(queries, query, asked, postings(valid, "id", ["title"], "text"), valid, "id", order, k)

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Allowed per hour and month; lives in minutes.
-HOURLY, MONTHLY, JOB_TTL_MIN, CACHE_TTL_MIN = 5, 5, 30, 5
+from ..sources.tables import Settings
+
+# Lives in minutes. What is allowed per hour and month is a setting.
+JOB_TTL_MIN, CACHE_TTL_MIN = 30, 5
 
 
 def month(ts: Column) -> Column:
@@ -21,18 +23,21 @@ def usage(events: DataFrame, device: str, ts: str) -> DataFrame:
     return events.groupBy(device, month(F.col(ts)).alias("month")).agg(F.count(F.lit(1)).alias("used_count"))
 
 
-def hourly(events: DataFrame, device: str, ts: str, limit: int = HOURLY) -> DataFrame:
+def hourly(events: DataFrame, device: str, ts: str, limit: int | None = None) -> DataFrame:
+    limit = Settings.of(events.sparkSession).audit_rate_limit_per_hour if limit is None else limit
     n = F.count(F.lit(1))
     return events.groupBy(device, hour_epoch(F.col(ts)).alias("hour_epoch")).agg(n.alias("requests"), F.least(n, F.lit(limit)).alias("allowed"))
 
 
-def hourly_decisions(events: DataFrame, device: str, ts: str, tie: str, limit: int = HOURLY) -> DataFrame:
-    """The place of each request within its device and hour; a window of one hour of one device."""
+def hourly_decisions(events: DataFrame, device: str, ts: str, tie: str, limit: int | None = None) -> DataFrame:
+    """The place of each request within its device and hour; a window of one hour of one device. The limit is the session's, if not given."""
+    limit = Settings.of(events.sparkSession).audit_rate_limit_per_hour if limit is None else limit
     rows = events.withColumn("hour_epoch", hour_epoch(F.col(ts)))
     return rows.withColumn("place", F.row_number().over(Window.partitionBy(device, "hour_epoch").orderBy(ts, tie)).cast("bigint")).withColumn("allowed", F.col("place") <= limit)
 
 
-def quota_decisions(events: DataFrame, device: str, ts: str, tie: str, pro: Column, limit: int = MONTHLY) -> DataFrame:
+def quota_decisions(events: DataFrame, device: str, ts: str, tie: str, pro: Column, limit: int | None = None) -> DataFrame:
+    limit = Settings.of(events.sparkSession).free_monthly_limit if limit is None else limit
     rows = events.withColumn("month", month(F.col(ts)))
     place = F.row_number().over(Window.partitionBy(device, "month").orderBy(ts, tie))
     return rows.withColumn("decision", F.when(pro, "ALLOWED_PRO").when(place <= limit, "ALLOWED").otherwise("MONTHLY_LIMIT_REACHED"))

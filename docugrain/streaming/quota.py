@@ -17,7 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators.state import MONTHLY, month
+from ..operators.state import month
+from ..sources.tables import Settings
 
 DECISIONS = "device long, request long, decision string"
 
@@ -53,8 +54,9 @@ class Usage:
         return "MONTHLY_LIMIT_REACHED"
 
 
-def decisions(rows: DataFrame, limit: int = MONTHLY) -> DataFrame:
-    """device, request and decision from actions. A device's rows go to one task, sorted with spill; what is held is one Usage."""
+def decisions(rows: DataFrame, limit: int | None = None) -> DataFrame:
+    """device, request and decision from actions; the limit is the session's, if not given. A device's rows go to one task, sorted with spill; what is held is one Usage."""
+    limit = Settings.of(rows.sparkSession).free_monthly_limit if limit is None else limit
     ordered = rows.repartition("device").sortWithinPartitions("device", "at", "request", "ends")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,6 +122,7 @@ class QuotaKeeper(StatefulProcessor):
         pass
 
 
-def stream_decisions(rows: DataFrame, limit: int = MONTHLY, late: str = "1 hour") -> DataFrame:
+def stream_decisions(rows: DataFrame, limit: int | None = None, late: str = "1 hour") -> DataFrame:
     """The same from a stream of actions: a device's rows come in order over batches, or together in one."""
+    limit = Settings.of(rows.sparkSession).free_monthly_limit if limit is None else limit
     return rows.withWatermark("ts", late).groupBy("device").transformWithStateInPandas(QuotaKeeper(limit), DECISIONS, "Append", "eventTime")

@@ -64,8 +64,16 @@ def test_tables_and_settings(spark):
     assert [r["count"] for r in tables.conflicts(spark.table("corpus_test.legal_relation"), "legal_relation").collect()] == [2]
     spark.sql("drop database corpus_test cascade")
     spark.conf.set("spark.docugrain.result_limit", "3")
+    provisions = spark.createDataFrame([(f"p{k}", "faiz", ["x"]) for k in range(9)], "id string, words string, keywords array<string>")
+    found = lambda: corpus.retrieve(spark.createDataFrame([(1, "faiz")], "doc int, text string"), provisions, "doc", "text", "id", "keywords", "words", F.lit(True)).count()
+    events = spark.createDataFrame([(1, "2024-01-01 00:00:00")] * 9, "d int, t string").withColumn("ts", F.col("t").cast("timestamp"))
+    assert found() == 3 and state.hourly(events, "d", "ts").first().allowed == 5
+    spark.conf.set("spark.docugrain.audit_rate_limit_per_hour", "7")
+    assert state.hourly(events, "d", "ts").first().allowed == 7
+    spark.conf.unset("spark.docugrain.audit_rate_limit_per_hour")
     assert tables.Settings.of(spark).result_limit == 3 and tables.Settings.of(spark).max_pdf_bytes == 15_728_640
     spark.conf.unset("spark.docugrain.result_limit")
+    assert found() == 8
 
 
 def test_cache_renews_on_a_miss_only(spark):
