@@ -602,6 +602,49 @@ def test_recall_on_a_large_group_with_a_poor_hub(spark):
     assert 10 < len(set(label.tolist())) and np.mean([got[i] == label[i] for i in range(len(at))]) >= 0.99
 
 
+def families():
+    """Version trees, stars, drifting chains and shared templates, shuffled: documents of 200 words, each a copy of an earlier one with a few words replaced."""
+    rnd, new, out = random.Random(21), itertools.count(), []
+
+    def edit(text, k):
+        text = list(text)
+        for p in rnd.sample(range(len(text)), k):
+            text[p] = f"n{next(new)}"
+        return text
+
+    fresh = lambda n: [f"n{next(new)}" for _ in range(n)]
+    for _ in range(2):
+        tree = [fresh(200)]
+        for _ in range(249):
+            tree.append(edit(rnd.choice(tree), rnd.randint(2, 4)))
+        base, chain, template = fresh(200), [fresh(200)], fresh(150)
+        for _ in range(149):
+            chain.append(edit(chain[-1], rnd.randint(2, 4)))
+        out += tree + [base, *(edit(base, rnd.randint(1, 8)) for _ in range(200))] + chain
+        for _ in range(120):
+            out.append(template + fresh(rnd.randint(20, 60)))
+            out.append(edit(out[-1], rnd.randint(1, 3)))
+    rnd.shuffle(out)
+    return {i: " ".join(w) for i, w in enumerate(out)}
+
+
+@pytest.mark.parametrize(("percent", "group"), [(85, 256), (80, 24)])
+def test_no_link_is_lost_in_trees_stars_chains_and_templates(spark, percent, group):
+    """Whole, and with groups so small that finer tables and cells of their pieces are needed."""
+    texts = families()
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dups.near_duplicates(rows, near_dups.Tensor(percent=percent, group=group)).collect()}
+    assert got == brute(texts, percent)
+
+
+def test_what_sketches_and_finer_tables_miss():
+    for how in (near_dups.Tensor(percent=80), near_dups.Tensor(percent=85)):
+        q, n = how.percent / 100, how.sketch
+        below = sum(math.comb(n, k) * q**k * (1 - q) ** (n - k) for k in range(how.least))
+        assert below <= how.miss < below + math.comb(n, how.least) * q**how.least * (1 - q) ** (n - how.least)
+        assert (1 - q**how.depth) ** how.finer <= how.miss < (1 - q**how.depth) ** (how.finer - 1)
+
+
 def test_near_duplicates_on_odd_rows(odd, empty):
     got = {r.doc_id: r for r in near_dups.near_duplicates(odd).collect()}
     assert got[5].component_id == 4 and not got[5].kept and all(got[i].kept and got[i].n_shingles == 0 for i in (1, 2, 3)) and got[None].kept
