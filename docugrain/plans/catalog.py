@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import numbers as N
+from ..functions import sql
 from ..functions import text as X
 from ..operators import corpus, findings, pages, requests, search, state, validity, vectors
 from ..sources.tables import TABLES, provision_rows, provisions, scratch, shared_folder, table, upsert_usage, written
@@ -910,3 +911,16 @@ def web_search(spark, sf_dir):
     forms = [F.concat_ws(" ", at(F.lit(0)), at(n - 1)), F.concat_ws(" ", quoted(at(F.lit(2)), at(F.lit(3)))), F.concat_ws(" ", at(F.lit(0)), F.lit("or"), quoted(at(F.lit(1)), at(F.lit(2))), at(F.lit(4))), F.concat(at(F.lit(1)), F.lit(" -"), at(F.lit(3))), F.concat(at(n - 1), F.lit(" -"), quoted(at(F.lit(0)), at(F.lit(1))))]
     text = F.element_at(F.array(*forms), (F.col("id") % len(forms) + 1).cast("int"))
     return search.regulations(rules.select(F.col("id").alias("query"), text.alias("asked")), "query", "asked", rules, F.to_date(F.lit("2024-01-01")))
+
+
+@query("""select conv_id, page, n_chars from (select conv_id, turn + 1 as page, length(text) + 1 + case when turn = max(turn) over (partition by conv_id) then 0 else 2 end as n_chars,
+sum(length(text) + length('[REPORT PAGE ]') + length((turn + 1)::varchar) + 3) over (partition by conv_id order by turn) as total, turn from conversations) where total <= 2000 or turn = 0""")
+def sql_pages(spark, sf_dir):
+    """SQL alone, with the registered table functions: pages of each conversation's first some 2,000 characters, split from its marked text."""
+    sql.register(spark)
+    table(spark, sf_dir, "conversations").createOrReplaceTempView("docugrain_conversations")
+    return spark.sql("""
+        with capped as (select * from page_cap(table(select conv_id, turn + 1 as page, text from docugrain_conversations), 2000)),
+        whole as (select conv_id, array_join(transform(array_sort(collect_list(struct(turn, text))), x -> concat('\\n\\n[REPORT PAGE ', x.turn + 1, ']\\n', x.text)), '') as text from docugrain_conversations group by conv_id)
+        select w.conv_id, cast(p.page as bigint) as page, cast(length(p.body) as bigint) as n_chars from whole w, lateral split_pages(w.text) p
+        join capped c on c.conv_id = w.conv_id and c.page = p.page""")

@@ -340,3 +340,24 @@ def test_two_writers_of_usage_lose_no_count_and_leave_other_months(spark, tmp_pa
     open(f"{path}/month=2024-01/_claim-2", "w").close()
     tables.upsert_usage(batch(("a", "2024-01")), path, "device", lease=0.5)
     assert {r.used_count for r in tables.usage_table(spark, path, tables.upsert_usage(batch().limit(0), path, "device").schema).where("month = '2024-01'").collect()} == {2}
+
+
+def test_table_functions_in_sql(spark):
+    from docugrain.functions import sql
+
+    sql.register(spark)
+    texts = [None, "", "plain " * 40, "x[REPORT PAGE 1]a[REPORT PAGE 12]b[REPORT PAGE 1]c", "[REPORT PAGE 3]" + "y" * 300, "p" * 90 + "".join(f"[REPORT PAGE {k}]" + "z" * (30 * k) for k in range(1, 8))]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    rows.createOrReplaceTempView("marked")
+    got = {}
+    for r in spark.sql("select id, c.seq, c.chunk from marked, lateral text_chunks(text, 100) c").collect():
+        got.setdefault(r.id, {})[r.seq] = r.chunk
+    assert {k: [v[i] for i in range(len(v))] for k, v in got.items()} == {k: chunk_loop(t, 100) for k, t in enumerate(texts)}
+    split = {(r.id, r.page): r.body for r in spark.sql("select id, p.page, p.body from marked, lateral split_pages(text) p").collect()}
+    assert split == {(r.id, r.page): r.body for r in pages.split_pages(rows, "id").collect()} and split[3, 1] == "c"
+    many = spark.createDataFrame([(d, p, "t" * (p * 10)) for d in range(5) for p in range(1, 9)], "doc int, page int, text string")
+    many.repartition(7).createOrReplaceTempView("many")
+    capped = spark.sql("select * from page_cap(table(many), 150)").collect()
+    assert {tuple(r) for r in capped} == {(r.doc, r.page, r.text) for r in pages.page_cap(many, "doc", "page", "text", 150).collect()}
+    with pytest.raises(Exception, match="three columns"):
+        spark.sql("select * from page_cap(table(select doc from many), 150)").collect()
