@@ -11,7 +11,7 @@ the driver holds at most sample * 2**bits or ``places`` of them, whichever is le
 
 Defined results: null, empty or blank text has no features and scores by the bias; equal rows score alike; with no
 labelled row, or one class only, every score is that class's share (0.5 without any). A label row with a null is ignored;
-of several labels of a document each counts.
+of several labels of a document each counts once, and of several rows of one doc_id the one of least hash is learned from.
 """
 
 from __future__ import annotations
@@ -117,8 +117,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, how: NBSVM, label_col: str
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).where(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1) & fold)
     least = lambda y, k: known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(k)
     chosen = least(0, how.sample // 2).unionByName(least(1, how.sample // 2))
-    # At most how.sample rows of two numbers: a proven bound for the broadcast.
-    return docs.join(F.broadcast(chosen), "doc_id")
+    # At most how.sample rows of two numbers: a proven bound for the broadcast. Of rows that repeat a doc_id one is learned from, so the sample stays within it.
+    return docs.join(F.broadcast(chosen.distinct()), "doc_id").groupBy("doc_id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, how: NBSVM = NBSVM(), label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -131,7 +131,7 @@ def classify(docs: DataFrame, labels: DataFrame, how: NBSVM = NBSVM(), label_col
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array([made.of(t).astype(np.int32) for t in texts(batch)], pa.list_(pa.int32()))], names=["doc_id", "y", "x"])
 
-    made = cut(training_rows(mine, labels, how, label_col).mapInArrow(featured, "doc_id long, y int, x array<int>"), "training")
+    made = cut(training_rows(mine, labels, how, label_col).select("doc_id", "text", "y").mapInArrow(featured, "doc_id long, y int, x array<int>"), "training")
     # Rows in order of hash while their places, by class, fit the bound: sums of at most 2 * how.sample numbers.
     inside = F.sum(F.size("x")).over(Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     first = F.row_number().over(Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id"))

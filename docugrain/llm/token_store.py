@@ -11,7 +11,7 @@ and directory, each padded to 8 bytes). Segments are rows of a table that Spark
 order of doc_id over parts and within them, each with the ids before it in its part, so that any file system that Spark reaches holds it and lost tasks are redone.
 
 Defined results: null or empty text gives the end id alone; repeated rows are stored each, equal doc_ids side by side
-(in order of text); rows without doc_id come before all others; an empty table gives no segment. A text of any length is encoded whole, in one segment.
+(in order of a hash of their text over parts, of the text within one); rows without doc_id come before all others; an empty table gives no segment. A text of any length is encoded whole, in one segment.
 """
 
 from __future__ import annotations

@@ -602,6 +602,13 @@ def test_recall_on_a_large_group_with_a_poor_hub(spark):
     assert 10 < len(set(label.tolist())) and np.mean([got[i] == label[i] for i in range(len(at))]) >= 0.99
 
 
+def test_training_rows_stay_within_the_sample_where_rows_repeat(spark):
+    docs = spark.createDataFrame([(i % 20, f"text {i % 3}") for i in range(3000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)] * 2, "doc_id long, quality int")
+    got = quality_classifier.training_rows(docs, labels, quality_classifier.NBSVM(sample=8), "quality").collect()
+    assert len(got) == len({(r.doc_id, r.y) for r in got}) <= 8
+
+
 def families():
     """Version trees, stars, drifting chains and shared templates, shuffled: documents of 200 words, each a copy of an earlier one with a few words replaced."""
     rnd, new, out = random.Random(21), itertools.count(), []
