@@ -26,6 +26,19 @@ MERGE = {
 }
 
 
+#: What a reviewer is asked to look for, by type of document; all but financial reports share the first sentence.
+COMMON = "Report only what the text says; give no advice on law, and name a risk with the words that carry it. "
+TASKS = {
+    "financial": "Look at results against the year before, debt and interest, cash flow, currency exposure, going concern, provisions and what the auditor remarks.",
+    "rental": COMMON + "Look at rent and how it rises, the deposit and its return, how long it runs and renews, notice and eviction, penalties, upkeep and further charges.",
+    "subscription": COMMON + "Look at the whole cost and when it falls due, the minimum term, automatic renewal, fees for leaving early, price changes and how to cancel.",
+    "insurance": COMMON + "Look at what is covered and up to what sum, exclusions, the excess, waiting times, premiums, cancellation and the deadlines for claims.",
+    "vehicle": COMMON + "Look at price and payment, delivery, condition and warranty, damage and mileage as declared, disclaimers and the transfer of ownership.",
+    "employment": COMMON + "Look at pay and benefits, probation, hours and overtime, competition and secrecy clauses, penalties, notice, inventions and changes by one side.",
+    "general": COMMON + "Look at what each side owes, payments and penalties, deadlines, renewal, how to end it and who bears which liability.",
+}
+
+
 class Temporary(Exception):
     """A failure that a later attempt may not have."""
 
@@ -51,8 +64,10 @@ def with_retries(call: Callable[[str], str], attempts: int = 3, first_wait: floa
 
 
 def prompts(chunks: DataFrame, *keys: str, text: str = "text", kind: str = "document_type", language: str = "language", context: str | None = None) -> DataFrame:
-    """One prompt for each chunk: its type and language, the provisions that may matter, if there are any, then the first characters of its text up to the cap."""
-    head = F.concat(F.lit("Review this document. Type: "), X.document_type(F.col(kind)), F.when(F.lower(F.col(language)) == "tr", ". Yanıt dili: Türkçe.\n\n").otherwise(".\n\n"))
+    """One prompt for each chunk: its type, what to look for in it and its language, the provisions that may matter, if there are any, then the first characters of its text up to the cap."""
+    tasks = F.create_map(*(F.lit(x) for k in TASKS.items() for x in k))
+    type_ = X.document_type(F.col(kind))
+    head = F.concat(F.lit("Review this document. Type: "), type_, F.lit(". "), F.coalesce(F.try_element_at(tasks, type_), F.lit(TASKS["general"])), F.when(F.lower(F.col(language)) == "tr", " Yanıt dili: Türkçe.\n\n").otherwise("\n\n"))
     body = F.substring(text, 1, PROMPT_CAP)
     if context:
         lines = F.array_join(F.transform(context, lambda c: F.concat_ws(" - ", c.source, c.article, c.title)), "\n")

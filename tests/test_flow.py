@@ -35,7 +35,7 @@ def test_reviewer_retries(spark):
         reviewer.with_retries(flaky, attempts=2, sleep=waits.append)("p")
     rows = spark.createDataFrame([(1, "x" * 200_000, "Rental ", "tr")], "doc int, text string, document_type string, language string")
     asked = reviewer.prompts(rows, "doc")
-    assert 120_000 < len(asked.first().prompt) < 120_200
+    assert 120_000 < len(asked.first().prompt) < 120_600
     assert reviewer.review(asked, "doc").first().review.risks == []
 
 
@@ -231,6 +231,10 @@ def test_prompts_with_context(spark):
     rows = spark.createDataFrame([(1, "text", "rental", "en", [("S", "1", "T")]), (2, "text", None, "tr", [])], "doc int, text string, document_type string, language string, context array<struct<source:string,article:string,title:string>>")
     got = {r.doc: r.prompt for r in reviewer.prompts(rows, "doc", context="context").collect()}
     assert "S - 1 - T" in got[1] and got[1].endswith("text") and "Provisions" not in got[2]
+    assert reviewer.TASKS["rental"] in got[1] and reviewer.TASKS["financial"] in got[2] and "Türkçe" in got[2] and "Türkçe" not in got[1]
+    from docugrain.functions import text as X
+
+    assert set(X.DOCUMENT_TYPES) | {"financial"} == set(reviewer.TASKS)
 
 
 def audit_loop(text, tr, turns, chunk):
