@@ -15,7 +15,7 @@ buckets of some ``bucket`` ids by a hash of its documents, sums of buckets give
 running sum within a bucket each document's. A hot source has more buckets, not larger ones.
 
 What goes to the driver and to all tasks: one row for each queue. Sources whose quantum is less than two ids share the last
-queue, so there are at most window * sequence / 2 queues (65,536).
+queue (with the largest source, where they are too few for one), so there are at most window * sequence / 2 queues (65,536).
 
 Padding: all ids make one line, cut every ``sequence`` ids; what is left at its end becomes sequences of the powers of two
 that add up to it, which need no padding. So nothing is padded at all.
@@ -205,7 +205,13 @@ def queues(tokens: DataFrame, how: Mix) -> tuple[list[tuple[str | None, int, int
         names = [x for x in how.targets if x is not None]
         own = [(r.source, r.n, round(how.targets[r.source] * 10**9)) for r in counts.where(F.col("source").isin(names) | (F.col("source").isNull() if None in how.targets else F.lit(False))).collect()]
     own.sort(key=lambda x: (x[0] is not None, x[0] or ""))
-    return own, total - sum(n for _, n, _ in own)
+    others = total - sum(n for _, n, _ in own)
+    if how.targets is None and own and 0 < others * how.ids < 2 * total:
+        # Too few for a queue even together: the largest source shares it with them.
+        largest = max(own, key=lambda x: x[1])
+        own.remove(largest)
+        others += largest[1]
+    return own, others
 
 
 def pack(docs: DataFrame, how: Mix = Mix(), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", vocabulary: str = VOCABULARY, ranks: str = RANKS, with_ids: bool = False) -> DataFrame:

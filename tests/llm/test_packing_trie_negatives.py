@@ -117,6 +117,13 @@ def test_windows_hold_the_target_mixture_until_a_queue_is_empty(spark):
         packing.pack(docs, packing.Mix(sequence=4, window=1, targets={"a": 1.0, "b": 0.001})).collect()
 
 
+def test_a_source_with_hardly_any_ids_is_packed_too(spark):
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.when(F.col("id") == 7, "small").when(F.col("id") % 3 == 0, "b").otherwise("a").alias("source"), F.repeat(F.lit("word "), F.when(F.col("id") == 7, 0).otherwise(20).cast("int")).alias("text"))
+    rows = packing.pack(docs, packing.Mix(sequence=16, window=4)).collect()
+    assert len({r.doc_id for r in rows}) == 400 and len({r.queue for r in rows}) == 2
+    assert sum(r.length for r in rows) == sum({r.doc_id: r.doc_tokens for r in rows}.values())
+
+
 def test_packing_of_odd_rows(spark):
     texts = [(1, None, None), (2, "", "s"), (3, " \n\t ", "s"), (4, "one", "t"), (4, "one", "t"), (None, "no id", "t"), (6, "x" * 50_000, "s"), (7, "word  " * 9_000, ""), (8, "é 日本 <|endoftext|> 🙂", "s")]
     docs = spark.createDataFrame(texts, "doc_id long, text string, source string").withColumns({c: F.lit(1) for c in CLASHES})
