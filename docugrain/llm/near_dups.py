@@ -13,8 +13,7 @@ links of each table, and what is linked already isn't compared again:
 2. Members are compared with their other hubs, where the two are not in one component by then.
 3. What no hub links may still be linked with each other, so tables whose members lie in several components are gone through whole. Each
    of their members has a sketch of ``sketch`` MinHashes; two members of different components are compared exactly if their sketches
-   agree often enough, and a pair at the very threshold agrees less often with probability ``miss`` at most. First each member's ``near`` likeliest
-   mates are compared, then, with the components that these links give, all that are left. It ends as nothing is left to compare.
+   agree often enough, and a pair at the very threshold agrees less often with probability ``miss`` at most. Then nothing is left to compare.
 
 No large table is gone through as it is: members of those with more than ``group`` members take finer tables, whose keys combine ``depth`` hashes of
 their sketches (as many tables as miss a pair at the threshold with probability ``miss`` at most). A finer table that is still larger is cut into pieces, and
@@ -50,11 +49,10 @@ class Tensor:
     miss: float = 3e-4
     #: Pairs of bands are (a_i, b_i), (a_i, b_i+1), ...: so many for each i.
     diagonals: int = 3
-    #: MinHashes of a sketch; hashes of a finer table's key; members of a table or cell that is gone through whole, about; mates in the first turn.
+    #: MinHashes of a sketch; hashes of a finer table's key; members of a table or cell that is gone through whole, about.
     sketch: int = 256
     depth: int = 10
     group: int = 256
-    near: int = 4
 
     @property
     def bands(self) -> int:
@@ -165,7 +163,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def sketched(sets: DataFrame, how: Tensor) -> DataFrame:
-    """id, sketch (16 bits of each MinHash) and the keys of its finer tables."""
+    """id, sketch (8 bits of each MinHash: different ones agree by chance once in 256, which only adds pairs to compare) and the keys of its finer tables."""
 
     def make():
         factors, rng = odd(how.sketch, 31), np.random.default_rng(32)
@@ -176,7 +174,7 @@ def sketched(sets: DataFrame, how: Tensor) -> DataFrame:
             out = {"id": batch.column("id"), "sketch": [], "keys": []}
             for x in batch.column("values"):
                 least = mix(least_products(np.frombuffer(x.as_py(), U64), factors))
-                out["sketch"].append(least.astype(np.uint16).tobytes())
+                out["sketch"].append(least.astype(np.uint8).tobytes())
                 out["keys"].append(mix(mix((least[chosen] * weights).sum(axis=1)) + np.arange(len(chosen), dtype=U64)).view(np.int64))
             return out
 
@@ -191,19 +189,20 @@ def mixed_tables(placed: DataFrame, labels: DataFrame, name: str) -> DataFrame:
     return cut(by_key.where("lo <> hi").select("key", "members"), name)
 
 
-def likely(seats: DataFrame, labels: DataFrame, sketches: DataFrame, how: Tensor, near: int | None) -> DataFrame:
-    """Pairs (a, b), a > b, of members that share a table but no component, and whose sketches agree often enough; of each member's in a table only the ``near`` likeliest, if given.
+def likely(seats: DataFrame, labels: DataFrame, sketches: DataFrame, how: Tensor) -> DataFrame:
+    """Pairs (a, b), a > b, of members that share a table but no component, and whose sketches agree often enough.
 
-    Of all tables that two members share, only the one of least key gives the pair, and of a table's cells only one, so each pair is a row once."""
-    own = seats.groupBy("id").agg(F.sort_array(F.collect_set("table")).alias("all"))
+    Of all tables that two members share, only the one of least short name gives the pair, and of a table's cells only one, so each pair is a row once.
+    Names have 32 bits: that two members share one without its table, and so lose their pair, is a chance of one in a million."""
+    own = seats.groupBy("id").agg(F.sort_array(F.collect_set(F.hash("table"))).alias("all"))
     members = sketches.select("id", "sketch").join(own, "id").join(labels, "id")
     columns = ["key", "table", "piece", "whole", "id", "label", "sketch", "all"]
-    rows = seats.join(members, "id").repartition("key").sortWithinPartitions("key").select(columns)
+    rows = seats.withColumn("table", F.hash("table")).join(members, "id").select(columns).repartition("key").sortWithinPartitions("key")
     least = how.least
 
     def pairs(group: pa.Table):
         ids, own, piece = (group[c].to_numpy() for c in ("id", "label", "piece"))
-        sketch = np.frombuffer(b"".join(group["sketch"].to_pylist()), np.uint16).reshape(len(ids), -1)
+        sketch = np.frombuffer(b"".join(group["sketch"].to_pylist()), np.uint8).reshape(len(ids), -1)
         # Members of one piece meet in the cell that is theirs alone.
         apart = None if group["whole"][0].as_py() else piece
         table_, shared = group["table"][0].as_py(), [set(x) for x in group["all"].to_pylist()]
@@ -212,10 +211,8 @@ def likely(seats: DataFrame, labels: DataFrame, sketches: DataFrame, how: Tensor
             agree[(own[at : at + 32, None] == own[None]) | (agree < least)] = 0
             if apart is not None:
                 agree[apart[at : at + 32, None] == apart[None]] = 0
-            if near is not None and agree.shape[1] > near:
-                agree[agree < np.partition(agree, -near, axis=1)[:, -near:].min(axis=1)[:, None]] = 0
             for i, j in zip(*(x.tolist() for x in np.nonzero(agree)), strict=True):
-                if (near is not None or ids[at + i] > ids[j]) and min(shared[at + i] & shared[j]) == table_:
+                if ids[at + i] > ids[j] and min(shared[at + i] & shared[j]) == table_:
                     yield max(ids[at + i], ids[j]), min(ids[at + i], ids[j])
 
     def through(rows_: pa.Table):
@@ -345,14 +342,10 @@ def near_duplicates(docs: DataFrame, how: Tensor = Tensor(), id_col: str = "doc_
     sketches = cut(sketched(sets.join(tables.select("id").distinct(), "id", "left_semi"), how), "sketches")
     seats = cut(seated(tables, sketches, labels, how), "seats")
     free(placed, mixed, tables)
-    compared = [stars]
-    for turn, near in enumerate((how.near, None)):
-        pairs = likely(seats, labels, sketches, how, near)
-        for c in compared:
-            pairs = pairs.join(c.select("a", "b"), ["a", "b"], "left_anti")
-        compared.append(cut(pairs, f"likely-{turn}"))
-        labels, _ = add(labels, compared[-1], f"turn-{turn}")
-    free(seats, sketches, sets, *compared)
+    pairs = cut(likely(seats, labels, sketches, how).join(stars.select("a", "b"), ["a", "b"], "left_anti"), "likely")
+    free(seats, sketches, stars)
+    labels, _ = add(labels, pairs, "level-3")
+    free(pairs, sets)
     # Component of a class, then of its rows. Every row of a hot class gets its label by a join on the set's digest, which AQE can split.
     final = cut(reps.select("set_hi", "set_lo", F.col("rep").alias("id")).join(labels, "id", "left").select("set_hi", "set_lo", F.coalesce("label", "id").alias("component")), "final")
     free(reps, labels)
