@@ -7,6 +7,11 @@ counts that the training words' lattices give, each as often as the word occurs
 count as ``prior`` pieces). All words, seen ones too, are scored by that lattice alone; after each piece a word stops or
 goes on, and a text is its words and one end, each token being an end as often as in training. Base counts are separate.
 
+The query's model (``FITTED``) goes further. Each training word is a piece too, which spans the whole word: of its count it keeps
+what absolute discounting leaves it, and the rest of all is shared by the segmentations into the file's pieces, fitted in two
+passes to the training words, each counted once. And a text draws its words from an urn to which each word drawn adds one
+like it, so words of a text's own language and subject become likelier; the order of words plays no part in it.
+
 Many words are worked on at once: rows of code points by length, pieces looked up by the 64-bit hash of each window.
 
 Counts go over all training documents: per task, then by a shuffle on the word. The most frequent words (at most
@@ -24,10 +29,11 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import U64, cut, free, id_text, table, texts
@@ -44,6 +50,12 @@ class Model:
     head: int = 200_000
     head_chars: int = 100
     prior: float = 1000.0
+    #: Forward-backward passes over the training words.
+    passes: int = 1
+    #: Whether each training word is a piece of its own too, spanning the whole word.
+    whole: bool = False
+    #: How many words the corpus weighs in a text's urn, to which each word that is drawn adds one of its own; without it words don't depend on each other.
+    urn: float | None = None
     #: Words that a task counts before it hands its counts on; it bounds memory only.
     flush: int = 300_000
 
@@ -64,6 +76,10 @@ def pieces(name: str) -> tuple[list[str], list[float]]:
     return names, weights
 
 
+#: What the query scores with: training words as pieces of their own, the file's pieces fitted in two passes, words of a text that draw each other.
+FITTED = Model(passes=2, whole=True, urn=2000.0)
+
+
 class Lattice:
     """Pieces with log probabilities, and the recursions over many words at once. Arrays have a row for each place and a column for each word."""
 
@@ -182,6 +198,32 @@ class Lattice:
         return into
 
 
+#: Factors of a rising factorial that are multiplied one by one; the rest comes from Stirling's series, then exact to some 13 digits.
+ONE_BY_ONE = 64
+
+
+def _stirling(z, log):
+    return (z - 0.5) * log(z) - z + 1 / (12 * z) - 1 / (360 * z * z * z)
+
+
+def rising(x: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """log10 of 10^x (10^x + 1) ... (10^x + n - 1). The first factor may be too small for a number, so x is its logarithm."""
+    x0, few = 10.0**x, np.minimum(n, ONE_BY_ONE) - 1
+    at = np.repeat(np.arange(len(x)), few)
+    out = np.bincount(at, np.log(x0[at] + (np.arange(1, len(at) + 1) - (np.cumsum(few) - few)[at])), len(x)).astype(float)
+    many = n > ONE_BY_ONE
+    out[many] += _stirling(x0[many] + n[many], np.log) - _stirling(x0[many] + ONE_BY_ONE, np.log)
+    return x + out / math.log(10)
+
+
+def rising_column(x: Column, n: Column) -> Column:
+    """The same of columns."""
+    x0 = F.pow(F.lit(10.0), x)
+    first = F.aggregate(F.sequence(F.lit(1), F.least(n, F.lit(ONE_BY_ONE)) - 1), F.lit(0.0), lambda s, j: s + F.ln(x0 + j))
+    rest = F.when(n > ONE_BY_ONE, _stirling(x0 + n, F.ln) - _stirling(x0 + ONE_BY_ONE, F.ln)).otherwise(0.0)
+    return x + F.when(n == 1, 0.0).otherwise(first + rest) / math.log(10)
+
+
 def _held_out(how: Model):
     return F.crc32(F.col("doc_id").cast("string")) % how.folds == 0
 
@@ -219,27 +261,34 @@ def score(docs: DataFrame, how: Model = Model(), id_col: str = "doc_id", text_co
     spark = docs.sparkSession
     vocab = cut(count_words(mine, how), "words")
     words, frequent_words = F.col("c") > 0, F.char_length("word") <= how.head_chars
-    one = vocab.agg(F.sum("c"), F.count_if(words), *(F.count_if(frequent_words & (F.col("n") >= 2**k)) for k in range(63))).first()
+    one = vocab.agg(F.sum("c"), F.count_if(words), *(F.count_if(frequent_words & (F.col("n") >= 2**k)) for k in range(63)), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
     ends = mine.agg(F.count_if(~F.coalesce(_held_out(how), F.lit(False)))).first()[0]
     total, distinct = (one[0] or 0) + ends, one[1] + (1 if ends else 0)
     # The least power of two that at most ``head`` words reach.
     frequent = frequent_words & (F.col("n") >= next(2**k for k in range(63) if one[2 + k] <= how.head))
     names, weights = pieces(how.vocabulary)
     start = spark.sparkContext.broadcast((names, weights))
+    # What a training word's own piece leaves to its segmentations, from words seen once and twice; without such pieces all is left.
+    left = (one[-2] + 1) / (one[-2] + 2 * one[-1] + 2) if how.whole else None
+    spelled = min(1.0, left * one[1] / one[0]) if how.whole and one[0] else 1.0
 
-    def expectations(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice, into, words = Lattice(*start.value, {}, 0, how.prior), None, 0
+    def expectations(batches: Iterator[pa.RecordBatch], learnt) -> Iterator[pa.RecordBatch]:
+        n, counts = learnt.value
+        lattice, into, words = Lattice(*start.value, counts, n, how.prior), None, 0
         for batch in batches:
             times = batch.column("c").to_numpy()
+            times = np.ones_like(times) if how.whole else times
             own = lattice.expect(batch.column("word").to_pylist(), times)
             into, words = own if into is None else into + own, words + int(times.sum())
         if into is not None:
             hit = np.flatnonzero(into)
             yield pa.RecordBatch.from_arrays([pa.array([-1, *hit], pa.int32()), pa.array([float(words), *into[hit]], pa.float64())], names=["piece", "n"])
 
-    # At most one row for each piece of the vocabulary file comes to the driver.
-    got = dict(vocab.where("c > 0").select("word", "c").mapInArrow(expectations, "piece int, n double").groupBy("piece").agg(F.sum("n")).collect())
-    learnt = spark.sparkContext.broadcast((got.pop(-1, 0.0), got))
+    learnt = spark.sparkContext.broadcast((0.0, {}))
+    for _ in range(how.passes):
+        # At most one row for each piece of the vocabulary file comes to the driver.
+        got = dict(vocab.where("c > 0").select("word", "c").mapInArrow(partial(expectations, learnt=learnt), "piece int, n double").groupBy("piece").agg(F.sum("n")).collect())
+        learnt = spark.sparkContext.broadcast((got.pop(-1, 0.0), got))
     under = total + 0.1 * (distinct + 1)
     end = (ends + 0.5) / (total + 1)
 
@@ -247,12 +296,18 @@ def score(docs: DataFrame, how: Model = Model(), id_col: str = "doc_id", text_co
         words, counts = learnt.value
         lattice = Lattice(*start.value, counts, words, how.prior)
         for batch in batches:
-            own = (lattice.log_probabilities(batch.column("word").to_pylist()) + math.log1p(-end)) / math.log(10)
-            base = np.log10((batch.column("c").to_numpy() + 0.1) / under)
+            own, c = lattice.log_probabilities(batch.column("word").to_pylist()), batch.column("c").to_numpy()
+            if how.whole:
+                seen = c > 0
+                own += math.log(spelled)
+                own[seen] = np.logaddexp(own[seen], np.log((c[seen] - left) / one[0]))
+            own = (own + (math.log1p(-end) if how.urn is None else math.log(how.urn))) / math.log(10)
+            base = np.log10((c + 0.1) / under)
             yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("c"), batch.column("n"), pa.array(base), pa.array(own)], names=["word", "c", "n", "base", "own"])
 
     rated = cut(vocab.mapInArrow(scored, "word string, c long, n long, base double, own double"), "rated")
     free(vocab)
+    stay = math.log1p(-end) / math.log(10)
     end_base, end_own = math.log10(((ends or 0) + 0.1) / under), math.log10(end)
     most = rated.where(frequent).select("word", (F.col("c") > 0).cast("long").alias("seen"), "base", "own").toArrow()
     head = spark.sparkContext.broadcast((most.column("word").to_pylist(), np.stack([most.column(c).to_numpy().astype(float) for c in ("seen", "base", "own")], axis=1)))
@@ -267,7 +322,12 @@ def score(docs: DataFrame, how: Model = Model(), id_col: str = "doc_id", text_co
                 at = np.fromiter((place(w, -1) for w in counts), np.int64, len(counts))
                 n = np.fromiter(counts.values(), np.int64, len(counts))
                 known = at >= 0
-                sums.append((int(n.sum()) + 1, *(n[known] @ values[at[known]])))
+                seen, base, own = n[known] @ values[at[known]]
+                if how.urn is not None:
+                    # The urn's own content grows by one with each word; what a word weighs there is in its column.
+                    every = n.sum(keepdims=True)
+                    own = rising(values[at[known], 2], n[known]).sum() + ((every * stay - rising(np.array([math.log10(how.urn)]), every))[0] if len(n) else 0.0)
+                sums.append((int(n.sum()) + 1, seen, base, own))
                 if not known.all():
                     own = list(counts)
                     rare = np.flatnonzero(~known).tolist()
@@ -289,10 +349,11 @@ def score(docs: DataFrame, how: Model = Model(), id_col: str = "doc_id", text_co
     looked = cut(numbered.mapInArrow(look, "row long, doc_id long, word string, times int, tokens long, known long, base double, own double"), "looked")
     rare = rated.where(~frequent).select("word", "c", F.col("base").alias("wb"), F.col("own").alias("ws"))
     tail = looked.where("word is not null").select("row", "word", "times").join(rare, "word")
-    tail = tail.select("row", F.lit(None).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("tokens"), F.when(F.col("c") > 0, F.col("times").cast("long")).otherwise(0).alias("known"), (F.col("times") * F.col("wb")).alias("base"), (F.col("times") * F.col("ws")).alias("own"))
+    own = F.col("times") * F.col("ws") if how.urn is None else rising_column(F.col("ws"), F.col("times"))
+    tail = tail.select("row", F.lit(None).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("tokens"), F.when(F.col("c") > 0, F.col("times").cast("long")).otherwise(0).alias("known"), (F.col("times") * F.col("wb")).alias("base"), own.alias("own"))
     sums = looked.where("word is null").select("row", "doc_id", "tokens", "known", "base", "own").unionByName(tail).groupBy("row").agg(F.max("doc_id").alias("doc_id"), *(F.sum(c).alias(c) for c in ("tokens", "known", "base", "own")))
     return sums.select("doc_id", F.coalesce(_held_out(how), F.lit(False)).alias("held_out"), F.col("tokens").alias("n_tokens"), F.col("known").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), F.col("own").alias("score"))
 
 
 def op4_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score(table(spark, sf_dir, "documents"))
+    return score(table(spark, sf_dir, "documents"), FITTED)

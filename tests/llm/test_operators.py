@@ -2,6 +2,7 @@
 
 import base64
 import collections
+import dataclasses
 import hashlib
 import itertools
 import math
@@ -430,6 +431,36 @@ def test_document_scores_equal_sums_over_segmentations(spark):
     assert got == want
 
 
+def test_words_as_pieces_and_urns_equal_plain_loops(spark):
+    how = lattice_lm.Model(whole=True, urn=50.0)
+    held = lambda d: zlib.crc32(str(d).encode()) % how.folds == 0
+    out, inside = next(x for x in range(100, 999) if held(x)), [x for x in range(100, 120) if not held(x)]
+    rows = [(inside[0], "the cat the cat the dog"), (inside[1], "the cat sat"), (inside[2], ""), (inside[3], "dog " * 200), (out, "the zyx zyx zyx cat " + "rare " * 150), (out, None)]
+    train, n_docs = collections.Counter(w.decode() for d, t in rows if not held(d) for w in words(t)), sum(not held(d) for d, _ in rows)
+    total, end = train.total(), (n_docs + 0.5) / (train.total() + n_docs + 1)
+    once, twice = (sum(c == k for c in train.values()) for k in (1, 2))
+    left = (once + 1) / (once + 2 * twice + 2)
+    log_p = plain_lattice(*lattice_lm.pieces(how.vocabulary), dict.fromkeys(train, 1), how)
+    p = lambda w: left * len(train) / total * math.exp(log_p(w)) + (train[w] - left if train[w] else 0) / total
+
+    def plain(text):
+        drawn, sum_ = collections.Counter(), math.log(end)
+        for w in (x.decode() for x in words(text)):
+            sum_ += math.log1p(-end) + math.log((how.urn * p(w) + drawn[w]) / (how.urn + drawn.total()))
+            drawn[w] += 1
+        return sum_ / math.log(10)
+
+    for head in (how.head, 2, 0):
+        got = lattice_lm.score(spark.createDataFrame(rows, "doc_id long, text string"), dataclasses.replace(how, head=head)).collect()
+        assert sorted(round(r.score, 8) for r in got) == sorted(round(plain(t), 8) for _, t in rows)
+
+
+def test_held_out_scores_come_near_the_base(spark):
+    rows = [r for r in lattice_lm.op4_lattice_lm(spark, "/root/testdata/sf0.01").collect() if r.held_out]
+    n = sum(r.n_tokens for r in rows)
+    assert all(math.isfinite(r.score) for r in rows) and sum(r.score - r.base_score for r in rows) / n > -0.5
+
+
 def test_forward_sums_all_segmentations():
     names, weights = ["▁", "a", "b", "ab", "▁a", "aba"], [1, 2, 3, 4, 5, 6]
     lattice = lattice_lm.Lattice(names, weights, {}, 0, 10.0)
