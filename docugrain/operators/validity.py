@@ -57,6 +57,36 @@ def holding(asked: DataFrame, versions: DataFrame, key: str, day: str, since: st
     return both.select(*asked.columns, *(F.col(f"_v_{c}").alias(c) for c in dict.fromkeys([since, until, *carry])))
 
 
+def _nodes(first: Column, last: Column) -> Column:
+    """The dyadic intervals that make up days first to last, by number (2^(LEVELS - level) + n), with nulls between."""
+    out = []
+    for level in range(LEVELS + 1):
+        a, b, root = F.shiftright(first + (2**level - 1), level), F.shiftright(last + 1, level) - 1, 2 ** (LEVELS - level)
+        out += [F.when((a <= b) & (a % 2 == 1), a + root), F.when((a <= b) & (b % 2 == 0), b + root)]
+    return F.array(*out)
+
+
+def tallies(days: DataFrame, versions: DataFrame, key: str, day: str, since: str, until: str, id_: str) -> DataFrame:
+    """key, day, n, first and last: for each key and day asked for how many versions of the key hold on it, and the least and greatest id of them. No row for days on which none holds.
+
+    Versions are counted by dyadic interval before days meet them, and each day of a key is looked up once, so work and
+    shuffled rows grow with versions and days, not with the pairs of them."""
+    asked = days.where(F.col(key).isNotNull() & F.col(day).isNotNull()).select(F.col(key).alias("_key"), F.col(day).cast("date").alias("_day")).distinct()
+    span = days.agg(*(f(F.unix_date(F.col(day).cast("date"))) for f in (F.min, F.max))).first()
+    lo, most = (0, 0) if span[0] is None else (span[0], span[1] - span[0])
+    if most >= 2**LEVELS:
+        raise ValueError(f"days asked for lie more than {2**LEVELS} apart")
+    top = F.lit(most)
+    at = lambda c: F.unix_date(F.col(c).cast("date")) - lo
+    own = versions.where(F.col(key).isNotNull()).select(F.col(key).alias("_key"), F.col(id_).alias("_id"), F.greatest(F.coalesce(at(since), F.lit(0)), F.lit(0)).alias("_a"), F.least(F.coalesce(at(until), top), top).alias("_b"))
+    parts = own.where("_a <= _b").select("_key", "_id", F.explode(_nodes(F.col("_a"), F.col("_b"))).alias("_node")).where("_node is not null")
+    cells = parts.groupBy("_key", "_node").agg(F.count(F.lit(1)).alias("n"), F.min("_id").alias("first"), F.max("_id").alias("last"))
+    leaf = at("_day") + 2**LEVELS
+    looked = asked.select("_key", "_day", F.explode(F.array(*(F.shiftright(leaf, k) for k in range(LEVELS + 1)))).alias("_node"))
+    met = looked.join(cells, ["_key", "_node"]).groupBy("_key", "_day").agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.max("last").alias("last"))
+    return met.select(F.col("_key").alias(key), F.col("_day").alias(day), "n", "first", "last")
+
+
 def conflicts(versions: DataFrame, key: str, id_: str, since: str, until: str) -> DataFrame:
     """key, id, n and first: versions that begin while another one of their key holds, with how many do and the least id of them. Of two that begin on one day the one of greater id is the later; null begins are before all."""
     early = F.lit("0001-01-01").cast("date")

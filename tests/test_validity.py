@@ -33,3 +33,9 @@ def test_hot_keys_nulls_and_salts(spark):
         assert sorted((r.q, r.id) for r in got.collect()) == want and got.columns == ["q", "k", "day", "since", "until", "id"]
     assert validity.holding(q.limit(0), v, "k", "day", "since", "until", ["id"]).count() == 0
     assert validity.holding(q, v.limit(0), "k", "day", "since", "until", ["id"]).count() == 0
+
+
+def test_work_of_tallies_is_not_that_of_pairs(spark):
+    """Ten million pairs of versions and days that never come to be rows."""
+    v, q = spark.range(5000).selectExpr("1 as k", "id", "cast(null as date) as since", "cast(null as date) as until"), spark.range(2000).selectExpr("1 as k", "date'2020-01-01' as day")
+    assert [(r.n, r["first"], r["last"]) for r in validity.tallies(q, v, "k", "day", "since", "until", "id").collect()] == [(5000, 0, 4999)]
