@@ -6,7 +6,7 @@ of a hot key are dealt to as many salts as it takes to have at most some ``group
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Days that all intervals are cut to: 2^LEVELS from the first day asked for (179 years).
@@ -88,13 +88,17 @@ def tallies(days: DataFrame, versions: DataFrame, key: str, day: str, since: str
 
 
 def conflicts(versions: DataFrame, key: str, id_: str, since: str, until: str) -> DataFrame:
-    """key, id, n and first: versions that begin while another one of their key holds, with how many do and the least id of them. Of two that begin on one day the one of greater id is the later; null begins are before all."""
+    """key, id, n and first: versions that begin while another one of their key holds, with how many do and the least id of them. Of two that begin on one day the one of greater id is the later; null begins are before all. Ids are unique within a key.
+
+    Those that began on earlier days are tallied by day; those of the same day are counted by rank."""
     early = F.lit("0001-01-01").cast("date")
     own = versions.where(F.col(key).isNotNull()).select(F.col(key).alias(key), F.col(id_).alias("_id"), F.col(since).cast("date").alias("_since"), F.col(until).cast("date").alias("_until"))
-    least = own.agg(F.min("_since").alias("x")).first().x
+    least = F.date_from_unix_date(F.lit(own.agg(F.min(F.unix_date("_since"))).first()[0]).cast("int"))
     # A version without a begin holds from the first day of all.
-    own = own.withColumn("_day", F.coalesce("_since", F.lit(least).cast("date"))).where("_day is not null and (_until is null or _until >= _day)")
-    there = own.select(key, F.col("_id").alias("_other"), F.col("_since").alias("_from"), F.col("_until").alias("_to"))
-    met = holding(own.select(key, "_id", "_since", "_day"), there, key, "_day", "_from", "_to", ["_other"])
-    before = (F.coalesce("_from", early) < F.coalesce("_since", early)) | ((F.coalesce("_from", early) == F.coalesce("_since", early)) & (F.col("_other") < F.col("_id")))
-    return met.where(before).groupBy(key, F.col("_id").alias(id_)).agg(F.count(F.lit(1)).alias("n"), F.min("_other").alias("first"))
+    own = own.where(F.coalesce("_since", least).isNotNull() & (F.col("_until").isNull() | (F.col("_until") >= F.coalesce("_since", least)))).withColumn("_from", F.coalesce("_since", early))
+    before = tallies(own.where(F.col("_since") > early), own.withColumn("_next", F.date_add("_from", 1)), key, "_since", "_next", "_until", "_id").select(F.col(key).alias("_key"), F.col("_since").alias("_day"), F.col("n").alias("_n"), F.col("first").alias("_first"))
+    w = Window.partitionBy(key, "_from").orderBy("_id")
+    ranked = own.withColumns({"_rank": F.rank().over(w), "_least": F.min("_id").over(w)})
+    met = ranked.join(before, (F.col(key) == F.col("_key")) & (F.col("_since") == F.col("_day")), "left")
+    n, same = F.coalesce("_n", F.lit(0)) + F.col("_rank") - 1, F.when(F.col("_rank") > 1, F.col("_least"))
+    return met.select(key, F.col("_id").alias(id_), n.alias("n"), F.least("_first", same).alias("first")).where("n > 0").groupBy(key, id_).agg(F.sum("n").alias("n"), F.min("first").alias("first"))

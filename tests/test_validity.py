@@ -35,6 +35,31 @@ def test_hot_keys_nulls_and_salts(spark):
     assert validity.holding(q, v.limit(0), "k", "day", "since", "until", ["id"]).count() == 0
 
 
+def test_tallies_and_conflicts_equal_plain_loops(spark):
+    rnd = random.Random(5)
+    day = lambda lo, hi: DAY + datetime.timedelta(days=rnd.randint(lo, hi))
+    versions = [(rnd.choice([1, 1, 1, 2, None]), i, rnd.choice([None, datetime.date(1, 1, 1), *[day(-50, 300)] * 8]), rnd.choice([None, *[day(-60, 400)] * 4])) for i in range(400)]
+    asked = [(rnd.choice([1, 1, 2, 3, None]), rnd.choice([None, *[day(0, 365)] * 9])) for _ in range(300)]
+    v, q = spark.createDataFrame(versions, "k int, id int, since date, until date"), spark.createDataFrame(asked, "k int, day date")
+    want = {}
+    for k, d in set(asked):
+        ids = [i for vk, i, s, e in versions if k is not None and k == vk and d and (s is None or s <= d) and (e is None or e >= d)]
+        if ids:
+            want[k, d] = (len(ids), min(ids), max(ids))
+    got = validity.tallies(q, v, "k", "day", "since", "until", "id").collect()
+    assert {(r.k, r.day): (r.n, r["first"], r["last"]) for r in got} == want and len(got) == len(want)
+    for some in (versions, [x for x in versions if x[2] != datetime.date(1, 1, 1)]):
+        least, low, high = min(s for _, _, s, _ in some if s), datetime.date.min, datetime.date.max
+        held = [(k, i, s or low, e or high, s or least) for k, i, s, e in some if k is not None and (e or high) >= (s or least)]
+        pairs = {}
+        for k, i, s, _, at in held:
+            own = [j for kk, j, ss, ee, _ in held if kk == k and (ss, j) < (s, i) and ee >= at]
+            if own:
+                pairs[k, i] = (len(own), min(own))
+        got = validity.conflicts(spark.createDataFrame(some, "k int, id int, since date, until date"), "k", "id", "since", "until").collect()
+        assert {(r.k, r.id): (r.n, r["first"]) for r in got} == pairs and len(got) == len(pairs)
+
+
 def test_work_of_tallies_is_not_that_of_pairs(spark):
     """Ten million pairs of versions and days that never come to be rows."""
     v, q = spark.range(5000).selectExpr("1 as k", "id", "cast(null as date) as since", "cast(null as date) as until"), spark.range(2000).selectExpr("1 as k", "date'2020-01-01' as day")
