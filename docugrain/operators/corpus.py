@@ -185,7 +185,8 @@ def full_text(queries: DataFrame, corpus: DataFrame, query: str, terms: str, ite
 def nearest(queries: DataFrame, vectors: DataFrame, id_: str, vector: str, k: int, block: int = 8192) -> DataFrame:
     """(query, place, id, similarity): the k vectors of greatest cosine with each query, itself left out, ties by id. Exact.
 
-    Queries go in blocks of a fixed number to all tasks; a task keeps k vectors for each query of the block, whatever it reads."""
+    Queries go in blocks of a fixed number to all tasks; a task keeps k vectors for each query of the block, whatever it reads.
+    It compares some AT_ONCE queries with as many rows at a time, so what it holds besides has a bound too."""
     n, spark = max(1, -(-queries.count() // block)), vectors.sparkSession
     parts = []
     for b in range(n):
@@ -197,14 +198,11 @@ def nearest(queries: DataFrame, vectors: DataFrame, id_: str, vector: str, k: in
             best = np.full((len(ids), k), -np.inf), np.full((len(ids), k), -1, np.int64)
             for batch in batches:
                 batch = batch.filter(batch.column(1).is_valid())
-                if not batch.num_rows or not len(ids):
-                    continue
-                there = batch.column(0).to_numpy()
-                near = asked @ _unit(batch.column(1)).T
-                near[ids[:, None] == there[None, :]] = -np.inf
-                both, who = np.hstack([best[0], near]), np.hstack([best[1], np.broadcast_to(there, near.shape)])
-                order = np.lexsort((who, -both), axis=1)[:, :k]
-                best = np.take_along_axis(both, order, 1), np.take_along_axis(who, order, 1)
+                for r in range(0, batch.num_rows if len(ids) else 0, AT_ONCE):
+                    some = batch.slice(r, AT_ONCE)
+                    there, units = some.column(0).to_numpy(), _unit(some.column(1))
+                    for q in range(0, len(ids), AT_ONCE):
+                        _keep_best(*(x[q : q + AT_ONCE] for x in best), ids[q : q + AT_ONCE], asked[q : q + AT_ONCE] @ units.T, there)
             rows, cols = np.nonzero(best[1] >= 0)
             yield pa.RecordBatch.from_arrays([pa.array(ids[rows]), pa.array(best[1][rows, cols]), pa.array(best[0][rows, cols])], names=["query", id_, "similarity"])
 
@@ -213,6 +211,29 @@ def nearest(queries: DataFrame, vectors: DataFrame, id_: str, vector: str, k: in
     return reduce(DataFrame.unionByName, parts).where("similarity > -2").withColumn("place", place).where(F.col("place") <= k).select("query", "place", id_, "similarity")
 
 
+#: Queries, and rows, that are compared at a time.
+AT_ONCE = 1024
+
+
+def _keep_best(best: np.ndarray, who: np.ndarray, ids: np.ndarray, near: np.ndarray, there: np.ndarray) -> None:
+    """Puts what is nearer into the k best of each query and whose they are, in place. Only rows at or above the k-th best are sorted, with their ties."""
+    k = best.shape[1]
+    near[ids[:, None] == there[None, :]] = -np.inf
+    least = best[:, -1]
+    if near.shape[1] > k:
+        least = np.maximum(least, np.partition(near, -k, axis=1)[:, -k])
+    i, j = np.nonzero((near >= least[:, None]) & (near > -np.inf))
+    if not len(i):
+        return
+    rows = np.concatenate([np.repeat(np.arange(len(ids)), k), i])
+    scores, owners = np.concatenate([best.ravel(), near[i, j]]), np.concatenate([who.ravel(), there[j]])
+    order = np.lexsort((owners, -scores, rows))
+    # The first k of each query: each has k at least.
+    starts = np.searchsorted(rows[order], np.arange(len(ids)))
+    first = order[starts[:, None] + np.arange(k)]
+    best[:], who[:] = scores[first], owners[first]
+
+
 def _unit(vectors) -> np.ndarray:
     """Rows of length 1; a zero vector stays zero."""
     if isinstance(vectors, pa.ChunkedArray):

@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from docugrain.operators import vectors
+from docugrain.operators import corpus, vectors
 from docugrain.plans import catalog
 
 SF = "/root/testdata/sf0.1"
@@ -39,3 +39,17 @@ def test_few_lists_suffice_for_vectors_in_groups_and_all_lists_are_exact(spark,
     assert vectors.nearest(none, "id", "v", lists, centers, 5).count() == 0
     nothing = vectors.centroids(none, "id", "v", 4)
     assert len(nothing) == 0 and vectors.index(none, "id", "v", nothing).count() == 0
+
+
+def test_nearest_holds_a_bounded_part_of_what_it_compares():
+    """All queries of a block by all rows of a batch were held together."""
+    rng, k, n = np.random.default_rng(4), 3, corpus.AT_ONCE
+    assert n <= 1024
+    ids, there = np.arange(0, 40, 2), np.arange(60)[::-1].copy()
+    near = rng.integers(-2, 3, (20, 60)).astype(float)
+    best, who = np.full((20, k), -np.inf), np.full((20, k), -1, np.int64)
+    for a in range(0, 60, 7):
+        corpus._keep_best(best, who, ids, near[:, a : a + 7].copy(), there[a : a + 7])
+    for r, i in enumerate(ids):
+        want = sorted((-s, t) for s, t in zip(near[r], there, strict=True) if t != i)[:k]
+        assert [(-s, t) for s, t in zip(best[r], who[r], strict=True)] == want
