@@ -80,14 +80,12 @@ def entitled(json: Column, now: Column) -> Column:
 
 
 def _xored(key_hex: Column, byte: int) -> Column:
-    """The key's 64 bytes, each xor the byte, as binary; hexadecimal digits are mapped by translate, as xor acts on each digit alone."""
+    """The key's 64 bytes, each xor the byte, as binary; hexadecimal digits are mapped by translate, as xor acts on each digit alone. Without a lambda, so that Spark works it out once where the key is a constant."""
     digits = "0123456789ABCDEF"
     high, low = byte >> 4, byte & 15
     padded = F.rpad(key_hex, 128, "0")
-    pairs = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda k: F.concat(
-        F.translate(F.substring(padded, k * 2 + 1, F.lit(1)), digits, "".join(digits[d ^ high] for d in range(16))),
-        F.translate(F.substring(padded, k * 2 + 2, F.lit(1)), digits, "".join(digits[d ^ low] for d in range(16)))))
-    return F.unhex(F.array_join(pairs, ""))
+    mapped = [F.translate(padded, digits, "".join(digits[d ^ part] for d in range(16))) for part in (high, low)]
+    return F.unhex(F.concat(*(F.substring(mapped[k % 2], k + 1, 1) for k in range(128))))
 
 
 def hmac_sha256(key: Column, message: Column) -> Column:

@@ -78,6 +78,15 @@ def test_tokens_equal_the_standard_library(spark):
         assert mac == want and r.verified == r.device and text.decode().startswith(r.device)
 
 
+def test_a_constant_key_is_worked_out_once(spark):
+    """The key's 128 digits were mapped for each row anew."""
+    rows = spark.range(3).select(requests.hmac_sha256(F.lit("key"), F.col("id").cast("string")).alias("mac"), requests.hmac_sha256(F.concat(F.lit("k"), F.col("id").cast("string")), F.lit("x")).alias("by"))
+    plan = rows.select("mac")._jdf.queryExecution().optimizedPlan().toString()
+    assert "translate" not in plan and "transform" not in plan
+    for k, r in enumerate(rows.collect()):
+        assert r.mac == hmac.new(b"key", str(k).encode(), hashlib.sha256).hexdigest() and r.by == hmac.new(f"k{k}".encode(), b"x", hashlib.sha256).hexdigest()
+
+
 def test_dedupe_metrics_equals_a_plain_loop(spark):
     cards = catalog._cards(spark, SMALL).orderBy("grp", "k").collect()
     groups = {}
