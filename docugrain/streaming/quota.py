@@ -87,20 +87,23 @@ class QuotaKeeper(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         held = self.usage.get()
         usage = Usage(*held) if held is not None else Usage()
-        # Only the requests that this batch ends are looked up, not all that are under way.
-        frame = pd.concat(list(rows)).sort_values(["at", "request", "ends"], kind="stable")
-        known = {int(r) for r in frame.loc[frame["ends"], "request"] if self.under_way.containsKey((int(r),))}
-        usage.under_way, out = set(known), []
-        for request, m, ends, well, pro in zip(frame["request"], frame["month"], frame["ends"], frame["well"], frame["pro"], strict=True):
-            told = usage.take(m, int(request), bool(ends), bool(well), bool(pro), self.limit)
+        acts = sorted((x for f in rows for x in zip(*(f[c].tolist() for c in ("at", "request", "ends", "month", "well", "pro")), strict=True)), key=lambda x: x[:3])
+        # Only the requests that this batch ends are looked up, not all that are under way; none where nothing is, as each look-up is a call.
+        any_ = held is not None and self.under_way.exists()
+        known = {x[1] for x in acts if x[2] and self.under_way.containsKey((x[1],))} if any_ else set()
+        before, usage.under_way, out = usage.month, set(known), []
+        for _, request, ends, m, well, pro in acts:
+            told = usage.take(m, request, ends, well, pro, self.limit)
             if told:
-                out.append((key[0], int(request), told))
+                out.append((key[0], request, told))
         for r in usage.under_way - known:
             self.under_way.updateValue((r,), (0,))
         for r in known - usage.under_way:
             self.under_way.removeKey((r,))
         self.usage.update((usage.month, usage.used))
-        self.again(usage.month)
+        # A device that is held has a timer for its month.
+        if held is None or usage.month != before:
+            self.again(usage.month)
         if out:
             yield pd.DataFrame(out, columns=["device", "request", "decision"])
 

@@ -2,6 +2,7 @@
 
 import datetime
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from docugrain.plans import catalog
@@ -56,3 +57,18 @@ def test_a_stream_goes_on_from_its_checkpoint(spark, tmp_path):
         out = rate.drained(quota.stream_decisions(stream, 5), ["device", "request"], "", jobs.PROVIDER, mode="append", at=f"file://{tmp_path}/run")
     assert {(r.device, r.request): r.decision for r in out.collect()} == plain(requests, 5)
     assert {(r.device, r.request): r.decision for r in quota.decisions(acts, 5).collect()} == plain(requests, 5)
+
+
+def test_a_device_without_requests_under_way_is_not_asked_for_each():
+    """One call for each request that ends was made, though nothing was held."""
+    calls = []
+
+    class Kept:
+        def __getattr__(self, name):
+            return lambda *a: calls.append(name) or {"get": None, "exists": False, "containsKey": False, "listTimers": []}.get(name)
+
+    keeper = quota.QuotaKeeper(5)
+    keeper.handle = keeper.usage = keeper.under_way = Kept()
+    rows = pd.DataFrame([(k + e, k, bool(e), "2024-01", k % 2 == 0, False) for k in range(100) for e in (0, 1)], columns=["at", "request", "ends", "month", "well", "pro"])
+    told = pd.concat(keeper.handleInputRows((7,), iter([rows[:90], rows[90:]]), None))
+    assert (told["decision"] == "ALLOWED").sum() >= 5 and len(told) == 100 and "containsKey" not in calls and len(calls) < 20
