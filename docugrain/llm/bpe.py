@@ -297,13 +297,34 @@ class Strings(dict):
     """Memo from a word's bytes to (number of ids, ids as text, decoded text), for digests of whole documents."""
 
     def __init__(self, model: PrefixBPE):
-        self.model = model
+        self.model, self.runs = model, {}
+        #: Each id as text and its token, so that neither is made again for each word.
+        self.said = {i: (str(i).encode(), t.encode()) for i, t in model.token.items()}
+
+    def _of(self, ids: tuple[int, ...]):
+        said = self.said
+        if len(ids) == 1:
+            return 1, *said[ids[0]]
+        own = [said[i] for i in ids]
+        return len(ids), b" ".join([x[0] for x in own]), b" ".join([x[1] for x in own])
+
+    def _run(self, run: str):
+        """The same of one run of letters or signs, which many words share: those before a comma, in capitals, with a sign after them."""
+        if len(self.runs) >= MEMO:
+            self.runs.clear()
+        got = self.runs[run] = self._of(self.model.piece(run))
+        return got
 
     def __missing__(self, word: bytes):
         if len(self) >= HELD:
             self.clear()
-        ids = self.model.word(word.decode())
-        got = self[word] = (len(ids), " ".join(map(str, ids)).encode(), self.model.decode(ids).encode())
+        text, known = word.decode(), self.runs.get
+        if self.model.ascii_runs and ASCII_WORD.fullmatch(text):
+            parts = [known(r) or self._run(r) for r in RUNS.findall(text.lower())]
+            got = parts[0] if len(parts) == 1 else (sum([p[0] for p in parts]), b" ".join([p[1] for p in parts]), b" ".join([p[2] for p in parts]))
+        else:
+            got = self._of(self.model.word(text))
+        self[word] = got
         return got
 
 
