@@ -31,6 +31,8 @@ RUNS = re.compile(r"[a-z]+|[0-9]|[^a-z0-9]+")
 ASCII_WORD = re.compile(r"[!-&(-;=-~]+")
 #: Words whose ids and digests a worker holds (some 300 bytes each) before it starts anew; results don't depend on it.
 HELD = 800_000
+#: The same for words whose ids only are held, beside other stages' memory: half of them older ones, which go unless they are met again.
+HELD_IDS = 200_000
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -69,6 +71,7 @@ class PrefixBPE:
         self.fits_memo: dict[tuple[int, int], bool] = {}
         self.pieces: dict[str, tuple[int, ...]] = {}
         self.words: dict[bytes, tuple[int, ...]] = {}
+        self.older: dict[bytes, tuple[int, ...]] = {}
         self._build_automaton()
         # Whether runs of printable ASCII are what normaliser and splitter make of such words, as tried on each character and some mixtures.
         signs = [chr(c) for c in range(0x21, 0x7F) if chr(c) not in "<'"]
@@ -234,9 +237,11 @@ class PrefixBPE:
         for w in text.encode().split():
             own = memo.get(w)
             if own is None:
-                if len(memo) >= HELD:
-                    memo.clear()
-                own = memo[w] = self.word(w.decode())
+                if len(memo) >= HELD_IDS // 2:
+                    self.older, self.words = memo, {}
+                    memo = self.words
+                own = self.older.get(w)
+                memo[w] = own = self.word(w.decode()) if own is None else own
             ids += own
         return ids
 

@@ -226,15 +226,13 @@ def _free_of(index, how: Match):
     """A predicate on texts: no item of the broadcast block is in it."""
     made: list = []
 
-    @F.pandas_udf("boolean")
-    def free(column):
-        import pandas as pd
-
+    def free(column: pa.Array) -> pa.Array:
         if not made:
             made.extend((Items(index.value, how), WordHashes()))
-        return pd.Series([not made[0].matches(made[1].of((t or "").encode().lower().split())) for t in column], dtype=bool)
+        return pa.array([not made[0].matches(made[1].of((t.as_py() or "").encode().lower().split())) for t in column], pa.bool_())
 
-    return free
+    free.__annotations__ = {"column": pa.Array, "return": pa.Array}
+    return F.arrow_udf(free, "boolean")
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -108,17 +108,17 @@ def keep(docs: DataFrame, rules: Rules = Rules(), text_col: str = "text") -> Dat
 
     from collections.abc import Iterator
 
-    import pandas as pd
+    import pyarrow as pa
 
-    def passes(columns: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def passes(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         import zstandard
 
         hashes, compressor = WordHashes(), zstandard.ZstdCompressor(level=rules.level)
         for column in columns:
-            yield pd.Series([measure(t or "", rules, hashes, compressor)[6] for t in column], dtype=bool)
+            yield pa.array([measure(t.as_py() or "", rules, hashes, compressor)[6] for t in column], pa.bool_())
 
-    passes.__annotations__ = {"columns": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return docs.where(F.pandas_udf(passes, "boolean")(F.col(text_col).cast("string")))
+    passes.__annotations__ = {"columns": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return docs.where(F.arrow_udf(passes, "boolean")(F.col(text_col).cast("string")))
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,6 +17,7 @@ from __future__ import annotations
 import base64
 import re
 from dataclasses import dataclass
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +29,8 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
+#: Texts that are redacted before they go back to Arrow's memory.
+SOME = 256
 KINDS = ("assign", "access", "hex", "random")
 PART = re.compile(r"[A-Za-z0-9]+")
 #: Letters and digits in turn, and letters of either case in turn: more than a name with a number or a capital.
@@ -60,7 +63,9 @@ class Efficiency:
     short_letters_ratio: float = 1.7
 
 
+@lru_cache(2)
 def vocabulary(name: str = VOCABULARY):
+    """Kept for all tasks of a worker process."""
     import public_tokenizers as P
     import tiktoken
 
@@ -186,9 +191,9 @@ def redact(docs: DataFrame, how: Efficiency = Efficiency(), vocabulary_name: str
 
     from collections.abc import Iterator
 
-    import pandas as pd
+    import pyarrow as pa
 
-    def clean(columns: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def clean(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoding = vocabulary(vocabulary_name)
 
         def one(t):
@@ -206,10 +211,12 @@ def redact(docs: DataFrame, how: Efficiency = Efficiency(), vocabulary_name: str
             return t
 
         for column in columns:
-            yield pd.Series([one(t) for t in column], dtype=object)
+            # Some texts at a time become Python's: a batch is never held as objects.
+            done = [pa.array([one(t.as_py()) for t in column[k : k + SOME]], pa.string()) for k in range(0, len(column), SOME)]
+            yield pa.concat_arrays(done) if done else pa.array([], pa.string())
 
-    clean.__annotations__ = {"columns": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return docs.withColumn(text_col, F.pandas_udf(clean, "string")(F.col(text_col).cast("string")))
+    clean.__annotations__ = {"columns": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return docs.withColumn(text_col, F.arrow_udf(clean, "string")(F.col(text_col).cast("string")))
 
 
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

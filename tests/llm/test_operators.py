@@ -927,3 +927,12 @@ def test_the_sample_fits_its_bound_of_places(spark):
     how = quality_classifier.NBSVM(places=2)
     labels = spark.read.parquet(f"{SMALL}/labels.parquet")
     assert quality_classifier.classify(spark.read.parquet(f"{SMALL}/documents.parquet"), labels, how).where("score between 0 and 1").count() == 200
+
+
+def test_digests_of_runs_equal_those_of_words():
+    model = bpe.bpe(bpe.vocabulary_path())
+    strings = bpe.Strings(model)
+    for w in "the The, THE!! x1y22 a<b don't naïve 日本語 <|endoftext|>x of&&& ... 7".split():
+        ids = model.word(w)
+        assert strings[w.encode()] == (len(ids), " ".join(map(str, ids)).encode(), model.decode(ids).encode())
+    assert "the" in strings.runs and strings[b"the"] is strings.runs["the"]

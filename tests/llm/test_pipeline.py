@@ -39,3 +39,15 @@ def test_stages_keep_columns_and_bear_odd_rows(spark):
             if name != "encoding":
                 assert got.columns == docs.columns, name
             got.count()
+
+
+def test_words_that_a_worker_holds_have_a_bound():
+    """Encoding held up to 800,000 words, some 250 MB, beside what earlier stages had left."""
+    from docugrain.llm import bpe
+
+    model = bpe.PrefixBPE(bpe.vocabulary_path())
+    rows = [" ".join([*map(str, range(k, k + 10_000)), "the"]) for k in range(0, 250_000, 10_000)]
+    sizes = [len(model.encode(t)) for t in rows]
+    assert len(model.words) + len(model.older) <= bpe.HELD_IDS + 1 and b"the" in model.words
+    fresh = bpe.PrefixBPE(bpe.vocabulary_path())
+    assert [len(fresh.encode(t)) for t in rows[-2:]] == sizes[-2:] and fresh.encode(rows[0]) == model.encode(rows[0])
