@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, WordHashes, cut, free, id_text, map_rows, mix, odd, table, texts, windows
+from .common import U64, WordHashes, cut, free, id_text, map_rows, mix, odd, sieve, sifted, table, texts, windows
 
 
 @dataclass(frozen=True)
@@ -143,9 +143,9 @@ def table_keys(reps: DataFrame, how: Tensor) -> DataFrame:
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """pairs (a, b) with common and total counts from both full sets. The hub side b may be a hot key: its join can be split by AQE, as both sides are plain exchanges."""
-    left = pairs.join(sets.select(F.col("id").alias("a"), F.col("values").alias("va")), "a")
-    both = left.join(sets.select(F.col("id").alias("b"), F.col("values").alias("vb")), "b").select("a", "b", "va", "vb")
+    """pairs (a, b) with common and total counts from both full sets. The hub side b may be a hot key: its join can be split by AQE, as both sides are plain exchanges. Only sets of each side's own ids are shuffled."""
+    of = lambda end: sifted(sets, "id", sieve(pairs.select(end))).select(F.col("id").alias(end), F.col("values").alias(f"v{end}"))
+    both = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "va", "vb")
 
     def run(batches):
         for batch in batches:
@@ -256,8 +256,8 @@ def seated(tables: DataFrame, sketches: DataFrame, labels: DataFrame, how: Tenso
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, how: Tensor, id_col: str, text_col: str) -> DataFrame:
-    """id and the sorted shingle hashes of the wanted documents. Texts are made into sets before they are shuffled, for these documents only."""
-    mine = id_text(docs, id_col, text_col).join(wanted.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
+    """id and the sorted shingle hashes of the wanted documents, and of a few others that their sieve lets pass. No text is shuffled."""
+    mine = sifted(id_text(docs, id_col, text_col), "doc_id", sieve(wanted.select("id")))
 
     def make():
         hashes = WordHashes()
@@ -339,7 +339,7 @@ def near_duplicates(docs: DataFrame, how: Tensor = Tensor(), id_col: str = "doc_
     placed = cut(keys.join(members, "id", "left_semi"), "placed")
     mixed = mixed_tables(placed, labels, "mixed-tables")
     tables = cut(placed.join(mixed, "key"), "tables")
-    sketches = cut(sketched(sets.join(tables.select("id").distinct(), "id", "left_semi"), how), "sketches")
+    sketches = cut(sketched(sifted(sets, "id", sieve(tables.select("id"))), how), "sketches")
     seats = cut(seated(tables, sketches, labels, how), "seats")
     free(placed, mixed, tables)
     pairs = cut(likely(seats, labels, sketches, how).join(stars.select("a", "b"), ["a", "b"], "left_anti"), "likely")
@@ -356,18 +356,24 @@ def near_duplicates(docs: DataFrame, how: Tensor = Tensor(), id_col: str = "doc_
 
 
 def drop_duplicates(docs: DataFrame, how: Tensor = Tensor(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one document of each component, the one of least doc_id, in docs' own columns. Rows that repeat a doc_id are one document, of which one row stays; rows without doc_id all stay."""
+    """docs with one document of each component, the one of least doc_id, in docs' own columns. Rows that repeat a doc_id are one document, of which one row stays; rows without doc_id all stay.
+
+    Texts are not shuffled to learn which stay: rows that the sieve of duplicates surely doesn't hold stay. Of the others a second sieve takes those that may
+    stay nevertheless, and only these few are joined with the ids."""
     all_rows = near_duplicates(docs, how, id_col, text_col)
     found = cut(all_rows, "near-duplicates")
     free(*all_rows.holds)
-    own_type = docs.schema[id_col].dataType
-    ids = lambda rows: rows.select(F.col("doc_id").cast(own_type).alias(id_col)).distinct()
-    rest = docs.join(ids(found.where("not kept")), id_col, "left_anti")
-    repeated = cut(found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    kept = found.where("kept and doc_id is not null").select("doc_id")
+    repeated = cut(kept.groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    doubtful = sieve(found.where("not kept").select("doc_id").union(repeated))
+    # Ids that stay though that sieve holds them: the repeated ones, and some by chance.
+    held = cut(sifted(kept, "doc_id", doubtful).distinct(), "held")
+    own = F.col(id_col).cast("long")
+    among = lambda rows, ids, kind: rows.join(ids.select(F.col("doc_id").alias("sieve_id")), own == F.col("sieve_id"), kind)
+    rest = among(sifted(sifted(docs, id_col, doubtful), id_col, sieve(held)), held, "left_semi")
     if repeated.limit(1).count():
-        again = ids(repeated)
-        rest = rest.join(again, id_col, "left_anti").unionByName(rest.join(again, id_col, "left_semi").dropDuplicates([id_col]))
-    return rest.select(docs.columns)
+        rest = among(rest, repeated, "left_anti").unionByName(among(rest, repeated, "left_semi").dropDuplicates([id_col]))
+    return sifted(docs, id_col, doubtful, held=False).unionByName(rest).select(docs.columns)
 
 
 def op7_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
