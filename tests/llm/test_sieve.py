@@ -75,3 +75,21 @@ def test_texts_are_not_shuffled_to_drop_duplicates(spark, no_small_tables):
     assert left.where("doc_id is null").count() == 1
     wanted = common.cut(spark.createDataFrame([(4,), (5,)], "id long"), "wanted")
     assert shuffled_bytes(near_dups.full_sets(rows, wanted, near_dups.Tensor(), "doc_id", "text")) < whole / 5
+
+
+def test_stages_bound_arrow_batches(spark):
+    import corpus_pipeline
+
+    at = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(at)
+    docs = spark.createDataFrame([(1, "some words")], "doc_id long, text string")
+    try:
+        for setting, want in (("10000", common.BATCH), ("0", common.BATCH), ("7", 7)):
+            for _, stage in corpus_pipeline.STAGES:
+                spark.conf.set(at, setting)
+                stage(spark, docs.limit(0), "/root/testdata/sf0.001")
+                assert int(spark.conf.get(at)) == want
+                if setting != "10000":
+                    break
+    finally:
+        spark.conf.set(at, before)
